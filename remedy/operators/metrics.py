@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from remedy.functions.num import rnd
 
 from remedy.functions import text as T
 
@@ -119,17 +120,20 @@ def bootstrap_ci(df: DataFrame, group_col: str, value_col: str, row_id: str,
     x = df.select(group_col, row_id, F.col(value_col).cast("double").alias("x"))
     xw = x.crossJoin(reps).withColumn(
         "w", poisson_weight(md5_uniform(F.lit(str(seed)), F.col("b"), F.col(row_id))))
-    per = (xw.rollup(group_col, "b").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("m"))
-             .filter(F.col("b").isNotNull()))
+    wm = F.try_divide(F.sum(F.col("w") * F.col("x")), F.sum("w")).alias("m")
+    per = (xw.groupBy(group_col, "b").agg(wm)
+             .unionByName(xw.groupBy("b").agg(wm).withColumn(group_col, F.lit(None).cast(x.schema[group_col].dataType))))
     stats = per.groupBy(group_col).agg(
         F.avg("m").alias("mean"),
         F.percentile("m", 0.025).alias("lo"),
         F.percentile("m", 0.975).alias("hi"))
-    sizes = x.rollup(group_col).agg(F.count(F.lit(1)).alias("n"), F.first("x").alias("_x1"))
+    one = [F.count(F.lit(1)).alias("n"), F.first("x").alias("_x1")]
+    sizes = (x.groupBy(group_col).agg(*one)
+              .unionByName(x.agg(*one).withColumn(group_col, F.lit(None).cast(x.schema[group_col].dataType))))
     j = sizes.join(stats, sizes[group_col].eqNullSafe(stats[group_col]), "left").drop(stats[group_col])
     nan = F.lit(float("nan"))
     return j.select(
         group_col, "n",
-        F.round(F.when(F.col("n") == 1, F.col("_x1")).otherwise(F.col("mean")), 8).alias("mean"),
-        F.when(F.col("n") == 1, nan).otherwise(F.round("lo", 8)).alias("ci_low"),
-        F.when(F.col("n") == 1, nan).otherwise(F.round("hi", 8)).alias("ci_high"))
+        rnd(F.when(F.col("n") == 1, F.col("_x1")).otherwise(F.col("mean")), 8).alias("mean"),
+        F.when(F.col("n") == 1, nan).otherwise(rnd("lo", 8)).alias("ci_low"),
+        F.when(F.col("n") == 1, nan).otherwise(rnd("hi", 8)).alias("ci_high"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
+from remedy.functions.num import np_rnd, rnd
 
 from remedy.functions import text as T
 from remedy.session import BROADCAST_MAX_ROWS
@@ -31,13 +32,11 @@ def chunk_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     inside the previous overlap is not emitted. Runs row-local: no shuffle.
     """
     stride = size - overlap
-    p = T.pieces(text_col)
-    n = F.size(p)
+    n = F.size("_p")
     starts = F.sequence(F.lit(0), F.greatest(n - overlap - 1, F.lit(0)), F.lit(stride))
-    x = (df.select(F.col(id_col), p.alias("_p"))
+    x = (df.select(F.col(id_col), T.pieces(text_col).alias("_p"))
            .filter(F.size("_p") > 0)
-           .select(id_col, "_p", F.posexplode(F.sequence(F.lit(0), F.greatest(F.size("_p") - overlap - 1, F.lit(0)), F.lit(stride))).alias("pos", "_s")))
-    del starts
+           .select(id_col, "_p", F.posexplode(starts).alias("pos", "_s")))
     return x.select(
         id_col, "pos",
         F.regexp_replace(F.array_join(F.slice("_p", F.col("_s") + 1, F.lit(size)), ""), r"\s+$", "").alias("text"),
@@ -113,7 +112,7 @@ def bm25_scores(index: BM25Index, qterms: DataFrame) -> DataFrame:
         tf + BM25_K1 * (1 - BM25_B + BM25_B * dl / F.col("avgdl")))
     return (idf.join(index.postings, "term")
                .groupBy("q_id", "doc_id", "pos").agg(F.sum(contrib).alias("_s"))
-               .select("q_id", "doc_id", "pos", F.round("_s", 6).alias("score")))
+               .select("q_id", "doc_id", "pos", rnd("_s", 6).alias("score")))
 
 
 def top_k(scores: DataFrame, k: int, descending: bool = True, part: str = "q_id",
@@ -132,32 +131,38 @@ def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
 # ---- dense exact top-k -------------------------------------------------------
 
-def _local_topk(qids: np.ndarray, qmat: np.ndarray, k: int):
-    """mapInPandas body: squared L2 of one partition's vectors against a query batch;
-    only the k best per query leave the task."""
+def _local_topk(qids: np.ndarray, qmat: np.ndarray, k: int, qblock: int = 1024):
+    """mapInPandas body: squared L2 of one partition's vectors against a query batch.
+
+    Arrow batches stream through; a running best-k per query (ties by id) is kept,
+    so memory is O(queries x (k + batch)) and only k rows per query leave the task."""
+    nq = len(qids)
+    qn = (qmat * qmat).sum(axis=1)
 
     def run(batches):
-        ids, vecs = [], []
+        best_d = np.full((nq, 0), np.inf)
+        best_i = np.zeros((nq, 0), dtype=np.int64)
         for b in batches:
-            ids.append(b["vec_id"].to_numpy())
-            vecs.extend(b["v"].tolist())
-        if not ids:
-            return
-        ids = np.concatenate(ids)
-        if len(ids) == 0:
+            if b.empty:
+                continue
+            ids = b["vec_id"].to_numpy(dtype=np.int64)
+            m = np.asarray(b["v"].tolist(), dtype=np.float64)
+            mn = (m * m).sum(axis=1)
+            nd, ni = [], []
+            for s in range(0, nq, qblock):
+                q = qmat[s:s + qblock]
+                d = np_rnd(np.maximum(qn[s:s + qblock, None] + mn[None, :] - 2.0 * (q @ m.T), 0.0), 6)
+                cd = np.concatenate([best_d[s:s + qblock], d], axis=1)
+                ci = np.concatenate([best_i[s:s + qblock], np.broadcast_to(ids, d.shape)], axis=1)
+                order = np.lexsort((ci, cd), axis=1)[:, :k]
+                nd.append(np.take_along_axis(cd, order, axis=1))
+                ni.append(np.take_along_axis(ci, order, axis=1))
+            best_d, best_i = np.concatenate(nd), np.concatenate(ni)
+        if best_d.shape[1] == 0:
             return
-        m = np.asarray(vecs, dtype=np.float64)
-        # Partition-local top-k per query, in blocks of queries to bound memory.
-        for s in range(0, len(qids), 256):
-            qb = qmat[s:s + 256]
-            d = ((qb[:, None, :] - m[None, :, :]) ** 2).sum(axis=2)
-            d = np.round(d, 6)
-            kk = min(k, len(ids))
-            for i in range(qb.shape[0]):
-                order = np.lexsort((ids, d[i]))[:kk]
-                yield pd.DataFrame({"q_id": np.full(kk, qids[s + i], dtype=np.int64),
-                                    "vec_id": ids[order].astype(np.int64),
-                                    "score": d[i][order]})
+        kk = best_d.shape[1]
+        yield pd.DataFrame({"q_id": np.repeat(qids.astype(np.int64), kk),
+                            "vec_id": best_i.ravel(), "score": best_d.ravel()})
 
     return run
 
@@ -214,7 +219,7 @@ def rerank_topn(candidates: DataFrame, chunks: DataFrame, queries: DataFrame, in
         pairs = (candidates.select("q_id", "doc_id", "pos")
                  .join(chunks, ["doc_id", "pos"])
                  .join(queries.select("q_id", "question"), "q_id"))
-        scored = pairs.select("q_id", "doc_id", "pos", F.round(scorer("question", "text"), 6).alias("score"))
+        scored = pairs.select("q_id", "doc_id", "pos", rnd(scorer("question", "text"), 6).alias("score"))
     else:
         stats = F.broadcast(index.stats)
         qt = (query_terms(queries).join(index.df, "term").crossJoin(stats)
@@ -228,7 +233,7 @@ def rerank_topn(candidates: DataFrame, chunks: DataFrame, queries: DataFrame, in
                   .join(hit, ["q_id", "doc_id", "pos"], "left")
                   .join(total, "q_id")
                   .select("q_id", "doc_id", "pos",
-                          F.round(F.coalesce(F.col("_hit"), F.lit(0.0)) / F.col("_tot"), 6).alias("score")))
+                          rnd(F.coalesce(F.col("_hit"), F.lit(0.0)) / F.col("_tot"), 6).alias("score")))
     return top_k(scored, n)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from remedy.functions.num import sql_rnd
+from remedy.plans import diagnosis as DQ
+from remedy.plans import oracle_diagnosis as OD
 from remedy.plans import oracle_retrieval as OR
 from remedy.plans import retrieval as RQ
 
@@ -22,4 +25,14 @@ QUERIES = {
     "pack_context": RQ.pack_context,
 }
 
+for _k in ["entailment_vote", "failure_label", "verified_label", "reward", "reward_binary", "action_space",
+           "variants", "reward_ablation", "action_candidates", "oracle_best_action", "apply_action",
+           "repaired_traces", "fixed_policy", "explore_choice", "failed_rows", "exact_match", "canon_label",
+           "diagnostic_counts", "consistency_rate", "bootstrap_ci", "pre_post_join", "action_name",
+           "delta_by_action", "action_frequency", "budget_features", "one_hot", "faithfulness",
+           "answer_relevancy", "context_means"]:
+    QUERIES[_k] = getattr(DQ, _k)
+
 ORACLE = dict(OR.SQL)
+ORACLE.update(OD.SQL)
+ORACLE = {k: sql_rnd(v) for k, v in ORACLE.items()}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from remedy.functions.num import rnd
 
 from remedy.operators import metrics as M
 from remedy.operators import retrieve as R
@@ -40,8 +41,8 @@ def retrieval_eval(spark: SparkSession, sf: str) -> DataFrame:
     nh = hits.groupBy("q_id").agg(F.sum(F.col("hit").cast("int")).cast("long").alias("n_hits"))
     return (n_gold.join(cp, "q_id").join(cr, "q_id").join(nh, "q_id", "left")
             .select("q_id", "n_gold", F.coalesce("n_hits", F.lit(0).cast("long")).alias("n_hits"),
-                    F.round("context_precision", 6).alias("context_precision"),
-                    F.round("context_recall", 6).alias("context_recall")))
+                    rnd("context_precision", 6).alias("context_precision"),
+                    rnd("context_recall", 6).alias("context_recall")))
 
 
 def dedupe_passages(spark, sf):
@@ -59,7 +60,7 @@ def chunk_sentences(spark, sf):
 def bm25_stats(spark, sf):
     idx = R.bm25_index(_chunks(spark, sf))
     return (idx.df.crossJoin(F.broadcast(idx.stats))
-            .select("term", "df", "n_chunks", F.round("avgdl", 6).alias("avgdl")))
+            .select("term", "df", "n_chunks", rnd("avgdl", 6).alias("avgdl")))
 
 
 def bm25_topk(spark, sf):
@@ -75,7 +76,7 @@ def precision_at_k(spark, sf):
     ranked = R.bm25_topk(chunks, X.questions(spark, sf), 5)
     gold, _ = _gold(spark, sf)
     p = M.precision_at_k(M.chunk_hits(ranked, chunks, gold))
-    return p.select("q_id", "k", F.round("precision", 6).alias("precision"))
+    return p.select("q_id", "k", rnd("precision", 6).alias("precision"))
 
 
 def context_precision(spark, sf):
