@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from remedy.functions.num import sql_rnd
+from remedy.plans import corpus as CQ
 from remedy.plans import diagnosis as DQ
+from remedy.plans import oracle_corpus as OC
 from remedy.plans import oracle_diagnosis as OD
 from remedy.plans import oracle_retrieval as OR
 from remedy.plans import retrieval as RQ
@@ -33,6 +35,15 @@ for _k in ["entailment_vote", "failure_label", "verified_label", "reward", "rewa
            "answer_relevancy", "context_means"]:
     QUERIES[_k] = getattr(DQ, _k)
 
+for _k in ["decode_brackets", "clean_passage", "split_sentences", "join_sentences", "label_sentence",
+           "parse_reply", "eval_projection", "clean_short_answer", "render_prompt", "decode_triples",
+           "triple_query", "triple_export", "cap_triples", "explode_evidence", "inverse_evidence",
+           "evidence_semi", "evidence_sentences", "evidence_missing", "split_range", "corpus_cap",
+           "corpus_refresh", "corpus_counts", "epoch_order", "sample_replace", "config_grid", "nli_pairs",
+           "normalize_id"]:
+    QUERIES[_k] = getattr(CQ, _k)
+
 ORACLE = dict(OR.SQL)
+ORACLE.update(OC.SQL)
 ORACLE.update(OD.SQL)
 ORACLE = {k: sql_rnd(v) for k, v in ORACLE.items()}

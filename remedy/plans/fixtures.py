@@ -125,7 +125,8 @@ def replies(spark: SparkSession, sf: str) -> DataFrame:
     p = u.join(a, ["conv_id", "turn"])
     key = F.col("conv_id") * 31 + F.col("turn")
     label = F.element_at(_levels(ANSWER_LABELS), (1 + (F.col("conv_id") + F.col("turn")) % 3).cast("int"))
-    js = F.to_json(F.struct(label.alias("label"), F.col("answer").alias("response")))
+    from remedy.functions.reply import json_escape
+    js = F.concat(F.lit('{"label": "'), label, F.lit('", "response": "'), json_escape(F.col("answer")), F.lit('"}'))
     reply = (F.when(key % 11 == 0, F.lit(T.EMPTY_REPLY))
               .when(key % 7 == 0, F.concat(F.lit("```json\n"), js, F.lit("\n```")))
               .otherwise(js))
@@ -192,3 +193,42 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Element vectors as double arrays keyed by row id."""
     e = table(spark, sf, "embeddings")
     return e.select(F.col("vec_id"), F.col("embedding").cast("array<double>").alias("v"), "label")
+
+
+def claims(spark: SparkSession, sf: str) -> DataFrame:
+    """Claims in the fact-checking dump layout: (id, claim, label, evidence) where
+    evidence is ARRAY<ARRAY<ARRAY<STRING>>> of [annotation, evidence id, page, line].
+
+    The evidence page of a benchmark item is the smallest document containing it
+    verbatim, at the line where it starts (a second tuple in the set points at the
+    next line and is ignored downstream). Items without a page carry a null-page
+    set; every seventh item (id % 7 = 3) also cites a page that does not exist."""
+    from remedy.operators.retrieve import gold_containment
+
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    qs = questions(spark, sf)
+    g = gold_containment(docs, qs).groupBy("q_id").agg(F.min("doc_id").alias("doc_id"))
+    gd = (g.join(docs, "doc_id").join(qs, "q_id")
+          .withColumn("_pre", F.expr("substring(text, 1, instr(text, question) - 1)"))
+          .select("q_id", "doc_id",
+                  (F.length("_pre") - F.length(F.replace(F.col("_pre"), F.lit("\n"), F.lit("")))).alias("line")))
+    c = qs.join(gd, "q_id", "left")
+    qid, page = F.col("q_id").cast("string"), F.col("doc_id").cast("string")
+    gold_set = F.array(F.array(qid, qid, page, F.col("line").cast("string")),
+                       F.array(qid, qid, page, (F.col("line") + 1).cast("string")))
+    missing_set = F.array(F.array(qid, qid, F.concat(F.lit("missing-"), qid), F.lit("0")))
+    null_set = F.array(F.array(qid, F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string")))
+    sets = F.filter(F.array(F.when(F.col("doc_id").isNotNull(), gold_set),
+                            F.when(F.col("q_id") % 7 == 3, missing_set),
+                            F.when(F.col("doc_id").isNull(), null_set)),
+                    lambda s: s.isNotNull())
+    label = F.element_at(_levels(RAW_ANSWER_LABELS), (1 + F.col("q_id") % 3).cast("int"))
+    return c.select(F.col("q_id").alias("id"), F.col("question").alias("claim"), label.alias("label"),
+                    sets.alias("evidence"))
+
+
+def wiki_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents in the wiki dump layout: (page_id STRING, text, lines)."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    return d.select(F.col("doc_id").cast("string").alias("page_id"), "text",
+                    T.numbered_lines("text").alias("lines"))
