@@ -5,6 +5,9 @@ from __future__ import annotations
 from remedy.functions.num import sql_rnd
 from remedy.plans import corpus as CQ
 from remedy.plans import diagnosis as DQ
+from remedy.plans import knowledge as KQ
+from remedy.plans import oracle_policy as OP
+from remedy.plans import policies as PQ
 from remedy.plans import oracle_corpus as OC
 from remedy.plans import oracle_diagnosis as OD
 from remedy.plans import oracle_retrieval as OR
@@ -43,7 +46,16 @@ for _k in ["decode_brackets", "clean_passage", "split_sentences", "join_sentence
            "normalize_id"]:
     QUERIES[_k] = getattr(CQ, _k)
 
+for _k in ["triple_topk", "triple_status", "triple_rollup", "answer_consistency", "consistency_counts"]:
+    QUERIES[_k] = getattr(KQ, _k)
+
+for _k in ["context_vector", "linucb_fit", "linucb_score", "thompson_fit", "thompson_mean", "thompson_score",
+           "ucb_fit", "ucb_score", "kernelucb_score", "arm_argmax", "neural_linear_score", "epsgreedy_fit",
+           "epsgreedy_choice", "tree_policy"]:
+    QUERIES[_k] = getattr(PQ, _k)
+
 ORACLE = dict(OR.SQL)
+ORACLE.update(OP.SQL)
 ORACLE.update(OC.SQL)
 ORACLE.update(OD.SQL)
 ORACLE = {k: sql_rnd(v) for k, v in ORACLE.items()}

@@ -169,12 +169,11 @@ def facts(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("fact_id", F.col("kind").cast("long") * F.lit(10**12) + F.col("key"))
 
 
-def claim_triples(spark: SparkSession, sf: str) -> DataFrame:
-    """Answer triples to check against the facts: every customer claims a nation;
-    one customer in three names the next nation (a likely conflict), and every
-    thirteenth answer is empty (EMPTYINPUT)."""
+def answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers to check: every customer states a nation; one in three names the
+    next nation (a likely conflict); every thirteenth answer is empty."""
     customer = table(spark, sf, "customer")
-    nation = F.broadcast(table(spark, sf, "nation").select("n_nationkey", "n_name"))
+    nation = F.broadcast(table(spark, sf, "nation").select("n_nationkey", "n_name"))  # 25 rows
     shift = F.when(F.col("c_custkey") % 3 == 0, F.lit(1)).otherwise(F.lit(0))
     c = customer.select("c_custkey", "c_name", ((F.col("c_nationkey") + shift) % 25).alias("claimed"))
     j = c.join(nation, c.claimed == nation.n_nationkey)
@@ -189,6 +188,13 @@ def claim_triples(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def answer_triples(spark: SparkSession, sf: str) -> DataFrame:
+    """Triples extracted from the answers: none for empty answers, and none for
+    every seventeenth answer (the extractor found no triple)."""
+    a = answers(spark, sf)
+    return a.filter((F.col("answer_text") != "") & (F.col("answer_id") % 17 != 0))
+
+
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Element vectors as double arrays keyed by row id."""
     e = table(spark, sf, "embeddings")
