@@ -5,6 +5,8 @@ from __future__ import annotations
 from remedy.functions.num import sql_rnd
 from remedy.plans import corpus as CQ
 from remedy.plans import diagnosis as DQ
+from remedy.plans import io as IQ
+from remedy.plans import streams as SQ
 from remedy.plans import knowledge as KQ
 from remedy.plans import oracle_policy as OP
 from remedy.plans import policies as PQ
@@ -54,6 +56,13 @@ for _k in ["context_vector", "linucb_fit", "linucb_score", "thompson_fit", "thom
            "epsgreedy_choice", "tree_policy"]:
     QUERIES[_k] = getattr(PQ, _k)
 
+for _k in ["src_claims", "src_pages", "src_slices", "src_multihop", "kb_artifact", "trace_tsv", "trace_reload",
+           "index_tables", "policy_io"]:
+    QUERIES[_k] = getattr(IQ, _k)
+
+for _k in ["stream_diagnose", "stream_policy", "stream_reindex"]:
+    QUERIES[_k] = getattr(SQ, _k)
+
 ORACLE = dict(OR.SQL)
 ORACLE.update(OP.SQL)
 ORACLE.update(OC.SQL)

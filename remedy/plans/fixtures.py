@@ -77,6 +77,39 @@ def base_traces(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def traces_from_events(e: DataFrame, arm: F.Column | None = None, keep=()) -> DataFrame:
+    """Trace columns of each event, optionally re-asked under an arm column (the arm
+    shifts consistency index, label, latency, VRAM and the vote seed). Row-local:
+    usable on streaming frames."""
+    eid, uid = F.col("event_id"), F.col("user_id")
+    a = arm if arm is not None else F.lit(0)
+    k = eid * 7 + uid + a
+    kg_idx = F.when(k % 10 < 6, F.lit(1)).otherwise(1 + (k % 5))
+    lat = F.col("value") / F.lit(5e1) if arm is None else F.col("value") / F.lit(5e1) + a * F.lit(5e-2)
+    vram = (eid % 97) / F.lit(1e1) if arm is None else ((eid + a * 13) % 97) / F.lit(1e1)
+    return e.select(
+        eid.alias("q"), uid.alias("u"), lat.alias("latency"), vram.alias("vram"),
+        F.element_at(_levels(CONSISTENCY_LEVELS), kg_idx.cast("int")).alias("kg_consistency"),
+        F.element_at(_levels(ANSWER_LABELS), (1 + (eid + a) % 3).cast("int")).alias("label"),
+        F.element_at(_levels(ANSWER_LABELS), (1 + uid % 3).cast("int")).alias("gt_label"),
+        (eid + a).alias("_vq"), *keep)
+
+
+def vote_arrays(df: DataFrame) -> DataFrame:
+    """Per-row entailment from the row's own vote arrays (no grouping): the same
+    vote rule as ``diagnose.entailment_vote`` in array form, for streams."""
+    rs = F.sequence(F.lit(0), F.col("q") % 5)
+    qv = F.transform(rs, lambda r: F.pmod(F.floor((F.col("_vq") * (r + 3) + F.col("u") * (r + 1)) / 5), F.lit(3)))
+    rv = F.transform(rs, lambda r: F.pmod(F.floor((F.col("_vq") * (r + 5) + F.col("u")) / 7), F.lit(3)))
+
+    def rule(v):
+        return (F.when(F.forall(v, lambda x: x == 1), F.lit("NEUTRAL"))
+                 .when(F.exists(v, lambda x: x == 0), F.lit("ENTAILMENT"))
+                 .otherwise(F.lit("CONTRADICTION")))
+
+    return df.withColumn("query_entailment", rule(qv)).withColumn("response_entailment", rule(rv)).drop("_vq")
+
+
 def votes(spark: SparkSession, sf: str, traces: DataFrame | None = None) -> DataFrame:
     """NLI class per (query, retrieved chunk r): 0 entail, 1 neutral, 2 contradict."""
     b = traces if traces is not None else base_traces(spark, sf)

@@ -195,3 +195,9 @@ SQL["nli_pairs"] = f"""WITH {REPLIES}, {_NLI_BM25}, {ranked(3)},
     SELECT rt.q_id, (rt.rank - 1)::INT AS r, 'query' AS side, rt.text AS premise, pq.question AS hypothesis FROM rt JOIN pq USING (q_id)
     UNION ALL
     SELECT rt.q_id, (rt.rank - 1)::INT, 'response', rt.text, pq.response FROM rt JOIN pq USING (q_id)"""
+
+SQL["stream_reindex"] = "WITH " + BM25.replace(
+    "FROM pieces WHERE len(p) > 0))", "FROM pieces WHERE len(p) > 0))").replace(
+    "pieces AS (SELECT doc_id, regexp_extract_all(text, '\\S+\\s*') AS p FROM passages)",
+    "pieces AS (SELECT doc_id, regexp_extract_all(text, '\\S+\\s*') AS p FROM documents)") + """
+    SELECT doc_id, pos, term, tf, dl FROM post"""

@@ -116,3 +116,8 @@ SQL = {
     "neural_linear_score": POL + """ SELECT q, arm, score FROM nls WHERE NOT retriever_only OR arm < 8
         QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, arm) = 1""",
 }
+
+SQL["stream_policy"] = POL + """ SELECT arm, count(*) AS pulls, round(sum(r), 9) AS sum_reward,
+    1 + sum(CASE WHEN r < 4e-1 THEN 0e0 ELSE 1e0 END) AS alpha, 1 + sum(1e0 - CASE WHEN r < 4e-1 THEN 0e0 ELSE 1e0 END) AS beta
+    FROM lg18 GROUP BY arm"""
+SQL["stream_diagnose"] = "WITH " + BASE + """ SELECT q, failure_label, verified_label, round(total_reward, 6) AS total_reward FROM diag"""
