@@ -279,19 +279,37 @@ def kernelucb_linear(ctx: DataFrame, log: DataFrame, arms: DataFrame, alpha: flo
     (b = sum r x_h, G = sum x_h x_h^T per arm), so per-arm moments replace the
     (context, history) pairs. mu = x.b / (eps + x^T G x);
     sigma^2 = x.x - x^T G x / (eps + x^T G x); arms without history score
-    alpha * sqrt(x.x). The moment table has arms x d^2 values (bounded broadcast)."""
+    alpha * sqrt(x.x).
+
+    The moments (arms x d^2 values, bounded by the model) are collected once and
+    broadcast; contexts are scored in Arrow batches with NumPy (mapInPandas)."""
     d = log.select(F.size("x")).first()[0] if dim is None else dim
-    mom = arm_moments(log, d)
-    grid = arms.select("arm").join(mom, "arm", "left")
-    j = ctx.select("q", "x").crossJoin(F.broadcast(grid))  # 11 arms
-    s1 = dot(F.col("x"), F.col("b"))
-    s2 = F.aggregate(F.zip_with(F.col("x"), F.col("G"), lambda xi, g: xi * dot(g, F.col("x"))),
-                     F.lit(0.0), lambda s, v: s + v)
-    kxx = dot(F.col("x"), F.col("x"))
-    mu = s1 / (eps + s2)
-    sig = F.sqrt(F.greatest(F.lit(0.0), kxx - s2 / (eps + s2)))
-    score = F.when(F.col("b").isNull(), alpha * F.sqrt(kxx)).otherwise(mu + alpha * sig)
-    return j.select("q", "arm", score.alias("score"))
+    spark = ctx.sparkSession
+    mom = {int(r["arm"]): (np.asarray(r["b"], dtype=np.float64), np.asarray(r["G"], dtype=np.float64))
+           for r in arm_moments(log, d).collect()}
+    arm_ids = sorted(int(r["arm"]) for r in arms.select("arm").collect())
+    bst = spark.sparkContext.broadcast((arm_ids, mom))
+
+    def run(batches):
+        ids, m = bst.value
+        for b in batches:
+            if b.empty:
+                continue
+            x = np.asarray(b["x"].tolist(), dtype=np.float64)
+            kxx = (x * x).sum(axis=1)
+            out = []
+            for a in ids:
+                if a in m:
+                    bv, G = m[a]
+                    s1 = x @ bv
+                    s2 = ((x @ G) * x).sum(axis=1)
+                    sc = s1 / (eps + s2) + alpha * np.sqrt(np.maximum(0.0, kxx - s2 / (eps + s2)))
+                else:
+                    sc = alpha * np.sqrt(kxx)
+                out.append(pd.DataFrame({"q": b["q"].to_numpy(), "arm": np.int64(a), "score": sc}))
+            yield pd.concat(out)
+
+    return ctx.select("q", "x").mapInPandas(run, "q long, arm long, score double")
 
 
 def neural_linear_score(ctx: DataFrame, weights: DataFrame, alpha: float = 1.0) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import types as ST
 from remedy.functions.num import np_rnd, rnd
 
 from remedy.functions import text as T
-from remedy.session import BROADCAST_MAX_ROWS
+from remedy.session import BROADCAST_MAX_ROWS, bounded_broadcast
 
 # BM25 constants (Robertson & Zaragoza): not given by the reference, stated here.
 BM25_K1 = 1.5
@@ -24,7 +24,7 @@ CHUNK_OVERLAP = 16
 
 
 def chunk_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
+                  size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, carry=()) -> DataFrame:
     """Fixed windows of ``size`` word pieces with ``overlap`` (stride size-overlap).
 
     A chunk is an exact substring of the source text (pieces keep their trailing
@@ -34,11 +34,11 @@ def chunk_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stride = size - overlap
     n = F.size("_p")
     starts = F.sequence(F.lit(0), F.greatest(n - overlap - 1, F.lit(0)), F.lit(stride))
-    x = (df.select(F.col(id_col), T.pieces(text_col).alias("_p"))
+    x = (df.select(F.col(id_col), T.pieces(text_col).alias("_p"), *carry)
            .filter(F.size("_p") > 0)
-           .select(id_col, "_p", F.posexplode(starts).alias("pos", "_s")))
+           .select(id_col, "_p", *carry, F.posexplode(starts).alias("pos", "_s")))
     return x.select(
-        id_col, "pos",
+        *carry, id_col, "pos",
         F.regexp_replace(F.array_join(F.slice("_p", F.col("_s") + 1, F.lit(size)), ""), r"\s+$", "").alias("text"),
     )
 
@@ -75,18 +75,37 @@ class BM25Index:
     stats: DataFrame      # n_chunks, avgdl (one row)
 
 
-def bm25_index(chunks: DataFrame) -> BM25Index:
+def bm25_index(chunks: DataFrame, vocabulary: DataFrame | None = None, materialize: bool = True) -> BM25Index:
     """Term frequency, document frequency, length, average length and N.
 
-    The tf aggregation combines map-side (partial aggregate) before its shuffle,
-    so only distinct (chunk, term) pairs move."""
-    t = chunks.select("doc_id", "pos", T.terms("text").alias("_t"))
-    dl = t.select("doc_id", "pos", F.size("_t").alias("dl"))
-    postings = (t.select("doc_id", "pos", F.explode("_t").alias("term"))
-                 .groupBy("doc_id", "pos", "term").agg(F.count(F.lit(1)).alias("tf"))
-                 .join(dl, ["doc_id", "pos"]))
+    One tokenising pass: every chunk emits its terms plus one length row (null
+    term), filtered map-side to ``vocabulary`` (e.g. the distinct query terms) by a
+    size-checked broadcast join, and counted per (chunk, term). That table is
+    materialised once with a reliable checkpoint (shared checkpoint folder), and
+    postings, document frequencies and N / average length all read it.
+
+    Chunks that still carry the dedupe hash ``_h`` keep its partitioning (grouping
+    by (_h, doc_id, pos) needs no exchange); otherwise chunk rows are
+    hash-partitioned by (doc_id, pos) once. Either way postings stay partitioned
+    by chunk, so scoring aggregates without another shuffle."""
+    from remedy.session import cut_lineage
+
+    if "_h" in chunks.columns:
+        keys, base = ["_h", "doc_id", "pos"], chunks
+    else:
+        n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        keys, base = ["doc_id", "pos"], chunks.repartition(n, "doc_id", "pos")
+    t = base.select(*keys, T.terms("text").alias("_t")).withColumn("dl", F.size("_t"))
+    x = t.select(*keys, "dl", F.explode(F.concat("_t", F.array(F.lit(None).cast("string")))).alias("term"))
+    if vocabulary is not None:
+        v = bounded_broadcast(vocabulary.select("term").distinct().withColumn("_in", F.lit(True)))
+        x = x.join(v, "term", "left").filter(F.col("term").isNull() | F.col("_in").isNotNull()).drop("_in")
+    counted = x.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
+    if materialize:
+        counted = cut_lineage(counted)
+    postings = counted.filter(F.col("term").isNotNull())
     dfreq = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = dl.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("dl").alias("avgdl"))
+    stats = counted.filter(F.col("term").isNull()).agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("dl").alias("avgdl"))
     return BM25Index(postings, dfreq, stats)
 
 
@@ -99,9 +118,12 @@ def query_terms(queries: DataFrame, q_col: str = "q_id", text_col: str = "questi
 def bm25_scores(index: BM25Index, qterms: DataFrame) -> DataFrame:
     """Per (query, chunk) BM25 score, rounded to 6 places before any ranking.
 
-    The stats row is a one-row aggregate (broadcast is bounded). The join of query
-    terms with postings shuffles on ``term``; AQE splits hot-term partitions."""
-    stats = F.broadcast(index.stats)
+    The per-query idf table (queries x their distinct terms) is broadcast after a
+    row-count check; the postings stream through the join in their chunk
+    partitioning, so the (query, chunk) sum runs without a shuffle and only the
+    per-query top-k leaves each partition. Beyond the size bound the planner joins
+    on ``term`` (AQE splits hot terms)."""
+    stats = F.broadcast(index.stats)  # one row
     idf = (qterms.join(index.df, "term")
                  .crossJoin(stats)
                  .select("q_id", "term",
@@ -110,8 +132,9 @@ def bm25_scores(index: BM25Index, qterms: DataFrame) -> DataFrame:
     tf, dl = F.col("tf"), F.col("dl")
     contrib = F.col("idf") * tf * (BM25_K1 + 1) / (
         tf + BM25_K1 * (1 - BM25_B + BM25_B * dl / F.col("avgdl")))
-    return (idf.join(index.postings, "term")
-               .groupBy("q_id", "doc_id", "pos").agg(F.sum(contrib).alias("_s"))
+    keys = [c for c in ("_h", "doc_id", "pos") if c in index.postings.columns]
+    return (index.postings.join(bounded_broadcast(idf), "term")
+               .groupBy(*keys, "q_id").agg(F.sum(contrib).alias("_s"))
                .select("q_id", "doc_id", "pos", rnd("_s", 6).alias("score")))
 
 
@@ -124,13 +147,31 @@ def top_k(scores: DataFrame, k: int, descending: bool = True, part: str = "q_id"
 
 
 def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """F2: BM25 top-k chunks per query, descending score."""
-    idx = bm25_index(chunks)
-    return top_k(bm25_scores(idx, query_terms(queries)), k)
+    """F2: BM25 top-k chunks per query, descending score (index restricted to the
+    query vocabulary)."""
+    qt = query_terms(queries)
+    idx = bm25_index(chunks, qt)
+    return top_k(bm25_scores(idx, qt), k)
 
 
 # ---- dense exact top-k -------------------------------------------------------
 
+def _row_topk(cd: np.ndarray, ci: np.ndarray, k: int):
+    """Exact k smallest per row by (distance, id): a linear-time partition picks
+    every entry not above the k-th smallest distance (ties included), and only
+    those few candidates are sorted."""
+    kk = min(k, cd.shape[1])
+    kth = np.partition(cd, kk - 1, axis=1)[:, kk - 1:kk]
+    rows, cols = np.nonzero(cd <= kth)
+    dv, iv = cd[rows, cols], ci[rows, cols]
+    order = np.lexsort((iv, dv, rows))
+    rows, dv, iv = rows[order], dv[order], iv[order]
+    counts = np.bincount(rows, minlength=cd.shape[0])
+    starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
+    take = starts[:, None] + np.arange(kk)[None, :]
+    return dv[take], iv[take]
+
+
 def _local_topk(qids: np.ndarray, qmat: np.ndarray, k: int, qblock: int = 1024):
     """mapInPandas body: squared L2 of one partition's vectors against a query batch.
 
@@ -154,9 +195,9 @@ def _local_topk(qids: np.ndarray, qmat: np.ndarray, k: int, qblock: int = 1024):
                 d = np_rnd(np.maximum(qn[s:s + qblock, None] + mn[None, :] - 2.0 * (q @ m.T), 0.0), 6)
                 cd = np.concatenate([best_d[s:s + qblock], d], axis=1)
                 ci = np.concatenate([best_i[s:s + qblock], np.broadcast_to(ids, d.shape)], axis=1)
-                order = np.lexsort((ci, cd), axis=1)[:, :k]
-                nd.append(np.take_along_axis(cd, order, axis=1))
-                ni.append(np.take_along_axis(ci, order, axis=1))
+                bd, bi = _row_topk(cd, ci, k)
+                nd.append(bd)
+                ni.append(bi)
             best_d, best_i = np.concatenate(nd), np.concatenate(ni)
         if best_d.shape[1] == 0:
             return
@@ -280,11 +321,14 @@ def gold_containment(docs: DataFrame, golds: DataFrame, doc_id: str = "doc_id",
     """
     d = docs.select(F.col(doc_id).alias("_d"), F.col(doc_text).alias("_dt"))
     g = golds.select(F.col(gold_id).alias("_g"), F.col(gold_text).alias("_gt"))
-    doc_terms = d.select("_d", F.explode(F.array_distinct(T.terms("_dt"))).alias("term"))
-    dfreq = doc_terms.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
     gt = g.select("_g", T.terms("_gt").alias("_ts"))
     interior = gt.filter(F.size("_ts") >= 3).select(
         "_g", F.explode(F.slice("_ts", 2, F.size("_ts") - 2)).alias("term")).distinct()
+    # Only terms that can anchor a gold are indexed (size-checked broadcast filter).
+    vocab = bounded_broadcast(interior.select("term").distinct())
+    doc_terms = (d.select("_d", F.explode(F.array_distinct(T.terms("_dt"))).alias("term"))
+                  .join(vocab, "term", "left_semi"))
+    dfreq = doc_terms.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
     anchor = (interior.join(dfreq, "term")
               .withColumn("_r", F.row_number().over(W.partitionBy("_g").orderBy("_df", "term")))
               .filter(F.col("_r") == 1).select("_g", "term"))
@@ -292,7 +336,6 @@ def gold_containment(docs: DataFrame, golds: DataFrame, doc_id: str = "doc_id",
     long_pairs = (cand.join(g, "_g").join(d, "_d")
                   .filter(F.contains(F.col("_dt"), F.col("_gt"))).select("_g", "_d"))
     short = gt.filter(F.size("_ts") < 3).select("_g").join(g, "_g")
-    from remedy.session import bounded_broadcast
     short_pairs = (d.join(bounded_broadcast(short, BROADCAST_MAX_ROWS // 100),
                           F.contains(F.col("_dt"), F.col("_gt")))
                    .select("_g", "_d"))

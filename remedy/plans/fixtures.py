@@ -33,18 +33,21 @@ def _levels(values) -> F.Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def passages(spark: SparkSession, sf: str) -> DataFrame:
+def passages(spark: SparkSession, sf: str, keep_key: bool = False) -> DataFrame:
     """C2 on documents: one row per distinct text, keeping the smallest doc_id.
 
-    Only a 256-bit digest and the id travel through the shuffle key; the window
-    keeps the row whose id is the group minimum.
+    Rows are hash-partitioned once by a 64-bit text hash ``_h``; inside each
+    partition the window groups exactly by (``_h``, sha-256 of the text) and keeps
+    the row whose id is the group minimum. With ``keep_key`` the ``_h`` column is
+    kept: the output stays partitioned by it, so chunking and indexing downstream
+    group by (_h, doc_id, ...) without moving the corpus a second time.
     """
-    d = table(spark, sf, "documents").select("doc_id", "text")
-    h = F.sha2(F.col("text"), 256)
-    w = W.partitionBy(h)
-    return (d.withColumn("_min", F.min("doc_id").over(w))
-             .filter(F.col("doc_id") == F.col("_min"))
-             .select("doc_id", "text"))
+    d = (table(spark, sf, "documents").select("doc_id", "text")
+         .withColumn("_h", F.xxhash64("text")).repartition("_h"))
+    w = W.partitionBy("_h", F.sha2(F.col("text"), 256))
+    out = (d.withColumn("_min", F.min("doc_id").over(w))
+            .filter(F.col("doc_id") == F.col("_min")))
+    return out.select("doc_id", "text", "_h") if keep_key else out.select("doc_id", "text")
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:

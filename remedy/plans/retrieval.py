@@ -16,6 +16,11 @@ def _chunks(spark, sf):
     return R.chunk_windows(X.passages(spark, sf))
 
 
+def _keyed_chunks(spark, sf):
+    """Chunks that keep the dedupe digest (and its partitioning) for indexing."""
+    return R.chunk_windows(X.passages(spark, sf, keep_key=True), carry=("_h",))
+
+
 def _gold(spark, sf):
     """Gold passages per question: the question text itself, when some document
     contains it verbatim (D6 over whole documents)."""
@@ -33,7 +38,7 @@ def retrieval_eval(spark: SparkSession, sf: str) -> DataFrame:
     (context precision@5 and recall)."""
     chunks = _chunks(spark, sf)
     qs = X.questions(spark, sf)
-    ranked = R.bm25_topk(chunks, qs, 5)
+    ranked = R.bm25_topk(_keyed_chunks(spark, sf), qs, 5)
     gold, n_gold = _gold(spark, sf)
     hits = M.chunk_hits(ranked, chunks, gold)
     cp = M.context_precision(hits, n_gold, 5)
@@ -64,7 +69,7 @@ def bm25_stats(spark, sf):
 
 
 def bm25_topk(spark, sf):
-    return R.bm25_topk(_chunks(spark, sf), X.questions(spark, sf), 5)
+    return R.bm25_topk(_keyed_chunks(spark, sf), X.questions(spark, sf), 5)
 
 
 def gold_containment(spark, sf):
@@ -73,7 +78,7 @@ def gold_containment(spark, sf):
 
 def precision_at_k(spark, sf):
     chunks = _chunks(spark, sf)
-    ranked = R.bm25_topk(chunks, X.questions(spark, sf), 5)
+    ranked = R.bm25_topk(_keyed_chunks(spark, sf), X.questions(spark, sf), 5)
     gold, _ = _gold(spark, sf)
     p = M.precision_at_k(M.chunk_hits(ranked, chunks, gold))
     return p.select("q_id", "k", rnd("precision", 6).alias("precision"))
@@ -97,21 +102,23 @@ def dense_topk(spark, sf):
 def rerank_topn(spark, sf):
     chunks = _chunks(spark, sf)
     qs = X.questions(spark, sf)
-    idx = R.bm25_index(chunks)
-    cand = R.top_k(R.bm25_scores(idx, R.query_terms(qs)), 10)
+    qt = R.query_terms(qs)
+    idx = R.bm25_index(_keyed_chunks(spark, sf), qt)
+    cand = R.top_k(R.bm25_scores(idx, qt), 10)
     return R.rerank_topn(cand, chunks, qs, idx, 3)
 
 
 def similarity_filter(spark, sf):
     chunks = _chunks(spark, sf)
     qs = X.questions(spark, sf)
-    idx = R.bm25_index(chunks)
-    cand = R.top_k(R.bm25_scores(idx, R.query_terms(qs)), 10)
+    qt = R.query_terms(qs)
+    idx = R.bm25_index(_keyed_chunks(spark, sf), qt)
+    cand = R.top_k(R.bm25_scores(idx, qt), 10)
     scored = R.rerank_topn(cand, chunks, qs, idx, 10).drop("rank")
     return R.similarity_filter(scored, chunks, 0.4).select("q_id", "doc_id", "pos", "score")
 
 
 def pack_context(spark, sf):
     chunks = _chunks(spark, sf)
-    ranked = R.bm25_topk(chunks, X.questions(spark, sf), 20)
+    ranked = R.bm25_topk(_keyed_chunks(spark, sf), X.questions(spark, sf), 20)
     return R.pack_context(ranked, chunks, 2000)
