@@ -75,7 +75,8 @@ class BM25Index:
     stats: DataFrame      # n_chunks, avgdl (one row)
 
 
-def bm25_index(chunks: DataFrame, vocabulary: DataFrame | None = None, materialize: bool = True) -> BM25Index:
+def bm25_index(chunks: DataFrame, vocabulary: DataFrame | None = None, materialize: bool = True,
+               clustered: bool = False) -> BM25Index:
     """Term frequency, document frequency, length, average length and N.
 
     One tokenising pass: every chunk emits its terms plus one length row (null
@@ -84,17 +85,15 @@ def bm25_index(chunks: DataFrame, vocabulary: DataFrame | None = None, materiali
     materialised once with a reliable checkpoint (shared checkpoint folder), and
     postings, document frequencies and N / average length all read it.
 
-    Chunks that still carry the dedupe hash ``_h`` keep its partitioning (grouping
-    by (_h, doc_id, pos) needs no exchange); otherwise chunk rows are
-    hash-partitioned by (doc_id, pos) once. Either way postings stay partitioned
-    by chunk, so scoring aggregates without another shuffle."""
+    ``clustered`` says the chunks are already hash-partitioned by ``doc_id`` (as
+    chunks of ``passages`` are); otherwise chunk rows are hash-partitioned by
+    doc_id once. Either way postings stay partitioned by document, so scoring
+    aggregates without another shuffle."""
     from remedy.session import cut_lineage
 
-    if "_h" in chunks.columns:
-        keys, base = ["_h", "doc_id", "pos"], chunks
-    else:
-        n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        keys, base = ["doc_id", "pos"], chunks.repartition(n, "doc_id", "pos")
+    keys = ["doc_id", "pos"]
+    base = chunks if clustered else chunks.repartition(
+        int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     t = base.select(*keys, T.terms("text").alias("_t")).withColumn("dl", F.size("_t"))
     x = t.select(*keys, "dl", F.explode(F.concat("_t", F.array(F.lit(None).cast("string")))).alias("term"))
     if vocabulary is not None:
@@ -132,9 +131,8 @@ def bm25_scores(index: BM25Index, qterms: DataFrame) -> DataFrame:
     tf, dl = F.col("tf"), F.col("dl")
     contrib = F.col("idf") * tf * (BM25_K1 + 1) / (
         tf + BM25_K1 * (1 - BM25_B + BM25_B * dl / F.col("avgdl")))
-    keys = [c for c in ("_h", "doc_id", "pos") if c in index.postings.columns]
     return (index.postings.join(bounded_broadcast(idf), "term")
-               .groupBy(*keys, "q_id").agg(F.sum(contrib).alias("_s"))
+               .groupBy("doc_id", "pos", "q_id").agg(F.sum(contrib).alias("_s"))
                .select("q_id", "doc_id", "pos", rnd("_s", 6).alias("score")))
 
 
@@ -146,11 +144,11 @@ def top_k(scores: DataFrame, k: int, descending: bool = True, part: str = "q_id"
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int = 5, clustered: bool = False) -> DataFrame:
     """F2: BM25 top-k chunks per query, descending score (index restricted to the
     query vocabulary)."""
     qt = query_terms(queries)
-    idx = bm25_index(chunks, qt)
+    idx = bm25_index(chunks, qt, clustered=clustered)
     return top_k(bm25_scores(idx, qt), k)
 
 

@@ -251,7 +251,7 @@ def context_means(spark, sf):
     from remedy.plans.retrieval import retrieval_eval, _keyed_chunks
     from remedy.sources.tables import table
     ev = retrieval_eval(spark, sf)
-    top1 = R.bm25_topk(_keyed_chunks(spark, sf), X.questions(spark, sf), 1).select("q_id", "doc_id")
+    top1 = R.bm25_topk(_keyed_chunks(spark, sf), X.questions(spark, sf), 1, clustered=True).select("q_id", "doc_id")
     lab = table(spark, sf, "labels").select("doc_id", "quality")
     split = top1.join(lab, "doc_id", "left").select("q_id", (F.coalesce("quality", F.lit(0)) == 1).alias("em"))
     j = ev.join(split, "q_id", "left").withColumn("em", F.coalesce("em", F.lit(False)))

@@ -36,18 +36,17 @@ def _levels(values) -> F.Column:
 def passages(spark: SparkSession, sf: str, keep_key: bool = False) -> DataFrame:
     """C2 on documents: one row per distinct text, keeping the smallest doc_id.
 
-    Rows are hash-partitioned once by a 64-bit text hash ``_h``; inside each
-    partition the window groups exactly by (``_h``, sha-256 of the text) and keeps
-    the row whose id is the group minimum. With ``keep_key`` the ``_h`` column is
-    kept: the output stays partitioned by it, so chunking and indexing downstream
-    group by (_h, doc_id, ...) without moving the corpus a second time.
+    Skew-safe: the winner per text is ``min(doc_id)`` grouped by a sha-256 digest
+    (only digest and id are shuffled, and the partial aggregate collapses a hot
+    duplicate map-side), then documents are semi-joined to the winners on the
+    unique ``doc_id`` with a shuffle hash join. The output is hash-partitioned by
+    ``doc_id``, so chunking and indexing downstream group by (doc_id, ...) without
+    moving the corpus again. (``keep_key`` is accepted for older callers.)
     """
-    d = (table(spark, sf, "documents").select("doc_id", "text")
-         .withColumn("_h", F.xxhash64("text")).repartition("_h"))
-    w = W.partitionBy("_h", F.sha2(F.col("text"), 256))
-    out = (d.withColumn("_min", F.min("doc_id").over(w))
-            .filter(F.col("doc_id") == F.col("_min")))
-    return out.select("doc_id", "text", "_h") if keep_key else out.select("doc_id", "text")
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    winners = (d.select(F.sha2(F.col("text"), 256).alias("_k"), "doc_id")
+                .groupBy("_k").agg(F.min("doc_id").alias("doc_id")).select("doc_id"))
+    return d.join(winners.hint("shuffle_hash"), "doc_id", "left_semi")
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:

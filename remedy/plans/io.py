@@ -91,7 +91,7 @@ def trace_reload(spark, sf):
 
 
 def index_tables(spark, sf):
-    idx = R.bm25_index(R.chunk_windows(X.passages(spark, sf)))
+    idx = R.bm25_index(R.chunk_windows(X.passages(spark, sf)), clustered=True)
     path = _scratch(spark, "index")
     got = FS.load_index(spark, path, 1)
     if got is None:

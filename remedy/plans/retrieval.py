@@ -9,6 +9,7 @@ from remedy.functions.num import rnd
 from remedy.operators import metrics as M
 from remedy.operators import retrieve as R
 from remedy.plans import fixtures as X
+from remedy.session import cut_lineage
 from remedy.sources.tables import table
 
 
@@ -17,15 +18,25 @@ def _chunks(spark, sf):
 
 
 def _keyed_chunks(spark, sf):
-    """Chunks that keep the dedupe digest (and its partitioning) for indexing."""
-    return R.chunk_windows(X.passages(spark, sf, keep_key=True), carry=("_h",))
+    """Chunks of the de-duplicated passages (hash-partitioned by doc_id)."""
+    return R.chunk_windows(X.passages(spark, sf))
+
+
+def _ranked_with_text(spark, sf, qs, k):
+    """BM25 top-k with the chunk texts, materialised once (k rows per question):
+    the metrics read it several times without recomputing chunking or scoring."""
+    ranked = R.bm25_topk(_keyed_chunks(spark, sf), qs, k, clustered=True)
+    rt = cut_lineage(ranked.join(_chunks(spark, sf), ["doc_id", "pos"]))
+    return rt.select("q_id", "doc_id", "pos", "score", "rank"), rt.select("doc_id", "pos", "text").distinct()
 
 
 def _gold(spark, sf):
     """Gold passages per question: the question text itself, when some document
     contains it verbatim (D6 over whole documents)."""
     qs = X.questions(spark, sf)
-    pairs = R.gold_containment(table(spark, sf, "documents"), qs)
+    # The gold pairs are small (matches per question) and feed three branches:
+    # materialise them once (reliable checkpoint).
+    pairs = cut_lineage(R.gold_containment(table(spark, sf, "documents"), qs))
     has = pairs.select("q_id").distinct()
     gold = has.join(qs, "q_id").select("q_id", F.col("question").alias("gold"))
     n_gold = (qs.select("q_id").join(gold.groupBy("q_id").agg(F.count(F.lit(1)).alias("n_gold")), "q_id", "left")
@@ -36,9 +47,8 @@ def _gold(spark, sf):
 def retrieval_eval(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship: BM25 top-5 chunks per benchmark item, scored against gold passages
     (context precision@5 and recall)."""
-    chunks = _chunks(spark, sf)
     qs = X.questions(spark, sf)
-    ranked = R.bm25_topk(_keyed_chunks(spark, sf), qs, 5)
+    ranked, chunks = _ranked_with_text(spark, sf, qs, 5)
     gold, n_gold = _gold(spark, sf)
     hits = M.chunk_hits(ranked, chunks, gold)
     cp = M.context_precision(hits, n_gold, 5)
@@ -63,13 +73,13 @@ def chunk_sentences(spark, sf):
 
 
 def bm25_stats(spark, sf):
-    idx = R.bm25_index(_chunks(spark, sf))
+    idx = R.bm25_index(_chunks(spark, sf), clustered=True)
     return (idx.df.crossJoin(F.broadcast(idx.stats))
             .select("term", "df", "n_chunks", rnd("avgdl", 6).alias("avgdl")))
 
 
 def bm25_topk(spark, sf):
-    return R.bm25_topk(_keyed_chunks(spark, sf), X.questions(spark, sf), 5)
+    return R.bm25_topk(_keyed_chunks(spark, sf), X.questions(spark, sf), 5, clustered=True)
 
 
 def gold_containment(spark, sf):
@@ -77,8 +87,7 @@ def gold_containment(spark, sf):
 
 
 def precision_at_k(spark, sf):
-    chunks = _chunks(spark, sf)
-    ranked = R.bm25_topk(_keyed_chunks(spark, sf), X.questions(spark, sf), 5)
+    ranked, chunks = _ranked_with_text(spark, sf, X.questions(spark, sf), 5)
     gold, _ = _gold(spark, sf)
     p = M.precision_at_k(M.chunk_hits(ranked, chunks, gold))
     return p.select("q_id", "k", rnd("precision", 6).alias("precision"))
@@ -103,7 +112,7 @@ def rerank_topn(spark, sf):
     chunks = _chunks(spark, sf)
     qs = X.questions(spark, sf)
     qt = R.query_terms(qs)
-    idx = R.bm25_index(_keyed_chunks(spark, sf), qt)
+    idx = R.bm25_index(_keyed_chunks(spark, sf), qt, clustered=True)
     cand = R.top_k(R.bm25_scores(idx, qt), 10)
     return R.rerank_topn(cand, chunks, qs, idx, 3)
 
@@ -112,7 +121,7 @@ def similarity_filter(spark, sf):
     chunks = _chunks(spark, sf)
     qs = X.questions(spark, sf)
     qt = R.query_terms(qs)
-    idx = R.bm25_index(_keyed_chunks(spark, sf), qt)
+    idx = R.bm25_index(_keyed_chunks(spark, sf), qt, clustered=True)
     cand = R.top_k(R.bm25_scores(idx, qt), 10)
     scored = R.rerank_topn(cand, chunks, qs, idx, 10).drop("rank")
     return R.similarity_filter(scored, chunks, 0.4).select("q_id", "doc_id", "pos", "score")
@@ -120,5 +129,5 @@ def similarity_filter(spark, sf):
 
 def pack_context(spark, sf):
     chunks = _chunks(spark, sf)
-    ranked = R.bm25_topk(_keyed_chunks(spark, sf), X.questions(spark, sf), 20)
+    ranked = R.bm25_topk(_keyed_chunks(spark, sf), X.questions(spark, sf), 20, clustered=True)
     return R.pack_context(ranked, chunks, 2000)
