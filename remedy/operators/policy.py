@@ -195,7 +195,8 @@ def linucb_score(ctx: DataFrame, state: dict, n_arms: int, d: int, alpha: float
                 rows.append(pd.DataFrame({"q": bt["q"].to_numpy()[ok], "arm": a, "score": p[ok]}))
             yield pd.concat(rows)
 
-    return ctx.select("q", "x", "retriever_only").mapInPandas(run, schema)
+    from remedy.session import ensure_parallelism
+    return ensure_parallelism(ctx.select("q", "x", "retriever_only")).mapInPandas(run, schema)
 
 
 # ---- epsilon-greedy: exact parallel SGD fold -----------------------------------------
@@ -309,7 +310,8 @@ def kernelucb_linear(ctx: DataFrame, log: DataFrame, arms: DataFrame, alpha: flo
                 out.append(pd.DataFrame({"q": b["q"].to_numpy(), "arm": np.int64(a), "score": sc}))
             yield pd.concat(out)
 
-    return ctx.select("q", "x").mapInPandas(run, "q long, arm long, score double")
+    from remedy.session import ensure_parallelism
+    return ensure_parallelism(ctx.select("q", "x")).mapInPandas(run, "q long, arm long, score double")
 
 
 def neural_linear_score(ctx: DataFrame, weights: DataFrame, alpha: float = 1.0) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import types as ST
 from remedy.functions.num import np_rnd, rnd
 
 from remedy.functions import text as T
-from remedy.session import BROADCAST_MAX_ROWS, bounded_broadcast
+from remedy.session import BROADCAST_MAX_ROWS, bounded_broadcast, ensure_parallelism
 
 # BM25 constants (Robertson & Zaragoza): not given by the reference, stated here.
 BM25_K1 = 1.5
@@ -222,6 +222,7 @@ def dense_topk(index: DataFrame, queries: DataFrame, k: int = 5,
     qb = queries.select(F.col("q_id").cast("long").alias("q_id"), "v",
                         F.row_number().over(W.orderBy("q_id")).alias("_n"))
     n = queries.count()
+    idx_in = ensure_parallelism(index.select(F.col("vec_id").cast("long"), "v"))
     parts = []
     for lo in range(0, max(n, 1), batch_rows):
         batch = qb.filter((F.col("_n") > lo) & (F.col("_n") <= lo + batch_rows)).select("q_id", "v")
@@ -236,7 +237,7 @@ def dense_topk(index: DataFrame, queries: DataFrame, k: int = 5,
             ids, mat = bq.value
             yield from _local_topk(ids, mat, k)(batches)
 
-        parts.append(index.select(F.col("vec_id").cast("long"), "v").mapInPandas(body, schema))
+        parts.append(idx_in.mapInPandas(body, schema))
     if not parts:
         return spark.createDataFrame([], schema.add("rank", ST.IntegerType()))
     out = parts[0]
@@ -317,7 +318,7 @@ def gold_containment(docs: DataFrame, golds: DataFrame, doc_id: str = "doc_id",
     fewer than three terms have no interior term; they are checked with a direct
     ``contains`` against every doc (their count is size-checked before broadcast).
     """
-    d = docs.select(F.col(doc_id).alias("_d"), F.col(doc_text).alias("_dt"))
+    d = ensure_parallelism(docs.select(F.col(doc_id).alias("_d"), F.col(doc_text).alias("_dt")))
     g = golds.select(F.col(gold_id).alias("_g"), F.col(gold_text).alias("_gt"))
     gt = g.select("_g", T.terms("_gt").alias("_ts"))
     interior = gt.filter(F.size("_ts") >= 3).select(
