@@ -31,6 +31,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -76,3 +77,25 @@ def ensure_parallelism(df: DataFrame) -> DataFrame:
     has at least ``defaultParallelism`` partitions (the usual case at scale)."""
     n = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make the ``remedy`` package importable by Python workers: zip it once per
+    SparkContext and ``addPyFile`` it (executors fetch it from the driver). UDF
+    bodies reference package functions, so workers on any host need the code."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_remedy_shipped", False):
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    parent = os.path.dirname(pkg)
+    zpath = os.path.join(tempfile.mkdtemp(prefix="remedy-pkg-"), "remedy.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, parent))
+    sc.addPyFile(zpath)
+    sc._remedy_shipped = True
