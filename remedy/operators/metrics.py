@@ -108,32 +108,40 @@ def poisson_weight(u: F.Column) -> F.Column:
 
 
 def bootstrap_ci(df: DataFrame, group_col: str, value_col: str, row_id: str,
-                 resamples: int = 10, seed: int = 42) -> DataFrame:
-    """Poisson bootstrap of the mean, per group and overall (group null).
+                 resamples: int = 10, seed: int = 42, by: list[str] | None = None) -> DataFrame:
+    """Poisson bootstrap of the mean, per group and overall (group null),
+    within each ``by`` key (e.g. the metric name).
 
     Each row gets a Poisson(1) weight per resample from md5(seed, resample, row);
     per resample the weighted mean sum(w*x)/sum(w); then the mean of the replicate
     means and their 2.5/97.5 percentiles. A group of one row gives (value, NaN, NaN).
     All rounded to 8 places. The resample table has a fixed size (bounded)."""
     spark = df.sparkSession
+    by = list(by or [])
     reps = F.broadcast(spark.range(resamples).select(F.col("id").alias("b")))
-    x = df.select(group_col, row_id, F.col(value_col).cast("double").alias("x"))
+    x = df.select(*by, group_col, row_id, F.col(value_col).cast("double").alias("x"))
+    gtype = x.schema[group_col].dataType
     xw = x.crossJoin(reps).withColumn(
         "w", poisson_weight(md5_uniform(F.lit(str(seed)), F.col("b"), F.col(row_id))))
     wm = F.try_divide(F.sum(F.col("w") * F.col("x")), F.sum("w")).alias("m")
-    per = (xw.groupBy(group_col, "b").agg(wm)
-             .unionByName(xw.groupBy("b").agg(wm).withColumn(group_col, F.lit(None).cast(x.schema[group_col].dataType))))
-    stats = per.groupBy(group_col).agg(
+    per = (xw.groupBy(*by, group_col, "b").agg(wm)
+             .unionByName(xw.groupBy(*by, "b").agg(wm).withColumn(group_col, F.lit(None).cast(gtype))))
+    stats = per.groupBy(*by, group_col).agg(
         F.avg("m").alias("mean"),
         F.percentile("m", 0.025).alias("lo"),
         F.percentile("m", 0.975).alias("hi"))
     one = [F.count(F.lit(1)).alias("n"), F.first("x").alias("_x1")]
-    sizes = (x.groupBy(group_col).agg(*one)
-              .unionByName(x.agg(*one).withColumn(group_col, F.lit(None).cast(x.schema[group_col].dataType))))
-    j = sizes.join(stats, sizes[group_col].eqNullSafe(stats[group_col]), "left").drop(stats[group_col])
+    sizes = (x.groupBy(*by, group_col).agg(*one)
+              .unionByName(x.groupBy(*by).agg(*one).withColumn(group_col, F.lit(None).cast(gtype))))
+    cond = sizes[group_col].eqNullSafe(stats[group_col])
+    for c in by:
+        cond = cond & (sizes[c] == stats[c])
+    j = sizes.join(stats, cond, "left").drop(stats[group_col])
+    for c in by:
+        j = j.drop(stats[c])
     nan = F.lit(float("nan"))
     return j.select(
-        group_col, "n",
+        *by, group_col, "n",
         rnd(F.when(F.col("n") == 1, F.col("_x1")).otherwise(F.col("mean")), 8).alias("mean"),
         F.when(F.col("n") == 1, nan).otherwise(rnd("lo", 8)).alias("ci_low"),
         F.when(F.col("n") == 1, nan).otherwise(rnd("hi", 8)).alias("ci_high"))

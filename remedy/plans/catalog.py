@@ -60,7 +60,7 @@ for _k in ["src_claims", "src_pages", "src_slices", "src_multihop", "kb_artifact
            "index_tables", "policy_io"]:
     QUERIES[_k] = getattr(IQ, _k)
 
-for _k in ["stream_diagnose", "stream_policy", "stream_reindex"]:
+for _k in ["stream_diagnose", "stream_policy", "stream_reindex", "stream_epsgreedy"]:
     QUERIES[_k] = getattr(SQ, _k)
 
 ORACLE = dict(OR.SQL)

@@ -165,8 +165,13 @@ def consistency_rate(spark, sf):
 
 
 def bootstrap_ci(spark, sf):
-    d = diagnosed(spark, sf)
-    return M.bootstrap_ci(d, "failure_label", "latency", "q")
+    """Bootstrap mean and 95% interval of latency, VRAM and the consistency
+    rate, per failure label and overall."""
+    d = diagnosed(spark, sf).select(
+        "q", "failure_label", "latency", "vram",
+        (F.col("kg_consistency") == "CONSISTENT").cast("double").alias("consistency"))
+    u = d.unpivot(["q", "failure_label"], ["latency", "vram", "consistency"], "metric", "value")
+    return M.bootstrap_ci(u, "failure_label", "value", "q", by=["metric"])
 
 
 def pre_post(spark, sf):

@@ -258,16 +258,19 @@ def _poisson_sql(u: str) -> str:
 
 
 SQL["bootstrap_ci"] = W + f""",
-    xw AS (SELECT failure_label, q, latency AS x, b,
+    u AS (SELECT q, failure_label, 'latency' AS metric, latency AS x FROM diag
+          UNION ALL SELECT q, failure_label, 'vram', vram FROM diag
+          UNION ALL SELECT q, failure_label, 'consistency', (kg_consistency = 'CONSISTENT')::INT::DOUBLE FROM diag),
+    xw AS (SELECT metric, failure_label, q, x, b,
              {_poisson_sql("('0x' || substr(md5('42|' || b::VARCHAR || '|' || q::VARCHAR), 1, 8))::BIGINT / 4294967296e0")} AS w
-           FROM diag, (SELECT unnest(range(10)) AS b)),
-    per AS (SELECT failure_label, b, sum(w * x) / nullif(sum(w), 0) AS m FROM xw GROUP BY failure_label, b
-            UNION ALL SELECT NULL, b, sum(w * x) / nullif(sum(w), 0) FROM xw GROUP BY b),
-    st AS (SELECT failure_label, avg(m) AS mean, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi
-           FROM per GROUP BY failure_label),
-    sz AS (SELECT failure_label, count(*) AS n, first(latency) AS x1 FROM diag GROUP BY failure_label
-           UNION ALL SELECT NULL, count(*), first(latency) FROM diag)
-    SELECT sz.failure_label, sz.n, round(CASE WHEN sz.n = 1 THEN sz.x1 ELSE st.mean END, 8) AS mean,
+           FROM u, (SELECT unnest(range(10)) AS b)),
+    per AS (SELECT metric, failure_label, b, sum(w * x) / nullif(sum(w), 0) AS m FROM xw GROUP BY metric, failure_label, b
+            UNION ALL SELECT metric, NULL, b, sum(w * x) / nullif(sum(w), 0) FROM xw GROUP BY metric, b),
+    st AS (SELECT metric, failure_label, avg(m) AS mean, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi
+           FROM per GROUP BY metric, failure_label),
+    sz AS (SELECT metric, failure_label, count(*) AS n, first(x) AS x1 FROM u GROUP BY metric, failure_label
+           UNION ALL SELECT metric, NULL, count(*), first(x) FROM u GROUP BY metric)
+    SELECT sz.metric, sz.failure_label, sz.n, round(CASE WHEN sz.n = 1 THEN sz.x1 ELSE st.mean END, 8) AS mean,
            CASE WHEN sz.n = 1 THEN 'NaN'::DOUBLE ELSE round(st.lo, 8) END AS ci_low,
            CASE WHEN sz.n = 1 THEN 'NaN'::DOUBLE ELSE round(st.hi, 8) END AS ci_high
-    FROM sz LEFT JOIN st ON sz.failure_label IS NOT DISTINCT FROM st.failure_label"""
+    FROM sz LEFT JOIN st ON sz.metric = st.metric AND sz.failure_label IS NOT DISTINCT FROM st.failure_label"""

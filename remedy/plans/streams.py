@@ -25,3 +25,10 @@ def stream_reindex(spark, sf):
     docs = S.read_table_stream(spark, sf, "documents", S.DOCS_SCHEMA)
     out = S.run_reindex(spark, docs)
     return out.select("doc_id", "pos", "term", "tf", "dl")
+
+
+def stream_epsgreedy(spark, sf):
+    """H1 stateful: epsilon-greedy weights advanced per micro-batch (rows-only)."""
+    ev = S.read_table_stream(spark, sf, "events", S.EVENTS_SCHEMA)
+    out = S.run_to_table(spark, S.epsgreedy_stream(ev), "epsgreedy", mode="update", key=("arm",))
+    return out.select("arm", "pulls", "w")

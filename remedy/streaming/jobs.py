@@ -56,6 +56,47 @@ def outcome_stream(events: DataFrame) -> DataFrame:
                                           F.col("reward.total_reward").alias("r"))
 
 
+def outcome_stream_with_context(events: DataFrame) -> DataFrame:
+    """Like ``outcome_stream`` plus the pre-repair 18-d diagnosis context ``x`` and
+    the log order ``step`` (the event id)."""
+    from remedy.plans.policies import diag_features
+
+    pre = _diagnose_rows(events, keep=EVENT_COLS).filter(F.col("failure_label") != D.NO_FAILURE)
+    pre = diag_features(pre)
+    logged = F.col("event_id") % X.N_ARMS
+    pre = pre.select(*EVENT_COLS, "x", F.when(F.col("verified_label") == D.UNVERIFIED, logged % 8)
+                     .otherwise(logged).alias("chosen_arm"))
+    post = D.with_failure(X.vote_arrays(X.traces_from_events(pre, F.col("chosen_arm"), ("chosen_arm", "x"))))
+    return RW.default_reward(post).select(F.col("q").alias("step"), F.col("chosen_arm").alias("arm"), "x",
+                                          F.col("reward.total_reward").alias("r"))
+
+
+def epsgreedy_stream(events: DataFrame, d: int = 18, lr: float = 0.01) -> DataFrame:
+    """H1 (order-dependent learner): epsilon-greedy SGD weights per arm as
+    arbitrary streaming state (``applyInPandasWithState`` keyed by arm). Each
+    micro-batch applies its outcomes in step order to the arm's stored weights; a
+    group holds one arm's rows of one micro-batch (bounded by the trigger size)."""
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def update(key, pdfs, state):
+        w = np.asarray(state.get[0], dtype=np.float64) if state.exists else np.zeros(d)
+        n = int(state.get[1]) if state.exists else 0
+        rows = pd.concat(list(pdfs)).sort_values("step")
+        for x, r in zip(rows["x"], rows["r"]):
+            x = np.asarray(x, dtype=np.float64)
+            w = w + lr * (r - w @ x) * x
+            n += 1
+        state.update((w.tolist(), n))
+        yield pd.DataFrame({"arm": [int(key[0])], "pulls": [n], "w": [w.tolist()]})
+
+    o = outcome_stream_with_context(events)
+    return o.groupBy("arm").applyInPandasWithState(
+        update, "arm long, pulls long, w array<double>", "w array<double>, n long", "update",
+        GroupStateTimeout.NoTimeout)
+
+
 def policy_stream(events: DataFrame) -> DataFrame:
     """H1: additive per-arm state (UCB pulls and reward sums, Thompson alpha/beta)
     advanced by each micro-batch of outcomes; complete-mode aggregation."""
@@ -65,22 +106,36 @@ def policy_stream(events: DataFrame) -> DataFrame:
                                 (1 + F.sum(rb)).alias("alpha"), (1 + F.sum(1 - rb)).alias("beta"))
 
 
-def run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append",
+                 key: tuple[str, ...] = ()) -> DataFrame:
     """Run a streaming query over all available input (availableNow) into a parquet
-    table under the checkpoint folder, then return that table."""
+    table under the checkpoint folder, then return that table.
+
+    append: the file sink (exactly-once through its commit log).
+    complete: each micro-batch overwrites the snapshot.
+    update: each micro-batch appends its changed rows with the batch id; the
+    latest row per ``key`` is returned."""
     out = scratch_path(spark, f"stream-{name}-{uuid.uuid4().hex[:12]}")
     ckpt = out + "-checkpoint"
     if mode == "append":
         q = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
                    .outputMode("append").trigger(availableNow=True).start())
     else:
-        def snapshot(batch: DataFrame, epoch: int) -> None:
-            batch.write.mode("overwrite").parquet(out)
+        def sink(batch: DataFrame, epoch: int) -> None:
+            if mode == "complete":
+                batch.write.mode("overwrite").parquet(out)
+            else:
+                batch.withColumn("_epoch", F.lit(epoch)).write.mode("append").parquet(out)
 
-        q = (stream.writeStream.foreachBatch(snapshot).option("checkpointLocation", ckpt)
+        q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt)
                    .outputMode(mode).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out)
+    res = spark.read.parquet(out)
+    if mode == "update":
+        from pyspark.sql import Window as W
+        w = W.partitionBy(*key).orderBy(F.col("_epoch").desc())
+        res = res.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1).drop("_r", "_epoch")
+    return res
 
 
 def reindex_batch(batch: DataFrame, out: str, epoch: int) -> None:

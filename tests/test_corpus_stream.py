@@ -44,3 +44,20 @@ def test_stream_equals_batch_diagnosis(spark):
     s = {(r.q, r.failure_label, r.verified_label) for r in stream_diagnose(spark, SF_SMALL).collect()}
     b = {(r.q, r.failure_label, r.verified_label) for r in diagnosed(spark, SF_SMALL).collect()}
     assert s == b and len(s) == 1000
+
+
+def test_stream_epsgreedy_equals_batch_fold(spark):
+    """One micro-batch: the stateful stream equals the batch (parallel affine) fold."""
+    import numpy as np
+
+    from remedy.operators import policy as PO
+    from remedy.plans.policies import DIAG_DIM, log
+    from remedy.plans.streams import stream_epsgreedy
+
+    s = {r.arm: (r.pulls, np.array(r.w)) for r in stream_epsgreedy(spark, SF_SMALL).collect()}
+    lg = log(spark, SF_SMALL, False)
+    b = {r.arm: np.array(r.w) for r in PO.epsgreedy_fit(lg, DIAG_DIM).collect()}
+    n = {r.arm: r["count"] for r in lg.groupBy("arm").count().collect()}
+    assert set(s) == set(b)
+    for a in b:
+        assert s[a][0] == n[a] and np.allclose(s[a][1], b[a])
