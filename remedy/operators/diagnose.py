@@ -63,12 +63,20 @@ def with_failure(df: DataFrame, kg="kg_consistency", qe="query_entailment",
 
 
 def patchset(verified_label: Column, task: str = "claim") -> Column:
-    """Retriever arms only (0-7) when UNVERIFIED in the claim task, else all."""
+    """Retriever arms only (0-7) when UNVERIFIED in the claim task, else all.
+    (A generation-only set, arms 8-10, exists; no caller selects it.)"""
     if task == "short":
         return F.lit("all")
     return F.when(verified_label == UNVERIFIED, F.lit("retriever")).otherwise(F.lit("all"))
 
 
+def allowed_arm(patchset_col: Column, arm: Column) -> Column:
+    """Arm mask of a patch set: retriever = 0-7, generation = 8-10, all = every arm."""
+    return (F.when(patchset_col == "retriever", arm < 8)
+             .when(patchset_col == "generation", arm >= 8)
+             .otherwise(F.lit(True)))
+
+
 def nli_pairs(contexts: DataFrame, key_col: str = "q_id") -> DataFrame:
     """(chunk, query) and (chunk, response) premise/hypothesis pairs.
 

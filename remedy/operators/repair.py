@@ -19,9 +19,12 @@ def action_candidates(diag: DataFrame, actions: DataFrame) -> DataFrame:
     """D9 + G4: (q, arm) for every failed query and every allowed arm: the 8
     retriever arms when the answer was UNVERIFIED, else all 11. The action table
     has a fixed size of 11 rows (bounded broadcast)."""
-    failed = diag.filter(F.col("failure_label") != NO_FAILURE).select("q", "verified_label")
+    from remedy.operators.diagnose import allowed_arm, patchset
+
+    failed = (diag.filter(F.col("failure_label") != NO_FAILURE)
+                  .select("q", "verified_label", patchset(F.col("verified_label")).alias("_ps")))
     a = F.broadcast(actions.select("arm"))
-    return failed.join(a, (F.col("verified_label") != UNVERIFIED) | (F.col("arm") < 8))
+    return failed.join(a, allowed_arm(F.col("_ps"), F.col("arm"))).drop("_ps")
 
 
 def oracle_best_action(diag: DataFrame, cand: DataFrame, actions: DataFrame) -> DataFrame:
@@ -80,15 +83,26 @@ def apply_action(diag: DataFrame, actions: DataFrame, arm_col: str) -> DataFrame
 
 
 def repaired_traces(diag: DataFrame, cand: DataFrame, arm_col: str,
-                    actions: DataFrame | None = None) -> DataFrame:
+                    actions: DataFrame | None = None, include_first_call: bool = False) -> DataFrame:
     """Baseline row when there is no failure, else the outcome of the chosen
-    arm (an equi-join on (q, arm) with the candidate outcomes)."""
+    arm (an equi-join on (q, arm) with the candidate outcomes).
+
+    T24: by default a repaired row reports only the second call's latency and VRAM
+    (as the reference does); ``include_first_call`` adds the failed first call's
+    latency, takes the larger VRAM peak, and recomputes the reward with them."""
     spark = diag.sparkSession
     if actions is None:
         from remedy.operators.reward import action_space
         actions = action_space(spark)
-    failed = diag.filter(F.col("failure_label") != NO_FAILURE).select("q", F.col(arm_col).alias("arm"))
+    failed = diag.filter(F.col("failure_label") != NO_FAILURE).select(
+        "q", F.col(arm_col).alias("arm"), F.col("latency").alias("_l0"), F.col("vram").alias("_v0"))
     fixed = failed.join(cand.select("q", "arm", *TRACE_COLS), ["q", "arm"]).withColumnRenamed("arm", "action")
+    if include_first_call:
+        from remedy.operators.reward import default_reward
+        fixed = (fixed.withColumn("latency", F.col("latency") + F.col("_l0"))
+                      .withColumn("vram", F.greatest("vram", "_v0")))
+        fixed = default_reward(fixed.drop("reward"))
+    fixed = fixed.select("q", "action", *TRACE_COLS)
     ok = diag.filter(F.col("failure_label") == NO_FAILURE).select(
         "q", F.lit(-1).cast("long").alias("action"), *TRACE_COLS)
     out = fixed.unionByName(ok)

@@ -101,3 +101,31 @@ def test_budget_features_floor_at_zero(spark):
 def test_patchset(spark):
     df = spark.createDataFrame([("UNVERIFIED",), ("SUPPORTS",)], "v string")
     assert [r[0] for r in df.select(D.patchset(F.col("v"))).collect()] == ["retriever", "all"]
+
+
+def test_allowed_arm_sets(spark):
+    df = spark.createDataFrame([(p, a) for p in ("retriever", "generation", "all") for a in (0, 7, 8, 10)],
+                               "p string, a int")
+    got = {(r.p, r.a): r.ok for r in df.select("p", "a", D.allowed_arm(F.col("p"), F.col("a")).alias("ok")).collect()}
+    assert got[("retriever", 7)] and not got[("retriever", 8)]
+    assert got[("generation", 8)] and not got[("generation", 0)]
+    assert all(got[("all", a)] for a in (0, 7, 8, 10))
+
+
+def test_repaired_include_first_call(spark):
+    from conftest import SF_SMALL
+    from remedy.operators import repair as P
+    from remedy.plans.diagnosis import _policy_choice, candidates_diagnosed, diagnosed
+
+    d = _policy_choice(diagnosed(spark, SF_SMALL))
+    c = candidates_diagnosed(spark, SF_SMALL)
+    a = {r.q: r for r in P.repaired_traces(d, c, "chosen_arm").collect()}
+    b = {r.q: r for r in P.repaired_traces(d, c, "chosen_arm", include_first_call=True).collect()}
+    pre = {r.q: r for r in d.collect()}
+    for q, r in a.items():
+        if r.action >= 0:
+            assert abs(b[q].latency - (r.latency + pre[q].latency)) < 1e-9
+            assert b[q].vram == max(r.vram, pre[q].vram)
+            assert b[q].reward.total_reward <= r.reward.total_reward + 1e-12 or r.reward.total_reward == 0
+        else:
+            assert b[q].latency == r.latency
