@@ -86,10 +86,11 @@ def global_rank(df: DataFrame, order_cols: list[str], out: str = "rank") -> Data
 
 def split_range(df: DataFrame, order_col: str, train: int = 1000, validation: int = 1000) -> DataFrame:
     """A5: positional split: rows 0..train-1 train, next ``validation`` rows validation.
-    A ``row_number() <= n`` filter is planned as a per-partition group limit, so at
-    most n rows per partition reach the final ordering."""
-    w = W.orderBy(order_col)
-    x = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= train + validation)
+    An ordered top-n (each partition keeps its n smallest, then one merge of at
+    most n rows per partition) selects the rows; only those n rows are numbered."""
+    n = train + validation
+    top = df.orderBy(order_col).limit(n)
+    x = top.withColumn("_rn", F.row_number().over(W.orderBy(order_col)))  # n rows (bounded)
     return x.withColumn("split", F.when(F.col("_rn") <= train, F.lit("train")).otherwise(F.lit("validation"))).drop("_rn")
 
 
