@@ -248,6 +248,20 @@ def dense_topk(index: DataFrame, queries: DataFrame, k: int = 5,
 
 # ---- rerank, similarity filter, packing --------------------------------------
 
+def chunk_text_for(ranked: DataFrame, docs: DataFrame, id_col: str = "doc_id",
+                   text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Texts of the chunks a ranked list refers to, without re-chunking the corpus.
+
+    The ranked list (k rows per query) is materialised once; only documents whose
+    ids it contains are chunked again (a size-checked broadcast semi join on the
+    id). Returns (materialised ranked list, chunk texts of those documents)."""
+    from remedy.session import cut_lineage
+
+    r = cut_lineage(ranked)
+    ids = r.select(F.col("doc_id").alias(id_col)).distinct()
+    sel = docs.select(id_col, text_col).join(bounded_broadcast(ids), id_col, "left_semi")
+    return r, chunk_windows(sel, id_col, text_col)
+
 def rerank_topn(candidates: DataFrame, chunks: DataFrame, queries: DataFrame, index: BM25Index,
                 n: int = 3, scorer=None) -> DataFrame:
     """rescore (query, chunk) candidates with a pair scorer and keep the best n.

@@ -79,7 +79,8 @@ def templates(spark: SparkSession) -> DataFrame:
 def render_prompt(spark, sf):
     chunks = R.chunk_windows(X.passages(spark, sf))
     qs = X.questions(spark, sf)
-    packs = R.pack_context(R.bm25_topk(chunks, qs, 5, clustered=True), chunks, 2000)
+    ranked, txt = R.chunk_text_for(R.bm25_topk(chunks, qs, 5, clustered=True), _docs(spark, sf))
+    packs = R.pack_context(ranked, txt, 2000)
     j = packs.join(qs, "q_id").crossJoin(F.broadcast(templates(spark)))  # six templates
     return j.select("q_id", "pack", "task", "template",
                     RP.render_prompt(F.col("text"), F.col("context"), F.col("question")).alias("prompt"))
@@ -218,7 +219,9 @@ def nli_pairs(spark, sf):
     chunks = R.chunk_windows(X.passages(spark, sf))
     p = _parsed(spark, sf).select((F.col("conv_id") * 1000 + F.col("turn")).alias("q_id"),
                                   F.col("question"), F.col("p.response").alias("response"))
-    top = R.bm25_topk(chunks, p.select("q_id", "question"), 3, clustered=True).join(chunks, ["doc_id", "pos"])
+    ranked, txt = R.chunk_text_for(R.bm25_topk(chunks, p.select("q_id", "question"), 3, clustered=True),
+                                   _docs(spark, sf))
+    top = ranked.join(txt, ["doc_id", "pos"])
     ctx = (top.groupBy("q_id")
               .agg(F.array_sort(F.collect_list(F.struct("rank", "text", F.concat_ws(":", "doc_id", "pos").alias("node_id"),
                                                         "score"))).alias("_r"))  # k = 3 per query

@@ -24,9 +24,11 @@ def _keyed_chunks(spark, sf):
 
 def _ranked_with_text(spark, sf, qs, k):
     """BM25 top-k with the chunk texts, materialised once (k rows per question):
-    the metrics read it several times without recomputing chunking or scoring."""
+    the metrics read it several times without recomputing chunking or scoring.
+    Only the documents in the ranked lists are chunked again for their texts."""
     ranked = R.bm25_topk(_keyed_chunks(spark, sf), qs, k, clustered=True)
-    rt = cut_lineage(ranked.join(_chunks(spark, sf), ["doc_id", "pos"]))
+    r, txt = R.chunk_text_for(ranked, table(spark, sf, "documents"))
+    rt = cut_lineage(r.join(txt, ["doc_id", "pos"]))
     return rt.select("q_id", "doc_id", "pos", "score", "rank"), rt.select("doc_id", "pos", "text").distinct()
 
 
@@ -124,10 +126,11 @@ def similarity_filter(spark, sf):
     idx = R.bm25_index(_keyed_chunks(spark, sf), qt, clustered=True)
     cand = R.top_k(R.bm25_scores(idx, qt), 10)
     scored = R.rerank_topn(cand, chunks, qs, idx, 10).drop("rank")
-    return R.similarity_filter(scored, chunks, 0.4).select("q_id", "doc_id", "pos", "score")
+    scored, txt = R.chunk_text_for(scored, table(spark, sf, "documents"))
+    return R.similarity_filter(scored, txt, 0.4).select("q_id", "doc_id", "pos", "score")
 
 
 def pack_context(spark, sf):
-    chunks = _chunks(spark, sf)
     ranked = R.bm25_topk(_keyed_chunks(spark, sf), X.questions(spark, sf), 20, clustered=True)
-    return R.pack_context(ranked, chunks, 2000)
+    ranked, txt = R.chunk_text_for(ranked, table(spark, sf, "documents"))
+    return R.pack_context(ranked, txt, 2000)
