@@ -34,9 +34,12 @@ def inverse_evidence(evidence: DataFrame) -> DataFrame:
 
 
 def evidence_pages(pages: DataFrame, evidence: DataFrame, page_col: str = "page_id") -> DataFrame:
-    """Pages cited by any claim (left semi join; duplicates of a page kept)."""
+    """Pages cited by any claim (left semi join; duplicates of a page kept).
+    The cited-page set is broadcast after a size check, so pages are not shuffled."""
+    from remedy.session import bounded_broadcast
+
     ev = evidence.select(F.col("page").alias(page_col)).distinct()
-    return pages.join(ev, page_col, "left_semi")
+    return pages.join(bounded_broadcast(ev), page_col, "left_semi")
 
 
 def page_sentences(pages: DataFrame, page_col: str = "page_id", lines_col: str = "lines") -> DataFrame:

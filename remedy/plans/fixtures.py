@@ -248,8 +248,12 @@ def claims(spark: SparkSession, sf: str) -> DataFrame:
 
     docs = table(spark, sf, "documents").select("doc_id", "text")
     qs = questions(spark, sf)
-    g = gold_containment(docs, qs).groupBy("q_id").agg(F.min("doc_id").alias("doc_id"))
-    gd = (g.join(docs, "doc_id").join(qs, "q_id")
+    from remedy.session import bounded_broadcast, cut_lineage
+
+    # One winner per question (bounded by the questions): materialise, then meet the
+    # documents with a size-checked broadcast so the corpus text is not shuffled.
+    g = cut_lineage(gold_containment(docs, qs).groupBy("q_id").agg(F.min("doc_id").alias("doc_id")))
+    gd = (docs.join(bounded_broadcast(g), "doc_id").join(qs, "q_id")
           .withColumn("_pre", F.expr("substring(text, 1, instr(text, question) - 1)"))
           .select("q_id", "doc_id",
                   (F.length("_pre") - F.length(F.replace(F.col("_pre"), F.lit("\n"), F.lit("")))).alias("line")))
