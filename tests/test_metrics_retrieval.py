@@ -132,3 +132,26 @@ def test_gold_containment_matches_brute_force(spark):
     got = {(r.q_id, r.doc_id) for r in R.gold_containment(d, g).collect()}
     want = {(q, i) for q, gt in golds for i, t in docs if gt in t}
     assert got == want
+
+
+def test_rerank_with_pluggable_pair_scorer(spark):
+    """A cross-encoder plugged in as an iterator pandas UDF (loaded once per
+    worker) drives F3; here a token-overlap scorer stands in for the model."""
+    import pandas as pd
+
+    from remedy.functions.hooks import pair_scorer
+
+    def loader():
+        def predict(q: pd.Series, p: pd.Series) -> pd.Series:
+            return pd.Series([len(set(a.lower().split()) & set(b.lower().split())) / (1 + len(set(a.split())))
+                              for a, b in zip(q, p)])
+        return predict
+
+    chunks = spark.createDataFrame([(1, 0, "red apple pie"), (2, 0, "green apple"), (3, 0, "blue sky"),
+                                    (4, 0, "apple pie with red cherries")], "doc_id long, pos int, text string")
+    qs = spark.createDataFrame([(9, "red apple pie")], "q_id long, question string")
+    qt = R.query_terms(qs)
+    idx = R.bm25_index(chunks, qt)
+    cand = R.top_k(R.bm25_scores(idx, qt), 10)
+    got = R.rerank_topn(cand, chunks, qs, idx, 2, scorer=pair_scorer(loader)).orderBy("rank").collect()
+    assert [r.doc_id for r in got] == [1, 4]
