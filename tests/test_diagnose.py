@@ -129,3 +129,38 @@ def test_repaired_include_first_call(spark):
             assert b[q].reward.total_reward <= r.reward.total_reward + 1e-12 or r.reward.total_reward == 0
         else:
             assert b[q].latency == r.latency
+
+
+def test_triple_rollup_and_answer_consistency_branches(spark):
+    from remedy.operators import triples as TR
+
+    claims = spark.createDataFrame([(1,), (2,), (3,), (4,), (5,)], "answer_id long")
+    status = spark.createDataFrame(
+        [(1, 10, "MISSING"), (1, 11, "CONSISTENT"),   # any CONSISTENT wins
+         (2, 10, "MISSING"), (2, 12, "CONFLICT"),     # else CONFLICT
+         (3, 10, "MISSING"),                          # else MISSING
+         (5, 13, "CONSISTENT")],
+        "answer_id long, fact_id long, status string")
+    per = {r.answer_id: r.status for r in TR.triple_rollup(status, claims).collect()}
+    assert per == {1: "CONSISTENT", 2: "CONFLICT", 3: "MISSING", 4: "MISSING", 5: "CONSISTENT"}  # T5: 4 has no candidates
+
+    answers = spark.createDataFrame(
+        [(1, "a"), (2, "b"), (3, "c"), (6, ""), (7, "text but no triple"), (5, "e")], "answer_id long, answer_text string")
+    per_triple = spark.createDataFrame(
+        [(1, "CONSISTENT"), (2, "CONFLICT"), (2, "MISSING"), (3, "MISSING"), (5, "CONSISTENT")],
+        "answer_id long, status string")
+    got = {r.answer_id: r.consistency for r in TR.answer_consistency(answers, per_triple).collect()}
+    assert got == {1: "CONSISTENT", 2: "CONFLICT", 3: "MISSING", 6: "EMPTYINPUT", 7: "NOTRIPLETS", 5: "CONSISTENT"}
+
+
+def test_check_status_thresholds(spark):
+    from remedy.operators import triples as TR
+
+    df = spark.createDataFrame(
+        [([1.0, 0.0], [1.0, 0.0], [1.0, 0.0], [0.8, 0.6], [1.0, 0.0], [1.0, 0.0]),   # subject 0.8 < 0.9
+         ([1.0, 0.0], [1.0, 0.0], [1.0, 0.0], [1.0, 0.0], [0.0, 1.0], [1.0, 0.0]),   # relation 0 < 0.9
+         ([1.0, 0.0], [1.0, 0.0], [1.0, 0.0], [1.0, 0.0], [1.0, 0.0], [0.0, 1.0]),   # object 0 < 0.1
+         ([1.0, 0.0], [1.0, 0.0], [1.0, 0.0], [1.0, 0.0], [1.0, 0.0], [0.6, 0.8])],  # object 0.6 >= 0.1
+        "qs array<double>, qr array<double>, qo array<double>, ds array<double>, dr array<double>, do array<double>")
+    got = [r[0] for r in df.select(TR.check_status(*[F.col(c) for c in ("qs", "qr", "qo", "ds", "dr", "do")])).collect()]
+    assert got == ["MISSING", "MISSING", "CONFLICT", "CONSISTENT"]
