@@ -200,4 +200,4 @@ SQL["stream_reindex"] = "WITH " + BM25.replace(
     "FROM pieces WHERE len(p) > 0))", "FROM pieces WHERE len(p) > 0))").replace(
     "pieces AS (SELECT doc_id, regexp_extract_all(text, '\\S+\\s*') AS p FROM passages)",
     "pieces AS (SELECT doc_id, regexp_extract_all(text, '\\S+\\s*') AS p FROM documents)") + """
-    SELECT doc_id, pos, term, tf, dl FROM post"""
+    SELECT doc_id, pos, term, tf, dl::INT AS dl FROM post"""
