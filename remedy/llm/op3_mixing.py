@@ -35,7 +35,7 @@ from remedy.operators.corpus import global_rank
 from remedy.sources.tables import table
 
 CAP = 3.0
-GROUP_ROWS = 20_000
+GROUP_ROWS = 5_000
 EPS = 1e-9
 _COLS = "_mx_s string, _mx_g long, _mx_i long, _mx_n long, _mx_base long, _mx_x double, _mx_z long"
 

@@ -25,28 +25,20 @@ from remedy.sources.tables import table
 N = 13
 # A document counts as contaminated from this share of its words: 1 in 20.
 SHARE = 20
-# Fixed value: words of the decontamination contract.
-TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# Fixed value: what separates the words of the decontamination contract.
+SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # Windows are broadcast up to this many rows (13 short words each, under 100 MB).
 BROADCAST_WINDOWS = 400_000
 
 
 def words(text: Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(TOKEN), F.lit(0)),
-                      F.array().cast("array<string>"))
+    """Splitting at separators is about twice as fast as extracting the words."""
+    return F.coalesce(F.array_remove(F.split(ascii_lower(text), SEPARATORS), ""), F.array().cast("array<string>"))
 
 
-def _hashes(length: int) -> Column:
-    """Hash of every run of ``length`` words of column _dc_wh (word hashes), by position."""
-    starts = F.sequence(F.lit(1), F.size("_dc_wh") - F.lit(length - 1))
-    return F.when(F.size("_dc_wh") >= length, F.transform(
-        starts, lambda i: F.struct(i.alias("at"), F.lit(length).alias("len"),
-                                   F.xxhash64(F.slice("_dc_wh", i, length)).alias("h")))
-    ).otherwise(F.array().cast("array<struct<at:int,len:int,h:bigint>>"))
-
-
-def _word_hashes(df: DataFrame) -> DataFrame:
-    return df.withColumn("_dc_wh", F.transform("_dc_w", lambda w: F.xxhash64(w)))
+def _run_hash(w: str, at: Column, length: int) -> Column:
+    """Hash of the ``length`` words of array column ``w`` from 0-based ``at``."""
+    return F.xxhash64(*[F.get(F.col(w), at + F.lit(j)) for j in range(length)])
 
 
 def windows(items: DataFrame, n: int = N) -> DataFrame:
@@ -65,23 +57,36 @@ def occurrences(docs: DataFrame, items: DataFrame, n: int = N) -> tuple[DataFram
     per_item = written(windows(items, n), "windows")
     sets = per_item.groupBy("w", "len").agg(F.collect_set("item_id").alias("items")).select(
         "w", "len", "items", F.sha2(F.to_json("w"), 256).alias("win"))
-    sets = written(_word_hashes(sets.withColumnRenamed("w", "_dc_w")).select(
-        "len", F.xxhash64("_dc_wh").alias("h"), F.col("_dc_w").alias("win_w"), "items", "win"), "window-set")
+    by_len = F.lit(None).cast("long")
+    for k in range(1, n + 1):
+        by_len = F.when(F.col("len") == k, _run_hash("win_w", F.lit(0), k)).otherwise(by_len)
+    sets = written(sets.withColumnRenamed("w", "win_w").select("len", by_len.alias("h"), "win_w", "items", "win"), "window-set")
     lengths = sorted(r[0] for r in sets.select("len").distinct().collect())  # at most n values
-    # the entry of length 0 matches once in every document, so each keeps a row
+    # the mark of length 0 matches once in every document, after its last word, so each keeps a row
     mark = spark.range(1).select(
         F.lit(0).alias("len"), F.lit(0).cast("long").alias("h"), F.array().cast("array<string>").alias("win_w"),
         F.lit(None).cast("string").alias("win"))
-    probe = sets.select("len", "h", "win_w", "win").unionByName(mark)
+    probe = sets.select("len", "h", "win_w", "win").unionByName(mark).withColumnRenamed("len", "win_len")
     if sets.count() <= BROADCAST_WINDOWS:
         probe = F.broadcast(probe)
+    # The one-element explode makes the words a column before anything uses them twice.
+    # From there exploding, hashing and probing run in one generated loop that copies the
+    # word array for hits only.
     tok = docs.select("doc_id", F.xxhash64("text").alias("th"), F.explode(F.array(words(F.col("text")))).alias("_dc_w"))
-    scan = _word_hashes(tok).select("doc_id", "th", "_dc_w", F.explode(F.concat(
-        F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("len"), F.lit(0).cast("long").alias("h"))),
-        *[_hashes(k) for k in lengths])).alias("x"))
-    hits = scan.select("doc_id", "th", "_dc_w", "x.at", "x.len", "x.h").join(probe, ["h", "len"]).filter(
-        (F.col("len") == 0) | (F.slice("_dc_w", F.greatest(F.col("at"), F.lit(1)), F.col("len")) == F.col("win_w")))
-    return hits.select("doc_id", "th", F.size("_dc_w").cast("long").alias("n_words"), "at", "len", "win"), sets
+    scan = tok.select("doc_id", "th", "_dc_w", F.posexplode(F.array_append("_dc_w", F.lit(""))).alias("pos", "_dc_x"))
+    n_w = F.size("_dc_w")
+    if len(lengths) == 1:
+        scan = scan.withColumn("len", F.lit(lengths[0]))
+    else:
+        scan = scan.withColumn("len", F.explode(F.array(*[F.lit(k) for k in lengths or [0]])))
+    h = F.when(F.col("pos") == n_w, F.when(F.col("len") == F.lit((lengths or [0])[0]), F.lit(0).cast("long")))
+    for k in lengths:
+        h = h.when((F.col("len") == k) & (F.col("pos") + k <= n_w), _run_hash("_dc_w", F.col("pos"), k))
+    hits = scan.withColumn("h", h).join(probe, "h").filter(
+        (F.col("win_len") == F.when(F.col("pos") == n_w, 0).otherwise(F.col("len")))
+        & (F.slice("_dc_w", F.col("pos") + 1, F.col("win_len")) == F.col("win_w")))
+    return hits.select("doc_id", "th", n_w.cast("long").alias("n_words"),
+                       (F.col("pos") + 1).cast("int").alias("at"), F.col("win_len").alias("len"), "win"), sets
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = N, share: int = SHARE) -> DataFrame:
