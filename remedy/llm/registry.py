@@ -8,6 +8,7 @@ MODULES = (
     "op3_mixing",
     "op6_sharding",
     "op8_decontaminate",
+    "op9_simhash",
 )
 
 QUERIES: dict = {}
