@@ -7,6 +7,7 @@ from importlib import import_module
 MODULES = (
     "op3_mixing",
     "op6_sharding",
+    "op7_langid",
     "op8_decontaminate",
     "op9_simhash",
 )
