@@ -7,6 +7,7 @@ from importlib import import_module
 MODULES = (
     "op2_warc",
     "op3_mixing",
+    "op4_html",
     "op6_sharding",
     "op7_langid",
     "op8_decontaminate",
