@@ -8,6 +8,7 @@ MODULES = (
     "op2_warc",
     "op3_mixing",
     "op4_html",
+    "op5_toxicity",
     "op6_sharding",
     "op7_langid",
     "op8_decontaminate",
