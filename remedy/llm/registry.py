@@ -13,6 +13,7 @@ MODULES = (
     "op7_langid",
     "op8_decontaminate",
     "op9_simhash",
+    "op10_vptree",
 )
 
 QUERIES: dict = {}
