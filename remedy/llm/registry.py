@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = (
+    "op1_brown",
     "op2_warc",
     "op3_mixing",
     "op4_html",
