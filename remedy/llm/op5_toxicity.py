@@ -1,11 +1,12 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
 Texts are folded (A-Z to a-z, other ASCII to blanks, further bytes as they are) and their
-3- and 4-byte grams hashed into BINS bins; a bin counts once per text. For each bin
-r = log(P(bin | toxic) / P(bin | not)), smoothed in proportion to the classes so that an
-unseen bin gets 0; bins whose two rates differ by less than Z standard errors get 0 too.
-A logistic regression with ridge penalty is fitted on the features r, and a text's score
-is its probability.
+byte grams of the lengths ORDERS hashed into BINS bins. For each bin
+r = log(P(bin | toxic) / P(bin | not)) over the texts that hold it, smoothed in proportion
+to the classes so that an unseen bin gets 0; bins whose two rates differ by less than Z
+standard errors get 0 too. A ridge logistic regression is fitted on count * r and on the
+text's length, which takes the part of the many unmarked grams of a long text: a marker
+weighs by how often it comes for the length. A text's score is its probability.
 
 The classifier is fitted on at most TRAIN_ROWS labelled rows that are not held out, those
 with the smallest id hash (the documented bound); every document is scored whole.
@@ -30,21 +31,25 @@ from pyspark.sql import types as T
 from remedy.llm.common import held_out, written
 from remedy.sources.tables import table
 
-BINS = 1 << 20
+BITS = 21
+BINS = 1 << BITS
+ORDERS = (3, 4, 6, 8)
 TRAIN_ROWS = 20_000
 PRIOR = 4.0  # weight of the class-proportional prior, in texts
-Z = 5.0
-RIDGE = 1.0
-STEPS = 150
+Z = 6.0
+RIDGE = 3.0
+STEPS = 200
+RATE = 0.05
 CHUNK = 1 << 14
 # Texts are hashed in runs of about so many bytes, to bound a task's memory.
-RUN_BYTES = 8 << 20
+RUN_BYTES = 2 << 20
 
 
 @dataclass
 class Model:
     weight: np.ndarray  # per bin: fitted coefficient times log-count ratio
     bias: float
+    per_kb: float = 0.0
 
 
 def _fold() -> np.ndarray:
@@ -58,19 +63,23 @@ def _fold() -> np.ndarray:
 FOLD = _fold()
 
 
-def gram_bins(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bins of the 3- and 4-grams that start at each byte; BINS where one would cross the
-    end of its text."""
-    x = np.concatenate([FOLD[raw], np.full(3, 32, np.uint32)])
-    three = x[:-3] << np.uint32(16) | x[1:-2] << np.uint32(8) | x[2:-1]
-    four = three << np.uint32(8) | x[3:]
-    # Odd multipliers of multiplicative hashing
-    out = [((g * np.uint32(m)) >> np.uint32(12)).astype(np.int32) for g, m in ((three, 2654435761), (four, 2246822519))]
-    for n, b in zip((3, 4), out):
+def gram_bins(raw: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """For each order the bins of the grams that start at each byte; BINS where one would
+    cross the end of its text."""
+    x = np.concatenate([FOLD[raw], np.full(7, 32, np.uint32)]).astype(np.uint64)
+    two = x[:-1] << np.uint64(8) | x[1:]
+    four = two[:-2] << np.uint64(16) | two[2:]
+    eight = four[:-4] << np.uint64(32) | four[4:]
+    out = []
+    for n in ORDERS:
+        # Fixed value: the odd multiplier of multiplicative hashing, one product for each order
+        g = (eight >> np.uint64(64 - 8 * n)) * np.uint64(11400714819323198485) ^ np.uint64(n * 0x9E3779B97F4A7)
+        b = ((g * np.uint64(11400714819323198485)) >> np.uint64(64 - BITS)).astype(np.int32)
         for k in range(1, n):
             cut = ends - k
             b[cut[cut >= 0]] = BINS
-    return out[0], out[1]
+        out.append(b)
+    return out
 
 
 def _runs(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -128,26 +137,27 @@ def ratios(neg: np.ndarray, pos: np.ndarray, n0: int, n1: int, z: float = Z) ->
     return r
 
 
-def fit_logistic(rows: list[np.ndarray], labels: np.ndarray, r: np.ndarray) -> Model:
-    """Ridge logistic regression on the features r of the bins present, by Adam."""
+def fit_logistic(rows: list[tuple[np.ndarray, np.ndarray]], kb: np.ndarray, labels: np.ndarray, r: np.ndarray) -> Model:
+    """Ridge logistic regression by Adam on count * r (rows: bins and counts) and the length."""
     used = np.flatnonzero(r)
     place = np.zeros(len(r), np.int64)
     place[used] = np.arange(len(used))
-    owner = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
-    col = place[np.concatenate(rows)] if rows else np.zeros(0, np.int64)
-    val = r[used][col] if len(col) else np.zeros(0)
-    w, b = np.zeros(len(used)), float(np.log(labels.mean() / (1 - labels.mean())))
-    m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
+    owner = np.repeat(np.arange(len(rows)), [len(b) for b, _ in rows])
+    col = place[np.concatenate([b for b, _ in rows])]
+    val = r[used][col] * np.concatenate([c for _, c in rows]) if len(used) else np.zeros(0)
+    theta = np.zeros(len(used) + 2)  # coefficients, per kilobyte, intercept
+    theta[-1] = np.log(labels.mean() / (1 - labels.mean()))
+    m, v = np.zeros(len(theta)), np.zeros(len(theta))
     for step in range(1, STEPS + 1):
-        score = b + np.bincount(owner, weights=val * w[col], minlength=len(rows))
+        score = theta[-1] + theta[-2] * kb + np.bincount(owner, weights=val * theta[col], minlength=len(rows))
         err = 1 / (1 + np.exp(-np.clip(score, -30, 30))) - labels
-        g = np.append(np.bincount(col, weights=val * err[owner], minlength=len(used)) + RIDGE * w, err.sum()) / len(rows)
+        g = np.bincount(col, weights=val * err[owner], minlength=len(used)) + RIDGE * theta[:-2]
+        g = np.append(g, [err @ kb, err.sum()]) / len(rows)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        d = 0.05 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-12)
-        w, b = w - d[:-1], b - d[-1]
+        theta -= RATE * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-12)
     weight = np.zeros(BINS + 1, np.float32)
-    weight[used] = w * r[used]
-    return Model(weight, b)
+    weight[used] = theta[:-2] * r[used]
+    return Model(weight, float(theta[-1]), float(theta[-2]))
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Model:
@@ -173,29 +183,32 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Model:
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
+            bins, counts, kb = [], [], []
             for at, end, raw, starts, ends in _runs(b.column(1)):
                 grams = gram_bins(raw, ends)
                 for i in range(end - at):
                     u = np.concatenate([g[starts[i]:ends[i]] for g in grams])
-                    out.append(np.unique(u[shared.value[u]]).astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["label", "bins"])
+                    u, c = np.unique(u[shared.value[u]], return_counts=True)
+                    bins.append(u.astype(np.int32).tobytes())
+                    counts.append(c.astype(np.int32).tobytes())
+                    kb.append((ends[i] - starts[i]) / 1000)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bins, pa.binary()), pa.array(counts, pa.binary()),
+                                              pa.array(kb, pa.float64())], names=["label", "bins", "counts", "kb"])
 
-    got = rows.mapInArrow(features, "label int, bins binary").collect()  # at most ``limit`` rows
-    got.sort(key=lambda x: (x["label"], bytes(x["bins"])))
-    bins = np.append(r, 0.0)
-    return fit_logistic([np.frombuffer(x["bins"], np.int32) for x in got], np.array([x["label"] for x in got], float), bins)
+    got = rows.mapInArrow(features, "label int, bins binary, counts binary, kb double").collect()  # at most ``limit`` rows
+    got.sort(key=lambda x: (x["label"], x["kb"], bytes(x["bins"])))
+    return fit_logistic([(np.frombuffer(x["bins"], np.int32), np.frombuffer(x["counts"], np.int32)) for x in got],
+                        np.array([x["kb"] for x in got]), np.array([x["label"] for x in got], float), np.append(r, 0.0))
 
 
 def text_scores(texts: pa.Array, model: Model) -> np.ndarray:
     out = np.full(len(texts), model.bias)
-    for at, end, raw, _, ends in _runs(texts):
-        keys = []
+    for at, end, raw, starts, ends in _runs(texts):
+        out[at:end] += model.per_kb * (ends - starts) / 1000
         for bins in gram_bins(raw, ends):
             hit = np.flatnonzero(model.weight[bins])
-            keys.append(np.searchsorted(ends, hit, side="right").astype(np.int64) << 21 | bins[hit])
-        u = np.unique(np.concatenate(keys))
-        out[at:end] += np.bincount(u >> 21, weights=model.weight[u & ((1 << 21) - 1)], minlength=end - at)
+            out[at:end] += np.bincount(np.searchsorted(ends, hit, side="right"), weights=model.weight[bins[hit]],
+                                       minlength=end - at)
     return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
 

@@ -139,13 +139,15 @@ def phrases(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, model: Mode
     n_lang, table_, base = len(model.langs), model.table, model.base
     fresh = np.array([[table_[b + c] if c else -1 for c in range(int(model.classes.max()) + 1)] for b in base])
     # a byte that starts no phrase is a phrase of its own: back to the start state
-    fresh = np.where(fresh < 0, base[:, None], fresh)
+    alone = fresh < 0
+    some_alone = alone.any(axis=0)
+    fresh = np.where(alone, base[:, None], fresh)
     out = np.zeros((n_lang, len(size)), dtype=np.int64)
     for at in range(0, len(order), LANES):
         lane = order[at:at + LANES]
         pos, left = first[lane], length[lane]
         state = np.repeat(base[:, None], len(lane), axis=1)
-        count = np.ones((n_lang, len(lane)), dtype=np.int32)
+        count = np.zeros((n_lang, len(lane)), dtype=np.int32)
         alive = len(lane)
         for t in range(int(left[0])):
             while alive and left[alive - 1] <= t:
@@ -155,8 +157,11 @@ def phrases(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, model: Mode
             nxt = table_[s + c]
             stop = nxt < 0
             count[:, :alive] += stop
+            if some_alone[c].any():  # it also ends the phrase before it, if one is open
+                count[:, :alive] += alone[:, c] & (s != base[:, None])
             np.copyto(s, nxt)
             np.copyto(s, fresh[:, c], where=stop)
+        count += state != base[:, None]  # the phrase still open at the end
         for k in range(n_lang):
             out[k] += np.bincount(owner[lane], weights=count[k], minlength=len(size)).astype(np.int64)
     return out

@@ -56,15 +56,21 @@ def fingerprint(text: bytes, width: int = WIDTH) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str, text: str, width: int = WIDTH) -> DataFrame:
-    """(doc_id, fp long): the 64 bits as a signed long."""
+    """(doc_id, th, fp long): th is a hash of the text where the id is null, to tell such
+    rows apart; fp holds the 64 bits as a signed long."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", width) for t in b.column(1)]
+            fps = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", width) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["doc_id", "fp"])
+                [b.column(0), b.column(1), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["doc_id", "th", "fp"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("t"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _text_hash(doc_id, text).alias("th"),
+                       F.col(text).cast("binary").alias("t"))
+    return rows.mapInArrow(run, "doc_id long, th long, fp long")
+
+
+def _text_hash(doc_id: str, text: str) -> Column:
+    return F.when(F.col(doc_id).isNull(), F.xxhash64(text))
 
 
 def _syndromes(v: np.ndarray) -> np.ndarray:
@@ -153,11 +159,11 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     width: int = WIDTH, k: int = MAX_BITS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fp (long), component_id."""
+    """One row per row of ``docs``: doc_id, th, fp (long), component_id."""
     fps = written(fingerprints(docs, doc_id, text, width), "fingerprints")
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("label")), "nodes")
     classes = components(nodes, written(links(nodes, k), "links"))
-    return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(classes, "fp").select("doc_id", "th", "fp", "component_id")
 
 
 def hex16(fp: Column) -> Column:
@@ -170,14 +176,14 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     repeating it, one). Rows without an id stay only if no row of their component has one;
     of those one per distinct text stays."""
     near = written(near_duplicates(docs, doc_id, text, width, k), "near")
-    keep = near.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(
-        F.count("*").alias("rows")).select(F.col("doc_id").alias("_sh_i"), "rows")
+    keep = near.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "th").agg(
+        F.count("*").alias("rows")).select(F.col("doc_id").alias("_sh_i"), F.col("th").alias("_sh_t"), "rows")
     keep = written(keep, "kept")
-    kept = docs.join(keep.select("_sh_i"), docs[doc_id].eqNullSafe(F.col("_sh_i")), "left_semi")
+    on = docs[doc_id].eqNullSafe(F.col("_sh_i")) & _text_hash(doc_id, text).eqNullSafe(F.col("_sh_t"))
+    kept = docs.join(keep.drop("rows"), on, "left_semi")
     if keep.filter("rows > 1").isEmpty():
         return kept
-    return kept.withColumn("_sh_t", F.when(F.col(doc_id).isNull(), F.xxhash64(text))).dropDuplicates(
-        [doc_id, "_sh_t"]).drop("_sh_t")
+    return kept.withColumn("_sh_t", _text_hash(doc_id, text)).dropDuplicates([doc_id, "_sh_t"]).drop("_sh_t")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
