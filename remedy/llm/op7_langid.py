@@ -39,13 +39,15 @@ TRAIN_BYTES = 30_000
 TRAIN_TEXTS = 400
 SEGMENT = 1024
 LANES = 8192
+# Texts are parsed in runs of about so many bytes, to bound a task's memory.
+RUN_BYTES = 4 << 20
 UND = "und"
 
 
 @dataclass
 class Model:
     langs: list[str]
-    classes: np.ndarray  # byte -> class; 0: not in any sample
+    classes: np.ndarray  # byte -> class (uint8); 0: not in any sample
     table: np.ndarray  # (language, state, class) -> offset of the next state, or -1
     base: np.ndarray  # offset of each language's start state
     weight: np.ndarray  # log2 of the sample size
@@ -107,7 +109,7 @@ def fit(samples: dict[str, list[bytes]]) -> Model:
         parts.append(np.where(t >= 0, t * n + at, -1).astype(np.int32).ravel())
         base.append(at)
         at += t.size
-    return Model(langs, code[fold], np.concatenate(parts) if parts else np.zeros(0, np.int32),
+    return Model(langs, code[fold].astype(np.uint8), np.concatenate(parts) if parts else np.zeros(0, np.int32),
                  np.array(base, dtype=np.int64), np.log2([max(2, len(x)) for x in joined]))
 
 
@@ -170,7 +172,7 @@ def phrases(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, model: Mode
 def _letters(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Does the text hold a letter? ASCII by array, other scripts text by text."""
     low = data | 32
-    total = np.concatenate([[0], np.cumsum((low >= 97) & (low <= 122) & (data < 128))])
+    total = np.concatenate([[0], np.cumsum((low >= 97) & (low <= 122) & (data < 128), dtype=np.int32)])
     has = total[ends] > total[starts]
     for i in np.flatnonzero(~has & (ends > starts)):
         has[i] = any(ch.isalpha() for ch in data[starts[i]:ends[i]].tobytes().decode("utf-8", "replace"))
@@ -182,19 +184,32 @@ def classify(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
     best, as a share of the second (1 when only one language was learned)."""
     n = len(texts)
     texts = texts.cast(pa.large_binary())
+    valid = texts.is_valid().to_numpy(zero_copy_only=False)
     _, offsets, data = texts.buffers()
     off = np.frombuffer(offsets, dtype=np.int64)[texts.offset:texts.offset + n + 1]
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    raw, starts, ends = raw[off[0]:off[-1]], off[:-1] - off[0], off[1:] - off[0]
-    ends = np.where(texts.is_valid().to_numpy(zero_copy_only=False), ends, starts)
-    has = _letters(raw, starts, ends)
+    langs, scores, at = [], np.zeros(n), 0
+    while at < n:  # whole texts, about RUN_BYTES at a time
+        end = min(n, max(at + 1, int(np.searchsorted(off, off[at] + RUN_BYTES, side="right")) - 1))
+        starts = off[at:end] - off[at]
+        ends = np.where(valid[at:end], off[at + 1:end + 1] - off[at], starts)
+        found, scores[at:end] = _classify_run(raw[off[at]:off[end]], starts, ends, model)
+        langs += found
+        at = end
+    return langs, scores
+
+
+def _classify_run(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, model: Model) -> tuple[list[str], np.ndarray]:
+    n = len(starts)
     if not model.langs:
         return [UND] * n, np.zeros(n)
-    bits = phrases(model.classes[raw].astype(np.int32), starts, ends, model) * model.weight[:, None]
+    has = _letters(raw, starts, ends)
+    bits = phrases(model.classes[raw], starts, ends, model) * model.weight[:, None]
     best = bits.argmin(axis=0)
     ranked = np.sort(bits, axis=0)
-    second = ranked[1] if len(model.langs) > 1 else np.zeros(n)
-    score = np.where(second > 0, 1 - ranked[0] / np.maximum(second, 1e-300), 0.0) if len(model.langs) > 1 else np.ones(n)
+    score = np.ones(n)
+    if len(model.langs) > 1:
+        score = np.where(ranked[1] > 0, 1 - ranked[0] / np.maximum(ranked[1], 1e-300), 0.0)
     return [model.langs[k] if h else UND for k, h in zip(best, has)], np.where(has, score, 0.0)
 
 
