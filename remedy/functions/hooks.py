@@ -23,6 +23,12 @@ def nfd(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFD", x))
 
 
+@F.pandas_udf(ST.StringType())
+def nfc(s: pd.Series) -> pd.Series:
+    """Unicode NFC normalisation: composes what ``nfd`` decomposed."""
+    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+
+
 def iterator_udf(loader: Callable[[], Callable[[pd.Series], pd.Series]], return_type) -> Callable:
     """Wrap ``loader() -> predict(series) -> series`` as an iterator pandas UDF: the
     loader runs once per task's Python worker, before the first batch (I7)."""

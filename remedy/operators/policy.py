@@ -69,8 +69,9 @@ def context_vector(df: DataFrame, embedding_col: str = "qv") -> DataFrame:
     return df.withColumn("x", F.concat(*parts))
 
 
-def with_query_embedding(df: DataFrame, vectors: DataFrame, n_rows: int = 500, key: str = "q") -> DataFrame:
-    """I1 default: the query embedding is an embeddings row (key mod n_rows)."""
+def with_query_embedding(df: DataFrame, vectors: DataFrame, n_rows: int, key: str = "q") -> DataFrame:
+    """I1 default: the query embedding is an embeddings row (key mod n_rows, the rows
+    of the table)."""
     v = vectors.select(F.col("vec_id").alias("_row"), F.col("v").alias("qv"))
     return df.withColumn("_row", F.col(key) % n_rows).join(v, "_row").drop("_row")
 
@@ -115,6 +116,8 @@ def linucb_fit(log: DataFrame, d: int) -> DataFrame:
                             ST.StructField("row", ST.ArrayType(ST.DoubleType())),
                             ST.StructField("b", ST.DoubleType()), ST.StructField("n", ST.LongType())])
     parts = log.select(F.col("arm").cast("long"), "x", F.col("r").cast("double")).mapInPandas(_outer_partials(d), schema)
+    from remedy.session import cut_lineage
+    parts = cut_lineage(parts)  # A, b and n all read the partial sums: compute them once
     ex = parts.select("arm", "i", "b", "n", F.posexplode("row").alias("j", "v"))
     a = ex.groupBy("arm", "i", "j").agg(F.sum("v").alias("s"))
     a = a.select("arm", "i", "j", (F.col("s") + F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0)).alias("a"))
@@ -195,8 +198,7 @@ def linucb_score(ctx: DataFrame, state: dict, n_arms: int, d: int, alpha: float
                 rows.append(pd.DataFrame({"q": bt["q"].to_numpy()[ok], "arm": a, "score": p[ok]}))
             yield pd.concat(rows)
 
-    from remedy.session import ensure_parallelism
-    return ensure_parallelism(ctx.select("q", "x", "retriever_only")).mapInPandas(run, schema)
+    return ctx.select("q", "x", "retriever_only").mapInPandas(run, schema)
 
 
 # ---- epsilon-greedy: exact parallel SGD fold -----------------------------------------
@@ -210,9 +212,8 @@ def _compose_block(d: int, lr: float):
         c = np.zeros(d)
         for x, r in zip(pdf["x"], pdf["r"]):
             x = np.asarray(x, dtype=np.float64)
-            Mi = np.eye(d) - lr * np.outer(x, x)
-            M = Mi @ M
-            c = Mi @ c + lr * r * x
+            M -= lr * np.outer(x, x @ M)  # rank-one update
+            c += lr * (r - x @ c) * x
         return pd.DataFrame({"arm": [int(pdf["arm"].iloc[0])], "block": [int(pdf["block"].iloc[0])],
                              "first": [int(pdf["step"].iloc[0])], "m": [M.ravel().tolist()], "c": [c.tolist()]})
 
@@ -235,26 +236,33 @@ def _compose_maps(d: int):
 
 
 def epsgreedy_fit(log: DataFrame, d: int, lr: float = SGD_LR, block_rows: int = 4096,
-                  fan_in: int = 64) -> DataFrame:
+                  fan_in: int = 64, arms: DataFrame | None = None) -> DataFrame:
     """Per-arm SGD weights ``w += lr (r - w.x) x`` over the log in ``step`` order.
 
     Every update is affine in w, so the ordered log is cut into blocks of
     ``block_rows``; each block's composite map (M, c) is computed in parallel, then
     maps are composed in order, ``fan_in`` at a time, until one per arm remains;
-    w = c of the final map (w0 = 0). Group sizes stay bounded at every level."""
+    w = c of the final map (w0 = 0). Group sizes stay bounded at every level, and each
+    level is materialised before its size is read. With ``arms`` every arm has a row."""
+    from remedy.session import cut_lineage
+
     schema = ("arm long, block long, first long, m array<double>, c array<double>")
     x = log.select(F.col("arm").cast("long"), F.col("step").cast("long"), "x", F.col("r").cast("double"))
     # Blocks are ranges of the global step order; a (arm, block) group holds at
     # most block_rows rows, so no arm is ever gathered into one task.
     x = x.withColumn("block", (F.col("step") / F.lit(block_rows)).cast("long"))
-    maps = x.groupBy("arm", "block").applyInPandas(_compose_block(d, lr), schema)
+    maps = cut_lineage(x.groupBy("arm", "block").applyInPandas(_compose_block(d, lr), schema))
     while True:
         n = maps.groupBy("arm").count().agg(F.max("count")).collect()[0][0]
         if n is None or n <= 1:
             break
-        maps = (maps.withColumn("block", (F.col("block") / F.lit(fan_in)).cast("long"))
-                    .groupBy("arm", "block").applyInPandas(_compose_maps(d), schema))
-    return maps.select("arm", F.col("c").alias("w"))
+        maps = cut_lineage(maps.withColumn("block", (F.col("block") / F.lit(fan_in)).cast("long"))
+                               .groupBy("arm", "block").applyInPandas(_compose_maps(d), schema))
+    fitted = maps.select("arm", F.col("c").alias("w"))
+    if arms is None:
+        return fitted
+    zero = F.array_repeat(F.lit(0.0), d)  # an arm without rows keeps its starting weights
+    return arms.select(F.col("arm").cast("long")).join(fitted, "arm", "left").select("arm", F.coalesce("w", zero).alias("w"))
 
 
 # ---- KernelUCB (closed form of the rank-one inverse) -----------------------------------
@@ -290,6 +298,7 @@ def kernelucb_linear(ctx: DataFrame, log: DataFrame, arms: DataFrame, alpha: flo
            for r in arm_moments(log, d).collect()}
     arm_ids = sorted(int(r["arm"]) for r in arms.select("arm").collect())
     bst = spark.sparkContext.broadcast((arm_ids, mom))
+    keep = [c for c in ("retriever_only",) if c in ctx.columns]  # carried through
 
     def run(batches):
         ids, m = bst.value
@@ -307,11 +316,12 @@ def kernelucb_linear(ctx: DataFrame, log: DataFrame, arms: DataFrame, alpha: flo
                     sc = s1 / (eps + s2) + alpha * np.sqrt(np.maximum(0.0, kxx - s2 / (eps + s2)))
                 else:
                     sc = alpha * np.sqrt(kxx)
-                out.append(pd.DataFrame({"q": b["q"].to_numpy(), "arm": np.int64(a), "score": sc}))
+                out.append(pd.DataFrame({"q": b["q"].to_numpy(), "arm": np.int64(a), "score": sc,
+                                         **{c: b[c].to_numpy() for c in keep}}))
             yield pd.concat(out)
 
-    from remedy.session import ensure_parallelism
-    return ensure_parallelism(ctx.select("q", "x")).mapInPandas(run, "q long, arm long, score double")
+    schema = "q long, arm long, score double" + "".join(f", {c} boolean" for c in keep)
+    return ctx.select("q", "x", *keep).mapInPandas(run, schema)
 
 
 def neural_linear_score(ctx: DataFrame, weights: DataFrame, alpha: float = 1.0) -> DataFrame:

@@ -3,6 +3,7 @@ and the gold-containment join used by the context metrics."""
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -206,44 +207,32 @@ def _local_topk(qids: np.ndarray, qmat: np.ndarray, k: int, qblock: int = 1024):
     return run
 
 
-def dense_topk(index: DataFrame, queries: DataFrame, k: int = 5,
-               batch_rows: int = 20_000) -> DataFrame:
+def dense_topk(index: DataFrame, queries: DataFrame, k: int = 5, part_rows: int = 20_000,
+               block_rows: int = 5_000) -> DataFrame:
     """F1/D3: exact L2 nearest neighbours, ascending distance, ties by id.
 
-    ``index``: (vec_id, v array<double>); ``queries``: (q_id, v). Query vectors are
-    shipped to tasks in batches of at most ``batch_rows`` (a bounded broadcast); the
-    index is scanned in place and each task returns only k rows per query, so all
-    pairs are never materialised. A final per-query window keeps the global top-k.
-    """
-    spark = index.sparkSession
-    schema = ST.StructType([ST.StructField("q_id", ST.LongType()),
-                            ST.StructField("vec_id", ST.LongType()),
-                            ST.StructField("score", ST.DoubleType())])
-    qb = queries.select(F.col("q_id").cast("long").alias("q_id"), "v",
-                        F.row_number().over(W.orderBy("q_id")).alias("_n"))
-    n = queries.count()
-    idx_in = ensure_parallelism(index.select(F.col("vec_id").cast("long"), "v"))
-    parts = []
-    for lo in range(0, max(n, 1), batch_rows):
-        batch = qb.filter((F.col("_n") > lo) & (F.col("_n") <= lo + batch_rows)).select("q_id", "v")
-        pdf = batch.toPandas()  # bounded by batch_rows
-        if pdf.empty:
-            continue
-        qids = pdf["q_id"].to_numpy()
-        qmat = np.asarray(pdf["v"].tolist(), dtype=np.float64)
-        bq = spark.sparkContext.broadcast((qids, qmat))
-
-        def body(batches, bq=bq):
-            ids, mat = bq.value
-            yield from _local_topk(ids, mat, k)(batches)
-
-        parts.append(idx_in.mapInPandas(body, schema))
-    if not parts:
-        return spark.createDataFrame([], schema.add("rank", ST.IntegerType()))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return top_k(out, k, descending=False, order_ids=("vec_id",))
+    ``index``: (vec_id, v array<double>); ``queries``: (q_id, v). Both sides are hashed,
+    the index into parts of about ``part_rows`` and the queries into blocks of about
+    ``block_rows``; a task meets one block with one part in matrix products and returns
+    k rows per query. Nothing passes through the driver and nothing is broadcast; a task
+    holds one part and one block, whatever the sizes. A per-query window keeps the k best."""
+    parts = max(1, math.ceil(index.count() / part_rows))
+    blocks = max(1, math.ceil(queries.count() / block_rows))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    x = index.select(F.col("vec_id").cast("long").alias("vec_id"), "v").withColumn(
+        "part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).withColumn("block", every(blocks))
+    q = queries.select(F.col("q_id").cast("long").alias("q_id"), "v").withColumn(
+        "block", F.pmod(F.xxhash64("q_id"), F.lit(blocks)).cast("int")).withColumn("part", every(parts))
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"q_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+        mat = np.asarray(left["v"].tolist(), dtype=np.float64)
+        return next(_local_topk(left["q_id"].to_numpy(), mat, k)(iter([right[["vec_id", "v"]]])))
+
+    near = q.groupBy("part", "block").cogroup(x.groupBy("part", "block")).applyInPandas(
+        meet, "q_id long, vec_id long, score double")
+    return top_k(near, k, descending=False, order_ids=("vec_id",))
 
 
 # ---- rerank, similarity filter, packing --------------------------------------

@@ -47,7 +47,7 @@ def label_sentence_col(label):
 def label_sentence(spark, sf):
     from remedy.plans.diagnosis import diagnosed
     d = diagnosed(spark, sf)
-    return d.select("q", "verified_label", label_sentence_col(F.col("verified_label")).alias("ground_truth"))
+    return d.select("q", "gt_label", label_sentence_col(F.col("gt_label")).alias("ground_truth"))
 
 
 def _parsed(spark, sf):
@@ -61,9 +61,14 @@ def parse_reply(spark, sf):
 
 
 def eval_projection(spark, sf):
-    p = _parsed(spark, sf)
-    out = p.select("conv_id", "turn", "question", F.col("p.response").alias("answer"),
-                   label_sentence_col(F.col("p.label")).alias("ground_truth"))
+    """The judge's input: question, answer, the sentence of the gold label and the
+    texts of the retrieved contexts in rank order (empty without any)."""
+    p = _parsed(spark, sf).withColumn("q_id", F.col("conv_id") * 1000 + F.col("turn"))
+    ctx = _retrieved(spark, sf, p).select("q_id", F.transform("retrieved", lambda x: x["text"]).alias("contexts"))
+    out = p.join(ctx, "q_id", "left").select(
+        "conv_id", "turn", "question", F.col("p.response").alias("answer"),
+        label_sentence_col(F.col("gt_label")).alias("ground_truth"),
+        F.coalesce("contexts", F.array().cast("array<string>")).alias("contexts"))
     return out.na.fill("", ["question", "answer", "ground_truth"])
 
 
@@ -184,7 +189,7 @@ def corpus_counts(spark, sf):
         ("documents", _docs(spark, sf)),
         ("unique_passages", X.passages(spark, sf)),
         ("chunks", R.chunk_windows(X.passages(spark, sf))),
-        ("claims", X.claims(spark, sf)),
+        ("claims", X.claims(spark, sf).select("id").distinct()),
         ("evidence_rows", ev),
         ("evidence_pages", ev.select("page").distinct()),
         ("kb_pages", C.evidence_pages(X.wiki_pages(spark, sf), ev)),
@@ -216,24 +221,29 @@ def nli_pairs(spark, sf):
     """(retrieved chunk, question) and (chunk, answer) pairs for the NLI hook:
     conversation questions retrieve BM25 top-3 chunks; the answer is the parsed reply."""
     from remedy.operators.diagnose import nli_pairs as pairs
-    chunks = R.chunk_windows(X.passages(spark, sf))
     p = _parsed(spark, sf).select((F.col("conv_id") * 1000 + F.col("turn")).alias("q_id"),
                                   F.col("question"), F.col("p.response").alias("response"))
-    ranked, txt = R.chunk_text_for(R.bm25_topk(chunks, p.select("q_id", "question"), 3, clustered=True),
+    c = p.join(_retrieved(spark, sf, p), "q_id").select("q_id", F.col("question").alias("query"), "response", "retrieved")
+    return pairs(c, "q_id")
+
+
+def _retrieved(spark, sf, questions):
+    """(q_id, retrieved): the BM25 top-3 chunks of each question, in rank order."""
+    chunks = R.chunk_windows(X.passages(spark, sf))
+    ranked, txt = R.chunk_text_for(R.bm25_topk(chunks, questions.select("q_id", "question"), 3, clustered=True),
                                    _docs(spark, sf))
     top = ranked.join(txt, ["doc_id", "pos"])
-    ctx = (top.groupBy("q_id")
+    return (top.groupBy("q_id")
               .agg(F.array_sort(F.collect_list(F.struct("rank", "text", F.concat_ws(":", "doc_id", "pos").alias("node_id"),
                                                         "score"))).alias("_r"))  # k = 3 per query
               .select("q_id", F.transform("_r", lambda x: F.struct(x["text"].alias("text"), x["node_id"].alias("node_id"),
                                                                x["score"].alias("score"))).alias("retrieved")))
-    c = p.join(ctx, "q_id").select("q_id", F.col("question").alias("query"), "response", "retrieved")
-    return pairs(c, "q_id")
 
 
 def normalize_id(spark, sf):
-    """B3 (rows-only): NFD Unicode normalisation of page ids through an Arrow UDF."""
-    from remedy.functions.hooks import nfd
+    """NFD Unicode normalisation through an Arrow UDF, of page ids and of whole page
+    texts. The texts are composed again (NFC) and digested, which SQL can compare."""
+    from remedy.functions.hooks import nfc, nfd
     p = X.wiki_pages(spark, sf)
     return p.select("page_id", nfd(F.col("page_id")).alias("norm_id"),
-                    F.length(nfd(F.substring("text", 1, 64))).alias("title_len"))
+                    F.sha2(nfc(nfd(F.col("text"))), 256).alias("text_digest"))

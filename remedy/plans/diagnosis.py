@@ -236,7 +236,7 @@ def answer_relevancy(spark, sf):
     vectors of three questions generated back from the answer (embedding rows)."""
     from remedy.operators import policy as PO
     v = X.vectors(spark, sf)
-    nvec = 500
+    nvec = X.n_vectors(spark, sf)
     d = diagnosed(spark, sf).select("q", "failure_label")
     g = d.select("q", "failure_label", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("j"))
     g = g.withColumn("qrow", F.col("q") % nvec).withColumn("grow", (F.col("q") * 3 + F.col("j") + 1) % nvec)
@@ -250,18 +250,16 @@ def answer_relevancy(spark, sf):
 
 
 def context_means(spark, sf):
-    """Mean context precision / recall split by a binary outcome (labels.quality
-    of the top-ranked document), nulls dropped by ``avg``."""
-    from remedy.operators import retrieve as R
-    from remedy.plans.retrieval import retrieval_eval, _keyed_chunks
+    """Mean context precision / recall over the traces, split by the trace's exact
+    match; a trace asks benchmark item q mod n. Traces are counted per item first, so
+    the join reads one row per (item, outcome); nulls are left out of the means."""
+    from remedy.plans.retrieval import retrieval_eval
     from remedy.sources.tables import table
-    ev = retrieval_eval(spark, sf)
-    top1 = R.bm25_topk(_keyed_chunks(spark, sf), X.questions(spark, sf), 1, clustered=True).select("q_id", "doc_id")
-    lab = table(spark, sf, "labels").select("doc_id", "quality")
-    split = top1.join(lab, "doc_id", "left").select("q_id", (F.coalesce("quality", F.lit(0)) == 1).alias("em"))
-    j = ev.join(split, "q_id", "left").withColumn("em", F.coalesce("em", F.lit(False)))
-    return (j.groupBy("em").agg(rnd(F.avg("context_precision"), 6).alias("context_precision"),
-                                rnd(F.avg("context_recall"), 6).alias("context_recall"),
-                                F.count(F.lit(1)).alias("n")))
+    n = table(spark, sf, "benchmark").count()
+    asked = diagnosed(spark, sf).groupBy((F.col("q") % n).alias("q_id"), "em").agg(F.count(F.lit(1)).alias("n"))
+    j = asked.join(retrieval_eval(spark, sf), "q_id")
 
+    def mean(c: str) -> F.Column:
+        return rnd(F.try_divide(F.sum(F.col(c) * F.col("n")), F.sum(F.when(F.col(c).isNotNull(), F.col("n")))), 6).alias(c)
 
+    return j.groupBy("em").agg(mean("context_precision"), mean("context_recall"), F.sum("n").alias("n"))

@@ -1,7 +1,7 @@
 """Derived inputs built from the given tables (see FIXTURES.md).
 
 Every fixture is a lazy DataFrame over the parquet tables, so its work grows with
-them. The same definitions are written in DuckDB SQL in ``plans/oracle_sql.py``.
+them. The same definitions are written in DuckDB SQL in ``plans/oracle_*.py``.
 """
 
 from __future__ import annotations
@@ -160,22 +160,42 @@ def replies(spark: SparkSession, sf: str) -> DataFrame:
     p = u.join(a, ["conv_id", "turn"])
     key = F.col("conv_id") * 31 + F.col("turn")
     label = F.element_at(_levels(ANSWER_LABELS), (1 + (F.col("conv_id") + F.col("turn")) % 3).cast("int"))
+    gold = F.element_at(_levels(ANSWER_LABELS), (1 + F.col("conv_id") % 3).cast("int"))
     from remedy.functions.reply import json_escape
     js = F.concat(F.lit('{"label": "'), label, F.lit('", "response": "'), json_escape(F.col("answer")), F.lit('"}'))
     reply = (F.when(key % 11 == 0, F.lit(T.EMPTY_REPLY))
               .when(key % 7 == 0, F.concat(F.lit("```json\n"), js, F.lit("\n```")))
               .otherwise(js))
-    return p.select("conv_id", "turn", "question", "answer", reply.alias("reply"))
+    return p.select("conv_id", "turn", "question", "answer", reply.alias("reply"), gold.alias("gt_label"))
 
 
 # ---- knowledge facts over the TPC-H-like dimension tables --------------------
-# Element vectors: embeddings row (offset + key) % 498; relations use rows 498/499.
+# Element vectors: of n embedding rows the last two stand for the relations, and an
+# element uses row (offset + key) mod (n - 2).
 FACT_OFFSETS = {"region": 0, "nation": 10, "supplier": 50, "customer": 200}
-REL_ROWS = {"part of": 498, "located in": 499}
+RELATIONS = ["part of", "located in"]
+
+
+def n_vectors(spark: SparkSession, sf: str) -> int:
+    """Rows of the embeddings table (a one-row statistic from the file footers)."""
+    return table(spark, sf, "embeddings").count()
+
+
+def _rows(n: int):
+    elements = max(1, n - 2)
+
+    def element(kind: str, key: str) -> F.Column:
+        return ((F.lit(FACT_OFFSETS[kind]) + F.col(key)) % F.lit(elements)).cast("long")
+
+    def relation(name: str) -> F.Column:
+        return F.lit(elements + RELATIONS.index(name)).cast("long")
+
+    return element, relation
 
 
 def facts(spark: SparkSession, sf: str) -> DataFrame:
     """Knowledge triples (s, r, o) with element-vector row ids and a stable id."""
+    element, relation = _rows(n_vectors(spark, sf))
     region = table(spark, sf, "region")
     nation = table(spark, sf, "nation")
     supplier = table(spark, sf, "supplier")
@@ -183,23 +203,23 @@ def facts(spark: SparkSession, sf: str) -> DataFrame:
     n_r = (nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey)
            .select(F.lit(0).alias("kind"), F.col("n_nationkey").cast("long").alias("key"),
                    F.col("n_name").alias("s"), F.lit("part of").alias("r"), F.col("r_name").alias("o"),
-                   ((F.lit(FACT_OFFSETS["nation"]) + F.col("n_nationkey")) % 498).cast("long").alias("s_row"),
-                   F.lit(REL_ROWS["part of"]).cast("long").alias("r_row"),
-                   ((F.lit(FACT_OFFSETS["region"]) + F.col("r_regionkey")) % 498).cast("long").alias("o_row")))
+                   element("nation", "n_nationkey").alias("s_row"),
+                   relation("part of").alias("r_row"),
+                   element("region", "r_regionkey").alias("o_row")))
     # nation is a fixed 25-row dimension: broadcasting it is bounded.
     nat = F.broadcast(nation.select("n_nationkey", "n_name"))
     s_n = (supplier.join(nat, supplier.s_nationkey == F.col("n_nationkey"))
            .select(F.lit(1).alias("kind"), F.col("s_suppkey").alias("key"),
                    F.col("s_name").alias("s"), F.lit("located in").alias("r"), F.col("n_name").alias("o"),
-                   ((F.lit(FACT_OFFSETS["supplier"]) + F.col("s_suppkey")) % 498).alias("s_row"),
-                   F.lit(REL_ROWS["located in"]).cast("long").alias("r_row"),
-                   ((F.lit(FACT_OFFSETS["nation"]) + F.col("n_nationkey")) % 498).cast("long").alias("o_row")))
+                   element("supplier", "s_suppkey").alias("s_row"),
+                   relation("located in").alias("r_row"),
+                   element("nation", "n_nationkey").alias("o_row")))
     c_n = (customer.join(nat, customer.c_nationkey == F.col("n_nationkey"))
            .select(F.lit(2).alias("kind"), F.col("c_custkey").alias("key"),
                    F.col("c_name").alias("s"), F.lit("located in").alias("r"), F.col("n_name").alias("o"),
-                   ((F.lit(FACT_OFFSETS["customer"]) + F.col("c_custkey")) % 498).alias("s_row"),
-                   F.lit(REL_ROWS["located in"]).cast("long").alias("r_row"),
-                   ((F.lit(FACT_OFFSETS["nation"]) + F.col("n_nationkey")) % 498).cast("long").alias("o_row")))
+                   element("customer", "c_custkey").alias("s_row"),
+                   relation("located in").alias("r_row"),
+                   element("nation", "n_nationkey").alias("o_row")))
     out = n_r.unionByName(s_n).unionByName(c_n)
     return out.withColumn("fact_id", F.col("kind").cast("long") * F.lit(10**12) + F.col("key"))
 
@@ -207,6 +227,7 @@ def facts(spark: SparkSession, sf: str) -> DataFrame:
 def answers(spark: SparkSession, sf: str) -> DataFrame:
     """Answers to check: every customer states a nation; one in three names the
     next nation (a likely conflict); every thirteenth answer is empty."""
+    element, relation = _rows(n_vectors(spark, sf))
     customer = table(spark, sf, "customer")
     nation = F.broadcast(table(spark, sf, "nation").select("n_nationkey", "n_name"))  # 25 rows
     shift = F.when(F.col("c_custkey") % 3 == 0, F.lit(1)).otherwise(F.lit(0))
@@ -217,9 +238,9 @@ def answers(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("c_custkey") % 13 == 0, F.lit("")).otherwise(
             F.concat_ws(" ", "c_name", F.lit("is located in"), "n_name")).alias("answer_text"),
         F.col("c_name").alias("s"), F.lit("located in").alias("r"), F.col("n_name").alias("o"),
-        ((F.lit(FACT_OFFSETS["customer"]) + F.col("c_custkey")) % 498).alias("s_row"),
-        F.lit(REL_ROWS["located in"]).cast("long").alias("r_row"),
-        ((F.lit(FACT_OFFSETS["nation"]) + F.col("n_nationkey")) % 498).cast("long").alias("o_row"),
+        element("customer", "c_custkey").alias("s_row"),
+        relation("located in").alias("r_row"),
+        element("nation", "n_nationkey").alias("o_row"),
     )
 
 
@@ -240,19 +261,19 @@ def claims(spark: SparkSession, sf: str) -> DataFrame:
     """Claims in the fact-checking dump layout: (id, claim, label, evidence) where
     evidence is ARRAY<ARRAY<ARRAY<STRING>>> of [annotation, evidence id, page, line].
 
-    The evidence page of a benchmark item is the smallest document containing it
-    verbatim, at the line where it starts (a second tuple in the set points at the
-    next line and is ignored downstream). Items without a page carry a null-page
-    set; every seventh item (id % 7 = 3) also cites a page that does not exist."""
+    Every document that holds a benchmark item verbatim is an evidence page, at the
+    line where the item starts (a second tuple in the set points at the next line and
+    is ignored downstream). A claim has one row per evidence page, so no claim gathers
+    its pages. Items without a page carry a null-page set; every seventh item
+    (id % 7 = 3) also has a row that cites a page that does not exist."""
     from remedy.operators.retrieve import gold_containment
+    from remedy.session import bounded_broadcast, cut_lineage
 
     docs = table(spark, sf, "documents").select("doc_id", "text")
     qs = questions(spark, sf)
-    from remedy.session import bounded_broadcast, cut_lineage
-
-    # One winner per question (bounded by the questions): materialise, then meet the
-    # documents with a size-checked broadcast so the corpus text is not shuffled.
-    g = cut_lineage(gold_containment(docs, qs).groupBy("q_id").agg(F.min("doc_id").alias("doc_id")))
+    # Pairs (item, page), materialised, then met with the documents (broadcast when
+    # few, so that the corpus text is not shuffled).
+    g = cut_lineage(gold_containment(docs, qs).distinct())
     gd = (docs.join(bounded_broadcast(g), "doc_id").join(qs, "q_id")
           .withColumn("_pre", F.expr("substring(text, 1, instr(text, question) - 1)"))
           .select("q_id", "doc_id",
@@ -263,13 +284,11 @@ def claims(spark: SparkSession, sf: str) -> DataFrame:
                        F.array(qid, qid, page, (F.col("line") + 1).cast("string")))
     missing_set = F.array(F.array(qid, qid, F.concat(F.lit("missing-"), qid), F.lit("0")))
     null_set = F.array(F.array(qid, F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string")))
-    sets = F.filter(F.array(F.when(F.col("doc_id").isNotNull(), gold_set),
-                            F.when(F.col("q_id") % 7 == 3, missing_set),
-                            F.when(F.col("doc_id").isNull(), null_set)),
-                    lambda s: s.isNotNull())
     label = F.element_at(_levels(RAW_ANSWER_LABELS), (1 + F.col("q_id") % 3).cast("int"))
-    return c.select(F.col("q_id").alias("id"), F.col("question").alias("claim"), label.alias("label"),
-                    sets.alias("evidence"))
+    cols = [F.col("q_id").alias("id"), F.col("question").alias("claim"), label.alias("label")]
+    found = c.select(*cols, F.array(F.when(F.col("doc_id").isNotNull(), gold_set).otherwise(null_set)).alias("evidence"))
+    missing = qs.filter(F.col("q_id") % 7 == 3).select(*cols, F.array(missing_set).alias("evidence"))
+    return found.unionByName(missing)
 
 
 def wiki_pages(spark: SparkSession, sf: str) -> DataFrame:

@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from remedy.functions.num import rnd
 from remedy.operators import corpus as C
 from remedy.operators import policy as PO
 from remedy.operators import retrieve as R
@@ -24,7 +25,7 @@ def _scratch(spark, name):
 
 def src_claims(spark, sf):
     path = _scratch(spark, "claims")
-    X.claims(spark, sf).repartition(4).write.json(path)
+    X.claims(spark, sf).write.json(path)
     return FS.read_claims(spark, path)
 
 
@@ -34,7 +35,7 @@ def _pages_dir(spark, sf):
     p = X.wiki_pages(spark, sf).join(X.table(spark, sf, "documents").select(
         F.col("doc_id").cast("string").alias("page_id"), "lang"), "page_id")
     (p.select(F.col("page_id").alias("id"), "text", "lines", "lang")
-      .repartition(3).write.partitionBy("lang").json(root))
+      .write.partitionBy("lang").json(root))
     return root
 
 
@@ -47,12 +48,12 @@ def src_slices(spark, sf):
 
 
 def src_multihop(spark, sf):
-    """Multi-hop rows: each benchmark item with one hop per document containing it
-    (the hop's sentences are the document's lines)."""
+    """Multi-hop rows: one row per benchmark item and document containing it, with that
+    document's lines as the hop's sentences (an item without any has no hop)."""
     path = _scratch(spark, "multihop")
     docs = X.table(spark, sf, "documents").select("doc_id", "text")
     qs = X.questions(spark, sf)
-    g = R.gold_containment(docs, qs).groupBy("q_id").agg(F.min("doc_id").alias("doc_id"))
+    g = R.gold_containment(docs, qs).distinct()
     j = qs.join(g, "q_id", "left").join(docs, "doc_id", "left")
     hops = F.when(F.col("text").isNull(), F.array().cast("array<array<string>>")).otherwise(
         F.array(F.split(F.col("text"), "\n")))
@@ -83,11 +84,16 @@ def _traces_path(spark, sf):
 
 
 def trace_tsv(spark, sf):
-    return spark.read.text(_traces_path(spark, sf))
+    """The exported rows, parsed again column by column (headers and part files, which
+    depend on the number of tasks, do not show)."""
+    t = spark.read.schema(FS.TRACE_TSV_SCHEMA).option("sep", "\t").option("header", True).csv(_traces_path(spark, sf))
+    return t.select("q", "action", "failure_label", "verified_label", "kg_consistency", "query_entailment",
+                    "response_entailment", rnd("latency", 6).alias("latency"), rnd("vram", 6).alias("vram"))
 
 
 def trace_reload(spark, sf):
-    return FS.read_trace_tsv(spark, _traces_path(spark, sf))
+    t = FS.read_trace_tsv(spark, _traces_path(spark, sf))
+    return t.select("q", "action", "failure_label", "params_json", rnd(F.col("reward.total_reward"), 6).alias("total_reward"))
 
 
 def index_tables(spark, sf):

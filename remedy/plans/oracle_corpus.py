@@ -106,13 +106,13 @@ multi AS (SELECT (-1 - rg.r_regionkey)::BIGINT AS text_id,
 lin AS (SELECT * FROM one UNION ALL SELECT * FROM multi)"""
 
 CLAIMS = QUESTIONS + """,
-gp AS (SELECT b.item_id AS q_id, min(d.doc_id) AS doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1),
+gp AS (SELECT DISTINCT b.item_id AS q_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
 gl AS (SELECT gp.q_id, gp.doc_id,
               length(left(d.text, instr(d.text, qs.question) - 1)) - length(replace(left(d.text, instr(d.text, qs.question) - 1), chr(10), '')) AS line
        FROM gp JOIN documents d USING (doc_id) JOIN questions qs USING (q_id)),
 ev AS (SELECT q_id AS claim_id, 0 AS set_idx, doc_id::VARCHAR AS page, line::INT AS sent_idx FROM gl
        UNION ALL
-       SELECT q_id, CASE WHEN q_id IN (SELECT q_id FROM gl) THEN 1 ELSE 0 END, 'missing-' || q_id::VARCHAR, 0
+       SELECT q_id, 0, 'missing-' || q_id::VARCHAR, 0
        FROM questions WHERE q_id % 7 = 3)"""
 
 SQL = {
@@ -121,10 +121,8 @@ SQL = {
     "split_sentences": f"WITH {SENTS} SELECT page, sent_idx, sentence FROM sents",
     "join_sentences": f"""WITH {PAGES} SELECT page_id,
         {strip("translate(array_to_string(" + split_sents('lines') + ", ' '), chr(9), ' ')")} AS text FROM wpages""",
-    "label_sentence": f"WITH {BASE} SELECT q, verified_label, {LABELMAP.format(x='verified_label')} AS ground_truth FROM diag",
+    "label_sentence": f"WITH {BASE} SELECT q, gt_label, {LABELMAP.format(x='gt_label')} AS ground_truth FROM diag",
     "parse_reply": f"WITH {REPLIES} SELECT conv_id, turn, label, response, parse_ok FROM parsed",
-    "eval_projection": f"""WITH {REPLIES} SELECT conv_id, turn, coalesce(question, '') AS question,
-        coalesce(response, '') AS answer, coalesce({LABELMAP.format(x='label')}, '') AS ground_truth FROM parsed""",
     "clean_short_answer": f"""WITH {REPLIES} SELECT conv_id, turn,
         CASE WHEN r = 'Empty Response' THEN 'The provided context is insufficient.' ELSE replace(r, 'Response 1: ', '') END AS answer
         FROM rs""",
@@ -196,8 +194,33 @@ SQL["nli_pairs"] = f"""WITH {REPLIES}, {_NLI_BM25}, {ranked(3)},
     UNION ALL
     SELECT rt.q_id, (rt.rank - 1)::INT, 'response', rt.text, pq.response FROM rt JOIN pq USING (q_id)"""
 
+SQL["eval_projection"] = f"""WITH {REPLIES}, {_NLI_BM25}, {ranked(3)},
+    cx AS (SELECT r.q_id, list(c.text ORDER BY r.rank) AS contexts FROM ranked r JOIN chunks c USING (doc_id, pos) GROUP BY r.q_id),
+    gl AS (SELECT *, ['SUPPORTS','REFUTES','NOTENOUGHINFO'][1 + (conv_id % 3)::INT] AS gold FROM parsed)
+    SELECT conv_id, turn, coalesce(question, '') AS question, coalesce(response, '') AS answer,
+      coalesce({LABELMAP.format(x='gold')}, '') AS ground_truth, coalesce(contexts, []::VARCHAR[]) AS contexts
+    FROM gl LEFT JOIN cx ON cx.q_id = gl.conv_id * 1000 + gl.turn"""
+
 SQL["stream_reindex"] = "WITH " + BM25.replace(
     "FROM pieces WHERE len(p) > 0))", "FROM pieces WHERE len(p) > 0))").replace(
     "pieces AS (SELECT doc_id, regexp_extract_all(text, '\\S+\\s*') AS p FROM passages)",
     "pieces AS (SELECT doc_id, regexp_extract_all(text, '\\S+\\s*') AS p FROM documents)") + """
     SELECT doc_id, pos, term, tf, dl::INT AS dl FROM post"""
+
+SQL["normalize_id"] = "SELECT doc_id::VARCHAR AS page_id, doc_id::VARCHAR AS norm_id, sha256(nfc_normalize(text)) AS text_digest FROM documents"
+
+SQL["src_pages"] = f"WITH {PAGES} SELECT page_id AS id, text, lines FROM wpages"
+SQL["src_multihop"] = """SELECT DISTINCT replace(d.text, chr(10), '') AS passage
+    FROM benchmark b JOIN documents d ON contains(d.text, b.text)"""
+SQL["kb_artifact"] = f"""WITH {CLAIMS}, {PAGES}
+    SELECT page_id AS doc_id, {clean('text')} AS text, {split_sents('lines')} AS sentences
+    FROM wpages WHERE page_id IN (SELECT page FROM ev)"""
+SQL["src_claims"] = f"""WITH {CLAIMS},
+    ids AS (SELECT q_id, question, ['SUPPORTS','REFUTES','NOT ENOUGH INFO'][1 + (q_id % 3)::INT] AS label, q_id::VARCHAR AS i FROM questions),
+    found AS (SELECT ids.*, [[[i, i, gl.doc_id::VARCHAR, gl.line::VARCHAR], [i, i, gl.doc_id::VARCHAR, (gl.line + 1)::VARCHAR]]] AS evidence
+              FROM ids JOIN gl USING (q_id)),
+    bare AS (SELECT ids.*, [[[i, NULL, NULL, NULL]]] AS evidence FROM ids WHERE q_id NOT IN (SELECT q_id FROM gl)),
+    miss AS (SELECT ids.*, [[[i, i, 'missing-' || i, '0']]] AS evidence FROM ids WHERE q_id % 7 = 3)
+    SELECT q_id AS id, question AS claim, label, evidence
+    FROM (SELECT * FROM found UNION ALL SELECT * FROM bare UNION ALL SELECT * FROM miss)"""
+SQL["index_tables"] = f"WITH {BM25} SELECT doc_id, pos, term, tf, dl::INT AS dl FROM post"

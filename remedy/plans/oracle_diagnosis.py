@@ -241,7 +241,7 @@ SQL = {
         FROM diag d JOIN (SELECT q, avg((response_vote = 0)::INT::DOUBLE) AS faith FROM votes GROUP BY q) f USING (q)
         GROUP BY d.failure_label""",
     "answer_relevancy": W + """, v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
-        g AS (SELECT q, failure_label, j, q % 500 AS qrow, (q * 3 + j + 1) % 500 AS grow FROM diag, (SELECT unnest([0, 1, 2]) AS j)),
+        g AS (SELECT q, failure_label, j, q % (SELECT count(*) FROM embeddings) AS qrow, (q * 3 + j + 1) % (SELECT count(*) FROM embeddings) AS grow FROM diag, (SELECT unnest([0, 1, 2]) AS j)),
         c AS (SELECT g.q, g.failure_label,
                  list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) /
                  (sqrt(list_sum(list_transform(a.v, lambda z: z * z))) * sqrt(list_sum(list_transform(b.v, lambda z: z * z)))) AS cos
@@ -257,6 +257,12 @@ def _poisson_sql(u: str) -> str:
     return f"CASE {parts} ELSE {len(POISSON_CDF)} END"
 
 
+from remedy.plans.oracle_retrieval import EVAL as _EVAL  # noqa: E402
+
+SQL["context_means"] = _EVAL + """, """ + W.removeprefix("WITH ") + """
+    SELECT em, round(avg(context_precision), 6) AS context_precision, round(avg(context_recall), 6) AS context_recall,
+           count(*) AS n FROM diagem JOIN ev ON ev.q_id = diagem.q % (SELECT count(*) FROM benchmark) GROUP BY em"""
+
 SQL["bootstrap_ci"] = W + f""",
     u AS (SELECT q, failure_label, 'latency' AS metric, latency AS x FROM diag
           UNION ALL SELECT q, failure_label, 'vram', vram FROM diag
@@ -274,3 +280,9 @@ SQL["bootstrap_ci"] = W + f""",
            CASE WHEN sz.n = 1 THEN 'NaN'::DOUBLE ELSE round(st.lo, 8) END AS ci_low,
            CASE WHEN sz.n = 1 THEN 'NaN'::DOUBLE ELSE round(st.hi, 8) END AS ci_high
     FROM sz LEFT JOIN st ON sz.metric = st.metric AND sz.failure_label IS NOT DISTINCT FROM st.failure_label"""
+
+SQL["trace_tsv"] = f"""{WC}, {CHOICE}, {REPAIRED}
+    SELECT q, action::BIGINT AS action, failure_label, verified_label, kg_consistency, query_entailment, response_entailment,
+           round(latency, 6) AS latency, round(vram, 6) AS vram FROM rep"""
+SQL["trace_reload"] = f"""{WC}, {CHOICE}, {REPAIRED}
+    SELECT q, action::BIGINT AS action, failure_label, params_json, round(total_reward, 6) AS total_reward FROM rep"""

@@ -14,22 +14,23 @@ def sqdist(a: str, b: str) -> str:
 
 
 KFACTS = VEC + """,
+nvec AS (SELECT count(*) AS nv FROM embeddings),
 kf AS (
-  SELECT 0 * 1000000000000 + n.n_nationkey::BIGINT AS fact_id, (10 + n.n_nationkey) % 498 AS s_row, 498 AS r_row,
-         (0 + rg.r_regionkey) % 498 AS o_row
-  FROM nation n JOIN region rg ON n.n_regionkey = rg.r_regionkey
+  SELECT 0 * 1000000000000 + n.n_nationkey::BIGINT AS fact_id, (10 + n.n_nationkey) % (nv - 2) AS s_row, nv - 2 AS r_row,
+         (0 + rg.r_regionkey) % (nv - 2) AS o_row
+  FROM nation n JOIN region rg ON n.n_regionkey = rg.r_regionkey, nvec
   UNION ALL
-  SELECT 1 * 1000000000000 + s.s_suppkey, (50 + s.s_suppkey) % 498, 499, (10 + n.n_nationkey) % 498
-  FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey
+  SELECT 1 * 1000000000000 + s.s_suppkey, (50 + s.s_suppkey) % (nv - 2), nv - 1, (10 + n.n_nationkey) % (nv - 2)
+  FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey, nvec
   UNION ALL
-  SELECT 2 * 1000000000000 + c.c_custkey, (200 + c.c_custkey) % 498, 499, (10 + n.n_nationkey) % 498
-  FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey),
+  SELECT 2 * 1000000000000 + c.c_custkey, (200 + c.c_custkey) % (nv - 2), nv - 1, (10 + n.n_nationkey) % (nv - 2)
+  FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey, nvec),
 fv AS (SELECT f.fact_id, s.v AS s_v, r.v AS r_v, o.v AS o_v, list_concat(list_concat(s.v, r.v), o.v) AS v
        FROM kf f JOIN v s ON s.vec_id = f.s_row JOIN v r ON r.vec_id = f.r_row JOIN v o ON o.vec_id = f.o_row),
 answers AS (SELECT c.c_custkey AS answer_id,
                    CASE WHEN c.c_custkey % 13 = 0 THEN '' ELSE c.c_name || ' is located in ' || n.n_name END AS answer_text,
-                   (200 + c.c_custkey) % 498 AS s_row, 499 AS r_row, (10 + n.n_nationkey) % 498 AS o_row
-            FROM customer c JOIN nation n ON n.n_nationkey = (c.c_nationkey + CASE WHEN c.c_custkey % 3 = 0 THEN 1 ELSE 0 END) % 25),
+                   (200 + c.c_custkey) % (nv - 2) AS s_row, nv - 1 AS r_row, (10 + n.n_nationkey) % (nv - 2) AS o_row
+            FROM customer c JOIN nation n ON n.n_nationkey = (c.c_nationkey + CASE WHEN c.c_custkey % 3 = 0 THEN 1 ELSE 0 END) % 25, nvec),
 av AS (SELECT a.answer_id, s.v AS s_v, r.v AS r_v, o.v AS o_v, list_concat(list_concat(s.v, r.v), o.v) AS v
        FROM answers a JOIN v s ON s.vec_id = a.s_row JOIN v r ON r.vec_id = a.r_row JOIN v o ON o.vec_id = a.o_row
        WHERE a.answer_text <> '' AND a.answer_id % 17 <> 0),
@@ -62,7 +63,7 @@ FULLX = "list_concat(e.v, " + DIAGX + ")"
 
 POL = f"""WITH {BASE}, {CAND}, {ACTIONS}, {CHOICE}, {VEC},
 ctx AS (SELECT ch.q, ch.chosen_arm, ch.verified_label = 'UNVERIFIED' AS retriever_only, {FULLX} AS x
-        FROM choice ch JOIN v e ON e.vec_id = ch.q % 500 WHERE ch.failure_label <> 'NO_FAILURE'),
+        FROM choice ch JOIN v e ON e.vec_id = ch.q % (SELECT count(*) FROM embeddings) WHERE ch.failure_label <> 'NO_FAILURE'),
 ctx18 AS (SELECT ch.q, ch.chosen_arm, ch.verified_label = 'UNVERIFIED' AS retriever_only, {DIAGX} AS x
           FROM choice ch WHERE ch.failure_label <> 'NO_FAILURE'),
 lg AS (SELECT c.q AS step, c.chosen_arm AS arm, c.x, cd.total_reward AS r FROM ctx c JOIN cand cd ON cd.q = c.q AND cd.arm = c.chosen_arm),
@@ -121,3 +122,16 @@ SQL["stream_policy"] = POL + """ SELECT arm, count(*) AS pulls, round(sum(r), 9)
     1 + sum(CASE WHEN r < 4e-1 THEN 0e0 ELSE 1e0 END) AS alpha, 1 + sum(1e0 - CASE WHEN r < 4e-1 THEN 0e0 ELSE 1e0 END) AS beta
     FROM lg18 GROUP BY arm"""
 SQL["stream_diagnose"] = "WITH " + BASE + """ SELECT q, failure_label, verified_label, round(total_reward, 6) AS total_reward FROM diag"""
+
+SQL["policy_io"] = POL + " SELECT arm, alpha, beta, 'thompsonsampling' AS method, 'fever' AS variant FROM tsf"
+
+# The SGD fold: per arm the logged rows in step order, w := w + lr * (r - w.x) * x.
+_EPS = POL + """,
+seq AS (SELECT arm, list({'x': x, 'r': r} ORDER BY step) AS l FROM lg18 GROUP BY arm),
+eps AS (SELECT a.arm::BIGINT AS arm, CASE WHEN s.l IS NULL THEN list_transform(range(18), lambda i: 0e0) ELSE
+          list_reduce(list_concat([{'x': list_transform(range(18), lambda i: 0e0), 'r': 0e0}], s.l),
+            lambda w, e: {'x': list_transform(list_zip(w.x, e.x), lambda z: z[1] + 1e-2 * (e.r - list_sum(list_transform(list_zip(w.x, e.x), lambda y: y[1] * y[2]))) * z[2]),
+                          'r': 0e0}).x END AS w
+        FROM actions a LEFT JOIN seq s ON s.arm = a.arm)"""
+SQL["epsgreedy_fit"] = _EPS + """ SELECT arm, 18 AS dims, round(sqrt(list_sum(list_transform(w, lambda z: z * z))), 6) AS w_norm,
+    list_transform(w, lambda z: round(z, 8)) AS w FROM eps"""

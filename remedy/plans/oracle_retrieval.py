@@ -112,10 +112,3 @@ SQL = {
         SELECT q_id, pack, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context, count(*) AS n_chunks
         FROM b GROUP BY q_id, pack""",
 }
-
-SQL["context_means"] = EVAL + """, top1 AS (SELECT q_id, doc_id FROM scores
-      QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc_id, pos) = 1),
-    sp AS (SELECT t.q_id, coalesce(l.quality, 0) = 1 AS em FROM top1 t LEFT JOIN labels l USING (doc_id)),
-    j AS (SELECT ev.*, coalesce(sp.em, false) AS em FROM ev LEFT JOIN sp USING (q_id))
-    SELECT em, round(avg(context_precision), 6) AS context_precision, round(avg(context_recall), 6) AS context_recall,
-           count(*) AS n FROM j GROUP BY em"""

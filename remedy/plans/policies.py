@@ -40,7 +40,7 @@ def contexts(spark, sf, full: bool = True) -> DataFrame:
     """Context rows of failed queries: (q, x, retriever_only, chosen_arm)."""
     d = _failed(spark, sf)
     if full:
-        d = PO.context_vector(PO.with_query_embedding(d, X.vectors(spark, sf), 500, "q"), "qv")
+        d = PO.context_vector(PO.with_query_embedding(d, X.vectors(spark, sf), X.n_vectors(spark, sf), "q"), "qv")
     else:
         d = diag_features(d)
     return d.select("q", "x", "retriever_only", "chosen_arm")
@@ -121,9 +121,8 @@ def ucb_score(spark, sf):
 
 
 def kernelucb_scores(spark, sf):
-    c = contexts(spark, sf, False)
-    sc = PO.kernelucb_linear(c, log(spark, sf, False), RW.action_space(spark), alpha=1.0, dim=DIAG_DIM)
-    return sc.join(c.select("q", "retriever_only"), "q")
+    return PO.kernelucb_linear(contexts(spark, sf, False), log(spark, sf, False), RW.action_space(spark),
+                               alpha=1.0, dim=DIAG_DIM)
 
 
 def kernelucb_score(spark, sf):
@@ -151,14 +150,15 @@ def neural_linear_score(spark, sf):
 
 def epsgreedy_fit(spark, sf):
     lg = log(spark, sf, False)
-    w = PO.epsgreedy_fit(lg, DIAG_DIM)
-    return w.select("arm", F.size("w").alias("dims"), rnd(PO.norm(F.col("w")), 6).alias("w_norm"), "w")
+    w = PO.epsgreedy_fit(lg, DIAG_DIM, arms=RW.action_space(spark))
+    return w.select("arm", F.size("w").alias("dims"), rnd(PO.norm(F.col("w")), 6).alias("w_norm"),
+                    F.transform("w", lambda v: rnd(v, 8)).alias("w"))
 
 
 def epsgreedy_choice(spark, sf):
     """with probability epsilon a uniform arm, else argmax of w.x (md5 draws)."""
     lg = log(spark, sf, False)
-    w = PO.epsgreedy_fit(lg, DIAG_DIM)
+    w = PO.epsgreedy_fit(lg, DIAG_DIM, arms=RW.action_space(spark))
     c = contexts(spark, sf, False)
     sc = c.crossJoin(F.broadcast(w)).select("q", "arm", PO.dot(F.col("x"), F.col("w")).alias("score"))
     greedy = PO.masked_argmax(sc, "q")

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
@@ -85,8 +86,10 @@ def load_index(spark: SparkSession, path: str, kb_version: int):
         p = os.path.join(path, name, f"kb_version={kb_version}")
         try:
             out.append(spark.read.parquet(p))
-        except Exception:  # noqa: BLE001 - absent index: the caller builds it
-            return None
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":  # absent index: the caller builds it
+                return None
+            raise
     return tuple(out)
 
 
