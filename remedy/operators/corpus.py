@@ -110,20 +110,19 @@ def refresh_sample(secondary: DataFrame, id_col: str, version: int, n: int = 100
 
 def corpus_refresh(primary: DataFrame, secondary: DataFrame, id_col: str, versions: int = 3,
                    n: int = 100, p: float = 0.5, seed: int = 42) -> DataFrame:
-    """C5 re-aimed: version v = primary + (with probability p, from md5(seed, v))
-    a deterministic n-row sample of the secondary corpus. UNION ALL, no dedupe."""
-    spark = primary.sparkSession
+    """C5 re-aimed: each version extends the one before. Version v is the primary corpus
+    and the samples of all versions up to v that were drawn; version u draws, with
+    probability p (from md5(seed, u)), a deterministic n-row sample of the secondary
+    corpus. UNION ALL, no dedupe: a passage drawn twice is held twice."""
     parts = []
     for v in range(1, versions + 1):
         parts.append(primary.select(F.lit(v).alias("kb_version"), F.lit("primary").alias("origin"), id_col))
-        u = md5_uniform(F.lit(str(seed)), F.lit(str(v)))
-        smp = refresh_sample(secondary, id_col, v, n, seed).select(
-            F.lit(v).alias("kb_version"), F.lit("secondary").alias("origin"), id_col)
-        parts.append(smp.filter(u <= p))
+        drawn = refresh_sample(secondary, id_col, v, n, seed).filter(md5_uniform(F.lit(str(seed)), F.lit(str(v))) <= p)
+        parts.append(drawn.select(F.explode(F.sequence(F.lit(v), F.lit(versions))).alias("kb_version"),
+                                  F.lit("secondary").alias("origin"), id_col))
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
-    del spark
     return out
 
 

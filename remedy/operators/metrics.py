@@ -57,10 +57,6 @@ def context_recall(ranked: DataFrame, chunks: DataFrame, gold: DataFrame, has_go
                                    F.coalesce("_found", F.lit(0.0)) / F.col("n_gold")).alias("context_recall")))
 
 
-def em_column(refs, cand) -> F.Column:
-    return T.exact_match(refs, cand)
-
-
 def value_counts_by(df: DataFrame, split_col: str, cols: list[str]) -> DataFrame:
     """Value counts of several columns split by a boolean, via one unpivot."""
     u = df.select(split_col, *[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
@@ -68,11 +64,6 @@ def value_counts_by(df: DataFrame, split_col: str, cols: list[str]) -> DataFrame
     return u.groupBy(split_col, "column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def means_by(df: DataFrame, split_col: str, cols: list[str]) -> DataFrame:
-    """Means by group, nulls skipped (``avg`` ignores nulls)."""
-    return df.groupBy(split_col).agg(*[F.avg(c).alias(c) for c in cols])
-
-
 def rate_with_overall(df: DataFrame, group_col: str, flag_col: str, out: str) -> DataFrame:
     """Mean of a boolean per group plus the overall row (group = null)."""
     return (df.rollup(group_col).agg(F.avg(F.col(flag_col).cast("double")).alias(out),
@@ -107,41 +98,51 @@ def poisson_weight(u: F.Column) -> F.Column:
     return w
 
 
-def bootstrap_ci(df: DataFrame, group_col: str, value_col: str, row_id: str,
-                 resamples: int = 10, seed: int = 42, by: list[str] | None = None) -> DataFrame:
-    """Poisson bootstrap of the mean, per group and overall (group null),
-    within each ``by`` key (e.g. the metric name).
-
-    Each row gets a Poisson(1) weight per resample from md5(seed, resample, row);
-    per resample the weighted mean sum(w*x)/sum(w); then the mean of the replicate
-    means and their 2.5/97.5 percentiles. A group of one row gives (value, NaN, NaN).
-    All rounded to 8 places. The resample table has a fixed size (bounded)."""
-    spark = df.sparkSession
-    by = list(by or [])
-    reps = F.broadcast(spark.range(resamples).select(F.col("id").alias("b")))
-    x = df.select(*by, group_col, row_id, F.col(value_col).cast("double").alias("x"))
+def bootstrap_metrics(df: DataFrame, group_col: str, metrics: list[str], row_id: str,
+                      resamples: int = 10, seed: int = 42) -> DataFrame:
+    """Poisson bootstrap of the mean of several columns, per group and overall
+    (group null): (metric, group, n, mean, ci_low, ci_high).
+
+    Each row gets one Poisson(1) weight per resample from md5(seed, resample, row). One
+    grouping sums the weights and the weighted columns of all resamples; the overall row
+    is the total of the groups. Per resample the weighted mean sum(w*x)/sum(w), then the
+    mean of the replicate means and their 2.5/97.5 percentiles, rounded to 8 places. A
+    group of one row gives (value, NaN, NaN)."""
+    w = F.array(*[poisson_weight(md5_uniform(F.lit(str(seed)), F.lit(b), F.col(row_id))).cast("double")
+                  for b in range(resamples)])
+    x = df.select(group_col, *[F.col(m).cast("double").alias(m) for m in metrics], w.alias("_w"))
+    sums = [F.count(F.lit(1)).alias("n")] + [F.first(m).alias(f"_x_{m}") for m in metrics]
+    for b in range(resamples):
+        at = F.col("_w")[b]
+        for m in metrics:  # rows where the metric is null have no weight for it
+            sums += [F.sum(at * F.col(m)).alias(f"_s_{b}_{m}"), F.sum(F.when(F.col(m).isNotNull(), at)).alias(f"_w_{b}_{m}")]
+    per = x.groupBy(group_col).agg(*sums)
     gtype = x.schema[group_col].dataType
-    xw = x.crossJoin(reps).withColumn(
-        "w", poisson_weight(md5_uniform(F.lit(str(seed)), F.col("b"), F.col(row_id))))
-    wm = F.try_divide(F.sum(F.col("w") * F.col("x")), F.sum("w")).alias("m")
-    per = (xw.groupBy(*by, group_col, "b").agg(wm)
-             .unionByName(xw.groupBy(*by, "b").agg(wm).withColumn(group_col, F.lit(None).cast(gtype))))
-    stats = per.groupBy(*by, group_col).agg(
-        F.avg("m").alias("mean"),
-        F.percentile("m", 0.025).alias("lo"),
-        F.percentile("m", 0.975).alias("hi"))
-    one = [F.count(F.lit(1)).alias("n"), F.first("x").alias("_x1")]
-    sizes = (x.groupBy(*by, group_col).agg(*one)
-              .unionByName(x.groupBy(*by).agg(*one).withColumn(group_col, F.lit(None).cast(gtype))))
-    cond = sizes[group_col].eqNullSafe(stats[group_col])
-    for c in by:
-        cond = cond & (sizes[c] == stats[c])
-    j = sizes.join(stats, cond, "left").drop(stats[group_col])
-    for c in by:
-        j = j.drop(stats[c])
+    total = per.agg(*[F.first(c).alias(c) if c.startswith("_x_") else F.sum(c).alias(c) for c in per.columns[1:]])
+    both = per.unionByName(total.withColumn(group_col, F.lit(None).cast(gtype)))
+    ratio = lambda b, m: F.when(F.col(f"_w_{b}_{m}") > 0, F.col(f"_s_{b}_{m}") / F.col(f"_w_{b}_{m}"))
+    rows = F.explode(F.array(*[F.struct(
+        F.lit(m).alias("metric"), F.col(f"_x_{m}").alias("x1"),
+        F.array_sort(F.array_compact(F.array(*[ratio(b, m) for b in range(resamples)]))).alias("r")) for m in metrics]))
+    t = both.select(group_col, "n", rows.alias("t")).select(group_col, "n", "t.*")
+    k = F.size("r")
+    mean = F.when(k > 0, F.aggregate("r", F.lit(0.0), lambda s, v: s + v) / k)
+
+    def percentile(p: float) -> F.Column:  # linear interpolation between the sorted replicates
+        at = (k - 1) * F.lit(p)
+        lo = F.floor(at).cast("int")
+        a, b = F.get("r", lo), F.get("r", F.least(lo + 1, k - 1))
+        return F.when(k > 0, a + (b - a) * (at - lo))
+
     nan = F.lit(float("nan"))
-    return j.select(
-        *by, group_col, "n",
-        rnd(F.when(F.col("n") == 1, F.col("_x1")).otherwise(F.col("mean")), 8).alias("mean"),
-        F.when(F.col("n") == 1, nan).otherwise(rnd("lo", 8)).alias("ci_low"),
-        F.when(F.col("n") == 1, nan).otherwise(rnd("hi", 8)).alias("ci_high"))
+    return t.select(
+        "metric", group_col, "n",
+        rnd(F.when(F.col("n") == 1, F.col("x1")).otherwise(mean), 8).alias("mean"),
+        F.when(F.col("n") == 1, nan).otherwise(rnd(percentile(0.025), 8)).alias("ci_low"),
+        F.when(F.col("n") == 1, nan).otherwise(rnd(percentile(0.975), 8)).alias("ci_high"))
+
+
+def bootstrap_ci(df: DataFrame, group_col: str, value_col: str, row_id: str,
+                 resamples: int = 10, seed: int = 42) -> DataFrame:
+    """``bootstrap_metrics`` of one column."""
+    return bootstrap_metrics(df, group_col, [value_col], row_id, resamples, seed).drop("metric")

@@ -8,6 +8,9 @@ composed in parallel and then combined in order (exact, no single-task group).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -134,6 +137,89 @@ def thompson_fit(log: DataFrame, arms: DataFrame) -> DataFrame:
                     (1 + F.coalesce(F.col("_n") - F.col("_s"), F.lit(0.0))).alias("beta")))
 
 
+def _hash_uniform(q: np.ndarray, arm: np.ndarray, salt: int) -> np.ndarray:
+    """Uniforms in (0, 1) from (q, arm, salt) by 64-bit mixing: the same row always draws
+    the same number, whatever batch it comes in."""
+    with np.errstate(over="ignore"):
+        x = q.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + arm.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
+        x += np.uint64(salt * 0x8CB92BA72F3D8DD7 % 2**64)
+        for shift, mult in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(mult)
+        x ^= x >> np.uint64(31)
+    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
+
+
+def _gamma_draws(q: np.ndarray, arm: np.ndarray, shape: np.ndarray, salt: int) -> np.ndarray:
+    """Gamma(shape >= 1) draws by squeezing cubed normals; a try is accepted with a
+    probability above 0.95, so sixteen tries leave nothing over in practice."""
+    d = shape - 1 / 3
+    c, out = 1 / np.sqrt(9 * d), d.copy()
+    left = np.ones(len(d), dtype=bool)
+    for t in range(16):
+        u1, u2, u3 = (_hash_uniform(q, arm, salt + 3 * t + j) for j in range(3))
+        z = np.sqrt(-2 * np.log(u1)) * np.cos(2 * np.pi * u2)
+        v = (1 + c * z) ** 3
+        ok = left & (v > 0)
+        ok[ok] = np.log(u3[ok]) < 0.5 * z[ok] ** 2 + d[ok] * (1 - v[ok] + np.log(v[ok]))
+        out[ok], left = d[ok] * v[ok], left & ~ok
+        if not left.any():
+            break
+    return out
+
+
+def beta_draws(q: pd.Series, arm: pd.Series, alpha: pd.Series, beta: pd.Series) -> pd.Series:
+    """Beta(alpha, beta) draws keyed by (q, arm), as a ratio of two Gamma draws."""
+    qq, aa = q.to_numpy(np.int64), arm.to_numpy(np.int64)
+    x = _gamma_draws(qq, aa, alpha.to_numpy(np.float64), 1)
+    y = _gamma_draws(qq, aa, beta.to_numpy(np.float64), 1001)
+    return pd.Series(x / (x + y))
+
+
+# ---- one protocol for the policies ----------------------------------------------------
+
+@dataclass(frozen=True)
+class Policy:
+    """A policy is a fit of a log (arm, x, r, step) to a state table, and a score of
+    contexts (q, x, retriever_only) under that state: (q, arm, score). ``select`` plays
+    the allowed arm with the highest score."""
+    name: str
+    fit: Callable[[DataFrame], DataFrame]
+    score: Callable[[DataFrame, DataFrame], DataFrame]
+
+    def select(self, contexts: DataFrame, state: DataFrame) -> DataFrame:
+        s = self.score(contexts, state)
+        if "retriever_only" not in s.columns:
+            s = s.join(contexts.select("q", "retriever_only"), "q")
+        return masked_argmax(s, "q", ~F.col("retriever_only") | (F.col("arm") < 8))
+
+
+def thompson_policy(arms: DataFrame) -> Policy:
+    draw = F.pandas_udf(beta_draws, "double")
+
+    def score(ctx: DataFrame, state: DataFrame) -> DataFrame:
+        x = ctx.select("q", "retriever_only").crossJoin(F.broadcast(state))  # one row per arm
+        return x.select("q", "arm", "retriever_only", draw("q", "arm", "alpha", "beta").alias("score"))
+
+    return Policy("thompson", lambda log: thompson_fit(log, arms), score)
+
+
+def ucb_policy(arms: DataFrame) -> Policy:
+    def score(ctx: DataFrame, state: DataFrame) -> DataFrame:
+        s = F.coalesce("ucb", F.lit(float("inf")))  # an arm never played comes first
+        return ctx.select("q", "retriever_only").crossJoin(F.broadcast(ucb_score(state))).select(
+            "q", "arm", "retriever_only", s.alias("score"))
+
+    return Policy("ucb", lambda log: ucb_fit(log, arms), score)
+
+
+def greedy_policy(arms: DataFrame, d: int, lr: float = SGD_LR) -> Policy:
+    def score(ctx: DataFrame, state: DataFrame) -> DataFrame:
+        return ctx.select("q", "x", "retriever_only").crossJoin(F.broadcast(state)).select(
+            "q", "arm", "retriever_only", dot(F.col("x"), F.col("w")).alias("score"))
+
+    return Policy("epsgreedy", lambda log: epsgreedy_fit(log, d, lr, arms=arms), score)
+
+
 def ucb_fit(log: DataFrame, arms: DataFrame) -> DataFrame:
     """Pulls and mean reward per arm, total pulls."""
     s = log.groupBy("arm").agg(F.count(F.lit(1)).alias("pulls"), F.avg("r").alias("mean_reward"))

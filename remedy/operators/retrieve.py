@@ -208,16 +208,16 @@ def _local_topk(qids: np.ndarray, qmat: np.ndarray, k: int, qblock: int = 1024):
 
 
 def dense_topk(index: DataFrame, queries: DataFrame, k: int = 5, part_rows: int = 20_000,
-               block_rows: int = 5_000) -> DataFrame:
+               batch_rows: int = 5_000) -> DataFrame:
     """F1/D3: exact L2 nearest neighbours, ascending distance, ties by id.
 
     ``index``: (vec_id, v array<double>); ``queries``: (q_id, v). Both sides are hashed,
     the index into parts of about ``part_rows`` and the queries into blocks of about
-    ``block_rows``; a task meets one block with one part in matrix products and returns
+    ``batch_rows``; a task meets one block with one part in matrix products and returns
     k rows per query. Nothing passes through the driver and nothing is broadcast; a task
     holds one part and one block, whatever the sizes. A per-query window keeps the k best."""
     parts = max(1, math.ceil(index.count() / part_rows))
-    blocks = max(1, math.ceil(queries.count() / block_rows))
+    blocks = max(1, math.ceil(queries.count() / batch_rows))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     x = index.select(F.col("vec_id").cast("long").alias("vec_id"), "v").withColumn(
         "part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).withColumn("block", every(blocks))

@@ -37,7 +37,8 @@ for _k in ["entailment_vote", "failure_label", "verified_label", "reward", "rewa
            "repaired_traces", "fixed_policy", "explore_choice", "failed_rows", "exact_match", "canon_label",
            "diagnostic_counts", "consistency_rate", "bootstrap_ci", "pre_post_join", "action_name",
            "delta_by_action", "action_frequency", "budget_features", "one_hot", "faithfulness",
-           "answer_relevancy", "context_means"]:
+           "answer_relevancy", "context_means", "post_bootstrap_ci", "post_consistency_rate",
+           "post_diagnostic_counts"]:
     QUERIES[_k] = getattr(DQ, _k)
 
 for _k in ["decode_brackets", "clean_passage", "split_sentences", "join_sentences", "label_sentence",
@@ -48,7 +49,8 @@ for _k in ["decode_brackets", "clean_passage", "split_sentences", "join_sentence
            "normalize_id"]:
     QUERIES[_k] = getattr(CQ, _k)
 
-for _k in ["triple_topk", "triple_status", "triple_rollup", "answer_consistency", "consistency_counts"]:
+for _k in ["triple_topk", "triple_status", "triple_rollup", "answer_consistency", "consistency_counts",
+           "answer_consistency_short"]:
     QUERIES[_k] = getattr(KQ, _k)
 
 for _k in ["context_vector", "linucb_fit", "linucb_score", "thompson_fit", "thompson_mean", "thompson_score",
@@ -56,11 +58,11 @@ for _k in ["context_vector", "linucb_fit", "linucb_score", "thompson_fit", "thom
            "epsgreedy_choice", "tree_policy"]:
     QUERIES[_k] = getattr(PQ, _k)
 
-for _k in ["src_claims", "src_pages", "src_slices", "src_multihop", "kb_artifact", "trace_tsv", "trace_reload",
+for _k in ["src_claims", "src_pages", "src_slices", "src_multihop", "kb_artifact", "trace_tsv", "trace_reload", "trace_reload_rewards",
            "index_tables", "policy_io"]:
     QUERIES[_k] = getattr(IQ, _k)
 
-for _k in ["stream_diagnose", "stream_policy", "stream_reindex", "stream_epsgreedy"]:
+for _k in ["stream_diagnose", "stream_policy", "stream_reindex", "stream_bm25_topk", "stream_epsgreedy"]:
     QUERIES[_k] = getattr(SQ, _k)
 
 ORACLE = dict(OR.SQL)

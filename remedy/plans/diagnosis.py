@@ -27,6 +27,29 @@ def diagnosed(spark: SparkSession, sf: str) -> DataFrame:
     return d.withColumn("em", T.exact_match(F.array("gt_label"), F.col("verified_label")))
 
 
+EVENT_COLS = ("event_id", "user_id", "value")
+
+
+def diagnose_rows(events: DataFrame, keep=()) -> DataFrame:
+    """Failure label of each event's trace, row by row: no grouping and no join, so it
+    serves batches and streams alike."""
+    return D.with_failure(X.vote_arrays(X.traces_from_events(events, None, keep)))
+
+
+def failed_with_choice(events: DataFrame, keep=()) -> DataFrame:
+    """Failed traces with the arm that is played: the logged one, within the allowed set."""
+    pre = diagnose_rows(events, keep=(*EVENT_COLS, *keep)).filter(F.col("failure_label") != D.NO_FAILURE)
+    logged = F.col("event_id") % X.N_ARMS
+    return pre.withColumn("retriever_only", F.col("verified_label") == D.UNVERIFIED).withColumn(
+        "chosen_arm", F.when(F.col("retriever_only"), logged % 8).otherwise(logged))
+
+
+def chosen_outcomes(failed: DataFrame, keep=()) -> DataFrame:
+    """Outcome of re-asking each failed trace under its chosen arm only (not all arms)."""
+    post = X.vote_arrays(X.traces_from_events(failed, F.col("chosen_arm"), ("chosen_arm", *keep)))
+    return RW.default_reward(D.with_failure(post)).withColumnRenamed("chosen_arm", "arm")
+
+
 def candidates_diagnosed(spark: SparkSession, sf: str) -> DataFrame:
     """Outcome of every (query, arm) re-ask, diagnosed and rewarded."""
     tr, vt = X.candidate_outcomes(spark, sf)
@@ -117,7 +140,7 @@ def apply_action(spark, sf):
 
 def repaired(spark, sf):
     d = _policy_choice(diagnosed(spark, sf))
-    return P.repaired_traces(d, candidates_diagnosed(spark, sf), "chosen_arm")
+    return P.repaired_traces(d, chosen_outcomes(failed_with_choice(X.table(spark, sf, "events"))), "chosen_arm")
 
 
 def repaired_traces(spark, sf):
@@ -167,11 +190,43 @@ def consistency_rate(spark, sf):
 def bootstrap_ci(spark, sf):
     """Bootstrap mean and 95% interval of latency, VRAM and the consistency
     rate, per failure label and overall."""
-    d = diagnosed(spark, sf).select(
-        "q", "failure_label", "latency", "vram",
-        (F.col("kg_consistency") == "CONSISTENT").cast("double").alias("consistency"))
-    u = d.unpivot(["q", "failure_label"], ["latency", "vram", "consistency"], "metric", "value")
-    return M.bootstrap_ci(u, "failure_label", "value", "q", by=["metric"])
+    return _intervals(diagnosed(spark, sf))
+
+
+def _intervals(d: DataFrame) -> DataFrame:
+    x = d.select("q", "failure_label", "latency", "vram",
+                 (F.col("kg_consistency") == "CONSISTENT").cast("double").alias("consistency"))
+    return M.bootstrap_metrics(x, "failure_label", ["latency", "vram", "consistency"], "q")
+
+
+def repaired_with_em(spark, sf) -> DataFrame:
+    """Repaired traces with the gold label and the exact match after repair."""
+    gold = X.base_traces(spark, sf).select("q", "gt_label")
+    return repaired(spark, sf).join(gold, "q").withColumn("em", T.exact_match(F.array("gt_label"), F.col("verified_label")))
+
+
+def post_bootstrap_ci(spark, sf):
+    """E11 after repair: the same intervals over the repaired traces."""
+    return _intervals(repaired(spark, sf))
+
+
+def post_consistency_rate(spark, sf):
+    """E12 after repair, per failure label and overall, with the exact-match rate."""
+    d = repaired_with_em(spark, sf)
+    r = d.rollup("failure_label").agg(
+        R6_mean(F.col("kg_consistency") == "CONSISTENT").alias("consistency_rate"),
+        R6_mean(F.col("em")).alias("em_rate"), F.count(F.lit(1)).alias("n"))
+    return r.select("failure_label", "consistency_rate", "em_rate", "n")
+
+
+def R6_mean(flag):
+    return rnd(F.avg(flag.cast("double")), 6)
+
+
+def post_diagnostic_counts(spark, sf):
+    """E9 after repair: value counts split by the exact match after repair."""
+    return M.value_counts_by(repaired_with_em(spark, sf), "em", [
+        "kg_consistency", "query_entailment", "response_entailment", "failure_label", "gt_label", "verified_label"])
 
 
 def pre_post(spark, sf):

@@ -92,7 +92,12 @@ def trace_tsv(spark, sf):
 
 
 def trace_reload(spark, sf):
-    t = FS.read_trace_tsv(spark, _traces_path(spark, sf))
+    return FS.read_trace_tsv(spark, _traces_path(spark, sf))
+
+
+def trace_reload_rewards(spark, sf):
+    """The reloaded rows with the total of the parsed reward."""
+    t = trace_reload(spark, sf)
     return t.select("q", "action", "failure_label", "params_json", rnd(F.col("reward.total_reward"), 6).alias("total_reward"))
 
 

@@ -162,8 +162,8 @@ SQL = {
                 QUALIFY row_number() OVER (PARTITION BY v ORDER BY md5('42|' || v::VARCHAR || '|' || doc_id::VARCHAR), doc_id) <= 100)
         SELECT v AS kb_version, 'primary' AS origin, doc_id FROM vs, p WHERE p.lang = 'en'
         UNION ALL
-        SELECT v, 'secondary', doc_id FROM smp
-        WHERE ('0x' || substr(md5('42|' || v::VARCHAR), 1, 8))::BIGINT / 4294967296e0 <= 5e-1""",
+        SELECT w.v, 'secondary', doc_id FROM smp JOIN (SELECT v FROM vs) w ON w.v >= smp.v
+        WHERE ('0x' || substr(md5('42|' || smp.v::VARCHAR), 1, 8))::BIGINT / 4294967296e0 <= 5e-1""",
     "corpus_counts": f"""WITH {CHUNKS}, {CLAIMS}, {PAGES}
         SELECT 'documents' AS stage, count(*) AS n FROM documents
         UNION ALL SELECT 'unique_passages', count(*) FROM passages
@@ -207,6 +207,10 @@ SQL["stream_reindex"] = "WITH " + BM25.replace(
     "pieces AS (SELECT doc_id, regexp_extract_all(text, '\\S+\\s*') AS p FROM documents)") + """
     SELECT doc_id, pos, term, tf, dl::INT AS dl FROM post"""
 
+SQL["stream_bm25_topk"] = "WITH " + BM25.replace(
+    "pieces AS (SELECT doc_id, regexp_extract_all(text, '\\S+\\s*') AS p FROM passages)",
+    "pieces AS (SELECT doc_id, regexp_extract_all(text, '\\S+\\s*') AS p FROM documents)") + f""", {ranked(5)}
+    SELECT q_id, doc_id, pos, score, rank FROM ranked"""
 SQL["normalize_id"] = "SELECT doc_id::VARCHAR AS page_id, doc_id::VARCHAR AS norm_id, sha256(nfc_normalize(text)) AS text_digest FROM documents"
 
 SQL["src_pages"] = f"WITH {PAGES} SELECT page_id AS id, text, lines FROM wpages"

@@ -263,10 +263,10 @@ SQL["context_means"] = _EVAL + """, """ + W.removeprefix("WITH ") + """
     SELECT em, round(avg(context_precision), 6) AS context_precision, round(avg(context_recall), 6) AS context_recall,
            count(*) AS n FROM diagem JOIN ev ON ev.q_id = diagem.q % (SELECT count(*) FROM benchmark) GROUP BY em"""
 
-SQL["bootstrap_ci"] = W + f""",
-    u AS (SELECT q, failure_label, 'latency' AS metric, latency AS x FROM diag
-          UNION ALL SELECT q, failure_label, 'vram', vram FROM diag
-          UNION ALL SELECT q, failure_label, 'consistency', (kg_consistency = 'CONSISTENT')::INT::DOUBLE FROM diag),
+_BOOT = f""",
+    u AS (SELECT q, failure_label, 'latency' AS metric, latency AS x FROM TRACES
+          UNION ALL SELECT q, failure_label, 'vram', vram FROM TRACES
+          UNION ALL SELECT q, failure_label, 'consistency', (kg_consistency = 'CONSISTENT')::INT::DOUBLE FROM TRACES),
     xw AS (SELECT metric, failure_label, q, x, b,
              {_poisson_sql("('0x' || substr(md5('42|' || b::VARCHAR || '|' || q::VARCHAR), 1, 8))::BIGINT / 4294967296e0")} AS w
            FROM u, (SELECT unnest(range(10)) AS b)),
@@ -284,5 +284,17 @@ SQL["bootstrap_ci"] = W + f""",
 SQL["trace_tsv"] = f"""{WC}, {CHOICE}, {REPAIRED}
     SELECT q, action::BIGINT AS action, failure_label, verified_label, kg_consistency, query_entailment, response_entailment,
            round(latency, 6) AS latency, round(vram, 6) AS vram FROM rep"""
-SQL["trace_reload"] = f"""{WC}, {CHOICE}, {REPAIRED}
+SQL["trace_reload_rewards"] = f"""{WC}, {CHOICE}, {REPAIRED}
     SELECT q, action::BIGINT AS action, failure_label, params_json, round(total_reward, 6) AS total_reward FROM rep"""
+
+SQL["bootstrap_ci"] = W + _BOOT.replace("TRACES", "diag")
+SQL["post_bootstrap_ci"] = f"{WC}, {CHOICE}, {REPAIRED}" + _BOOT.replace("TRACES", "rep")
+_POST = f"""{WC}, {CHOICE}, {REPAIRED},
+    post AS (SELECT r.*, d.gt_label, lower(d.gt_label) = lower(r.verified_label) AS em FROM rep r JOIN diagem d USING (q))"""
+SQL["post_consistency_rate"] = _POST + """ SELECT failure_label,
+    round(avg((kg_consistency = 'CONSISTENT')::INT::DOUBLE), 6) AS consistency_rate,
+    round(avg(em::INT::DOUBLE), 6) AS em_rate, count(*) AS n FROM post GROUP BY ROLLUP (failure_label)"""
+SQL["post_diagnostic_counts"] = _POST + """ SELECT em, "column", value, count(*) AS n FROM (
+    UNPIVOT (SELECT em, kg_consistency, query_entailment, response_entailment, failure_label, gt_label, verified_label FROM post)
+    ON kg_consistency, query_entailment, response_entailment, failure_label, gt_label, verified_label
+    INTO NAME "column" VALUE value) GROUP BY ALL"""

@@ -135,3 +135,5 @@ eps AS (SELECT a.arm::BIGINT AS arm, CASE WHEN s.l IS NULL THEN list_transform(r
         FROM actions a LEFT JOIN seq s ON s.arm = a.arm)"""
 SQL["epsgreedy_fit"] = _EPS + """ SELECT arm, 18 AS dims, round(sqrt(list_sum(list_transform(w, lambda z: z * z))), 6) AS w_norm,
     list_transform(w, lambda z: round(z, 8)) AS w FROM eps"""
+
+SQL["answer_consistency_short"] = "WITH " + KFACTS.replace("< 1e-1 THEN 'CONFLICT'", "< 5e-1 THEN 'CONFLICT'") + " SELECT answer_id, consistency FROM ka"

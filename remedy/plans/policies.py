@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from remedy.functions.num import rnd
 from remedy.operators import policy as PO
 from remedy.operators import reward as RW
-from remedy.operators.diagnose import NO_FAILURE, UNVERIFIED
 from remedy.operators.metrics import md5_uniform
 from remedy.plans import fixtures as X
-from remedy.plans.diagnosis import _policy_choice, candidates_diagnosed, diagnosed
+from remedy.session import cut_lineage
+from remedy.plans.diagnosis import chosen_outcomes, failed_with_choice
 
 EMB_DIM = 64
 DIAG_DIM = 18
@@ -31,28 +29,25 @@ def diag_features(df: DataFrame) -> DataFrame:
         F.array(vh, lh)))
 
 
-def _failed(spark, sf) -> DataFrame:
-    d = _policy_choice(diagnosed(spark, sf)).filter(F.col("failure_label") != NO_FAILURE)
-    return d.withColumn("retriever_only", F.col("verified_label") == UNVERIFIED)
-
-
 def contexts(spark, sf, full: bool = True) -> DataFrame:
     """Context rows of failed queries: (q, x, retriever_only, chosen_arm)."""
-    d = _failed(spark, sf)
+    return _contexts(spark, sf, full).select("q", "x", "retriever_only", "chosen_arm")
+
+
+def _contexts(spark, sf, full: bool) -> DataFrame:
+    d = failed_with_choice(X.table(spark, sf, "events"))
     if full:
         d = PO.context_vector(PO.with_query_embedding(d, X.vectors(spark, sf), X.n_vectors(spark, sf), "q"), "qv")
     else:
         d = diag_features(d)
-    return d.select("q", "x", "retriever_only", "chosen_arm")
+    return d
 
 
 def log(spark, sf, full: bool = True) -> DataFrame:
     """Logged (context, arm, reward) of failed queries: the chosen arm's outcome.
     Only failed rows update the policy (the update sits inside the failure branch)."""
-    c = contexts(spark, sf, full)
-    cand = candidates_diagnosed(spark, sf).select("q", "arm", F.col("reward.total_reward").alias("r"))
-    return (c.join(cand, (c.q == cand.q) & (c.chosen_arm == cand.arm))
-             .select(c.q.alias("step"), "arm", "x", "r"))
+    post = chosen_outcomes(_contexts(spark, sf, full), ("x",))
+    return post.select(F.col("q").alias("step"), "arm", "x", F.col("reward.total_reward").alias("r"))
 
 
 def context_vector(spark, sf):
@@ -95,18 +90,11 @@ def thompson_mean(spark, sf):
 
 
 def thompson_score(spark, sf):
-    """Beta(alpha, beta) draws seeded by (seed, q, arm) in an Arrow UDF."""
+    """one Beta(alpha, beta) draw per (q, arm), vectorised per Arrow batch."""
     fit = PO.thompson_fit(_binary_log(spark, sf), RW.action_space(spark))
     c = contexts(spark, sf, False).select("q", "retriever_only")
-    s = c.crossJoin(F.broadcast(fit)).filter(~F.col("retriever_only") | (F.col("arm") < 8))
-
-    @F.pandas_udf("double")
-    def draw(q: pd.Series, arm: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-        out = np.empty(len(q))
-        for i, (qq, aa, al, be) in enumerate(zip(q, arm, a, b)):
-            out[i] = np.random.default_rng([42, int(qq), int(aa)]).beta(al, be)
-        return pd.Series(out)
-
+    s = c.crossJoin(F.broadcast(fit)).filter(~F.col("retriever_only") | (F.col("arm") < 8))  # 11 arms
+    draw = F.pandas_udf(PO.beta_draws, "double")
     return PO.masked_argmax(s.withColumn("score", draw("q", "arm", "alpha", "beta")), "q")
 
 
@@ -174,8 +162,8 @@ def tree_policy(spark, sf):
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.regression import DecisionTreeRegressor
 
-    lg = log(spark, sf, False).withColumn("features", array_to_vector("x"))
-    c = contexts(spark, sf, False).withColumn("features", array_to_vector("x"))
+    lg = cut_lineage(log(spark, sf, False)).withColumn("features", array_to_vector("x"))  # one fit per arm reads it
+    c = cut_lineage(contexts(spark, sf, False)).withColumn("features", array_to_vector("x"))
     arms = [r["arm"] for r in lg.select("arm").distinct().collect()]  # at most 11 values
     preds = []
     for a in sorted(arms):

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from remedy.functions.num import rnd
+from remedy.operators import retrieve as R
+from remedy.plans import fixtures as X
 from remedy.streaming import jobs as S
 
 
@@ -23,8 +25,13 @@ def stream_policy(spark, sf):
 
 def stream_reindex(spark, sf):
     docs = S.read_table_stream(spark, sf, "documents", S.DOCS_SCHEMA)
-    out = S.run_reindex(spark, docs)
-    return out.select("doc_id", "pos", "term", "tf", "dl")
+    return S.run_reindex(spark, docs).postings.select("doc_id", "pos", "term", "tf", "dl")
+
+
+def stream_bm25_topk(spark, sf):
+    """H2: benchmark items ranked against the streamed index (all documents, k = 5)."""
+    index = S.run_reindex(spark, S.read_table_stream(spark, sf, "documents", S.DOCS_SCHEMA))
+    return R.top_k(R.bm25_scores(index, R.query_terms(X.questions(spark, sf))), 5)
 
 
 def stream_epsgreedy(spark, sf):

@@ -14,15 +14,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from remedy.operators import diagnose as D
 from remedy.operators import retrieve as R
 from remedy.operators import reward as RW
-from remedy.plans import fixtures as X
+from remedy.plans.diagnosis import chosen_outcomes, diagnose_rows, failed_with_choice
 from remedy.session import scratch_path
 
 EVENTS_SCHEMA = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 DOCS_SCHEMA = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
-EVENT_COLS = ("event_id", "user_id", "value")
 
 
 def read_table_stream(spark: SparkSession, folder: str, table: str, schema: str,
@@ -32,28 +30,17 @@ def read_table_stream(spark: SparkSession, folder: str, table: str, schema: str,
                  .option("maxFilesPerTrigger", files_per_trigger).parquet(folder))
 
 
-def _diagnose_rows(events: DataFrame, keep=()) -> DataFrame:
-    t = X.vote_arrays(X.traces_from_events(events, None, keep))
-    return D.with_failure(t)
-
-
 def diagnose_stream(events: DataFrame) -> DataFrame:
     """H3: failure label, verified label and reward of each arriving trace with the
     batch expressions, per row (stateless, append mode)."""
-    d = RW.default_reward(_diagnose_rows(events))
+    d = RW.default_reward(diagnose_rows(events))
     return d.select("q", "failure_label", "verified_label", F.col("reward.total_reward").alias("total_reward"))
 
 
 def outcome_stream(events: DataFrame) -> DataFrame:
     """Failed traces re-asked under their chosen arm (the logged arm restricted to
     the retriever arms when UNVERIFIED): (arm, reward) per failed trace."""
-    pre = _diagnose_rows(events, keep=EVENT_COLS).filter(F.col("failure_label") != D.NO_FAILURE)
-    logged = F.col("event_id") % X.N_ARMS
-    pre = pre.select(*EVENT_COLS, F.when(F.col("verified_label") == D.UNVERIFIED, logged % 8)
-                     .otherwise(logged).alias("chosen_arm"))
-    post = D.with_failure(X.vote_arrays(X.traces_from_events(pre, F.col("chosen_arm"), ("chosen_arm",))))
-    return RW.default_reward(post).select(F.col("chosen_arm").alias("arm"),
-                                          F.col("reward.total_reward").alias("r"))
+    return chosen_outcomes(failed_with_choice(events)).select("arm", F.col("reward.total_reward").alias("r"))
 
 
 def outcome_stream_with_context(events: DataFrame) -> DataFrame:
@@ -61,14 +48,8 @@ def outcome_stream_with_context(events: DataFrame) -> DataFrame:
     the log order ``step`` (the event id)."""
     from remedy.plans.policies import diag_features
 
-    pre = _diagnose_rows(events, keep=EVENT_COLS).filter(F.col("failure_label") != D.NO_FAILURE)
-    pre = diag_features(pre)
-    logged = F.col("event_id") % X.N_ARMS
-    pre = pre.select(*EVENT_COLS, "x", F.when(F.col("verified_label") == D.UNVERIFIED, logged % 8)
-                     .otherwise(logged).alias("chosen_arm"))
-    post = D.with_failure(X.vote_arrays(X.traces_from_events(pre, F.col("chosen_arm"), ("chosen_arm", "x"))))
-    return RW.default_reward(post).select(F.col("q").alias("step"), F.col("chosen_arm").alias("arm"), "x",
-                                          F.col("reward.total_reward").alias("r"))
+    post = chosen_outcomes(diag_features(failed_with_choice(events)), ("x",))
+    return post.select(F.col("q").alias("step"), "arm", "x", F.col("reward.total_reward").alias("r"))
 
 
 def epsgreedy_stream(events: DataFrame, d: int = 18, lr: float = 0.01) -> DataFrame:
@@ -107,49 +88,55 @@ def policy_stream(events: DataFrame) -> DataFrame:
 
 
 def run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append",
-                 key: tuple[str, ...] = ()) -> DataFrame:
-    """Run a streaming query over all available input (availableNow) into a parquet
-    table under the checkpoint folder, then return that table.
-
-    append: the file sink (exactly-once through its commit log).
-    complete: each micro-batch overwrites the snapshot.
-    update: each micro-batch appends its changed rows with the batch id; the
-    latest row per ``key`` is returned."""
-    out = scratch_path(spark, f"stream-{name}-{uuid.uuid4().hex[:12]}")
-    ckpt = out + "-checkpoint"
+                 key: tuple[str, ...] = (), path: str | None = None) -> DataFrame:
+    """Run a streaming query over all available input (availableNow) into a parquet table
+    and return it. ``path`` names the table and, beside it, the checkpoint; a second run
+    on the same path resumes and adds nothing for input already read. Without it each
+    call gets a table of its own under the checkpoint folder.
+
+    append: the file sink (exactly-once through its commit log). complete and update:
+    each micro-batch overwrites the partition of its own batch id, so a retried batch
+    leaves no duplicates; complete returns the last snapshot, update the latest row per
+    ``key``."""
+    out = path or scratch_path(spark, f"stream-{name}-{uuid.uuid4().hex[:12]}")
+    ckpt = out.rstrip("/") + "-checkpoint"
     if mode == "append":
         q = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
                    .outputMode("append").trigger(availableNow=True).start())
-    else:
-        def sink(batch: DataFrame, epoch: int) -> None:
-            if mode == "complete":
-                batch.write.mode("overwrite").parquet(out)
-            else:
-                batch.withColumn("_epoch", F.lit(epoch)).write.mode("append").parquet(out)
-
-        q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt)
-                   .outputMode(mode).trigger(availableNow=True).start())
+        q.awaitTermination()
+        return spark.read.parquet(out)
+    q = (stream.writeStream.foreachBatch(lambda b, epoch: _write_batch(b, out, epoch)).option("checkpointLocation", ckpt)
+               .outputMode(mode).trigger(availableNow=True).start())
     q.awaitTermination()
     res = spark.read.parquet(out)
-    if mode == "update":
-        from pyspark.sql import Window as W
-        w = W.partitionBy(*key).orderBy(F.col("_epoch").desc())
-        res = res.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1).drop("_r", "_epoch")
-    return res
+    if mode == "complete":
+        last = res.agg(F.max("batch")).first()[0]
+        return res.filter(F.col("batch") == last).drop("batch")
+    from pyspark.sql import Window as W
+    w = W.partitionBy(*key).orderBy(F.col("batch").desc())
+    return res.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1).drop("_r", "batch")
+
+
+def _write_batch(rows: DataFrame, out: str, epoch: int) -> None:
+    """One folder per micro-batch, overwritten when the batch is retried."""
+    rows.write.mode("overwrite").parquet(f"{out}/batch={epoch}")
 
 
 def reindex_batch(batch: DataFrame, out: str, epoch: int) -> None:
-    """H2 micro-batch: chunk the new passages and append their postings with the
-    batch id as the index version (a plain batch aggregation inside the batch)."""
-    chunks = R.chunk_windows(batch.select("doc_id", "text"))
-    idx = R.bm25_index(chunks)
-    (idx.postings.select("doc_id", "pos", "term", "tf", "dl").withColumn("kb_version", F.lit(epoch))
-        .write.mode("append").parquet(out))
+    """H2 micro-batch: postings of the new passages' chunks, and the number of chunks and
+    of terms they add, so that df, N and the average length follow from the tables."""
+    idx = R.bm25_index(R.chunk_windows(batch.select("doc_id", "text")))
+    _write_batch(idx.postings.select("doc_id", "pos", "term", "tf", "dl"), f"{out}/postings", epoch)
+    _write_batch(idx.stats.select("n_chunks", (F.col("avgdl") * F.col("n_chunks")).alias("n_terms")), f"{out}/stats", epoch)
 
 
-def run_reindex(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    out = scratch_path(spark, f"stream-reindex-{uuid.uuid4().hex[:12]}")
+def run_reindex(spark: SparkSession, docs: DataFrame, path: str | None = None) -> R.BM25Index:
+    """Index a stream of passages and return the index over all batches so far."""
+    out = path or scratch_path(spark, f"stream-reindex-{uuid.uuid4().hex[:12]}")
     q = (docs.writeStream.foreachBatch(lambda b, e: reindex_batch(b, out, e))
-             .option("checkpointLocation", out + "-checkpoint").trigger(availableNow=True).start())
+             .option("checkpointLocation", out.rstrip("/") + "-checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out)
+    postings = spark.read.parquet(f"{out}/postings").drop("batch")
+    stats = spark.read.parquet(f"{out}/stats").agg(
+        F.sum("n_chunks").alias("n_chunks"), (F.sum("n_terms") / F.sum("n_chunks")).alias("avgdl"))
+    return R.BM25Index(postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), stats)
