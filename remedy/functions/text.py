@@ -99,6 +99,18 @@ def terms(x) -> Column:
     return F.filter(F.split(F.lower(_c(x)), TOKEN_SPLIT), lambda t: t != F.lit(""))
 
 
+# English function words left out of a lexical index (the list that open-source
+# search libraries share).
+STOP_WORDS = (
+    "a an and are as at be but by for if in into is it no not of on or such that the their then there these they "
+    "this to was will with").split()
+
+
+def index_terms(c) -> Column:
+    """Terms of a lexical index or query: ``terms`` without stop words."""
+    return F.filter(terms(c), lambda t: ~t.isin(STOP_WORDS))
+
+
 def pieces(x) -> Column:
     """Whitespace-delimited pieces that keep trailing blanks (exact re-join)."""
     return F.regexp_extract_all(_c(x), F.lit(PIECE), 0)

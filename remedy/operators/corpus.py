@@ -48,6 +48,13 @@ def page_sentences(pages: DataFrame, page_col: str = "page_id", lines_col: str =
                         F.posexplode(T.split_sentences(lines_col)).alias("sent_idx", "sentence"))
 
 
+def latest_pages(pages: DataFrame, page_col: str, ordinal_col: str) -> DataFrame:
+    """Of rows that repeat a page id the one with the greatest source ordinal. Only
+    (id, ordinal) is grouped; the rows then meet the winners on both."""
+    last = pages.groupBy(page_col).agg(F.max(ordinal_col).alias(ordinal_col))
+    return pages.join(last, [page_col, ordinal_col], "left_semi").dropDuplicates([page_col])
+
+
 def evidence_sentences(evidence: DataFrame, sentences: DataFrame) -> DataFrame:
     """(claim, distinct tidy evidence sentence) by an equi join on (page, index)."""
     j = evidence.join(sentences, ["page", "sent_idx"])

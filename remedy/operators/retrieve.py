@@ -95,7 +95,7 @@ def bm25_index(chunks: DataFrame, vocabulary: DataFrame | None = None, materiali
     keys = ["doc_id", "pos"]
     base = chunks if clustered else chunks.repartition(
         int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
-    t = base.select(*keys, T.terms("text").alias("_t")).withColumn("dl", F.size("_t"))
+    t = base.select(*keys, T.index_terms("text").alias("_t")).withColumn("dl", F.size("_t"))
     x = t.select(*keys, "dl", F.explode(F.concat("_t", F.array(F.lit(None).cast("string")))).alias("term"))
     if vocabulary is not None:
         v = bounded_broadcast(vocabulary.select("term").distinct().withColumn("_in", F.lit(True)))
@@ -110,9 +110,9 @@ def bm25_index(chunks: DataFrame, vocabulary: DataFrame | None = None, materiali
 
 
 def query_terms(queries: DataFrame, q_col: str = "q_id", text_col: str = "question") -> DataFrame:
-    """Distinct lower-cased terms per query (each term counted once)."""
+    """Distinct lower-cased terms per query, stop words left out (each counted once)."""
     return queries.select(F.col(q_col).alias("q_id"),
-                          F.explode(F.array_distinct(T.terms(text_col))).alias("term"))
+                          F.explode(F.array_distinct(T.index_terms(text_col))).alias("term"))
 
 
 def bm25_scores(index: BM25Index, qterms: DataFrame) -> DataFrame:

@@ -4,11 +4,13 @@ and reads it back through the reader under test."""
 
 from __future__ import annotations
 
+import hashlib
 import os
 import uuid
 
 from pyspark.sql import functions as F
 
+from remedy.functions import text as T
 from remedy.functions.num import rnd
 from remedy.operators import corpus as C
 from remedy.operators import policy as PO
@@ -66,7 +68,6 @@ def src_multihop(spark, sf):
 def kb_artifact(spark, sf):
     ev = C.explode_evidence(X.claims(spark, sf))
     pages = C.evidence_pages(X.wiki_pages(spark, sf), ev)
-    from remedy.functions import text as T
     kb = pages.select(F.col("page_id").alias("doc_id"), T.clean_passage("text").alias("text"),
                       T.split_sentences("lines").alias("sentences"))
     path = _scratch(spark, "kb")
@@ -101,11 +102,21 @@ def trace_reload_rewards(spark, sf):
     return t.select("q", "action", "failure_label", "params_json", rnd(F.col("reward.total_reward"), 6).alias("total_reward"))
 
 
+def _input_key(spark, sf, name: str, *params) -> str:
+    """Digest of a table's files (path, size, time of change) and of the parameters: equal
+    keys mean equal input, whatever session asks. One row per file is read."""
+    m = "_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time"
+    files = sorted(str(tuple(r)) for r in X.table(spark, sf, name).select(*m).distinct().collect())
+    return hashlib.sha256(repr((files, params)).encode()).hexdigest()[:24]
+
+
 def index_tables(spark, sf):
-    idx = R.bm25_index(R.chunk_windows(X.passages(spark, sf)), clustered=True)
-    path = _scratch(spark, "index")
+    """The index of the passages, loaded if one of this input and these parameters is
+    there, else built and written."""
+    path = scratch_path(spark, "index-" + _input_key(spark, sf, "documents", R.CHUNK_SIZE, R.CHUNK_OVERLAP, T.STOP_WORDS))
     got = FS.load_index(spark, path, 1)
     if got is None:
+        idx = R.bm25_index(R.chunk_windows(X.passages(spark, sf)), clustered=True)
         FS.write_index(idx.postings, idx.df, idx.stats, path, 1)
         got = FS.load_index(spark, path, 1)
     return got[0]

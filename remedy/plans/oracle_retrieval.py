@@ -7,6 +7,15 @@ def terms(x: str) -> str:
     return TERMS.format(x=x)
 
 
+# The stop words of the index.
+STOP = ("('a','an','and','are','as','at','be','but','by','for','if','in','into','is','it','no','not','of','on','or','such',"
+        "'that','the','their','then','there','these','they','this','to','was','will','with')")
+
+
+def index_terms(x: str) -> str:
+    return f"list_filter({terms(x)}, lambda t: t NOT IN {STOP})"
+
+
 PASSAGES = "passages AS (SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text)"
 
 CHUNKS = PASSAGES + """,
@@ -20,14 +29,14 @@ chunks AS (
 QUESTIONS = "questions AS (SELECT item_id AS q_id, text AS question FROM benchmark)"
 
 BM25 = CHUNKS + ",\n" + QUESTIONS + f""",
-ct AS (SELECT doc_id, pos, {terms('text')} AS t FROM chunks),
+ct AS (SELECT doc_id, pos, {index_terms('text')} AS t FROM chunks),
 dl AS (SELECT doc_id, pos, len(t) AS dl FROM ct),
 post AS (SELECT p.doc_id, p.pos, p.term, p.tf, dl.dl FROM
           (SELECT doc_id, pos, term, count(*) AS tf FROM (SELECT doc_id, pos, unnest(t) AS term FROM ct)
            GROUP BY doc_id, pos, term) p JOIN dl USING (doc_id, pos)),
 dfreq AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 st AS (SELECT count(*) AS n_chunks, avg(dl) AS avgdl FROM dl),
-qt AS (SELECT DISTINCT q_id, term FROM (SELECT q_id, unnest({terms('question')}) AS term FROM questions)),
+qt AS (SELECT DISTINCT q_id, term FROM (SELECT q_id, unnest({index_terms('question')}) AS term FROM questions)),
 idf AS (SELECT q_id, term, ln(1 + (n_chunks - df + 5e-1) / (df + 5e-1)) AS idf, avgdl
         FROM qt JOIN dfreq USING (term) CROSS JOIN st),
 scores AS (SELECT q_id, doc_id, pos,

@@ -164,3 +164,34 @@ def test_local_checkpoint_folder_is_refused_on_a_cluster(spark, monkeypatch):
                            sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:1"))
     with pytest.raises(ValueError):
         session.checkpoint_dir(fake)
+
+
+def test_index_is_built_once_per_input(spark, monkeypatch):
+    from remedy.plans import io as IQ
+    first = sorted(map(tuple, IQ.index_tables(spark, SF_SMALL).collect()))
+
+    def never(*a, **k):
+        raise AssertionError("tokenised again")
+    monkeypatch.setattr(IQ.R, "bm25_index", never)
+    assert sorted(map(tuple, IQ.index_tables(spark, SF_SMALL).collect())) == first
+
+
+def test_latest_of_repeated_pages(spark):
+    from remedy.operators import corpus as C
+    df = spark.createDataFrame([("a", 1, "old"), ("a", 3, "new"), ("a", 2, "mid"), ("b", 1, "only"), ("a", 3, "new")],
+                               "page_id string, ord int, lines string")
+    assert sorted((r.page_id, r.lines) for r in C.latest_pages(df, "page_id", "ord").collect()) == [("a", "new"), ("b", "only")]
+
+
+@pytest.mark.parametrize("broken, label, response", [
+    ('{"label": "SUPPORTS", "response": "it is', "SUPPORTS", "it is"),
+    ('{"label": "SUPPORTS", "response": "a, b",}', "SUPPORTS", "a, b"),
+    ("{'label': 'REFUTES', 'response': 'no'}", "REFUTES", "no"),
+    ('```json\n{"label": "SUPPORTS", "response": "x"\n```', "SUPPORTS", "x"),
+    ('chatter {"label": "SUPPORTS", "response": "say \\"hi\\" {now}"} end', "SUPPORTS", 'say "hi" {now}'),
+    ("no json at all", None, None),
+])
+def test_reply_repair(spark, broken, label, response):
+    from remedy.functions import reply as RP
+    r = spark.createDataFrame([(broken,)], "t string").select(RP.parse_reply(F.col("t")).alias("p")).first().p
+    assert (r.label, r.response, r.parse_ok) == (label, response, label is not None)
