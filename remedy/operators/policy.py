@@ -250,10 +250,12 @@ def linucb_state(a: DataFrame, b: DataFrame, d: int):
     """Collect A and b (arms x d x d doubles: bounded by the model, not the data),
     invert once per arm."""
     A, B = {}, {}
-    for row in a.collect():
-        A.setdefault(int(row["arm"]), np.zeros((d, d)))[row["i"], row["j"]] = row["a"]
-    for row in b.collect():
-        B.setdefault(int(row["arm"]), np.zeros(d))[row["i"]] = row["b"]
+    for arm, g in a.toPandas().groupby("arm"):  # Arrow columns, no row objects
+        A[int(arm)] = np.zeros((d, d))
+        A[int(arm)][g["i"], g["j"]] = g["a"]
+    for arm, g in b.toPandas().groupby("arm"):
+        B[int(arm)] = np.zeros(d)
+        B[int(arm)][g["i"]] = g["b"]
     state = {}
     for arm, m in A.items():
         inv = np.linalg.inv(m)

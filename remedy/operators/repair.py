@@ -126,14 +126,14 @@ def pre_post_join(pre: DataFrame, post: DataFrame) -> DataFrame:
 
 def fixed_policies(diag: DataFrame, cand: DataFrame) -> DataFrame:
     """Always-paraphrase (arm 9), always dense top-20 (arm 2), and the best
-    single arm (highest mean reward over failed queries, lowest arm on ties)."""
+    single arm (highest mean reward over failed queries, lowest arm on ties). ``cand``
+    holds the outcomes of the failed queries only."""
     spark = diag.sparkSession
-    failed = diag.filter(F.col("failure_label") != NO_FAILURE).select("q")
     stats = [F.count(F.lit(1)).alias("n"), F.sum("r").alias("s"),
              F.sum((F.col("failure_label") == NO_FAILURE).cast("long")).alias("ok")]
     r = F.col("reward.total_reward").alias("r")
     # one row per arm: all three policies and the choice of the best read it
-    per_arm = cut_lineage(failed.join(cand, "q").select("arm", "failure_label", r).groupBy("arm").agg(*stats))
+    per_arm = cut_lineage(cand.select("arm", "failure_label", r).groupBy("arm").agg(*stats))
     best = per_arm.agg(F.max_by("arm", F.struct(F.col("s") / F.col("n"), -F.col("arm"))).alias("arm")).select(
         F.lit("best_arm").alias("policy"), "arm")
     fixed = spark.createDataFrame([("paraphrase", 9), ("top20", 2)], "policy string, arm long")

@@ -7,7 +7,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -171,40 +171,14 @@ def _row_topk(cd: np.ndarray, ci: np.ndarray, k: int):
     return dv[take], iv[take]
 
 
-def _local_topk(qids: np.ndarray, qmat: np.ndarray, k: int, qblock: int = 1024):
-    """mapInPandas body: squared L2 of one partition's vectors against a query batch.
-
-    Arrow batches stream through; a running best-k per query (ties by id) is kept,
-    so memory is O(queries x (k + batch)) and only k rows per query leave the task."""
-    nq = len(qids)
-    qn = (qmat * qmat).sum(axis=1)
-
-    def run(batches):
-        best_d = np.full((nq, 0), np.inf)
-        best_i = np.zeros((nq, 0), dtype=np.int64)
-        for b in batches:
-            if b.empty:
-                continue
-            ids = b["vec_id"].to_numpy(dtype=np.int64)
-            m = np.asarray(b["v"].tolist(), dtype=np.float64)
-            mn = (m * m).sum(axis=1)
-            nd, ni = [], []
-            for s in range(0, nq, qblock):
-                q = qmat[s:s + qblock]
-                d = np_rnd(np.maximum(qn[s:s + qblock, None] + mn[None, :] - 2.0 * (q @ m.T), 0.0), 6)
-                cd = np.concatenate([best_d[s:s + qblock], d], axis=1)
-                ci = np.concatenate([best_i[s:s + qblock], np.broadcast_to(ids, d.shape)], axis=1)
-                bd, bi = _row_topk(cd, ci, k)
-                nd.append(bd)
-                ni.append(bi)
-            best_d, best_i = np.concatenate(nd), np.concatenate(ni)
-        if best_d.shape[1] == 0:
-            return
-        kk = best_d.shape[1]
-        yield pd.DataFrame({"q_id": np.repeat(qids.astype(np.int64), kk),
-                            "vec_id": best_i.ravel(), "score": best_d.ravel()})
-
-    return run
+def _block_topk(q: np.ndarray, ids: np.ndarray, m: np.ndarray, k: int, rows: int = 1024):
+    """(distance, id) of each query's k nearest rows of ``m``: squared L2 by matrix products,
+    ``rows`` queries at a time, ties by id."""
+    qn, mn, out = (q * q).sum(axis=1), (m * m).sum(axis=1), []
+    for s in range(0, len(q), rows):
+        d = np_rnd(np.maximum(qn[s:s + rows, None] + mn[None, :] - 2.0 * (q[s:s + rows] @ m.T), 0.0), 6)
+        out.append(_row_topk(d, np.broadcast_to(ids, d.shape), k))
+    return np.concatenate([d for d, _ in out]), np.concatenate([i for _, i in out])
 
 
 def dense_topk(index: DataFrame, queries: DataFrame, k: int = 5, part_rows: int = 20_000,
@@ -224,13 +198,16 @@ def dense_topk(index: DataFrame, queries: DataFrame, k: int = 5, part_rows: int
     q = queries.select(F.col("q_id").cast("long").alias("q_id"), "v").withColumn(
         "block", F.pmod(F.xxhash64("q_id"), F.lit(blocks)).cast("int")).withColumn("part", every(parts))
 
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"q_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        mat = np.asarray(left["v"].tolist(), dtype=np.float64)
-        return next(_local_topk(left["q_id"].to_numpy(), mat, k)(iter([right[["vec_id", "v"]]])))
+    def matrix(t: pa.Table) -> np.ndarray:
+        return t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
 
-    near = q.groupBy("part", "block").cogroup(x.groupBy("part", "block")).applyInPandas(
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"q_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        d, i = _block_topk(matrix(left), right.column("vec_id").to_numpy(), matrix(right), k)
+        return pa.table({"q_id": np.repeat(left.column("q_id").to_numpy(), d.shape[1]), "vec_id": i.ravel(), "score": d.ravel()})
+
+    near = q.groupBy("part", "block").cogroup(x.groupBy("part", "block")).applyInArrow(
         meet, "q_id long, vec_id long, score double")
     return top_k(near, k, descending=False, order_ids=("vec_id",))
 

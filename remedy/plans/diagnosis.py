@@ -58,6 +58,13 @@ def candidates_diagnosed(spark: SparkSession, sf: str) -> DataFrame:
     return RW.default_reward(D.with_failure(X.vote_arrays(X.traces_from_events(e, F.col("arm"), ("arm",)))))
 
 
+def failed_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Outcomes of the failed traces under every arm; the others are never re-asked."""
+    arms = F.broadcast(spark.range(X.N_ARMS).select(F.col("id").alias("arm")))
+    e = failed_with_choice(X.table(spark, sf, "events")).select(*EVENT_COLS).crossJoin(arms)
+    return RW.default_reward(D.with_failure(X.vote_arrays(X.traces_from_events(e, F.col("arm"), ("arm",)))))
+
+
 def entailment_vote(spark, sf):
     b = X.base_traces(spark, sf)
     return D.entailment_vote(b, X.votes(spark, sf, b), ["q"]).select("q", "query_entailment", "response_entailment")
@@ -123,7 +130,7 @@ def action_candidates(spark, sf):
 
 def oracle_best_action(spark, sf):
     d = diagnosed(spark, sf)
-    best = P.oracle_best_action(d, candidates_diagnosed(spark, sf), RW.action_space(spark))
+    best = P.oracle_best_action(d, failed_candidates(spark, sf), RW.action_space(spark))
     return best.select("q", "arm", "failure_label", R6("total_reward"))
 
 
@@ -152,9 +159,7 @@ def repaired_traces(spark, sf):
 
 
 def fixed_policy(spark, sf):
-    d = diagnosed(spark, sf)
-    c = candidates_diagnosed(spark, sf)
-    out = P.fixed_policies(d, c)
+    out = P.fixed_policies(diagnosed(spark, sf), failed_candidates(spark, sf))
     return out.select("policy", "arm", "n", R6("avg_reward"), "n_no_failure")
 
 
