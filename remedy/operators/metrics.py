@@ -108,22 +108,24 @@ def bootstrap_metrics(df: DataFrame, group_col: str, metrics: list[str], row_id:
     is the total of the groups. Per resample the weighted mean sum(w*x)/sum(w), then the
     mean of the replicate means and their 2.5/97.5 percentiles, rounded to 8 places. A
     group of one row gives (value, NaN, NaN)."""
-    w = F.array(*[poisson_weight(md5_uniform(F.lit(str(seed)), F.lit(b), F.col(row_id))).cast("double")
-                  for b in range(resamples)])
+    # a weight is the number of Poisson cumulative probabilities not above the row's uniform
+    cdf = "array(" + ", ".join(f"{c!r}D" for c in POISSON_CDF) + ")"
+    uniform = f"conv(substring(md5(concat_ws('|', '{seed}', b, cast({row_id} as string))), 1, 8), 16, 10) / 4294967296D"
+    w = F.expr(f"transform(transform(sequence(0, {resamples - 1}), b -> {uniform}), "
+               f"u -> cast(size(filter({cdf}, c -> c <= u)) as double))")
     x = df.select(group_col, *[F.col(m).cast("double").alias(m) for m in metrics], w.alias("_w"))
-    sums = [F.count(F.lit(1)).alias("n")] + [F.first(m).alias(f"_x_{m}") for m in metrics]
+    sums = [F.expr("count(1) AS n")] + [F.expr(f"first({m}) AS _x_{m}") for m in metrics]
     for b in range(resamples):
-        at = F.col("_w")[b]
         for m in metrics:  # rows where the metric is null have no weight for it
-            sums += [F.sum(at * F.col(m)).alias(f"_s_{b}_{m}"), F.sum(F.when(F.col(m).isNotNull(), at)).alias(f"_w_{b}_{m}")]
+            sums += [F.expr(f"sum(_w[{b}] * {m}) AS _s_{b}_{m}"), F.expr(f"sum(if({m} is null, null, _w[{b}])) AS _w_{b}_{m}")]
     per = x.groupBy(group_col).agg(*sums)
     gtype = x.schema[group_col].dataType
     total = per.agg(*[F.first(c).alias(c) if c.startswith("_x_") else F.sum(c).alias(c) for c in per.columns[1:]])
     both = per.unionByName(total.withColumn(group_col, F.lit(None).cast(gtype)))
-    ratio = lambda b, m: F.when(F.col(f"_w_{b}_{m}") > 0, F.col(f"_s_{b}_{m}") / F.col(f"_w_{b}_{m}"))
-    rows = F.explode(F.array(*[F.struct(
-        F.lit(m).alias("metric"), F.col(f"_x_{m}").alias("x1"),
-        F.array_sort(F.array_compact(F.array(*[ratio(b, m) for b in range(resamples)]))).alias("r")) for m in metrics]))
+    ratio = lambda b, m: f"if(_w_{b}_{m} > 0, _s_{b}_{m} / _w_{b}_{m}, null)"
+    rows = F.explode(F.array(*[F.expr(
+        f"struct('{m}' AS metric, _x_{m} AS x1, array_sort(array_compact(array("
+        + ", ".join(ratio(b, m) for b in range(resamples)) + "))) AS r)") for m in metrics]))
     t = both.select(group_col, "n", rows.alias("t")).select(group_col, "n", "t.*")
     k = F.size("r")
     mean = F.when(k > 0, F.aggregate("r", F.lit(0.0), lambda s, v: s + v) / k)
