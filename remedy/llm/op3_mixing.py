@@ -5,9 +5,10 @@ the whole part, and the fraction becomes an inclusion probability. The cube meth
 rounds the fractions. While three documents are undecided, the probabilities move along
 the null space of the two balancing constraints (document total, word total) until one
 reaches 0 or 1; the direction is random with the weights that keep every expectation.
-At most two undecided documents remain per group, and landing rounds those. Groups are
-buckets of about GROUP_ROWS documents of one source (a large source has many, so none is
-hot); each lands within a few words of its share.
+At most two undecided documents remain per group. Groups are buckets of about GROUP_ROWS
+documents of one source, as many as its own documents need (a large source has many, so
+none is hot). One bucket of a source waits for what the others leave undecided, flies with
+it, and only there does the source land, within a few words of its target.
 
 Targets: sources in code point order (null last) weigh 1, 2, 3, repeating, and share the
 words of all; a target stops at 3 times its source's words, the excess is reshared by
@@ -16,13 +17,15 @@ weight until none is above.
 Defined cases: null or empty text has size 0 and takes 0; rows equal in source, id and
 size are one unit whose copies share its draws as evenly as possible; null ids and null
 sources are ordinary values; an empty table gives an empty mix. Draws are seeded by
-source and bucket, buckets by a hash of id and size, so reruns agree.
+source, pass and bucket, buckets by a hash of id and size, so reruns agree.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -37,7 +40,7 @@ from remedy.sources.tables import table
 CAP = 3.0
 GROUP_ROWS = 5_000
 EPS = 1e-9
-_COLS = "_mx_s string, _mx_g long, _mx_i long, _mx_n long, _mx_base long, _mx_x double, _mx_z long"
+_COLS = "_mx_s string, _mx_b long, _mx_g long, _mx_i long, _mx_n long, _mx_base long, _mx_x double, _mx_z long"
 
 
 def n_words(text: Column) -> Column:
@@ -120,24 +123,58 @@ def land(x: list[float], size: list[float], act: list[int], open_: list[int], wa
     return got.tolist()
 
 
-def _round_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+def _fly(key: tuple, pdf: pd.DataFrame, step: int) -> tuple[pd.DataFrame, list[float], list[float], list[int]]:
     # large documents first: they are the hardest to place, and the small ones absorb them
     pdf = pdf.sort_values(["_mx_z", "_mx_i", "_mx_n"], ascending=[False, True, True], na_position="last")
     source = None if pd.isna(key[0]) else key[0]
-    seed = hashlib.sha256(f"{source!r}|{int(key[1])}".encode()).digest()[:8]
-    x, size = pdf["_mx_x"].tolist(), pdf["_mx_z"].astype("float64").tolist()
-    want = sum(v * z for v, z in zip(x, size))
-    open_ = [k for k, v in enumerate(x) if EPS <= v <= 1 - EPS]
-    x, act = flight(x, size, np.random.default_rng(int.from_bytes(seed, "big")))
+    name = f"{source!r}|{int(key[1])}" + (f"|{step}" if step else "")
+    seed = int.from_bytes(hashlib.sha256(name.encode()).digest()[:8], "big")
+    size = pdf["_mx_z"].astype("float64").tolist()
+    x, act = flight(pdf["_mx_x"].tolist(), size, np.random.default_rng(seed))
+    return pdf, x, size, act
+
+
+def _fly_group(step: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """One pass over a bucket; bucket 0 waits for the landing."""
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        if key[1] == 0:
+            return pdf
+        pdf, x, _, _ = _fly(key, pdf, step)
+        return pdf.assign(_mx_x=x)
+    return run
+
+
+def _land_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf, x, size, act = _fly(key, pdf, 0)
+    start = pdf["_mx_x"].tolist()
+    want = sum(v * z for v, z in zip(start, size))
+    open_ = [k for k, v in enumerate(start) if EPS <= v <= 1 - EPS]
     return pdf.assign(_mx_x=land(x, size, act, open_, want))
 
 
-def cube_counts(units: DataFrame) -> DataFrame:
-    """Units (_mx_* columns, fractions in _mx_x) with every fraction rounded to 0 or 1."""
-    most = units.groupBy("_mx_s").count().agg(F.max("count")).first()[0] or 0
-    groups = max(1, math.ceil(most / GROUP_ROWS))
-    return units.withColumn("_mx_g", F.pmod(F.xxhash64("_mx_i", "_mx_z", "_mx_n"), F.lit(groups))).groupBy(
-        "_mx_s", "_mx_g").applyInPandas(_round_group, _COLS)
+def cube_counts(units: DataFrame, most: int) -> DataFrame:
+    """Units (_mx_* columns, fractions in _mx_x, buckets of their source in _mx_b, at most
+    ``most``) with every fraction rounded to 0 or 1.
+
+    A pass flies all buckets but the first of each source; the at most two documents a
+    bucket leaves undecided are dealt again, to as few buckets as hold them, until one is
+    left a source. It lands with the buckets that waited."""
+    cols = [c.split()[0] for c in _COLS.split(", ")]
+    done, last, step = [], [], 0
+    while most > 1:
+        step += 1
+        flown = written(units.withColumn("_mx_g", F.pmod(
+            F.xxhash64("_mx_i", "_mx_z", "_mx_n", F.lit(step)), F.col("_mx_b"))).select(*cols).groupBy(
+            "_mx_s", "_mx_g").applyInPandas(_fly_group(step), _COLS), "mix-flown")
+        waits, decided = F.col("_mx_g") == 0, F.col("_mx_x").isin(0.0, 1.0)
+        done.append(flown.filter(~waits & decided))
+        last.append(flown.filter(waits))
+        units = flown.filter(~waits & ~decided).withColumn(
+            "_mx_b", F.ceil(F.col("_mx_b") * 2 / GROUP_ROWS).cast("long")).drop("_mx_g")
+        most = math.ceil(most * 2 / GROUP_ROWS)
+    last.append(units.withColumn("_mx_g", F.lit(0).cast("long")).select(*cols))
+    landed = reduce(DataFrame.unionByName, last).groupBy("_mx_s", "_mx_g").applyInPandas(_land_group, _COLS)
+    return reduce(DataFrame.unionByName, done, landed)
 
 
 def mix_counts(rows: DataFrame) -> DataFrame:
@@ -145,19 +182,22 @@ def mix_counts(rows: DataFrame) -> DataFrame:
     total (draws of all copies), source_size and target."""
     rows = written(rows.select("doc_id", "source", "size"), "mix-sizes")
     units = rows.groupBy("source", "doc_id", "size").agg(F.count("*").alias("n"))
-    per_source = units.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    per_source = units.groupBy("source").agg(
+        F.sum(F.col("size") * F.col("n")).alias("source_size"),
+        F.ceil(F.count("*") / GROUP_ROWS).cast("long").alias("_mx_b"))
     targets = written(source_targets(per_source), "targets")
+    most = targets.agg(F.max("_mx_b")).first()[0] or 1
     # one row per source; the planner broadcasts it when small, else AQE splits the hot source
     t = targets.withColumnRenamed("source", "_src")
     want = units.join(t, units["source"].eqNullSafe(t["_src"])).drop("_src").withColumn(
         "want", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size") * F.col("n")).otherwise(0.0))
     base = F.floor(F.col("want") + EPS)
     cubed = cube_counts(want.select(
-        F.col("source").alias("_mx_s"), F.col("doc_id").alias("_mx_i"), F.col("n").alias("_mx_n"),
+        F.col("source").alias("_mx_s"), "_mx_b", F.col("doc_id").alias("_mx_i"), F.col("n").alias("_mx_n"),
         base.cast("long").alias("_mx_base"),
         F.when(F.col("size") > 0, F.greatest(F.lit(0.0), F.col("want") - base)).otherwise(0.0).alias("_mx_x"),
-        F.col("size").alias("_mx_z")))
-    return cubed.join(t, F.col("_mx_s").eqNullSafe(F.col("_src"))).select(
+        F.col("size").alias("_mx_z")), most)
+    return cubed.drop("_mx_b").join(t, F.col("_mx_s").eqNullSafe(F.col("_src"))).select(
         F.col("_mx_i").alias("doc_id"), F.col("_mx_s").alias("source"), F.col("_mx_z").alias("size"),
         F.col("_mx_n").alias("n"), (F.col("_mx_base") + F.col("_mx_x").cast("long")).alias("total"),
         "source_size", "target")

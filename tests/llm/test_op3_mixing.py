@@ -80,3 +80,22 @@ def test_mix_repeats_rows_with_all_columns(spark, docs_of):
     want = {r.doc_id: r.total for r in o.mix_counts(df.select(
         "doc_id", "source", o.n_words(df["text"]).alias("size"))).collect() if r.total and r.size}
     assert {k: v for k, v in counts.items() if v} == want and max(counts.values()) <= 3
+
+
+def test_small_sources_beside_a_hot_one_reach_their_targets(spark, monkeypatch):
+    monkeypatch.setattr(o, "GROUP_ROWS", 20)  # 200 buckets of the hot source, three passes
+    rng = np.random.default_rng(9)
+    rows = [(i, "hot", int(rng.integers(20, 60))) for i in range(4000)]
+    rows += [(10_000 + i, f"s{i % 15:02}", int(rng.integers(20, 60))) for i in range(1500)]
+    got, counts = report(spark, rows)
+    assert len(got) == len(rows)
+    per = {}
+    for r in counts.collect():
+        size, target, taken, docs, draws = per.get(r.source, (r.source_size, r.target, 0, 0, 0))
+        per[r.source] = (size, target, taken + r.total * r.size, docs + 1, draws + r.total)
+    assert len(per) == 16
+    for s, (size, target, taken, docs, draws) in per.items():
+        assert abs(taken - target) <= 20, (s, target, taken)
+        assert abs(draws - target / size * docs) <= 4, (s, target / size * docs, draws)
+    again, _ = report(spark, rows[::-1])
+    assert sorted(got) == sorted(again)
