@@ -10,8 +10,10 @@ of stretches in step with array lookups. Texts are parsed whole, in stretches of
 bytes; a stretch end closes a phrase, alike for every language.
 
 The sample: per language, whole distinct texts in order of their hash until TRAIN_BYTES
-bytes are reached (the documented bound of the classifier); counts of rows, labels and
-lengths play no part in a prediction.
+bytes are reached (the documented bound of the classifier). A text longer than that gives
+up to LONG_PIECES whole pieces of PIECE_BYTES bytes, chosen by hash: one in the first
+round, its others in later rounds, which come only while the texts have not filled the
+sample. Counts of rows, labels and lengths play no part in a prediction.
 
 Defined cases: text that is null, empty or without a letter gives ``und`` with score 0,
 and so does everything when nothing could be learned; rows with a null lang are not
@@ -25,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +39,9 @@ TRAIN_BYTES = 30_000
 # At most so many texts of a language are looked at; also under the limit up to which
 # Spark keeps only the first rows of a group before its shuffle.
 TRAIN_TEXTS = 400
+# A text longer than TRAIN_BYTES is learned from by pieces, together at most TRAIN_BYTES.
+PIECE_BYTES = 1_000
+LONG_PIECES = 30
 SEGMENT = 1024
 LANES = 8192
 # Texts are parsed in runs of about so many bytes, to bound a task's memory.
@@ -113,20 +118,35 @@ def fit(samples: dict[str, list[bytes]]) -> Model:
                  np.array(base, dtype=np.int64), np.log2([max(2, len(x)) for x in joined]))
 
 
+def sample_units(h: Column, b: Column, limit: int) -> Column:
+    """What a text of hash ``h`` and ``b`` bytes can give to a sample: an array of (round,
+    first byte, bytes), the whole text or pieces of a long one in order of their hash."""
+    pieces = F.sequence(F.lit(0), F.floor((b - 1) / PIECE_BYTES).cast("int"))
+    ranked = F.slice(F.array_sort(F.transform(pieces, lambda i: F.struct(F.xxhash64(h, i).alias("k"), i.alias("i")))),
+                     1, LONG_PIECES)
+    unit = lambda r, at, size: F.struct(
+        r.cast("int").alias("round"), at.cast("int").alias("at"), size.cast("int").alias("size"))
+    return F.when(b <= limit, F.array(unit(F.lit(0), F.lit(0), b))).otherwise(F.transform(
+        ranked, lambda x, r: unit(r, x["i"] * PIECE_BYTES, F.least(F.lit(PIECE_BYTES), b - x["i"] * PIECE_BYTES))))
+
+
 def train(rows: DataFrame, lang: str, text: str, limit: int = TRAIN_BYTES) -> Model:
     """Learns from the rows given. Only hashes and lengths are ranked; then the chosen
-    texts, at most ``limit`` bytes a language and one text more, are fetched."""
+    texts and pieces, at most ``limit`` bytes a language and one text of at most ``limit``
+    bytes more, are fetched."""
     r = rows.filter(F.col(lang).isNotNull() & (F.octet_length(text) > 0)).select(
         F.col(lang).alias("lang"), F.xxhash64(text).alias("h"), F.octet_length(text).alias("b"), F.col(text).alias("t"))
-    w = W.partitionBy("lang").orderBy("h")
-    top = r.filter(F.col("b") <= limit).select("lang", "h", "b").withColumn(
-        "r", F.rank().over(w)).filter(F.col("r") <= TRAIN_TEXTS).select("lang", "h", "b").distinct()
-    chosen = written(top.withColumn("before", F.sum("b").over(w.rowsBetween(W.unboundedPreceding, -1))).filter(
-        F.coalesce("before", F.lit(0)) < limit).select("lang", "h"), "lang-sample")
-    got = r.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.first("t").alias("t")).collect()
+    w = W.partitionBy("lang").orderBy("round", "h")
+    units = r.select("lang", "h", F.inline(sample_units(F.col("h"), F.col("b"), limit)))
+    top = units.withColumn("r", F.rank().over(w)).filter(F.col("r") <= TRAIN_TEXTS).drop("r").distinct()
+    chosen = written(top.withColumn("before", F.sum("size").over(w.rowsBetween(W.unboundedPreceding, -1))).filter(
+        F.coalesce("before", F.lit(0)) < limit).drop("before"), "lang-sample")
+    part = F.substr(F.col("t").cast("binary"), F.col("at") + 1, F.col("size"))
+    got = r.join(F.broadcast(chosen), ["lang", "h"]).select("lang", "h", "round", part.alias("t")).groupBy(
+        "lang", "h", "round").agg(F.first("t").alias("t")).collect()
     samples: dict[str, list[bytes]] = {}
-    for x in sorted(got, key=lambda x: (x["lang"], x["h"])):
-        samples.setdefault(x["lang"], []).append(x["t"].encode())
+    for x in sorted(got, key=lambda x: (x["lang"], x["h"], x["round"])):
+        samples.setdefault(x["lang"], []).append(bytes(x["t"]))
     return fit(samples)
 
 

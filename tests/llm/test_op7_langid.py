@@ -60,3 +60,17 @@ def by_54(by):
 def test_nothing_learned_gives_und():
     langs, score = o.classify(pa.array(["abc", None]), o.fit({}))
     assert langs == ["und", "und"] and score.tolist() == [0, 0]
+
+
+def test_language_of_long_texts_only(spark, docs_of):
+    rng = np.random.default_rng(2)
+    long = [" ".join(rng.choice("der die und nicht ein das zu über für".split(), 9_000)) for _ in range(3)]
+    assert min(len(t.encode()) for t in long) > o.TRAIN_BYTES
+    df = docs_of([(i, t, "de") for i, t in enumerate(long)] + [(10 + i, f"the of and in that was {i} " * 20, "en") for i in range(12)])
+    model = o.train(df, "lang", "text")
+    assert model.langs == ["de", "en"]
+    # three long texts fill the sample with their pieces, and no more than it
+    assert o.TRAIN_BYTES <= 2 ** model.weight[0] < o.TRAIN_BYTES + 2 * o.PIECE_BYTES
+    assert {r.lang_pred for r in o.detect(df.filter("lang = 'de'"), model).collect()} == {"de"}
+    only = docs_of([(i, t, "de") for i, t in enumerate(long * 4)])
+    assert o.keep_known(only).count() == 12
