@@ -36,7 +36,7 @@ from remedy.llm.common import held_out, written
 from remedy.sources.tables import table
 
 TRAIN_BYTES = 30_000
-# At most so many texts of a language are looked at; also under the limit up to which
+# At most so many distinct texts (and pieces) of a language are looked at; also under the limit up to which
 # Spark keeps only the first rows of a group before its shuffle.
 TRAIN_TEXTS = 400
 # A text longer than TRAIN_BYTES is learned from by pieces, together at most TRAIN_BYTES.
@@ -137,8 +137,9 @@ def train(rows: DataFrame, lang: str, text: str, limit: int = TRAIN_BYTES) -> Mo
     r = rows.filter(F.col(lang).isNotNull() & (F.octet_length(text) > 0)).select(
         F.col(lang).alias("lang"), F.xxhash64(text).alias("h"), F.octet_length(text).alias("b"), F.col(text).alias("t"))
     w = W.partitionBy("lang").orderBy("round", "h")
-    units = r.select("lang", "h", F.inline(sample_units(F.col("h"), F.col("b"), limit)))
-    top = units.withColumn("r", F.rank().over(w)).filter(F.col("r") <= TRAIN_TEXTS).drop("r").distinct()
+    # copies collapse before they are ranked, and within a task before the shuffle
+    units = r.select("lang", "h", "b").distinct().select("lang", "h", F.inline(sample_units(F.col("h"), F.col("b"), limit)))
+    top = units.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= TRAIN_TEXTS).drop("r")
     chosen = written(top.withColumn("before", F.sum("size").over(w.rowsBetween(W.unboundedPreceding, -1))).filter(
         F.coalesce("before", F.lit(0)) < limit).drop("before"), "lang-sample")
     part = F.substr(F.col("t").cast("binary"), F.col("at") + 1, F.col("size"))

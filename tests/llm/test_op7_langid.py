@@ -74,3 +74,12 @@ def test_language_of_long_texts_only(spark, docs_of):
     assert {r.lang_pred for r in o.detect(df.filter("lang = 'de'"), model).collect()} == {"de"}
     only = docs_of([(i, t, "de") for i, t in enumerate(long * 4)])
     assert o.keep_known(only).count() == 12
+
+
+def test_copies_do_not_use_up_the_sample(spark, docs_of, monkeypatch):
+    texts = [f"the of and in that was {i} " * 3 for i in range(60)]
+    df = docs_of([(i, t, "en") for i, t in enumerate(texts)])
+    hot = df.selectExpr("text", "xxhash64(text) h").orderBy("h").first().text
+    monkeypatch.setattr(o, "fit", lambda samples: samples)
+    got = o.train(df.union(docs_of([(1000 + i, hot, "en") for i in range(500)])), "lang", "text")
+    assert sorted(got["en"]) == sorted(t.encode() for t in texts)
