@@ -9,6 +9,11 @@ headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
 are left out by tag, role, class or id, in a region or out of it; every other line of the
 region stays, however short.
 
+A class or id counts as a whole: each of its words is one of SKIP_WORDS or a mere layout
+word (``site-footer``, not ``has-sidebar`` or ``related-work``). It never leaves out a
+heading, an article or main element (but for reader comments), what holds the longest of
+these or, within one or on a page without any, what holds most of the text.
+
 Defined cases: null or empty html, and a page without content, give an empty text; broken
 markup (open tags, stray ends, cut-off pages) is read as far as it goes; repeated rows
 give equal results; a null url stays null; other columns pass through ``extract_text``.
@@ -18,7 +23,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
 
@@ -54,17 +59,32 @@ SKIP_WORDS = frozenset(
     "notices notification popup modal overlay newsletter subscribe subscription signup login register search share sharing "
     "social related recommended recommendations comment comments respond replies reply disqus widget widgets toolbar "
     "pagination pager copyright skip teaser outbrain taboola".split())
+COMMENT_WORDS = frozenset("comment comments respond replies reply disqus".split())
+# Words that say nothing of the content beside one of the above.
+LAYOUT_WORDS = frozenset(
+    "site main global top bottom upper lower left right primary secondary bar box area block panel container wrapper wrap "
+    "inner outer row col column list item items link links posts slot unit button buttons icon icons".split())
+COMMENT_LAYOUT = LAYOUT_WORDS | frozenset("section thread body content form author meta text".split())
 MAIN_TAGS = frozenset(("article", "main"))
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
+@lru_cache(maxsize=10_000)
+def boilerplate(name: str) -> tuple[bool, bool]:
+    """Does a class or id name what is no article text? And reader comments?"""
+    words = {w.lower() for w in _WORDS.findall(name) if not w.isdigit()}
+    skip = not SKIP_WORDS.isdisjoint(words) and words <= SKIP_WORDS | LAYOUT_WORDS
+    readers = not COMMENT_WORDS.isdisjoint(words) and words <= SKIP_WORDS | COMMENT_LAYOUT
+    return skip or readers, readers
+
+
 class PageLines(HTMLParser):
     """Collects lines and the tree of elements they stand in."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.tag, self.parent, self.skip, self.main = ["#root"], [-1], [False], [False]
-        self.closed = [False]
+        self.closed, self.named, self.readers = [False], [False], [False]
         self.open = [0]
         self.lines: list[tuple[str, int, int, int]] = []  # text, tags, element, characters in links
         self._text: list[str] = []
@@ -90,17 +110,23 @@ class PageLines(HTMLParser):
             self._close(tag, P_SCOPE if tag == "p" else LIST_SCOPE)
         elif tag in BLOCK:
             self._close("p", P_SCOPE)
-        main, skip = tag in MAIN_TAGS, tag in SKIP_TAGS or tag == "header"
+        main, skip, named, readers = tag in MAIN_TAGS, tag in SKIP_TAGS or tag == "header", False, False
         if attrs:
             a = {k: v or "" for k, v in attrs}
-            words = {w.lower() for w in _WORDS.findall(f"{a.get('class', '')} {a.get('id', '')}")}
-            named = tag not in ("html", "body") and not SKIP_WORDS.isdisjoint(words)
-            main = not named and (main or a.get("role") == "main" or a.get("itemprop") == "articleBody")
-            skip = skip or named or a.get("role") in SKIP_ROLES or "hidden" in a or a.get("aria-hidden") == "true"
+            main = main or a.get("role") == "main" or a.get("itemprop") == "articleBody"
+            if tag not in HEADINGS and tag not in ("html", "body"):
+                for name in f"{a.get('class', '')} {a.get('id', '')}".split():
+                    n, r = boilerplate(name)
+                    named, readers = named or n, readers or r
+            main = main and not readers
+            named = named and not main
+            skip = skip or a.get("role") in SKIP_ROLES or "hidden" in a or a.get("aria-hidden") == "true"
         self.open.append(len(self.tag))
         self.parent.append(self.open[-2])
         self.tag.append(tag)
         self.skip.append(skip)
+        self.named.append(named)
+        self.readers.append(readers)
         self.closed.append(False)
         self.main.append(main)
         self._links += tag == "a"
@@ -146,6 +172,52 @@ class PageLines(HTMLParser):
             e = self.parent[e]
 
 
+    def left_out(self, at: int, names: Callable[[int], bool]) -> bool:
+        """Is a line of element ``at`` boilerplate? ``names``: elements left out by name."""
+        chain = list(self.up(at))
+        mains = [i for i, e in enumerate(chain) if self.main[e]]
+        for i, e in enumerate(chain):
+            named = names(e)
+            if not (self.skip[e] and (self.tag[e] != "form" or e not in self.whole)) and not named:
+                continue
+            # a wrapper around the article, or an element left open before it, is no boilerplate for it
+            around = mains and mains[-1] < i and not (
+                self.closed[e] and (named and e not in self.holders or self.tag[e] in SKIP_TAGS and self.tag[e] != "form"))
+            # the heading of an article's own header is its title
+            title = self.tag[e] == "header" and not named and mains and mains[-1] > i and any(
+                self.tag[x] in HEADINGS for x in chain[:i])
+            if not around and not title:
+                return True
+        return False
+
+    def kept_lines(self) -> list[tuple[str, int, int, int]]:
+        """Lines that are no boilerplate by tag, role, class or id."""
+        forms = {e for e, t in enumerate(self.tag) if t == "form"}
+        self.whole, self.holders = forms, set()
+        by_tag = self._lines(lambda e: self.readers[e])
+        weight = [0] * len(self.tag)
+        for text, _, at, linked in by_tag:
+            for x in self.up(at):
+                weight[x] += max(0, len(text) - linked)
+        # what holds most of the text of its article, or of a page without one, is kept
+        outer = {}
+        for e in range(len(self.tag)):
+            outer[e] = outer.get(self.parent[e], 0) or (e if self.main[e] else 0)
+        mains = [e for e in set(outer.values()) if e and weight[e]]
+        if mains:
+            self.holders = set(self.up(max(mains, key=lambda e: (weight[e], -e))))
+        self.whole = set()
+        for e in range(1, len(self.tag)):
+            if (self.named[e] or e in forms) and (outer[e] or not mains) and weight[e] * 2 > weight[outer[e]]:
+                self.whole.add(e)
+        lines = self._lines(lambda e: self.readers[e] or self.named[e] and e not in self.whole)
+        return lines or by_tag or self._lines(lambda e: False)
+
+    def _lines(self, names: Callable[[int], bool]) -> list[tuple[str, int, int, int]]:
+        out = {e: self.left_out(e, names) for e in {x[2] for x in self.lines}}
+        return [x for x in self.lines if not out[x[2]]]
+
+
 def smoothed(values: list[float], radius: int = RADIUS) -> list[float]:
     """Gaussian smoothing (sigma: the radius), the kernel renormalised at the ends."""
     kernel = [math.exp(-d * d / (2 * radius * radius)) for d in range(radius + 1)]
@@ -172,22 +244,7 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     p = PageLines().page(html)
-    @lru_cache(maxsize=None)
-    def left_out(at: int) -> bool:
-        chain = list(p.up(at))
-        mains = [i for i, e in enumerate(chain) if p.main[e]]
-        for i, e in enumerate(chain):
-            if not p.skip[e]:
-                continue
-            # a wrapper around the article, or an element left open before it, is no boilerplate for it
-            around = mains and mains[-1] < i and not (p.tag[e] in SKIP_TAGS and p.tag[e] != "form" and p.closed[e])
-            # the heading of an article's own header is its title
-            title = p.tag[e] == "header" and mains and mains[-1] > i and any(p.tag[x] in HEADINGS for x in chain[:i])
-            if not around and not title:
-                return True
-        return False
-
-    lines = [x for x in p.lines if not left_out(x[2])]
+    lines = p.kept_lines()
     if not lines:
         return ""
     content = content_lines([len(t) / (1 + tags) for t, tags, _, _ in lines])

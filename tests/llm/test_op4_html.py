@@ -52,3 +52,26 @@ def test_planted_articles_of_the_given_pages(spark):
         if m:
             plain = re.sub(r"<(?!/?b>)[^>]*>", " ", m.group(1))
             assert got[r.page_id] == " ".join(h.unescape(re.sub(r"</?b>", "", plain)).split())
+
+
+BODY = "<h1>Title here</h1><p>The first paragraph has a good number of words.</p><p>So has the second one, to be sure.</p>"
+PLAIN = "Title here The first paragraph has a good number of words. So has the second one, to be sure."
+
+
+@pytest.mark.parametrize("html, want", [
+    (f"<article class='post no-sidebar'>{BODY}</article>", PLAIN),
+    (f"<main class='site-main has-sidebar'>{BODY}</main>", PLAIN),
+    (f"<div class='page has-sidebar'>{BODY}</div>", PLAIN),
+    (f"<article class='widget'>{BODY}</article>", PLAIN),
+    (f"<div class='sidebar-right'>{BODY}</div><div class='site-footer'>All rights reserved</div>", PLAIN),
+    (f"<article><div class='notice'>{BODY}</div></article>", PLAIN),
+    (f"<form id='aspnetForm'>{BODY}</form>", PLAIN),
+    (f"<article>{BODY}<h2 id='social-impact'>Social impact</h2><p>It is large.</p><h2 id='related-work'>Related work</h2>"
+     "<section id='search-methods'><p>We searched.</p></section><p class='notice-period'>One month.</p><h2 class='notice'>End</h2></article>",
+     PLAIN + " Social impact It is large. Related work We searched. One month. End"),
+    (f"<article>{BODY}<div id='comments'>{'<p>A reader says much more than that.</p>' * 9}</div></article>", PLAIN),
+    (f"<article>{BODY}</article><ol class='comment-list'><li><article class='comment-body'><p>A reader says so.</p></article></ol>", PLAIN),
+    (f"<div class='cookie-notice'>We use cookies</div><div class='main-menu'>Home</div>{BODY}<div id='sidebarLeft'>Side</div>", PLAIN),
+])
+def test_class_and_id_words(html, want):
+    assert o.main_text(html) == want
