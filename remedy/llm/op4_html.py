@@ -3,9 +3,8 @@
 The standard library's streaming parser turns a page into lines (text between block tags,
 with character references decoded). A line's ratio is its text length over its tag count;
 ratios are smoothed with a Gaussian and split into content and the rest at one standard
-deviation. The element that holds the content lines is the content region: an article or
-main element where one holds most of them, else the deepest element that does. Menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
+deviation. The content region is the least element around all outermost article and main
+elements with content, where these hold most of it, else the page. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
 are left out by tag, role, class or id, in a region or out of it; every other line of the
 region stays, however short.
 
@@ -43,7 +42,6 @@ BLOCK = frozenset(
     "figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section "
     "select summary table tbody td tfoot th thead title tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-PROSE = HEADINGS | frozenset("p blockquote pre li dd dt td th figcaption".split())
 # A start tag of these ends an open one of the same kind.
 SELF_CLOSING = frozenset("p li dt dd tr td th option".split())
 P_SCOPE = frozenset("article main div section td li blockquote body".split())
@@ -253,20 +251,13 @@ def main_text(html: str | None) -> str:
         if c:
             for x in p.up(e):
                 weight[x] += len(text)
-    need = SHARE * weight[0]
-    regions = [e for e in range(len(p.tag)) if weight[e] >= need and p.main[e]]
-    if regions:
-        region = max(regions)  # elements are numbered in page order: the deepest is last
-        return " ".join(t for t, _, e, _ in lines if region in p.up(e))
-    region = max(e for e in range(len(p.tag)) if weight[e] >= need and p.tag[e] not in PROSE and p.tag[e] not in ("b", "i", "a", "span", "em", "strong"))
-    inner = [(x, c) for x, c in zip(lines, content) if region in p.up(x[2])]
-    at = [i for i, (_, c) in enumerate(inner) if c]
-    keep = []
-    for i, ((text, _, e, linked), _) in enumerate(inner):
-        prose = linked * 2 < len(text) and any(p.tag[x] in PROSE for x in p.up(e))
-        if at[0] <= i <= at[-1] or prose:
-            keep.append(text)
-    return " ".join(keep)
+    # outermost article and main elements that hold content
+    mains = {m for x in {x[2] for x in lines} for m in [e for e in p.up(x) if p.main[e]][-1:] if weight[m]}
+    if not mains or sum(weight[m] for m in mains) < SHARE * weight[0]:
+        return " ".join(x[0] for x in lines)
+    around = set.intersection(*(set(p.up(m)) for m in mains))
+    region = max(around)  # elements are numbered in page order: the deepest is last
+    return " ".join(t for t, _, e, _ in lines if region in p.up(e))
 
 
 def extract_text(pages: DataFrame, html: str = "html", out: str = "text", n_chars: str = "n_chars") -> DataFrame:

@@ -75,3 +75,18 @@ PLAIN = "Title here The first paragraph has a good number of words. So has the s
 ])
 def test_class_and_id_words(html, want):
     assert o.main_text(html) == want
+
+
+LONG, SHORT = "A sentence of the long part of the text. " * 13, "A sentence of the short part of it all. " * 7
+
+
+@pytest.mark.parametrize("html, want", [
+    (f"<nav>Home</nav><main><article><p>{LONG}</p></article><article><p>{SHORT}</p></article></main>", LONG + SHORT),
+    (f"<article><p>{LONG}</p></article><article><p>{SHORT}</p></article><footer>f</footer>", LONG + SHORT),
+    (f"<div id=content><h1>Title</h1><p>lead</p><div class=body><p>{LONG}</p><p>{SHORT}</p></div></div>", "Title lead " + LONG + SHORT),
+    (f"<div>Intro</div><section><p>{LONG}</p></section><section><p>{SHORT}</p></section><div>The end</div>", f"Intro {LONG}{SHORT}The end"),
+    (f"<div><span>By someone</span><p>{LONG}</p><p>{SHORT}</p><span>To be continued</span></div>", f"By someone {LONG}{SHORT}To be continued"),
+    (f"<p>{LONG}</p><article><p>An embedded note.</p></article><p>{SHORT}</p>", f"{LONG}An embedded note. {SHORT}"),
+])
+def test_region_holds_all_the_text(html, want):
+    assert o.main_text(html) == want.strip()
