@@ -9,7 +9,10 @@ Reading: a member must inflate, pass its CRC, start with a version line, have a
 end and a Content-Length equal to the block that follows; a response must also match its
 payload digest. When a check fails the reader searches for the next place where a gzip
 member with a WARC version line inflates, or a plain version line stands, continues
-there, and logs the skipped bytes as a gap (archive, start, end, reason).
+there, and logs the skipped bytes as a gap (archive, start, end, reason). In a member of
+several records the search is for the next version line among its inflated bytes, up to
+where a damaged member stops; its gaps have the range of the member and name the inflated
+bytes. The only record of a damaged member stands or falls with it.
 
 Defined cases: a null payload is written as an empty one; rows repeating the smallest id
 of a payload are responses too; a null id is written as ``null`` and read back as null,
@@ -149,16 +152,36 @@ def _parse(data: bytes, at: int) -> tuple[dict, int]:
             "payload_bytes": int(http["content-length"]) if kind == "revisit" else len(payload)}, stop + 4
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int]:
-    """Inflated gzip member at ``at`` and its end; zlib.error or ValueError if damaged."""
+def _member(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """What inflates of the gzip member at ``at``, its end, and the reason if it is damaged."""
     z, out = zlib.decompressobj(31), bytearray()
     while at < len(data) and not z.eof:  # in slices: what follows the member is copied back
-        piece = data[at:at + 65536]
-        out += z.decompress(piece)
+        piece, before = data[at:at + 65536], z.copy()
+        try:
+            out += z.decompress(piece)
+        except zlib.error as e:
+            try:
+                for i in range(len(piece)):  # byte by byte up to the damage
+                    out += before.decompress(piece[i:i + 1])
+            except zlib.error:
+                pass
+            return bytes(out), at, str(e)
         at += len(piece)
-    if not z.eof:
-        raise ValueError("member is cut off")
-    return bytes(out), at - len(z.unused_data)
+    return bytes(out), at - len(z.unused_data), None if z.eof else "member is cut off"
+
+
+def _records(data: bytes) -> Iterator[dict | tuple[int, int, str]]:
+    """Sound records of inflated bytes, (start, end, reason) for what lies between them."""
+    at = 0
+    while at < len(data):
+        try:
+            rec, at = _parse(data, at)
+            yield rec
+        except ValueError as e:
+            m = VERSION_LINE.search(data, at + 1)
+            end = m.start() if m else len(data)
+            yield at, end, str(e)
+            at = end
 
 
 def _starts_record(data: bytes, at: int) -> bool:
@@ -170,10 +193,12 @@ def _starts_record(data: bytes, at: int) -> bool:
     return bool(VERSION_LINE.match(data, at))
 
 
-def _resume(data: bytes, at: int) -> int:
-    """Next place after ``at`` where a member or a version line starts a record, or the end."""
+def _resume(data: bytes, at: int, seen: bytes = b"") -> int:
+    """Next place after ``at`` where a member or a version line starts a record, or the end.
+    Records of ``seen`` (stored in a member without compression) are passed over."""
     for m in re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r?\n").finditer(data, at):
-        if _starts_record(data, m.start()):
+        if _starts_record(data, m.start()) and not (
+                seen and m[0] != GZIP_MAGIC and data[m.start():m.start() + 256] in seen):
             return m.start()
     return len(data)
 
@@ -182,23 +207,28 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict | str]]:
     """(start, end, record) for each sound record, (start, end, reason) for each gap."""
     at = 0
     while at < len(data):
-        try:
-            if data.startswith(GZIP_MAGIC, at):
-                inner, end = _member(data, at)
-                found, pos = [], 0
-                while pos < len(inner):  # usually one record a member
-                    rec, pos = _parse(inner, pos)
-                    found.append(rec)
-            else:
+        if not data.startswith(GZIP_MAGIC, at):
+            try:
                 rec, end = _parse(data, at)
-                found = [rec]
-            for rec in found:
                 yield at, end, rec
+            except ValueError as e:
+                end = _resume(data, at + 1)
+                yield at, end, str(e)
             at = end
-        except (ValueError, zlib.error) as e:
-            end = _resume(data, at + 1)
-            yield at, end, str(e)
-            at = end
+            continue
+        inner, end, damage = _member(data, at)
+        found = list(_records(inner))
+        sound = any(isinstance(x, dict) for x in found) and not (damage and len(found) == 1)
+        if damage:
+            end = _resume(data, at + 1, inner if sound else b"")
+        if sound:
+            for x in found:
+                yield at, end, x if isinstance(x, dict) else f"{x[2]} (inflated bytes {x[0]} to {x[1]})"
+            if damage:
+                yield at, end, f"{damage} (after {len(inner)} inflated bytes)"
+        elif damage or found:
+            yield at, end, damage or found[0][2]
+        at = end
 
 
 def _read(archives: DataFrame, want: str, schema: str, payloads: bool) -> DataFrame:

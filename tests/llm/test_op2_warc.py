@@ -65,3 +65,32 @@ def test_salvage_plain_records_resume_at_version_line():
     found = list(o.salvage(bad + b + b"junk"))
     assert [x["page_id"] for _, _, x in found if isinstance(x, dict)] == [2]
     assert [(s, e) for s, e, x in found if isinstance(x, str)] == [(0, len(bad)), (len(bad + b), len(bad + b) + 4)]
+
+
+def test_salvage_of_members_with_several_records():
+    parts = [o._record(i, None, (b"%d" % i) * 700, o.payload_digest((b"%d" % i) * 700), None, False) for i in range(8)]
+    bad = list(parts)
+    bad[3] = bad[3].replace(b"333", b"3x3", 1)  # its digest no longer matches
+
+    def packed(records, level=6):
+        z = zlib.compressobj(level, zlib.DEFLATED, 31)
+        return z.compress(b"".join(records)) + z.flush()
+
+    def ids(data):
+        found = list(o.salvage(data))
+        assert all(0 <= s < e <= len(data) for s, e, _ in found)
+        return [x["page_id"] for _, _, x in found if isinstance(x, dict)], [x for _, _, x in found if isinstance(x, str)]
+
+    tail = member(20, b"later")
+    assert ids(packed(parts) + tail) == ([*range(8), 20], [])
+    good, gaps = ids(packed(bad) + tail)
+    assert good == [0, 1, 2, 4, 5, 6, 7, 20] and len(gaps) == 1 and "digest" in gaps[0]
+    for level in (0, 6):
+        whole = packed(parts, level)
+        crc = whole[:-8] + bytes([whole[-8] ^ 0xFF]) + whole[-7:]
+        good, gaps = ids(crc + tail)
+        assert good == [*range(8), 20] and len(gaps) == 1
+        good, gaps = ids(whole[:len(whole) * 2 // 3])  # cut off
+        assert good == list(range(len(good))) and 2 <= len(good) < 8 and gaps
+    good, gaps = ids(packed(parts, 0).replace(b"555", b"5x5", 1) + tail)
+    assert good == [0, 1, 2, 3, 4, 6, 7, 20] and len(gaps) == 2  # the record, and the CRC
