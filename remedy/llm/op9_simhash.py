@@ -56,23 +56,19 @@ def fingerprint(text: bytes, width: int = WIDTH) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str, text: str, width: int = WIDTH) -> DataFrame:
-    """(doc_id, th, fp long): th is a hash of the text where the id is null, to tell such
-    rows apart; fp holds the 64 bits as a signed long."""
+    """(doc_id, th, fp long): th is a hash of the text, to tell rows of one id, or without
+    one, apart; fp holds the 64 bits as a signed long."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", width) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["doc_id", "th", "fp"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _text_hash(doc_id, text).alias("th"),
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("th"),
                        F.col(text).cast("binary").alias("t"))
     return rows.mapInArrow(run, "doc_id long, th long, fp long")
 
 
-def _text_hash(doc_id: str, text: str) -> Column:
-    return F.when(F.col(doc_id).isNull(), F.xxhash64(text))
-
-
 def _syndromes(v: np.ndarray) -> np.ndarray:
     """Remainder of 23-bit polynomials by the generator: equal within a coset."""
     v = v.copy()
@@ -134,7 +130,7 @@ def links(fps: DataFrame, k: int = MAX_BITS) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """nodes (fp, label: smallest id or null), edges (a, b) -> (fp, component_id).
+    """nodes (fp, label: smallest id or null), edges (a, b) -> (fp, root, component_id).
 
     Each round takes the least label among the neighbours, then the label of the label;
     only linked fingerprints take part, and labels are fingerprints until the end. A
@@ -154,16 +150,17 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     root = nodes.join(cur.withColumnRenamed("a", "fp"), "fp", "left").select(
         "fp", "label", F.coalesce("l", "fp").alias("root"))
     least = root.groupBy("root").agg(F.min("label").alias("component_id"))
-    return root.join(least, "root").select("fp", "component_id")
+    return root.join(least, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     width: int = WIDTH, k: int = MAX_BITS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, th, fp (long), component_id."""
+    """One row per row of ``docs``: doc_id, th, fp (long), root (one fingerprint of the
+    component), component_id."""
     fps = written(fingerprints(docs, doc_id, text, width), "fingerprints")
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("label")), "nodes")
     classes = components(nodes, written(links(nodes, k), "links"))
-    return fps.join(classes, "fp").select("doc_id", "th", "fp", "component_id")
+    return fps.join(classes, "fp").select("doc_id", "th", "fp", "root", "component_id")
 
 
 def hex16(fp: Column) -> Column:
@@ -172,18 +169,19 @@ def hex16(fp: Column) -> Column:
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
              width: int = WIDTH, k: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one document of each component: that with the smallest id (of rows
-    repeating it, one). Rows without an id stay only if no row of their component has one;
-    of those one per distinct text stays."""
-    near = written(near_duplicates(docs, doc_id, text, width, k), "near")
-    keep = near.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "th").agg(
-        F.count("*").alias("rows")).select(F.col("doc_id").alias("_sh_i"), F.col("th").alias("_sh_t"), "rows")
-    keep = written(keep, "kept")
-    on = docs[doc_id].eqNullSafe(F.col("_sh_i")) & _text_hash(doc_id, text).eqNullSafe(F.col("_sh_t"))
+    """``docs`` with one document of each component: that with the smallest id, rows
+    without an id last, of several texts that of the smallest hash (of rows repeating it,
+    one)."""
+    near = near_duplicates(docs, doc_id, text, width, k)
+    # copies collapse first, so that a large component is a few rows a task
+    texts = near.groupBy("root", "doc_id", "th").agg(F.count("*").alias("rows"))
+    best = texts.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "th", "rows")).alias("k"))
+    keep = written(best.select(F.col("k.doc_id").alias("_sh_i"), F.col("k.th").alias("_sh_t"), F.col("k.rows").alias("rows")), "kept")
+    on = docs[doc_id].eqNullSafe(F.col("_sh_i")) & (F.xxhash64(docs[text]) == F.col("_sh_t"))
     kept = docs.join(keep.drop("rows"), on, "left_semi")
     if keep.filter("rows > 1").isEmpty():
         return kept
-    return kept.withColumn("_sh_t", _text_hash(doc_id, text)).dropDuplicates([doc_id, "_sh_t"]).drop("_sh_t")
+    return kept.withColumn("_sh_t", F.xxhash64(F.col(text))).dropDuplicates([doc_id, "_sh_t"]).drop("_sh_t")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,3 +102,14 @@ def test_empty_table_and_hex(spark, docs_of):
     assert o.near_duplicates(docs_of([])).count() == 0 and o.keep_one(docs_of([])).count() == 0
     x = spark.createDataFrame([(5,), (-1,), (0,)], "fp long").select(o.hex16(F.col("fp")).alias("h")).collect()
     assert [r.h for r in x] == ["0" * 15 + "5", "f" * 16, "0" * 16]
+
+
+def test_keep_one_of_each_component_where_ids_repeat_or_are_missing(spark, docs_of):
+    rng = np.random.default_rng(3)
+    a, b, c, d = (" ".join(f"w{x}" for x in rng.integers(0, 10_000, 120)) for _ in range(4))
+    # id 5 names three texts; that of component 1 is not kept, and the other two both are
+    rows = [(1, a), (5, a + "\n"), (5, b), (5, c), (7, c), (None, d), (None, d + "\n"), (None, d)]
+    near = {(r.doc_id, r.th): r.root for r in o.near_duplicates(docs_of(rows)).collect()}
+    assert len(set(near.values())) == 4 and len(near) == 7
+    got = sorted(((r.doc_id, r.text.strip()) for r in o.keep_one(docs_of(rows)).collect()), key=str)
+    assert got == sorted([(1, a), (5, b), (5, c), (None, d)], key=str)
