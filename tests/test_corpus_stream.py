@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from given import SF_SMALL
 from remedy.operators import corpus as C
 
 

@@ -113,7 +113,7 @@ def test_allowed_arm_sets(spark):
 
 
 def test_repaired_include_first_call(spark):
-    from conftest import SF_SMALL
+    from given import SF_SMALL
     from remedy.operators import repair as P
     from remedy.plans.diagnosis import _policy_choice, candidates_diagnosed, diagnosed
 

@@ -5,7 +5,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from given import SF_SMALL
 from remedy.sources.tables import TABLES
 
 

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from given import SF_SMALL
 from remedy.functions import hooks as H
 from remedy.operators import metrics as M
 from remedy.operators import policy as PO
