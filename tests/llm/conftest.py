@@ -6,7 +6,6 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
