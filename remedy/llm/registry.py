@@ -15,6 +15,7 @@ MODULES = (
     "op8_decontaminate",
     "op9_simhash",
     "op10_vptree",
+    "op11_align",
 )
 
 QUERIES: dict = {}
