@@ -4,11 +4,9 @@ sampling with replacement."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as ST
 
 from remedy.functions import text as T
 from remedy.operators.metrics import md5_uniform
@@ -66,32 +64,45 @@ def evidence_missing(evidence: DataFrame, sentences: DataFrame) -> DataFrame:
     return evidence.join(sentences.select("page", "sent_idx"), ["page", "sent_idx"], "left_anti")
 
 
-def global_rank(df: DataFrame, order_cols: list[str], out: str = "rank") -> DataFrame:
-    """0-based position in a total order, without a single-partition window.
+def _sorted_once(df: DataFrame, order_cols: list) -> DataFrame:
+    """Rows range-partitioned and sorted by ``order_cols``, each with _pid and _row, its place
+    in its partition. Kept by a reliable checkpoint: whatever reads it sees one and the same
+    partitioning, while range bounds sampled anew would give other rows to a partition."""
+    from remedy.session import cut_lineage
 
-    Range-partition and sort on the key, number rows inside each partition in a
-    streaming pass, then add per-partition offsets (a table of one row per
-    partition)."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    s = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols) \
-          .withColumn("_pid", F.spark_partition_id())
-    schema = ST.StructType(list(s.schema.fields) + [ST.StructField("_local", ST.LongType(), False)])
-
-    def number(batches):
-        i = 0
-        for b in batches:
-            b = b.copy()
-            b["_local"] = np.arange(i, i + len(b), dtype=np.int64)
-            i += len(b)
-            yield b
-
-    numbered = s.mapInPandas(number, schema)
-    counts = numbered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the id holds the partition in its upper 31 bits and the row number below
+    s = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols).withColumn(
+        "_mid", F.monotonically_increasing_id())
+    return cut_lineage(s).withColumn("_pid", F.shiftright("_mid", 33)).withColumn(
+        "_row", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))).drop("_mid")
+
+
+def global_rank(df: DataFrame, order_cols: list, out: str = "rank") -> DataFrame:
+    """0-based position in a total order, without a single-partition window: the place in the
+    range partition plus the rows of the partitions before (one row per partition)."""
+    s = _sorted_once(df, order_cols)
+    counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
     offs = counts.select("_pid", (F.sum("_c").over(W.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1))).alias("_o"))
-    return (numbered.join(F.broadcast(offs), "_pid")  # one row per partition
-                    .withColumn(out, F.coalesce("_o", F.lit(0)) + F.col("_local"))
-                    .drop("_pid", "_local", "_o"))
+    return (s.join(F.broadcast(offs), "_pid")  # one row per partition
+             .withColumn(out, F.coalesce("_o", F.lit(0)) + F.col("_row"))
+             .drop("_pid", "_row", "_o"))
+
+
+def rank_in_group(df: DataFrame, group: str, order_cols: list, out: str = "rank") -> DataFrame:
+    """0-based position within ``group``, also for a group of any size: groups are numbered
+    piece by piece where range partitions cut them, and a piece starts behind the pieces of
+    its group in the partitions before it. At most one group runs on into a partition, so
+    the table of starts has no more rows than there are partitions."""
+    s = _sorted_once(df, [group, *order_cols])
+    pieces = s.groupBy(group, "_pid").agg(F.count(F.lit(1)).alias("_c"), F.min("_row").alias("_m"))
+    before = F.sum("_c").over(W.partitionBy(group).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1))
+    starts = pieces.select(F.col(group).alias("_g"), F.col("_pid").alias("_p"), before.alias("_o")).filter("_o > 0")
+    first = pieces.select(F.col(group).alias("_g1"), F.col("_pid").alias("_p1"), "_m")
+    x = s.join(first, F.col(group).eqNullSafe(F.col("_g1")) & (F.col("_pid") == F.col("_p1")))
+    x = x.join(F.broadcast(starts), F.col(group).eqNullSafe(F.col("_g")) & (F.col("_pid") == F.col("_p")), "left")
+    return (x.withColumn(out, F.col("_row") - F.col("_m") + F.coalesce("_o", F.lit(0)))
+             .drop("_pid", "_row", "_m", "_o", "_g", "_p", "_g1", "_p1"))
 
 
 def split_range(df: DataFrame, order_col: str, train: int = 1000, validation: int = 1000) -> DataFrame:

@@ -61,3 +61,21 @@ def test_stream_epsgreedy_equals_batch_fold(spark):
     assert set(s) == set(b)
     for a in b:
         assert s[a][0] == n[a] and np.allclose(s[a][1], b[a])
+
+
+def test_ranks_hold_without_exchange_reuse(spark):
+    """Every position once, whether or not Spark reuses the exchange of the rows."""
+    from remedy.operators.corpus import global_rank, rank_in_group
+
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        x = spark.range(100_000).selectExpr("hash(id) as k", "id", "if(id % 3 = 0, null, id % 7) as g")
+        r = global_rank(x, ["k", "id"]).agg(F.countDistinct("rank"), F.min("rank"), F.max("rank")).first()
+        assert tuple(r) == (100_000, 0, 99_999)
+        got = rank_in_group(x, "g", ["k", "id"]).groupBy("g").agg(
+            F.count("*").alias("n"), F.countDistinct("rank").alias("d"), F.max("rank").alias("m")).collect()
+        assert len(got) == 8 and all(r.n == r.d == r.m + 1 for r in got)
+        want = rank_in_group(x, "g", ["k", "id"], "r").orderBy("g", "r").select("id").limit(500).collect()
+        assert want == x.orderBy("g", "k", "id").select("id").limit(500).collect()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
