@@ -16,6 +16,8 @@ MODULES = (
     "op9_simhash",
     "op10_vptree",
     "op11_align",
+    "op12_packing",
+    "op13_trie",
 )
 
 QUERIES: dict = {}
