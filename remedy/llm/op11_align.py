@@ -32,10 +32,12 @@ result. Columns beside id and text are not read.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from operator import itemgetter
 
 import numpy as np
 import public_tokenizers
@@ -56,8 +58,9 @@ STEP = 1 << 20
 BLOCK = 1 << 24
 SLICE = 1 << 13
 FAN = 64
-#: stretches kept encoded per worker, and the longest one kept
-KEPT, KEPT_BYTES = 300_000, 48
+#: stretches used of late that a worker keeps encoded (and as many from before), and the
+#: longest one kept
+KEPT, KEPT_BYTES = 250_000, 48
 SAFE = re.compile(r"(?<=[^\s▁])(?=[ \n][^\s▁])")
 
 
@@ -75,6 +78,25 @@ def _byte_chars() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _by_rank(file: str, token_bytes: list[bytes]):
+    """The merges of a byte-level BPE file in tiktoken, several times as fast as the library
+    that the file is made for, or None where they might differ: merges must be numbered in
+    their order, and nothing may stand before or behind them but the known pre-tokenizer."""
+    import tiktoken
+
+    with open(file, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, split = spec["model"], spec["pre_tokenizer"] or {}
+    merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+    own = {t["id"] for t in spec["added_tokens"]}
+    in_order = [model["vocab"].get(m) for m in merged] == list(range(256, 256 + len(merged)))
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+    if spec["normalizer"] or not plain or not in_order or model.get("ignore_merges") or len(token_bytes) != 256 + len(merged) + len(own):
+        return None
+    ranks = {b: i for i, b in enumerate(token_bytes) if i not in own}
+    return tiktoken.Encoding("byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class Tokenizers:
     """Both tokenizers with the bytes of their tokens; encodes stretches of text."""
 
@@ -96,12 +118,15 @@ class Tokenizers:
         n, b = self.b.get_piece_size(), self.b
         self.b_bytes = [bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i)
                         else b.id_to_piece(i).replace("▁", " ").encode() for i in range(n)]
+        self.fast = _by_rank(_place(a_file), self.a_bytes)
         self.a_len, self.b_len = (np.array([len(t) for t in x], dtype=np.int64) for x in (self.a_bytes, self.b_bytes))
         # decimal ids with what follows them in a digest: "," within a side, "|" and ";" behind it
         self.a_text, self.b_text = (
             np.array([[b"%d%s" % (i, s) for i in range(len(x))] for s in seps], dtype=object)
             for x, seps in ((self.a_bytes, (b",", b"|")), (self.b_bytes, (b",", b";"))))
+        # what was used of late, and before that
         self.kept: dict[str, tuple[bytes, bytes] | None] = {}
+        self.before: dict[str, tuple[bytes, bytes] | None] = {}
 
     @classmethod
     def load(cls, a_file: str, b_file: str) -> Tokenizers:
@@ -114,7 +139,8 @@ class Tokenizers:
         and cut apart by their bytes; one by one where the bytes don't match."""
         text = " a" + "".join(stretches)
         raw = text.encode()
-        ids = (np.array(self.a.encode(text, add_special_tokens=False).ids, dtype=np.int32),
+        of_a = self.fast.encode_ordinary(text) if self.fast else self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        ids = (np.array(of_a, dtype=np.int32),
                np.array(self.b.encode(text[1:]), dtype=np.int32))
         if any(b"".join([t[i] for i in x.tolist()]) != raw for x, t in zip(ids, (self.a_bytes, self.b_bytes))):
             if len(stretches) == 1:
@@ -123,19 +149,13 @@ class Tokenizers:
         at = np.cumsum([2] + [len(s.encode()) for s in stretches])
         sides = []
         for x, lens in zip(ids, (self.a_len, self.b_len)):
-            cut = np.searchsorted(np.cumsum(lens[x]), at, "right")
-            sides.append([x[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])])
+            cut = (4 * np.searchsorted(np.cumsum(lens[x]), at, "right")).tolist()
+            side = x.tobytes()
+            sides.append([side[i:j] for i, j in zip(cut, cut[1:])])
         return list(zip(*sides))
 
-    def encode(self, parts: list[list[str]]) -> list[tuple[bytes, bytes] | None]:
-        """Each list of stretches -> its ids as int32 bytes (A, B), None if a byte differs."""
-        known = self.kept
-        new = [s for s in dict.fromkeys(s for p in parts for s in p) if s not in known]
-        if len(known) + len(new) > KEPT:
-            known.clear()
-            new = list(dict.fromkeys(s for p in parts for s in p))
-        long, size = {}, 0
-        runs = [[]]
+    def _learn(self, new: list[str]) -> dict:
+        runs, size = [[]], 0
         for s in new:
             # the ends of a text may be white space, which a neighbour would change
             if s[1:2].isspace() or s[-1].isspace() or "▁" in s:
@@ -146,18 +166,32 @@ class Tokenizers:
             if size > 8192:
                 runs.append([])
                 size = 0
-        for run in filter(None, runs):
-            for t, r in zip(run, self._joined(run)):
-                (known if len(t) <= KEPT_BYTES else long)[t] = r
+        return {s: r for run in runs if run for s, r in zip(run, self._joined(run))}
+
+    def encode(self, parts: list[list[str]]) -> list[tuple[bytes, bytes] | None]:
+        """Each list of stretches -> its ids as int32 bytes (A, B), None if a byte differs."""
+        if len(self.kept) > KEPT:
+            self.kept, self.before = {}, self.kept
+        need = [s for s in set().union(*parts) if s not in self.kept]
+        known = self.kept
+        known.update((s, self.before[s]) for s in need if s in self.before)
+        new = self._learn([s for s in need if s not in self.before])
+        known.update(new)
         out = []
         for p in parts:
-            got = [known[s] if s in known else long[s] for s in p]
-            out.append(None if None in got else (b"".join([g[0] for g in got]), b"".join([g[1] for g in got])))
+            got = list(map(known.__getitem__, p))
+            out.append(None if None in got else (b"".join(map(itemgetter(0), got)), b"".join(map(itemgetter(1), got))))
+        for s in new:
+            if len(s) > KEPT_BYTES:
+                del known[s]
         return out
 
 
 def stretches(text: str) -> list[str]:
     """A blank and the text, cut at every safe place."""
+    if "\0" not in text and "▁" not in text and len(text.split()) == text.count(" ") + text.count("\n") + 1:
+        # every white space is one blank or line break between words: all are safe
+        return ("\0 " + text.replace(" ", "\0 ").replace("\n", "\0\n")).split("\0")[1:]
     return SAFE.split(" " + text)
 
 
@@ -230,16 +264,29 @@ class Closed:
 
 def close(tok: Tokenizers, a: np.ndarray, ae: np.ndarray, b: np.ndarray, be: np.ndarray) -> Closed:
     """Tokens of both sides over one stretch of bytes that begins and ends with a cut."""
-    cuts = np.intersect1d(ae, be, assume_unique=True)
-    ga, gb = np.searchsorted(cuts, ae), np.searchsorted(cuts, be)
+    lo, size = ae[0] - len(tok.a_bytes[a[0]]), ae[-1] - ae[0] + len(tok.a_bytes[a[0]])
+    ae, be = ae - lo, be - lo
+    # marks by byte offset: token ends of both sides, and their running counts
+    in_a, in_b = np.zeros(size + 1, dtype=bool), np.zeros(size + 1, dtype=bool)
+    in_a[ae], in_b[be] = True, True
+    cut = in_a & in_b
+    cuts, ends = np.flatnonzero(cut), np.flatnonzero(in_a | in_b)
+    a_upto, b_upto, cut_upto = (np.cumsum(x, dtype=np.int32) for x in (in_a, in_b, cut))
+    ga, gb = cut_upto[ae] - cut[ae], cut_upto[be] - cut[be]
     # A tokens of a group stand behind the B tokens of the groups before, B tokens behind its A tokens
-    b_before = np.concatenate([[0], np.searchsorted(be, cuts, "right")])
+    b_before = np.concatenate([[0], b_upto[cuts]])
     parts = np.empty(len(a) + len(b), dtype=object)
-    parts[np.arange(len(a)) + b_before[ga]] = tok.a_text[(ae == cuts[ga]).astype(np.int8), a]
-    parts[np.arange(len(b)) + np.searchsorted(ae, cuts, "right")[gb]] = tok.b_text[(be == cuts[gb]).astype(np.int8), b]
-    ends = np.union1d(ae, be)
-    pair = a[np.searchsorted(ae, ends)].astype(np.int64) << 32 | b[np.searchsorted(be, ends)].astype(np.int64)
-    return Closed(cuts, parts, ends, pair)
+    parts[np.arange(len(a)) + b_before[ga]] = tok.a_text[cut[ae].view(np.int8), a]
+    parts[np.arange(len(b)) + a_upto[cuts][gb]] = tok.b_text[cut[be].view(np.int8), b]
+    pair = a[a_upto[ends] - in_a[ends]].astype(np.int64) << 32 | b[b_upto[ends] - in_b[ends]]
+    return Closed(cuts + lo, parts, ends + lo, pair)
+
+
+def counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order and how often each is there."""
+    x = np.sort(x)
+    at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, dtype=np.int64)
+    return x[at], np.diff(at, append=len(x))
 
 
 # ---- documents of one range, block by block ----------------------------------------------
@@ -283,8 +330,8 @@ def align_texts(tok: Tokenizers, texts: list[str | None]) -> Aligned:
     links = np.diff(np.searchsorted(c.link_end, end, "right"), prepend=0)
     at = np.concatenate([[0], np.cumsum(na + nb)])
     sha = [hashlib.sha256(b"".join(c.parts[i:j].tolist())[:-1]).hexdigest() if j > i else "" for i, j in zip(at[:-1], at[1:])]
-    pairs, inv = np.unique(c.link, return_inverse=True)
-    both, mult = np.unique(np.repeat(np.arange(n), links) * len(pairs) + inv, return_counts=True)
+    pairs = counted(c.link)[0]
+    both, mult = counted(np.repeat(np.arange(n) * len(pairs), links) + np.searchsorted(pairs, c.link))
     deg = np.bincount(both // len(pairs), minlength=n)
     return Aligned(np.stack([na, nb, groups, links]), sha, pairs, deg, both % len(pairs), mult)
 
@@ -294,7 +341,7 @@ BLOCKS = ("block long, doc_id array<long>, n_a array<long>, n_b array<long>, n_g
 
 
 def _block_row(no: int, ids: list, done: list[Aligned]) -> pa.RecordBatch:
-    pairs = np.unique(np.concatenate([d.pairs for d in done]))
+    pairs = counted(np.concatenate([d.pairs for d in done]))[0]
     idx = np.concatenate([np.searchsorted(pairs, d.pairs)[d.idx] for d in done]).astype(np.uint32)
     counts = np.concatenate([d.counts for d in done], axis=1)
     cols = [pa.array([no], pa.int64()), pa.array([ids], pa.list_(pa.int64())),
@@ -438,7 +485,7 @@ def fragment_row(tok: Tokenizers, key: int, at: int, ok: bool, a: np.ndarray, ae
     f = Fragment(True, (side(a[:ia], ae[:ia]), side(b[:ib], be[:ib])), (side(a[ja:], ae[ja:]), side(b[jb:], be[jb:])))
     if len(cuts) > 1:
         c = close(tok, a[ia:ja], ae[ia:ja], b[ib:jb], be[ib:jb])
-        pair, mult = np.unique(c.link, return_counts=True)
+        pair, mult = counted(c.link)
         row |= {"n_groups": len(c.cuts), "n_links": len(c.link), "pair": pair.tolist(), "mult": mult.tolist(),
                 "text": _sliced(int(lo), b"".join(c.parts.tolist()))}
     return row | _opened(f)
