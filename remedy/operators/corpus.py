@@ -126,24 +126,29 @@ def refresh_sample(secondary: DataFrame, id_col: str, version: int, n: int = 100
     return secondary.withColumn("_k", key).orderBy("_k", id_col).limit(n).drop("_k")
 
 
-def corpus_refresh(primary: DataFrame, secondary: DataFrame, id_col: str, versions: int = 3,
-                   n: int = 100, p: float = 0.5, seed: int = 42) -> DataFrame:
-    """C5 re-aimed: each version extends the one before. Version v is the primary corpus
-    and the samples of all versions up to v that were drawn; version u draws, with
-    probability p (from md5(seed, u)), a deterministic n-row sample of the secondary
-    corpus. UNION ALL, no dedupe: a passage drawn twice is held twice."""
-    parts = []
+def refresh_draws(secondary: DataFrame, id_col: str, versions: int = 3, n: int = 100, p: float = 0.5,
+                  seed: int = 42) -> DataFrame:
+    """C5 draws: (draw, id): version u draws, with probability p (from md5(seed, u)), a
+    deterministic n-row sample of the secondary corpus."""
+    out = None
     for v in range(1, versions + 1):
-        parts.append(primary.select(F.lit(v).alias("kb_version"), F.lit("primary").alias("origin"), id_col))
         drawn = refresh_sample(secondary, id_col, v, n, seed).filter(md5_uniform(F.lit(str(seed)), F.lit(str(v))) <= p)
-        parts.append(drawn.select(F.explode(F.sequence(F.lit(v), F.lit(versions))).alias("kb_version"),
-                                  F.lit("secondary").alias("origin"), id_col))
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
+        drawn = drawn.select(F.lit(v).alias("draw"), id_col)
+        out = drawn if out is None else out.unionByName(drawn)
     return out
 
 
+def corpus_refresh(primary: DataFrame, secondary: DataFrame, id_col: str, versions: int = 3,
+                   n: int = 100, p: float = 0.5, seed: int = 42) -> DataFrame:
+    """C5 re-aimed: each version extends the one before. Version v is the primary corpus and
+    the samples of all versions up to v that were drawn. UNION ALL, no dedupe: a passage
+    drawn twice is held twice."""
+    every = lambda first: F.explode(F.sequence(first, F.lit(versions))).alias("kb_version")
+    draws = refresh_draws(secondary, id_col, versions, n, p, seed)
+    return (primary.select(every(F.lit(1)), F.lit("primary").alias("origin"), id_col)
+            .unionByName(draws.select(every(F.col("draw")), F.lit("secondary").alias("origin"), id_col)))
+
+
 def epoch_order(df: DataFrame, id_col: str, epochs: int = 2, seed: int = 42) -> DataFrame:
     """Seeded shuffle per epoch: position by md5(seed, epoch, id)."""
     spark = df.sparkSession

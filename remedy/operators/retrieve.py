@@ -15,6 +15,7 @@ from pyspark.sql import types as ST
 from remedy.functions.num import np_rnd, rnd
 
 from remedy.functions import text as T
+from remedy.functions.stem import stem_table
 from remedy.session import BROADCAST_MAX_ROWS, bounded_broadcast, ensure_parallelism
 
 # BM25 constants (Robertson & Zaragoza): not given by the reference, stated here.
@@ -76,43 +77,31 @@ class BM25Index:
     stats: DataFrame      # n_chunks, avgdl (one row)
 
 
-def bm25_index(chunks: DataFrame, vocabulary: DataFrame | None = None, materialize: bool = True,
-               clustered: bool = False) -> BM25Index:
-    """Term frequency, document frequency, length, average length and N.
+def bm25_index(chunks: DataFrame) -> BM25Index:
+    """Term frequency, document frequency, length, average length and N of a set of
+    chunks, in memory of one job (the streamed index; ``lexical`` keeps the shared one).
 
-    One tokenising pass: every chunk emits its terms plus one length row (null
-    term), filtered map-side to ``vocabulary`` (e.g. the distinct query terms) by a
-    size-checked broadcast join, and counted per (chunk, term). That table is
-    materialised once with a reliable checkpoint (shared checkpoint folder), and
-    postings, document frequencies and N / average length all read it.
-
-    ``clustered`` says the chunks are already hash-partitioned by ``doc_id`` (as
-    chunks of ``passages`` are); otherwise chunk rows are hash-partitioned by
-    doc_id once. Either way postings stay partitioned by document, so scoring
-    aggregates without another shuffle."""
+    One tokenising pass: every chunk emits its terms plus one length row (null term), counted
+    per (chunk, term) and kept by a reliable checkpoint. The distinct terms are stemmed and
+    joined back."""
     from remedy.session import cut_lineage
 
     keys = ["doc_id", "pos"]
-    base = chunks if clustered else chunks.repartition(
-        int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
-    t = base.select(*keys, T.index_terms("text").alias("_t")).withColumn("dl", F.size("_t"))
+    t = chunks.select(*keys, T.index_terms("text").alias("_t")).withColumn("dl", F.size("_t"))
     x = t.select(*keys, "dl", F.explode(F.concat("_t", F.array(F.lit(None).cast("string")))).alias("term"))
-    if vocabulary is not None:
-        v = bounded_broadcast(vocabulary.select("term").distinct().withColumn("_in", F.lit(True)))
-        x = x.join(v, "term", "left").filter(F.col("term").isNull() | F.col("_in").isNotNull()).drop("_in")
-    counted = x.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
-    if materialize:
-        counted = cut_lineage(counted)
-    postings = counted.filter(F.col("term").isNotNull())
+    counted = cut_lineage(x.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl")))
+    stemmed = counted.join(stem_table(counted), "term").withColumn("term", F.col("stem"))
+    postings = cut_lineage(stemmed.groupBy(*keys, "term").agg(F.sum("tf").alias("tf"), F.max("dl").alias("dl")))
     dfreq = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     stats = counted.filter(F.col("term").isNull()).agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("dl").alias("avgdl"))
     return BM25Index(postings, dfreq, stats)
 
 
 def query_terms(queries: DataFrame, q_col: str = "q_id", text_col: str = "question") -> DataFrame:
-    """Distinct lower-cased terms per query, stop words left out (each counted once)."""
-    return queries.select(F.col(q_col).alias("q_id"),
-                          F.explode(F.array_distinct(T.index_terms(text_col))).alias("term"))
+    """Distinct stems per query, stop words left out (each counted once). The distinct terms
+    of all queries are stemmed once."""
+    raw = queries.select(F.col(q_col).alias("q_id"), F.explode(F.array_distinct(T.index_terms(text_col))).alias("term"))
+    return raw.join(stem_table(raw), "term").select("q_id", F.col("stem").alias("term")).distinct()
 
 
 def bm25_scores(index: BM25Index, qterms: DataFrame) -> DataFrame:
@@ -145,14 +134,6 @@ def top_k(scores: DataFrame, k: int, descending: bool = True, part: str = "q_id"
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int = 5, clustered: bool = False) -> DataFrame:
-    """F2: BM25 top-k chunks per query, descending score (index restricted to the
-    query vocabulary)."""
-    qt = query_terms(queries)
-    idx = bm25_index(chunks, qt, clustered=clustered)
-    return top_k(bm25_scores(idx, qt), k)
-
-
 # ---- dense exact top-k -------------------------------------------------------
 
 def _row_topk(cd: np.ndarray, ci: np.ndarray, k: int):
@@ -228,33 +209,14 @@ def chunk_text_for(ranked: DataFrame, docs: DataFrame, id_col: str = "doc_id",
     sel = docs.select(id_col, text_col).join(bounded_broadcast(ids), id_col, "left_semi")
     return r, chunk_windows(sel, id_col, text_col)
 
-def rerank_topn(candidates: DataFrame, chunks: DataFrame, queries: DataFrame, index: BM25Index,
-                n: int = 3, scorer=None) -> DataFrame:
-    """rescore (query, chunk) candidates with a pair scorer and keep the best n.
-
-    Default scorer (native): idf-weighted share of the query's distinct terms that
-    occur in the chunk. A pluggable Arrow ``pandas_udf(question, text) -> double``
-    (e.g. a cross-encoder) may be passed as ``scorer``."""
-    if scorer is not None:
-        pairs = (candidates.select("q_id", "doc_id", "pos")
-                 .join(chunks, ["doc_id", "pos"])
-                 .join(queries.select("q_id", "question"), "q_id"))
-        scored = pairs.select("q_id", "doc_id", "pos", rnd(scorer("question", "text"), 6).alias("score"))
-    else:
-        stats = F.broadcast(index.stats)
-        qt = (query_terms(queries).join(index.df, "term").crossJoin(stats)
-              .select("q_id", "term", F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")))
-        total = qt.groupBy("q_id").agg(F.sum("idf").alias("_tot"))
-        hit = (candidates.select("q_id", "doc_id", "pos")
-               .join(qt, "q_id")
-               .join(index.postings.select("doc_id", "pos", "term"), ["doc_id", "pos", "term"], "left_semi")
-               .groupBy("q_id", "doc_id", "pos").agg(F.sum("idf").alias("_hit")))
-        scored = (candidates.select("q_id", "doc_id", "pos")
-                  .join(hit, ["q_id", "doc_id", "pos"], "left")
-                  .join(total, "q_id")
-                  .select("q_id", "doc_id", "pos",
-                          rnd(F.coalesce(F.col("_hit"), F.lit(0.0)) / F.col("_tot"), 6).alias("score")))
-    return top_k(scored, n)
+def rerank_topn(candidates: DataFrame, chunks: DataFrame, queries: DataFrame, scorer, n: int = 3) -> DataFrame:
+    """F3 with a plugged-in pair scorer: an Arrow ``pandas_udf(question, text) -> double`` (e.g.
+    a cross-encoder) rescores (query, chunk) candidates; the best n stay. ``lexical.rerank``
+    is the scorer of the registered queries."""
+    pairs = (candidates.select("q_id", "doc_id", "pos")
+             .join(chunks, ["doc_id", "pos"])
+             .join(queries.select("q_id", "question"), "q_id"))
+    return top_k(pairs.select("q_id", "doc_id", "pos", rnd(scorer("question", "text"), 6).alias("score")), n)
 
 
 def similarity_filter(scored: DataFrame, chunks: DataFrame, cutoff: float = 0.4) -> DataFrame:

@@ -22,6 +22,8 @@ QUERIES = {
     "chunk_sentences": RQ.chunk_sentences,
     "bm25_stats": RQ.bm25_stats,
     "bm25_topk": RQ.bm25_topk,
+    "bm25_refreshed": RQ.bm25_refreshed,
+    "config_grid": RQ.config_grid,
     "gold_containment": RQ.gold_containment,
     "precision_at_k": RQ.precision_at_k,
     "context_precision": RQ.context_precision,
@@ -45,7 +47,7 @@ for _k in ["decode_brackets", "clean_passage", "split_sentences", "join_sentence
            "parse_reply", "repair_reply", "eval_projection", "clean_short_answer", "render_prompt", "decode_triples",
            "triple_query", "triple_export", "cap_triples", "explode_evidence", "inverse_evidence",
            "evidence_semi", "evidence_sentences", "evidence_missing", "split_range", "corpus_cap",
-           "corpus_refresh", "corpus_counts", "epoch_order", "sample_replace", "config_grid", "nli_pairs",
+           "corpus_refresh", "corpus_counts", "epoch_order", "sample_replace", "nli_pairs",
            "normalize_id"]:
     QUERIES[_k] = getattr(CQ, _k)
 

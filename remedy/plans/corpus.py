@@ -9,8 +9,10 @@ from remedy.functions import prompts as PR
 from remedy.functions import reply as RP
 from remedy.functions import text as T
 from remedy.operators import corpus as C
+from remedy.operators import lexical as L
 from remedy.operators import retrieve as R
 from remedy.plans import fixtures as X
+from remedy.plans.index import VERSIONS, index_at, refresh_parts
 from remedy.sources.tables import table
 
 
@@ -97,9 +99,8 @@ def templates(spark: SparkSession) -> DataFrame:
 
 
 def render_prompt(spark, sf):
-    chunks = R.chunk_windows(X.passages(spark, sf))
     qs = X.questions(spark, sf)
-    ranked, txt = R.chunk_text_for(R.bm25_topk(chunks, qs, 5, clustered=True), _docs(spark, sf))
+    ranked, txt = R.chunk_text_for(L.topk(index_at(spark, sf), qs, 5), _docs(spark, sf))
     packs = R.pack_context(ranked, txt, 2000)
     j = packs.join(qs, "q_id").crossJoin(F.broadcast(templates(spark)))  # six templates
     return j.select("q_id", "pack", "task", "template",
@@ -191,10 +192,8 @@ def corpus_cap(spark, sf):
 
 
 def corpus_refresh(spark, sf):
-    p = X.passages(spark, sf).join(_docs(spark, sf).select("doc_id", "lang"), "doc_id")
-    prim = p.filter(F.col("lang") == "en").select("doc_id")
-    sec = p.filter(F.col("lang") != "en").select("doc_id")
-    return C.corpus_refresh(prim, sec, "doc_id", versions=3, n=100, p=0.5, seed=42)
+    prim, sec = refresh_parts(spark, sf)
+    return C.corpus_refresh(prim.select("doc_id"), sec.select("doc_id"), "doc_id", versions=VERSIONS, n=100, p=0.5, seed=42)
 
 
 def corpus_counts(spark, sf):
@@ -224,14 +223,6 @@ def sample_replace(spark, sf):
     return C.sample_with_replacement(X.questions(spark, sf).select("q_id"), "q_id", 200, 42).select("draw", "q_id")
 
 
-def config_grid(spark, sf):
-    """Every question x the 36 retrieval configurations (fixed grid, broadcast)."""
-    grid = [(r, k, rr, p) for r in ("dense", "bm25") for k in (10, 5, 20) for rr in (False, True)
-            for p in ("simple_qa", "paraphrase_qa", "simplify_qa")]
-    g = spark.createDataFrame(grid, "retriever string, topk int, reranker boolean, prompt_edit string")
-    return X.questions(spark, sf).select("q_id").crossJoin(F.broadcast(g))
-
-
 def nli_pairs(spark, sf):
     """(retrieved chunk, question) and (chunk, answer) pairs for the NLI hook:
     conversation questions retrieve BM25 top-3 chunks; the answer is the parsed reply."""
@@ -244,9 +235,7 @@ def nli_pairs(spark, sf):
 
 def _retrieved(spark, sf, questions):
     """(q_id, retrieved): the BM25 top-3 chunks of each question, in rank order."""
-    chunks = R.chunk_windows(X.passages(spark, sf))
-    ranked, txt = R.chunk_text_for(R.bm25_topk(chunks, questions.select("q_id", "question"), 3, clustered=True),
-                                   _docs(spark, sf))
+    ranked, txt = R.chunk_text_for(L.topk(index_at(spark, sf), questions.select("q_id", "question"), 3), _docs(spark, sf))
     top = ranked.join(txt, ["doc_id", "pos"])
     return (top.groupBy("q_id")
               .agg(F.array_sort(F.collect_list(F.struct("rank", "text", F.concat_ws(":", "doc_id", "pos").alias("node_id"),

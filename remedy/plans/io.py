@@ -4,7 +4,6 @@ and reads it back through the reader under test."""
 
 from __future__ import annotations
 
-import hashlib
 import os
 import uuid
 
@@ -17,6 +16,7 @@ from remedy.operators import policy as PO
 from remedy.operators import retrieve as R
 from remedy.operators import reward as RW
 from remedy.plans import fixtures as X
+from remedy.plans.index import index_at
 from remedy.session import scratch_path
 from remedy.sources import files as FS
 
@@ -102,24 +102,10 @@ def trace_reload_rewards(spark, sf):
     return t.select("q", "action", "failure_label", "params_json", rnd(F.col("reward.total_reward"), 6).alias("total_reward"))
 
 
-def _input_key(spark, sf, name: str, *params) -> str:
-    """Digest of a table's files (path, size, time of change) and of the parameters: equal
-    keys mean equal input, whatever session asks. One row per file is read."""
-    m = "_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time"
-    files = sorted(str(tuple(r)) for r in X.table(spark, sf, name).select(*m).distinct().collect())
-    return hashlib.sha256(repr((files, params)).encode()).hexdigest()[:24]
-
-
 def index_tables(spark, sf):
-    """The index of the passages, loaded if one of this input and these parameters is
-    there, else built and written."""
-    path = scratch_path(spark, "index-" + _input_key(spark, sf, "documents", R.CHUNK_SIZE, R.CHUNK_OVERLAP, T.STOP_WORDS))
-    got = FS.load_index(spark, path, 1)
-    if got is None:
-        idx = R.bm25_index(R.chunk_windows(X.passages(spark, sf)), clustered=True)
-        FS.write_index(idx.postings, idx.df, idx.stats, path, 1)
-        got = FS.load_index(spark, path, 1)
-    return got[0]
+    """The postings of the shared index, loaded if that of this input and these
+    parameters is there, else built and written."""
+    return index_at(spark, sf).postings().drop("delta")
 
 
 def policy_io(spark, sf):

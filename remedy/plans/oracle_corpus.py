@@ -180,9 +180,6 @@ SQL = {
         d AS (SELECT draw, floor(('0x' || substr(md5('42|' || draw::VARCHAR), 1, 8))::BIGINT / 4294967296e0 * n)::BIGINT AS pos
               FROM (SELECT unnest(range(200))::BIGINT AS draw), n)
         SELECT d.draw, r.q_id FROM d JOIN r USING (pos)""",
-    "config_grid": """SELECT item_id AS q_id, retriever, topk, reranker, prompt_edit FROM benchmark,
-        (SELECT unnest(['dense', 'bm25']) AS retriever), (SELECT unnest([10, 5, 20])::INT AS topk),
-        (SELECT unnest([false, true]) AS reranker), (SELECT unnest(['simple_qa', 'paraphrase_qa', 'simplify_qa']) AS prompt_edit)""",
 }
 
 # nli_pairs: BM25 over conversation questions (q_id = conv_id * 1000 + turn).

@@ -151,7 +151,7 @@ def test_rerank_with_pluggable_pair_scorer(spark):
                                     (4, 0, "apple pie with red cherries")], "doc_id long, pos int, text string")
     qs = spark.createDataFrame([(9, "red apple pie")], "q_id long, question string")
     qt = R.query_terms(qs)
-    idx = R.bm25_index(chunks, qt)
+    idx = R.bm25_index(chunks)
     cand = R.top_k(R.bm25_scores(idx, qt), 10)
-    got = R.rerank_topn(cand, chunks, qs, idx, 2, scorer=pair_scorer(loader)).orderBy("rank").collect()
+    got = R.rerank_topn(cand, chunks, qs, pair_scorer(loader), 2).orderBy("rank").collect()
     assert [r.doc_id for r in got] == [1, 4]

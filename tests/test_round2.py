@@ -166,16 +166,6 @@ def test_local_checkpoint_folder_is_refused_on_a_cluster(spark, monkeypatch):
         session.checkpoint_dir(fake)
 
 
-def test_index_is_built_once_per_input(spark, monkeypatch):
-    from remedy.plans import io as IQ
-    first = sorted(map(tuple, IQ.index_tables(spark, SF_SMALL).collect()))
-
-    def never(*a, **k):
-        raise AssertionError("tokenised again")
-    monkeypatch.setattr(IQ.R, "bm25_index", never)
-    assert sorted(map(tuple, IQ.index_tables(spark, SF_SMALL).collect())) == first
-
-
 def test_latest_of_repeated_pages(spark):
     from remedy.operators import corpus as C
     df = spark.createDataFrame([("a", 1, "old"), ("a", 3, "new"), ("a", 2, "mid"), ("b", 1, "only"), ("a", 3, "new")],
