@@ -13,8 +13,8 @@ is cut into powers of two. So nothing is padded, and only documents in windows s
 landing can be cut.
 
 Texts are encoded word by word (the tokenizer drops white space and no word depends on its
-neighbours) from a bounded table per worker; words of Latin letters and the punctuation
-behind them are encoded in runs, which the word-end mark of the last piece cuts apart.
+neighbours) from a bounded table per worker; words of Latin letters are encoded in runs,
+which the word-end mark of a word's last piece cuts apart.
 
 Defined cases: a null or empty text is its end token alone; equal rows are packed each; rows
 without id are packed with a null id; a text of any length is read in slices; an empty table
@@ -23,6 +23,7 @@ gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -41,13 +42,55 @@ FILE = "word_bpe_49k.json"
 CAPACITY = 2048
 END_ID = 1
 OPEN = 4096
-#: words kept encoded per worker, the longest one kept, and bytes of a text read at a time
-KEPT, KEPT_BYTES, SLICE = 400_000, 48, 1 << 20
-# Latin letters that have no other normal form, then punctuation: two separate words
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+#: words used of late that a worker keeps encoded (and as many from before), the longest one
+#: kept, and bytes of a text read at a time
+KEPT, KEPT_BYTES, SLICE = 250_000, 48, 1 << 20
+# Latin letters that have no other normal form
+PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+# a mark beside what the tokenizer might take together with it: any punctuation, and any
+# other character but a Latin letter of two bytes before it
+RUN = re.compile(rb"[.,;:!?](?:(?=[!-/:-@\[-`{-~\x80-\xff])|(?<=[!-/:-@\[-`{-~].)"
+                 rb"|(?<=[\x80-\xff].)(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))")
 BLANK = re.compile(rb"[ \t\n\r]")
 
 
+def words_of(text: bytes) -> list[bytes]:
+    """A text as parts that the tokenizer encodes one by one: words, in lower case as it makes
+    them, and single punctuation marks. Where a mark stands beside others, or what might be
+    a special token is there, words are cut at white space alone."""
+    if b"<|" in text or RUN.search(text):
+        return text.split()
+    for mark in (b".", b",", b";", b":", b"!", b"?"):
+        text = text.replace(mark, b" " + mark)
+    return text.lower().split()
+
+
+def _by_rank(file: str):
+    """The merges of the file for words of letters, in tiktoken: several times as fast as the
+    library that the file is made for. Words end in "/", which stands for the word-end mark
+    (no word of letters holds one). None where merges are not numbered in their order behind
+    the bytes and the bytes that end a word."""
+    import tiktoken
+
+    with open(file, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    mark, vocab = model["end_of_word_suffix"], model["vocab"]
+    merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+    if not mark or [vocab.get(m) for m in merged] != list(range(512, 512 + len(merged))):
+        return None
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    ranks = {}
+    for t, i in vocab.items():
+        if i < 512 + len(merged):
+            raw, end = t.removesuffix(mark), b"/" if t.endswith(mark) and t != mark else b""
+            if "/" not in raw or len(raw) == 1 and not end:
+                ranks[bytes(byte[c] for c in raw) + end] = i
+    if len(ranks) < 511 or any(bytes([b]) not in ranks for b in range(256)):
+        return None
+    return tiktoken.Encoding("words", pat_str="[^/]+/", mergeable_ranks=ranks, special_tokens={})
+
+
 class Words:
     """Words -> their ids as little-endian 32-bit bytes."""
 
@@ -57,12 +100,13 @@ class Words:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(file if os.path.isabs(file) else public_tokenizers.path(file))
+        place = file if os.path.isabs(file) else public_tokenizers.path(file)
+        self.tok, self.fast = Tokenizer.from_file(place), _by_rank(place)
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.kept: dict[bytes, bytes] = {}
-        self.units: dict[str, bytes] = {}
+        self.kept: dict[bytes, bytes] = {}  # what was used of late, and before that
+        self.before: dict[bytes, bytes] = {}
 
     @classmethod
     def load(cls, file: str) -> Words:
@@ -74,37 +118,44 @@ class Words:
         got = self.tok.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in got]
 
-    def _learn_units(self, units: list[str]) -> None:
-        for at in range(0, len(units), 500):
-            run = units[at:at + 500]
-            ids = np.array(self.tok.encode_batch_fast([" ".join(run)], add_special_tokens=False)[0].ids, dtype="<u4")
-            cut = np.flatnonzero(self.ends[ids]) + 1
-            if len(cut) == len(run):
-                self.units.update(zip(run, (ids[i:j].tobytes() for i, j in zip([0, *cut[:-1]], cut))))
-            else:
-                self.units.update(zip(run, self._whole(run)))
-
-    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Encodes the words not yet kept; what is too long to keep comes back."""
-        if len(self.kept) + len(words) > KEPT:
-            self.kept.clear()
-            self.units.clear()
-        new = {w: w.decode(errors="replace") for w in words if w not in self.kept}
-        plain = {w: m for w, t in new.items() if (m := PLAIN.fullmatch(t))}
-        pieces = {w: [p for p in (m[1].lower(), m[2]) if p] for w, m in plain.items()}
-        self._learn_units([u for u in dict.fromkeys(u for p in pieces.values() for u in p) if u not in self.units])
-        other = [w for w in new if w not in plain]
-        got = {w: b"".join([self.units[u] for u in p]) for w, p in pieces.items()}
-        got |= dict(zip(other, self._whole([new[w] for w in other])))
-        self.kept |= {w: x for w, x in got.items() if len(w) <= KEPT_BYTES}
-        return {w: x for w, x in got.items() if len(w) > KEPT_BYTES}
+    def _run(self, words: list[str]) -> list[bytes]:
+        """Words of letters, encoded as one text and cut at the mark of a word's last piece."""
+        if self.fast:
+            found = self.fast.encode_ordinary("/".join(words).lower() + "/")
+        else:
+            found = self.tok.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
+        ids = np.array(found, dtype="<u4")
+        cut = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(cut) != len(words):
+            return self._whole(words)
+        raw = ids.tobytes()
+        return [raw[i:j] for i, j in zip([0, *cut], cut)]
+
+    def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
+        plain, other = [], []
+        for w in new:
+            (plain if w.isalpha() or PLAIN.fullmatch(w.decode(errors="replace")) else other).append(w)
+        got = {}
+        for i in range(0, len(plain), 500):
+            run = plain[i:i + 500]
+            got.update(zip(run, self._run([w.decode() for w in run])))
+        got.update(zip(other, self._whole([w.decode(errors="replace") for w in other])))
+        return got
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        long = self.learn(set().union(*split))
-        if not long:
-            return [b"".join([self.kept[w] for w in s]) for s in split]
-        return [b"".join([self.kept[w] if w in self.kept else long[w] for w in s]) for s in split]
+        """Texts -> their ids as little-endian 32-bit bytes."""
+        if len(self.kept) > KEPT:
+            self.kept, self.before = {}, self.kept
+        parts = [words_of(t) for t in texts]
+        known, need = self.kept, [w for w in set().union(*parts) if w not in self.kept]
+        known.update((w, self.before[w]) for w in need if w in self.before)
+        new = self._learn([w for w in need if w not in self.before])
+        known.update(new)
+        out = [b"".join(map(known.__getitem__, p)) for p in parts]
+        for w in new:
+            if len(w) > KEPT_BYTES:
+                del known[w]
+        return out
 
 
 def slices(text: bytes, size: int = SLICE) -> Iterator[bytes]:
