@@ -4,11 +4,13 @@ and the gold-containment join used by the context metrics."""
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
@@ -16,7 +18,7 @@ from remedy.functions.num import np_rnd, rnd
 
 from remedy.functions import text as T
 from remedy.functions.stem import stem_table
-from remedy.session import BROADCAST_MAX_ROWS, bounded_broadcast, ensure_parallelism
+from remedy.session import bounded_broadcast
 
 # BM25 constants (Robertson & Zaragoza): not given by the reference, stated here.
 BM25_K1 = 1.5
@@ -45,29 +47,41 @@ def chunk_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def sentence_bounds(words: np.ndarray, budget: int, overlap: int) -> list[tuple[int, int]]:
+    """Chunks as ranges [start, end) of sentences with ``words`` words each: as many sentences
+    as fit the budget, at least one. The next chunk begins again with the last sentences of
+    the one before, as many as hold at most ``overlap`` words and leave room for a new one."""
+    total = np.concatenate([[0], np.cumsum(words)])
+    out, start, n = [], 0, len(words)
+    while start < n:
+        end = max(start + 1, int(np.searchsorted(total, total[start] + budget, "right")) - 1)
+        out.append((start, end))
+        if end == n:
+            break
+        # the first sentence that may be repeated: few enough words, and room for the next
+        least = max(total[end] - overlap, total[end + 1] - budget)
+        start = max(start + 1, min(end, int(np.searchsorted(total, least, "left"))))
+    return out
+
+
 def chunk_sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    budget: int = CHUNK_SIZE) -> DataFrame:
-    """Sentence-preserving greedy packing of sentences into chunks of at most
-    ``budget`` words (a sentence longer than the budget forms its own chunk).
-    A JVM-side fold over the sentence array; no UDF, no shuffle."""
-    sents = F.filter(F.split(F.col(text_col), r"(?<=[.!?])\s+"), lambda s: F.length(F.trim(s)) > 0)
-    acc0 = F.array(F.struct(F.lit("").alias("t"), F.lit(0).alias("n"))).cast(
-        "array<struct<t:string,n:int>>")
-
-    def step(acc, s):
-        w = F.size(F.split(F.trim(s), r"\s+"))
-        last = F.element_at(acc, -1)
-        fits = (last["n"] == 0) | (last["n"] + w <= budget)
-        merged = F.struct(
-            F.when(last["n"] == 0, s).otherwise(F.concat(last["t"], F.lit(" "), s)).alias("t"),
-            (last["n"] + w).alias("n"))
-        return F.when(fits, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(merged))).otherwise(
-            F.concat(acc, F.array(F.struct(s.alias("t"), w.alias("n")))))
-
-    packed = F.aggregate(sents, acc0, step)
-    return (df.select(id_col, F.posexplode(packed).alias("pos", "c"))
-              .filter(F.col("c.n") > 0)
-              .select(id_col, "pos", F.col("c.t").alias("text"), F.col("c.n").alias("n_words")))
+                    budget: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
+    """Whole sentences packed into chunks of at most ``budget`` words, ``overlap`` words of
+    whole sentences shared by neighbours (a sentence longer than the budget is a chunk of its
+    own). Bounds come from a search in the running word counts, linear in the text; only the
+    counts go to Python, and texts are cut from the sentence array."""
+    def bounds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield b.map(lambda w: [{"s": s, "n": e - s} for s, e in sentence_bounds(np.asarray(w, dtype=np.int64), budget, overlap)])
+
+    cut = F.pandas_udf(bounds, "array<struct<s: int, n: int>>")
+    sents = F.filter(F.split(F.col(text_col), r"(?<=[.!?])\s+"), lambda s: s.rlike(r"\S"))
+    x = df.select(id_col, sents.alias("_s")).filter(F.size("_s") > 0)
+    x = x.withColumn("_w", F.transform("_s", lambda s: F.regexp_count(s, F.lit(r"\S+"))))
+    x = x.select(id_col, "_s", "_w", F.posexplode(cut("_w")).alias("pos", "c"))
+    part = lambda c: F.slice(c, F.col("c.s") + 1, F.col("c.n"))
+    return x.select(id_col, "pos", F.array_join(part("_s"), " ").alias("text"),
+                    F.aggregate(part("_w"), F.lit(0), lambda a, w: a + w).alias("n_words"))
 
 
 @dataclass
@@ -249,38 +263,53 @@ def pack_context(ranked: DataFrame, chunks: DataFrame, budget_chars: int = 2000,
 
 # ---- gold containment ---------------------------------------------------------
 
-def gold_containment(docs: DataFrame, golds: DataFrame, doc_id: str = "doc_id",
-                     doc_text: str = "text", gold_id: str = "q_id", gold_text: str = "question") -> DataFrame:
-    """Pairs (gold, doc) with gold text a case-sensitive substring of the doc.
+def _grams(text: str, q: int) -> Column:
+    """Distinct runs of ``q`` characters of a text, linear in its length."""
+    chars = F.regexp_extract_all(F.col(text), F.lit("(?s)."), 0)
+    runs = F.transform(F.array(chars), lambda c: F.when(F.size(c) >= q, F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size(c) - q + 1, F.lit(1))), lambda i: F.array_join(F.slice(c, i, q), ""))))
+    return F.array_distinct(F.get(runs, 0))
 
-    Exact, without a nested loop over all pairs: a term strictly inside the gold
-    (neither its first nor its last term) is a whole term of any text containing
-    the gold. Each gold is anchored on its rarest interior term; candidate docs come
-    from an equi-join on that term and are verified with ``contains``. Golds with
-    fewer than three terms have no interior term; they are checked with a direct
-    ``contains`` against every doc (their count is size-checked before broadcast).
-    """
-    d = ensure_parallelism(docs.select(F.col(doc_id).alias("_d"), F.col(doc_text).alias("_dt")))
-    g = golds.select(F.col(gold_id).alias("_g"), F.col(gold_text).alias("_gt"))
-    gt = g.select("_g", T.terms("_gt").alias("_ts"))
-    interior = gt.filter(F.size("_ts") >= 3).select(
-        "_g", F.explode(F.slice("_ts", 2, F.size("_ts") - 2)).alias("term")).distinct()
-    # Only terms that can anchor a gold are indexed (size-checked broadcast filter).
-    vocab = bounded_broadcast(interior.select("term").distinct())
-    doc_terms = (d.select("_d", F.explode(F.array_distinct(T.terms("_dt"))).alias("term"))
-                  .join(vocab, "term", "left_semi"))
+
+def _anchored(d: DataFrame, golds: DataFrame, anchors: DataFrame, held: Column) -> DataFrame:
+    """Pairs (_g, _d): every gold meets the texts that hold the rarest of its ``anchors``
+    (_g, term), and is looked for there. ``held``: the terms of a text as an array."""
+    vocab = bounded_broadcast(anchors.select("term").distinct())
+    doc_terms = d.select("_d", F.explode(held).alias("term")).join(vocab, "term", "left_semi")
     dfreq = doc_terms.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
-    anchor = (interior.join(dfreq, "term")
+    rarest = (anchors.join(dfreq, "term")
               .withColumn("_r", F.row_number().over(W.partitionBy("_g").orderBy("_df", "term")))
               .filter(F.col("_r") == 1).select("_g", "term"))
-    cand = anchor.join(doc_terms, "term").select("_g", "_d")
-    long_pairs = (cand.join(g, "_g").join(d, "_d")
-                  .filter(F.contains(F.col("_dt"), F.col("_gt"))).select("_g", "_d"))
-    out = long_pairs
-    short = gt.filter(F.size("_ts") < 3).select("_g").join(g, "_g")
-    if short.limit(1).count() > 0:  # skip the fallback scan when every gold has an anchor
-        short_pairs = (d.join(bounded_broadcast(short, BROADCAST_MAX_ROWS // 100),
-                              F.contains(F.col("_dt"), F.col("_gt")))
-                       .select("_g", "_d"))
-        out = out.unionByName(short_pairs)
+    cand = rarest.join(doc_terms, "term").select("_g", "_d")
+    return (cand.join(golds, "_g").join(d, "_d")
+                .filter(F.contains(F.col("_dt"), F.col("_gt"))).select("_g", "_d"))
+
+
+def gold_containment(docs: DataFrame, golds: DataFrame, doc_id: str = "doc_id",
+                     doc_text: str = "text", gold_id: str = "q_id", gold_text: str = "question", q: int = 3) -> DataFrame:
+    """Pairs (gold, doc) with gold text a case-sensitive substring of the doc.
+
+    Exact, without a nested loop over all pairs: a term strictly inside the gold (neither its
+    first nor its last term) is a whole term of any text containing the gold. Each gold is
+    anchored on its rarest interior term; candidate docs come from an equi-join on that term
+    and are verified with ``contains``. Golds of fewer than three terms have no interior term;
+    they are anchored on their rarest run of ``q`` characters (on themselves, if shorter), and
+    only runs that some gold holds are indexed. An empty gold is in every text.
+
+    Texts are hashed by id once; the index and the verification both use that partitioning.
+    """
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = docs.select(F.col(doc_id).alias("_d"), F.col(doc_text).alias("_dt")).repartition(n, "_d")
+    g = golds.select(F.col(gold_id).alias("_g"), F.col(gold_text).alias("_gt")).withColumn("_ts", T.terms("_gt"))
+    long, short = g.filter(F.size("_ts") >= 3), g.filter((F.size("_ts") < 3) & (F.col("_gt") != ""))
+    interior = long.select("_g", F.explode(F.slice("_ts", 2, F.size("_ts") - 2)).alias("term")).distinct()
+    out = _anchored(d, long.select("_g", "_gt"), interior, F.array_distinct(T.terms("_dt")))
+    sizes = [r[0] for r in short.select(F.least(F.char_length("_gt"), F.lit(q)).alias("k")).distinct().collect()]  # 1 to q
+    for k in sorted(sizes):
+        part = short.filter(F.least(F.char_length("_gt"), F.lit(q)) == k)
+        runs = part.select("_g", F.explode(_grams("_gt", k)).alias("term"))
+        out = out.unionByName(_anchored(d, part.select("_g", "_gt"), runs, _grams("_dt", k)))
+    empty = g.filter(F.col("_gt") == "").select("_g", F.lit(0).alias("_k"))
+    every = d.select("_d", F.when(F.col("_dt").isNotNull(), 0).alias("_k")).join(F.broadcast(empty.limit(1).select("_k")), "_k", "left_semi")
+    out = out.unionByName(every.join(empty, "_k").select("_g", "_d"))
     return out.select(F.col("_g").alias(gold_id), F.col("_d").alias(doc_id))

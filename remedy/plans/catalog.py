@@ -25,6 +25,7 @@ QUERIES = {
     "bm25_refreshed": RQ.bm25_refreshed,
     "config_grid": RQ.config_grid,
     "gold_containment": RQ.gold_containment,
+    "gold_containment_short": RQ.gold_containment_short,
     "precision_at_k": RQ.precision_at_k,
     "context_precision": RQ.context_precision,
     "context_recall": RQ.context_recall,

@@ -231,3 +231,24 @@ SQL["config_grid"] = f"""WITH {BM25}, {ranked(20, 'lex')},
               doc_id, pos FROM cut QUALIFY r <= 3)
     SELECT q_id, retriever, topk, reranker, p AS prompt_edit, rank, doc_id, pos
     FROM cfg, (SELECT unnest(['simple_qa', 'paraphrase_qa', 'simplify_qa']) AS p)"""
+
+SQL["gold_containment_short"] = """WITH g AS (SELECT item_id * 2 AS q_id, string_split(text, ' ')[1] AS gold FROM benchmark
+    UNION ALL SELECT item_id * 2 + 1, array_to_string(string_split(text, ' ')[1:2], ' ') FROM benchmark)
+    SELECT q_id, doc_id FROM g JOIN documents d ON contains(d.text, g.gold)"""
+
+SQL["chunk_sentences"] = f"""WITH RECURSIVE {PASSAGES},
+    sp AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)),
+             lambda s: regexp_matches(s, '\\S')) AS l FROM passages),
+    se AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS s FROM sp),
+    sw AS (SELECT *, len(regexp_extract_all(s, '\\S+')) AS w FROM se),
+    sc AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS c, count(*) OVER (PARTITION BY doc_id) AS n FROM sw),
+    en AS (SELECT a.doc_id, a.i, a.n, greatest(a.i, max(CASE WHEN b.c - a.c + a.w <= 128 THEN b.i END)) AS e FROM sc a
+           JOIN sc b ON b.doc_id = a.doc_id AND b.i >= a.i GROUP BY a.doc_id, a.i, a.n),
+    nx AS (SELECT en.doc_id, en.i, en.e, en.n, (SELECT min(j.i) FROM sc j JOIN sc x ON x.doc_id = j.doc_id AND x.i = en.e + 1
+             JOIN sc y ON y.doc_id = j.doc_id AND y.i = en.e WHERE j.doc_id = en.doc_id AND j.i > en.i AND j.i <= en.e + 1
+               AND (j.i = en.e + 1 OR y.c - j.c + j.w <= 16 AND x.c - j.c + j.w <= 128)) AS nxt FROM en),
+    ch AS (SELECT doc_id, 0 AS pos, i, e, n, nxt FROM nx WHERE i = 1
+           UNION ALL SELECT ch.doc_id, ch.pos + 1, nx.i, nx.e, nx.n, nx.nxt FROM ch JOIN nx ON nx.doc_id = ch.doc_id AND nx.i = ch.nxt WHERE ch.e < ch.n)
+    SELECT ch.doc_id, ch.pos::INT AS pos, array_to_string(l[ch.i:ch.e], ' ') AS text,
+      list_sum(list_transform(l[ch.i:ch.e], lambda s: len(regexp_extract_all(s, '\\S+'))))::INT AS n_words
+    FROM ch JOIN sp USING (doc_id)"""

@@ -74,14 +74,6 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Data
     return F.broadcast(df) if n <= max_rows else df
 
 
-def ensure_parallelism(df: DataFrame) -> DataFrame:
-    """Spread an under-partitioned input (e.g. one unsplittable file) over the
-    cluster before CPU-heavy per-partition work; a no-op when the input already
-    has at least ``defaultParallelism`` partitions (the usual case at scale)."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
-
-
 def ship_package(spark: SparkSession) -> None:
     """Make the ``remedy`` package importable by Python workers: zip it once per
     SparkContext and ``addPyFile`` it (executors fetch it from the driver). UDF
