@@ -68,20 +68,24 @@ def chunk_sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     budget: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """Whole sentences packed into chunks of at most ``budget`` words, ``overlap`` words of
     whole sentences shared by neighbours (a sentence longer than the budget is a chunk of its
-    own). Bounds come from a search in the running word counts, linear in the text; only the
-    counts go to Python, and texts are cut from the sentence array."""
-    def bounds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for b in batches:
-            yield b.map(lambda w: [{"s": s, "n": e - s} for s, e in sentence_bounds(np.asarray(w, dtype=np.int64), budget, overlap)])
-
-    cut = F.pandas_udf(bounds, "array<struct<s: int, n: int>>")
+    own). Bounds come from a search in the running word counts, and a chunk joins its own
+    sentences only, so the work is linear in the text (an array slice in SQL would copy the
+    whole array for every chunk). Sentences are split and counted in SQL."""
+    def pack(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for sents, words in batches:
+            out = []
+            for s, w in zip(sents, words):
+                w = np.asarray(w, dtype=np.int64)
+                total = np.concatenate([[0], np.cumsum(w)])
+                out.append([{"text": " ".join(s[i:j]), "n_words": int(total[j] - total[i])}
+                            for i, j in sentence_bounds(w, budget, overlap)])
+            yield pd.Series(out)
+
+    packed = F.pandas_udf(pack, "array<struct<text: string, n_words: int>>")
     sents = F.filter(F.split(F.col(text_col), r"(?<=[.!?])\s+"), lambda s: s.rlike(r"\S"))
     x = df.select(id_col, sents.alias("_s")).filter(F.size("_s") > 0)
     x = x.withColumn("_w", F.transform("_s", lambda s: F.regexp_count(s, F.lit(r"\S+"))))
-    x = x.select(id_col, "_s", "_w", F.posexplode(cut("_w")).alias("pos", "c"))
-    part = lambda c: F.slice(c, F.col("c.s") + 1, F.col("c.n"))
-    return x.select(id_col, "pos", F.array_join(part("_s"), " ").alias("text"),
-                    F.aggregate(part("_w"), F.lit(0), lambda a, w: a + w).alias("n_words"))
+    return x.select(id_col, F.posexplode(packed("_s", "_w")).alias("pos", "c")).select(id_col, "pos", "c.text", "c.n_words")
 
 
 @dataclass
@@ -309,7 +313,8 @@ def gold_containment(docs: DataFrame, golds: DataFrame, doc_id: str = "doc_id",
         part = short.filter(F.least(F.char_length("_gt"), F.lit(q)) == k)
         runs = part.select("_g", F.explode(_grams("_gt", k)).alias("term"))
         out = out.unionByName(_anchored(d, part.select("_g", "_gt"), runs, _grams("_dt", k)))
-    empty = g.filter(F.col("_gt") == "").select("_g", F.lit(0).alias("_k"))
-    every = d.select("_d", F.when(F.col("_dt").isNotNull(), 0).alias("_k")).join(F.broadcast(empty.limit(1).select("_k")), "_k", "left_semi")
-    out = out.unionByName(every.join(empty, "_k").select("_g", "_d"))
+    # an empty gold meets every text by the length of the text's empty beginning
+    empty = g.select("_g", F.char_length("_gt").alias("_k")).filter("_k = 0")
+    begins = d.select("_d", F.char_length(F.substring("_dt", 1, 0)).alias("_k"))
+    out = out.unionByName(begins.join(empty, "_k").select("_g", "_d"))
     return out.select(F.col("_g").alias(gold_id), F.col("_d").alias(doc_id))
