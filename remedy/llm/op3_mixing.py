@@ -7,8 +7,11 @@ the null space of the two balancing constraints (document total, word total) unt
 reaches 0 or 1; the direction is random with the weights that keep every expectation.
 At most two undecided documents remain per group. Groups are buckets of about GROUP_ROWS
 documents of one source, as many as its own documents need (a large source has many, so
-none is hot). One bucket of a source waits for what the others leave undecided, flies with
-it, and only there does the source land, within a few words of its target.
+none is hot). One bucket of a source waits for what the others leave undecided, and only
+there does the source land: there the longest documents are decided first, each against
+ALONG shorter ones together, and the last two land with their probabilities. So every
+document keeps its inclusion probability, also in a small source, and a source misses its
+target by no more than a document that is left to the end, a short one.
 
 Targets: sources in code point order (null last) weigh 1, 2, 3, repeating, and share the
 words of all; a target stops at 3 times its source's words, the excess is reshared by
@@ -39,6 +42,8 @@ from remedy.sources.tables import table
 
 CAP = 3.0
 GROUP_ROWS = 5_000
+ALONG = 256
+FAR = 4
 EPS = 1e-9
 _COLS = "_mx_s string, _mx_b long, _mx_g long, _mx_i long, _mx_n long, _mx_base long, _mx_x double, _mx_z long"
 
@@ -96,42 +101,68 @@ def flight(x: list[float], size: list[float], rng: np.random.Generator) -> tuple
     return x, act
 
 
-def land(x: list[float], size: list[float], act: list[int], open_: list[int], want: float) -> list[float]:
-    """Landing. The last (at most two) documents take the rounding nearest to the wanted
-    words. A long document left to the end can still miss by half its words, so draws of
-    ``open_`` documents (fractional at the start) are then flipped, the best first, for as
-    long as a flip brings the group's words nearer to ``want``."""
-    fixed = sum(v * z for v, z in zip(x, size)) - sum(x[k] * size[k] for k in act)
-    best = None
-    for m in range(1 << len(act)):
-        pick = [(m >> j) & 1 for j in range(len(act))]
-        off = (abs(fixed + sum(p * size[k] for p, k in zip(pick, act)) - want), m)
-        if best is None or off < best[0]:
-            best = (off, pick)
-    for p, k in zip(best[1], act):
-        x[k] = float(p)
-    idx, z = np.array(open_, dtype=np.int64), np.array(size)
-    got = np.array(x)
-    miss = want - float(got @ z)
-    while len(idx):
-        gain = np.where(got[idx] > 0, -z[idx], z[idx])
-        j = int(np.argmin(np.abs(miss - gain)))
-        if abs(miss - gain[j]) >= abs(miss) - EPS:
-            break
-        got[idx[j]] = 1.0 - got[idx[j]]
-        miss -= gain[j]
-    return got.tolist()
-
-
-def _fly(key: tuple, pdf: pd.DataFrame, step: int) -> tuple[pd.DataFrame, list[float], list[float], list[int]]:
+def _moved(x: np.ndarray, d: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A random step along ``d``, up or down until a probability is 0 or 1, with the weights
+    that keep every expectation."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        up = np.where(d > 0, (1 - x) / d, np.where(d < 0, x / -d, np.inf)).min()
+        down = np.where(d > 0, x / d, np.where(d < 0, (1 - x) / -d, np.inf)).min()
+    x = np.clip(x + (up if rng.random() * (up + down) < down else -down) * d, 0.0, 1.0)
+    return np.where((x < EPS) | (x > 1 - EPS), np.round(x), x)
+
+
+def settle_longest(x: list[float], size: list[float], rng: np.random.Generator, along: int = ALONG) -> list[float]:
+    """Documents by falling size are decided one by one, the longest first, against the next
+    ``along`` undecided ones together: those move a little each, in proportion to the room
+    they have, so that both totals stay. One that is FAR times as long as any other can only
+    be made up for in words, by all others; there the document total gives way. The (at most
+    two) left at the end are short."""
+    v, z = np.array(x), np.array(size)
+    v = np.where((v < EPS) | (v > 1 - EPS), np.round(v), v)
+    for a in range(len(v)):
+        while 0.0 < v[a] < 1.0:
+            o = np.flatnonzero((v[a + 1:] > 0) & (v[a + 1:] < 1)) + a + 1
+            if len(o) < 2:
+                return v.tolist()
+            far = z[a] > FAR * z[o[0]]
+            o = o if far else o[:along]
+            room = np.minimum(v[o], 1 - v[o])
+            s0, s1, s2 = room.sum(), (room * z[o]).sum(), (room * z[o] ** 2).sum()
+            det = s0 * s2 - s1 * s1
+            if far:
+                d = -room * z[a] / s1
+            elif det > 1e-9 * s0 * s2:
+                d = room * ((z[a] * s1 - s2) + (s1 - z[a] * s0) * z[o]) / det
+            else:  # all of one size: its words stand for both totals
+                d = -room * z[o] * z[a] / s2
+            at = np.concatenate([[a], o])
+            v[at] = _moved(v[at], np.concatenate([[1.0], d]), rng)
+    return v.tolist()
+
+
+def land(x: list[float], size: list[float], act: list[int], rng: np.random.Generator) -> list[float]:
+    """Landing of the last (at most two) documents: the document total is given up first, so
+    two move on along the word total until one is decided; the last is drawn with its
+    probability. Every expectation stays."""
+    v = np.array(x)
+    if len(act) == 2:
+        d = np.zeros(len(v))
+        d[act[0]], d[act[1]] = size[act[1]], -size[act[0]]
+        v = _moved(v, d, rng) if d.any() else v
+    for k in act:
+        if 0.0 < v[k] < 1.0:
+            v[k] = float(rng.random() < v[k])
+    return v.tolist()
+
+
+def _sorted(key: tuple, pdf: pd.DataFrame, step: int) -> tuple[pd.DataFrame, list[float], list[float], np.random.Generator]:
     # large documents first: they are the hardest to place, and the small ones absorb them
     pdf = pdf.sort_values(["_mx_z", "_mx_i", "_mx_n"], ascending=[False, True, True], na_position="last")
     source = None if pd.isna(key[0]) else key[0]
     name = f"{source!r}|{int(key[1])}" + (f"|{step}" if step else "")
     seed = int.from_bytes(hashlib.sha256(name.encode()).digest()[:8], "big")
     size = pdf["_mx_z"].astype("float64").tolist()
-    x, act = flight(pdf["_mx_x"].tolist(), size, np.random.default_rng(seed))
-    return pdf, x, size, act
+    return pdf, pdf["_mx_x"].tolist(), size, np.random.default_rng(seed)
 
 
 def _fly_group(step: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
@@ -139,17 +170,16 @@ def _fly_group(step: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         if key[1] == 0:
             return pdf
-        pdf, x, _, _ = _fly(key, pdf, step)
-        return pdf.assign(_mx_x=x)
+        pdf, x, size, rng = _sorted(key, pdf, step)
+        return pdf.assign(_mx_x=flight(x, size, rng)[0])
     return run
 
 
 def _land_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf, x, size, act = _fly(key, pdf, 0)
-    start = pdf["_mx_x"].tolist()
-    want = sum(v * z for v, z in zip(start, size))
-    open_ = [k for k, v in enumerate(start) if EPS <= v <= 1 - EPS]
-    return pdf.assign(_mx_x=land(x, size, act, open_, want))
+    pdf, x, size, rng = _sorted(key, pdf, 0)
+    x = settle_longest(x, size, rng)
+    act = [k for k, v in enumerate(x) if 0.0 < v < 1.0]
+    return pdf.assign(_mx_x=land(x, size, act, rng))
 
 
 def cube_counts(units: DataFrame, most: int) -> DataFrame:

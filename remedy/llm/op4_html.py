@@ -3,10 +3,14 @@
 The standard library's streaming parser turns a page into lines (text between block tags,
 with character references decoded). A line's ratio is its text length over its tag count;
 ratios are smoothed with a Gaussian and split into content and the rest at one standard
-deviation. The content region is the least element around all outermost article and main
-elements with content, where these hold most of it, else the page. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
-are left out by tag, role, class or id, in a region or out of it; every other line of the
-region stays, however short.
+deviation. The clusters of content lines choose the region. Where article and main elements
+hold most of the content, it is the least element around those that hold any. Elsewhere it is
+the least element around all content lines, and of its parts in turn: from the first part with
+content to the last, widened over the short parts before and after (a title, a last line) up
+to a list of links. A page without a content line has no text. Menus, headers, footers,
+sidebars, notices, adverts, forms, scripts, styles and reader comments are left out by tag,
+role, class or id, in a region or out of it; every other line of the region stays, however
+short.
 
 A class or id counts as a whole: each of its words is one of SKIP_WORDS or a mere layout
 word (``site-footer``, not ``has-sidebar`` or ``related-work``). It never leaves out a
@@ -84,17 +88,18 @@ class PageLines(HTMLParser):
         self.tag, self.parent, self.skip, self.main = ["#root"], [-1], [False], [False]
         self.closed, self.named, self.readers = [False], [False], [False]
         self.open = [0]
-        self.lines: list[tuple[str, int, int, int]] = []  # text, tags, element, characters in links
+        # text, tags, element, characters in links, links
+        self.lines: list[tuple[str, int, int, int, int]] = []
         self._text: list[str] = []
-        self._tags = self._linked = self._links = 0
+        self._tags = self._linked = self._links = self._anchors = 0
         self._at = 0
 
     def _end_line(self) -> None:
         if self._text:
             text = " ".join("".join(self._text).split())
             if text:
-                self.lines.append((text, self._tags, self._at, self._linked))
-                self._tags = 0
+                self.lines.append((text, self._tags, self._at, self._linked, self._anchors))
+                self._tags = self._anchors = 0
             self._text = []
         self._linked = 0
 
@@ -128,6 +133,7 @@ class PageLines(HTMLParser):
         self.closed.append(False)
         self.main.append(main)
         self._links += tag == "a"
+        self._anchors += tag == "a"
 
     def _close(self, tag: str, stop=()) -> int:
         """Closes the innermost open ``tag`` and all inside it, not past ``stop``; 0 if none."""
@@ -188,13 +194,13 @@ class PageLines(HTMLParser):
                 return True
         return False
 
-    def kept_lines(self) -> list[tuple[str, int, int, int]]:
+    def kept_lines(self) -> list[tuple[str, int, int, int, int]]:
         """Lines that are no boilerplate by tag, role, class or id."""
         forms = {e for e, t in enumerate(self.tag) if t == "form"}
         self.whole, self.holders = forms, set()
         by_tag = self._lines(lambda e: self.readers[e])
         weight = [0] * len(self.tag)
-        for text, _, at, linked in by_tag:
+        for text, _, at, linked, _ in by_tag:
             for x in self.up(at):
                 weight[x] += max(0, len(text) - linked)
         # what holds most of the text of its article, or of a page without one, is kept
@@ -211,7 +217,7 @@ class PageLines(HTMLParser):
         lines = self._lines(lambda e: self.readers[e] or self.named[e] and e not in self.whole)
         return lines or by_tag or self._lines(lambda e: False)
 
-    def _lines(self, names: Callable[[int], bool]) -> list[tuple[str, int, int, int]]:
+    def _lines(self, names: Callable[[int], bool]) -> list[tuple[str, int, int, int, int]]:
         out = {e: self.left_out(e, names) for e in {x[2] for x in self.lines}}
         return [x for x in self.lines if not out[x[2]]]
 
@@ -237,6 +243,58 @@ def content_lines(ratios: list[float]) -> list[bool]:
     return [x >= cut for x in s]
 
 
+def region_lines(p: PageLines, lines: list[tuple[str, int, int, int, int]], content: list[bool]) -> list[int]:
+    """Indexes of the lines around the content lines of a page without a leading article.
+
+    In an element, lines go by the child they stand in. Children without content stay between
+    the first and the last with content; before and after those only up to a list of links.
+    Children with content are looked into the same way."""
+    chains = {e: list(p.up(e))[::-1] for e in {x[2] for x in lines}}
+    # a line of mere links is no content, however long
+    text = [c and 2 * linked <= len(t) for c, (t, _, _, linked, _) in zip(content, lines)]
+
+    def menu(part: list[int]) -> bool:
+        return 2 * sum(lines[i][3] for i in part) > sum(len(lines[i][0]) for i in part) and sum(lines[i][4] for i in part) > 1
+
+    out, todo = [], [(list(range(len(lines))), 0)]
+    while todo:
+        part, depth = todo.pop()
+        if not any(text[i] for i in part):
+            continue
+        # down to the least element around the content
+        kids: list[list[int]] = []
+        while True:
+            kids, last = [], None
+            for i in part:
+                chain = chains[lines[i][2]]
+                kid = chain[depth + 1] if len(chain) > depth + 1 else None
+                if kid is not None and kid == last:
+                    kids[-1].append(i)
+                else:
+                    kids.append([i])
+                last = kid
+            held = [k for k, x in enumerate(kids) if any(text[i] for i in x)]
+            if len(held) > 1 or len(chains[lines[kids[held[0]][0]][2]]) <= depth + 1:
+                break
+            inner = kids[held[0]]
+            if len(kids) == 1:
+                depth += 1
+                part = inner
+                continue
+            break
+        lo, hi = held[0], held[-1]
+        while lo and not menu(kids[lo - 1]):
+            lo -= 1
+        while hi + 1 < len(kids) and not menu(kids[hi + 1]):
+            hi += 1
+        for k in range(lo, hi + 1):
+            if k in held and len(kids[k]) > 1:
+                todo.append((kids[k], depth + 1))
+            else:
+                out += kids[k]
+    return sorted(out)
+
+
 def main_text(html: str | None) -> str:
     """Text of the content region, lines joined by one blank."""
     if not html:
@@ -245,19 +303,19 @@ def main_text(html: str | None) -> str:
     lines = p.kept_lines()
     if not lines:
         return ""
-    content = content_lines([len(t) / (1 + tags) for t, tags, _, _ in lines])
+    content = content_lines([len(t) / (1 + tags) for t, tags, _, _, _ in lines])
     weight = [0] * len(p.tag)
-    for (text, _, e, _), c in zip(lines, content):
+    for (text, _, e, _, _), c in zip(lines, content):
         if c:
             for x in p.up(e):
                 weight[x] += len(text)
     # outermost article and main elements that hold content
     mains = {m for x in {x[2] for x in lines} for m in [e for e in p.up(x) if p.main[e]][-1:] if weight[m]}
     if not mains or sum(weight[m] for m in mains) < SHARE * weight[0]:
-        return " ".join(x[0] for x in lines)
+        return " ".join(lines[i][0] for i in region_lines(p, lines, content))
     around = set.intersection(*(set(p.up(m)) for m in mains))
     region = max(around)  # elements are numbered in page order: the deepest is last
-    return " ".join(t for t, _, e, _ in lines if region in p.up(e))
+    return " ".join(t for t, _, e, _, _ in lines if region in p.up(e))
 
 
 def extract_text(pages: DataFrame, html: str = "html", out: str = "text", n_chars: str = "n_chars") -> DataFrame:

@@ -2,10 +2,12 @@
 
 Words are runs outside ASCII punctuation, digits kept, A-Z lower-cased. Each run of 13
 consecutive words of a benchmark item is a window; an item of fewer words is one window.
-Windows are deduplicated into a table of 64-bit hashes that is broadcast while its row
-count is within a bound (else joined by hash). One scan of the documents hashes every
-token window, probes the table, and verifies each hit word by word. Covered words are the
-union of the verified occurrences. DataFrame functions only.
+Windows are deduplicated into a table of 64-bit hashes that is broadcast while its bytes are
+within a bound. One scan of the documents hashes every token window, probes the table, and
+verifies each hit word by word. Beyond the bound a bitmap of the hashes, of bounded size, is
+broadcast instead; only token windows that it can't rule out are shuffled, with their words,
+and joined by hash. Covered words are the union of the verified occurrences. DataFrame
+functions only.
 
 Defined cases: null or word-less text has no words and no hits; rows equal in id and text
 are looked up once and all returned; null ids are ordinary values; a null item_id never
@@ -27,8 +29,9 @@ N = 13
 SHARE = 20
 # Fixed value: what separates the words of the decontamination contract.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-# Windows are broadcast up to this many rows (13 short words each, under 100 MB).
-BROADCAST_WINDOWS = 400_000
+# Bytes of windows that are broadcast, and bits of the bitmap beyond that (2^20 rows of 64).
+BROADCAST_BYTES = 64 << 20
+BITMAP_BITS = 1 << 26
 
 
 def words(text: Column) -> Column:
@@ -62,31 +65,66 @@ def occurrences(docs: DataFrame, items: DataFrame, n: int = N) -> tuple[DataFram
         by_len = F.when(F.col("len") == k, _run_hash("win_w", F.lit(0), k)).otherwise(by_len)
     sets = written(sets.withColumnRenamed("w", "win_w").select("len", by_len.alias("h"), "win_w", "items", "win"), "window-set")
     lengths = sorted(r[0] for r in sets.select("len").distinct().collect())  # at most n values
-    # the mark of length 0 matches once in every document, after its last word, so each keeps a row
-    mark = spark.range(1).select(
-        F.lit(0).alias("len"), F.lit(0).cast("long").alias("h"), F.array().cast("array<string>").alias("win_w"),
-        F.lit(None).cast("string").alias("win"))
-    probe = sets.select("len", "h", "win_w", "win").unionByName(mark).withColumnRenamed("len", "win_len")
-    if sets.count() <= BROADCAST_WINDOWS:
-        probe = F.broadcast(probe)
     # The one-element explode makes the words a column before anything uses them twice.
     # From there exploding, hashing and probing run in one generated loop that copies the
     # word array for hits only.
     tok = docs.select("doc_id", F.xxhash64("text").alias("th"), F.explode(F.array(words(F.col("text")))).alias("_dc_w"))
+    size = sets.agg(F.sum(F.octet_length(F.to_json("win_w")))).first()[0] or 0
+    find = _probe_windows if size <= BROADCAST_BYTES else _join_windows
+    return find(tok, sets, lengths), sets
+
+
+def _window_hash(lengths: list[int], first: Column | None = None) -> Column:
+    """Hash of the ``len`` words of _dc_w from ``pos``; null where too few are left."""
+    h = first if first is not None else F.when(F.lit(False), F.lit(0).cast("long"))
+    for k in lengths:
+        h = h.when((F.col("len") == k) & (F.col("pos") + k <= F.size("_dc_w")), _run_hash("_dc_w", F.col("pos"), k))
+    return h
+
+
+def _of_each_length(scan: DataFrame, lengths: list[int]) -> DataFrame:
+    if len(lengths) == 1:
+        return scan.withColumn("len", F.lit(lengths[0]))
+    return scan.withColumn("len", F.explode(F.array(*[F.lit(k) for k in lengths or [0]])))
+
+
+_HIT = ["doc_id", "th", "n_words", "at", "len", "win"]
+
+
+def _probe_windows(tok: DataFrame, sets: DataFrame, lengths: list[int]) -> DataFrame:
+    """Hits by a broadcast of all windows."""
+    # the mark of length 0 matches once in every document, after its last word, so each keeps a row
+    mark = tok.sparkSession.range(1).select(
+        F.lit(0).alias("len"), F.lit(0).cast("long").alias("h"), F.array().cast("array<string>").alias("win_w"),
+        F.lit(None).cast("string").alias("win"))
+    probe = F.broadcast(sets.select("len", "h", "win_w", "win").unionByName(mark).withColumnRenamed("len", "win_len"))
     scan = tok.select("doc_id", "th", "_dc_w", F.posexplode(F.array_append("_dc_w", F.lit(""))).alias("pos", "_dc_x"))
     n_w = F.size("_dc_w")
-    if len(lengths) == 1:
-        scan = scan.withColumn("len", F.lit(lengths[0]))
-    else:
-        scan = scan.withColumn("len", F.explode(F.array(*[F.lit(k) for k in lengths or [0]])))
-    h = F.when(F.col("pos") == n_w, F.when(F.col("len") == F.lit((lengths or [0])[0]), F.lit(0).cast("long")))
-    for k in lengths:
-        h = h.when((F.col("len") == k) & (F.col("pos") + k <= n_w), _run_hash("_dc_w", F.col("pos"), k))
-    hits = scan.withColumn("h", h).join(probe, "h").filter(
+    end = F.when(F.col("pos") == n_w, F.when(F.col("len") == F.lit((lengths or [0])[0]), F.lit(0).cast("long")))
+    hits = _of_each_length(scan, lengths).withColumn("h", _window_hash(lengths, end)).join(probe, "h").filter(
         (F.col("win_len") == F.when(F.col("pos") == n_w, 0).otherwise(F.col("len")))
         & (F.slice("_dc_w", F.col("pos") + 1, F.col("win_len")) == F.col("win_w")))
     return hits.select("doc_id", "th", n_w.cast("long").alias("n_words"),
-                       (F.col("pos") + 1).cast("int").alias("at"), F.col("win_len").alias("len"), "win"), sets
+                       (F.col("pos") + 1).cast("int").alias("at"), F.col("win_len").alias("len"), "win")
+
+
+def _join_windows(tok: DataFrame, sets: DataFrame, lengths: list[int]) -> DataFrame:
+    """Hits where the windows are too many to broadcast: a bitmap of their hashes rules out
+    most token windows in the scan; the others travel with their words, once, and meet the
+    windows by hash."""
+    slot = F.pmod("h", F.lit(BITMAP_BITS))
+    place, bit = F.shiftright(slot, 6), (slot % 64).cast("int")
+    bitmap = F.broadcast(sets.select(place.alias("_bm_i"), F.expr(f"shiftleft(1L, cast(pmod(h, {BITMAP_BITS}L) % 64 AS int))").alias("b"))
+                         .groupBy("_bm_i").agg(F.bit_or("b").alias("_bm_b")))  # at most BITMAP_BITS / 64 rows
+    scan = tok.select("doc_id", "th", "_dc_w", F.posexplode("_dc_w").alias("pos", "_dc_x"))
+    scan = _of_each_length(scan, lengths).withColumn("h", _window_hash(lengths)).filter("h is not null")
+    scan = scan.join(bitmap, place == F.col("_bm_i")).filter(F.getbit("_bm_b", bit) == 1)
+    some = scan.select("doc_id", "th", F.size("_dc_w").cast("long").alias("n_words"), (F.col("pos") + 1).cast("int").alias("at"),
+                       "len", "h", F.slice("_dc_w", F.col("pos") + 1, F.col("len")).alias("_dc_v"))
+    found = some.join(sets.select("len", "h", "win_w", "win"), ["len", "h"]).filter(F.col("_dc_v") == F.col("win_w"))
+    each = tok.select("doc_id", "th", F.size("_dc_w").cast("long").alias("n_words"), (F.size("_dc_w") + 1).alias("at"),
+                      F.lit(0).alias("len"), F.lit(None).cast("string").alias("win"))
+    return found.select(_HIT).unionByName(each.select(_HIT))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = N, share: int = SHARE) -> DataFrame:

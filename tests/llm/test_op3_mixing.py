@@ -41,7 +41,8 @@ def test_targets_near_taken_and_repeatable(spark):
         assert r.taken <= 3 * r.size and (r.size == 0) == (r.taken == 0 and r.size == 0)
         taken[r.source_size] += r.taken
     for s, t in want.items():
-        assert abs(taken[sizes[s]] - t) <= (3 if s == "tiny" else 40), (s, t, taken[sizes[s]])
+        # b has one document of a quarter of its words, which the others can't always make up for
+        assert abs(taken[sizes[s]] - t) <= {"tiny": 3, "b": 0.05 * t}.get(s, 40), (s, t, taken[sizes[s]])
     again, _ = report(spark, rows[::-1])
     key = lambda r: (r.doc_id is None, r.doc_id or 0, r.size, r.taken)
     assert sorted(map(key, got)) == sorted(map(key, again))
@@ -67,6 +68,41 @@ def test_flight_is_unbiased():
     assert np.abs(total / 3000 - 0.3).max() < 0.04
 
 
+def test_landing_keeps_probabilities_and_words():
+    """Twelve documents, every step from start to landing: each is drawn as often as it
+    should be, and the words miss by no more than a short document."""
+    size = sorted([900.0, 400, 220, 210, 130, 90, 60, 40, 25, 12, 6, 3], reverse=True)
+    total, off = np.zeros(12), []
+    for seed in range(3000):
+        rng = np.random.default_rng(seed)
+        x = o.settle_longest([0.35] * 12, size, rng)
+        act = [k for k, v in enumerate(x) if 0 < v < 1]
+        assert len(act) <= 2
+        x = o.land(x, size, act, rng)
+        assert set(x) <= {0.0, 1.0}
+        total += x
+        off.append(abs(np.dot(x, size) - 0.35 * sum(size)))
+    assert np.abs(total / 3000 - 0.35).max() < 0.035
+    assert np.mean(off) < 0.3 * max(size)  # drawn one by one they would miss by 400
+
+
+def test_small_sources_keep_inclusion_probabilities(spark):
+    """The whole mix over 900 sources of the same 12 documents: sources of weight 1 want half
+    a copy of each, those of weight 3 one and a half."""
+    sizes = [700, 300, 90, 80, 60, 50, 40, 30, 20, 10, 5, 2]
+    rows = [(1000 * s + i, f"s{s:04}", z) for s in range(900) for i, z in enumerate(sizes)]
+    got, _ = report(spark, rows)
+    drawn, n = Counter(), Counter()
+    for r in got:
+        s, i = divmod(r.doc_id, 1000)
+        rest = r.target / r.source_size % 1
+        if abs(rest - 0.5) < 1e-6:
+            drawn[i] += r.taken // r.size - int(r.target / r.source_size)
+            n[i] += 1
+    assert min(n.values()) == 600
+    assert all(abs(drawn[i] / n[i] - 0.5) < 0.08 for i in range(12)), drawn
+
+
 def test_empty_and_zero_sizes(spark):
     assert report(spark, [])[0] == []
     got, _ = report(spark, [(1, "a", 0), (2, None, 0)])
@@ -95,7 +131,7 @@ def test_small_sources_beside_a_hot_one_reach_their_targets(spark, monkeypatch):
         per[r.source] = (size, target, taken + r.total * r.size, docs + 1, draws + r.total)
     assert len(per) == 16
     for s, (size, target, taken, docs, draws) in per.items():
-        assert abs(taken - target) <= 20, (s, target, taken)
+        assert abs(taken - target) <= 60, (s, target, taken)  # the longest document
         assert abs(draws - target / size * docs) <= 4, (s, target / size * docs, draws)
     again, _ = report(spark, rows[::-1])
     assert sorted(got) == sorted(again)

@@ -90,3 +90,40 @@ LONG, SHORT = "A sentence of the long part of the text. " * 13, "A sentence of t
 ])
 def test_region_holds_all_the_text(html, want):
     assert o.main_text(html) == want.strip()
+
+
+MENU = "<ul><li><a href=a>Home</a></li><li><a href=b>About us</a></li><li><a href=c>All our products</a></li></ul>"
+WORDS = "<h1>Title</h1><p>Lead.</p>" + f"<p>{LONG}</p><p>{SHORT}</p>" + "<h2>More</h2>" + f"<p>{LONG}</p><p>The end.</p>"
+WORDS_TEXT = f"Title Lead. {LONG}{SHORT}More {LONG}The end."
+PLAIN_PAGES = [
+    f"<body><div>{MENU}</div><div><div>{WORDS}</div></div><div>{MENU}</div></body>",
+    f"<body>{MENU}{WORDS}{MENU}</body>",
+    f"<body><div><div>{MENU}{WORDS}</div></div><div><a>One</a> <a>Two</a> <a>Three</a></div></body>",
+    f"<body><div>Our site</div><div><a>One</a> <a>Two</a></div><div>{WORDS}</div><div><a>Top of page</a> <a>Imprint</a></div><div>2020</div></body>",
+]
+
+
+@pytest.mark.parametrize("html", PLAIN_PAGES)
+def test_clusters_find_the_text_among_plain_elements(html):
+    assert o.main_text(html) == WORDS_TEXT
+
+
+def test_link_lists_inside_each_part_of_the_text():
+    html = f"<div>{MENU}<p>{LONG}</p></div><div><p>{SHORT}</p><p>{LONG}</p>{MENU}</div>"
+    assert o.main_text(html) == f"{LONG}{SHORT}{LONG}".strip()
+    inside = f"<div><p>{LONG}</p><p><a>See the long read</a></p><p>{LONG}</p></div>"
+    assert o.main_text(inside) == f"{LONG}See the long read {LONG}".strip()
+
+
+@pytest.mark.parametrize("constant", [True, False])
+def test_constant_clusters_lose_the_text(monkeypatch, constant):
+    """The clusters decide: without them the text of plain pages is not found."""
+    monkeypatch.setattr(o, "content_lines", lambda ratios: [constant] * len(ratios))
+    assert any(o.main_text(h) != WORDS_TEXT for h in PLAIN_PAGES)
+    if not constant:
+        assert o.main_text(f"<article>{WORDS}</article>") == ""
+
+
+def test_deep_nesting_and_many_lines():
+    deep = "<div>" * 3000 + f"<p>{LONG}</p>" + "<div>".join("x" for _ in range(2000))
+    assert LONG.strip() in o.main_text(deep)

@@ -54,10 +54,39 @@ def test_against_brute_force(spark):
 
 
 def test_joined_where_windows_may_not_be_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(o, "BROADCAST_WINDOWS", 0)
+    monkeypatch.setattr(o, "BROADCAST_BYTES", -1)
+    assert spark_rows(spark, DOCS, ITEMS) == brute(DOCS, ITEMS)
+    assert spark_rows(spark, DOCS[:4], []) == brute(DOCS[:4], [])
+
+
+def test_joined_form_survives_a_crowded_bitmap(spark, monkeypatch):
+    monkeypatch.setattr(o, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(o, "BITMAP_BITS", 64)
     assert spark_rows(spark, DOCS[:13], ITEMS) == brute(DOCS[:13], ITEMS)
 
 
+def test_joined_form_shuffles_less_than_the_text(spark, monkeypatch):
+    """Rows of the scan that leave for the join: those that the bitmap can't rule out."""
+    monkeypatch.setattr(o, "BROADCAST_BYTES", -1)
+    docs = [(i, " ".join(f"t{(i * 7919 + j * 31) % 50021}x" for j in range(1000))) for i in range(20)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame(ITEMS + [(99, " ".join(docs[3][1].split()[100:120]))], "item_id long, text string")
+    hits, _ = o.occurrences(d, items)
+    rows = hits.filter("len > 0").collect()
+    assert {r.doc_id for r in rows} == {3} and len(rows) == 8
+    df = o.windows(items).count()
+    assert df < 40
+    plan = hits._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in plan
+    exchanged = sum(len(r) for _, t in docs for r in [t])  # bytes of the texts
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        moved = hits.filter("len > 0").count() * 200  # 13 words and six numbers a row
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert moved < 2 * exchanged
+
+
 @pytest.mark.parametrize("docs, items", [([], ITEMS), (DOCS[:6], []), ([], [])])
 def test_empty_tables(spark, docs, items):
     assert spark_rows(spark, docs, items) == brute(docs, items)
