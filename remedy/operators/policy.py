@@ -8,11 +8,13 @@ composed in parallel and then combined in order (exact, no single-task group).
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -81,52 +83,62 @@ def with_query_embedding(df: DataFrame, vectors: DataFrame, n_rows: int, key: st
 
 # ---- additive fits ----------------------------------------------------------------
 
+LINUCB_STATE = "arm long, node long, a array<double>, b array<double>, n long"
+
+
+def _state_batch(arm: int, node: int, a: np.ndarray, b: np.ndarray, n: int) -> pa.RecordBatch:
+    one = lambda x: pa.ListArray.from_arrays(pa.array([0, x.size], pa.int32()), pa.array(x.ravel()))
+    return pa.RecordBatch.from_arrays([pa.array([arm]), pa.array([node]), one(a), one(b), pa.array([n])],
+                                      names=["arm", "node", "a", "b", "n"])
+
+
 def _outer_partials(d: int):
-    """mapInPandas body: per-partition, per-arm sums of x x^T and r x, emitted as
-    one row per (arm, i) with an array over j, so tasks return O(arms * d) rows."""
+    """Per-partition, per-arm sums of x x^T and r x: one row of whole arrays per arm."""
 
-    def run(batches):
-        acc_a: dict[int, np.ndarray] = {}
-        acc_b: dict[int, np.ndarray] = {}
-        acc_n: dict[int, int] = {}
-        for b in batches:
-            if b.empty:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        acc: dict[int, list] = {}
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            for arm, g in b.groupby("arm"):
-                x = np.asarray(g["x"].tolist(), dtype=np.float64)
-                r = g["r"].to_numpy(dtype=np.float64)
-                a = int(arm)
-                acc_a[a] = acc_a.get(a, 0) + x.T @ x
-                acc_b[a] = acc_b.get(a, 0) + x.T @ r
-                acc_n[a] = acc_n.get(a, 0) + len(r)
-        for a in acc_a:
-            yield pd.DataFrame({"arm": np.full(d, a, dtype=np.int64),
-                                "i": np.arange(d, dtype=np.int32),
-                                "row": list(acc_a[a]),
-                                "b": acc_b[a],
-                                "n": np.full(d, acc_n[a], dtype=np.int64)})
+            arms = batch.column(0).to_numpy(zero_copy_only=False)
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, d)
+            r = batch.column(2).to_numpy(zero_copy_only=False)
+            for arm in np.unique(arms):
+                xs, rs = x[arms == arm], r[arms == arm]
+                s = acc.setdefault(int(arm), [np.zeros((d, d)), np.zeros(d), 0])
+                s[0] += xs.T @ xs
+                s[1] += xs.T @ rs
+                s[2] += len(rs)
+        node = TaskContext.get().partitionId()
+        for arm, (m, v, n) in acc.items():
+            yield _state_batch(arm, node, m, v, n)
 
     return run
 
 
-def linucb_fit(log: DataFrame, d: int) -> DataFrame:
-    """A = I + sum x x^T and b = sum r x per arm, from a log (arm, x, r).
+def _sum_states(key: tuple, t: pa.Table) -> pa.Table:
+    add = lambda c: t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1).sum(axis=0)
+    return pa.Table.from_batches([_state_batch(key[0].as_py(), key[1].as_py(), add("a"), add("b"), sum(t.column("n").to_pylist()))])
+
+
+def linucb_fit(log: DataFrame, d: int, fan_in: int = 8) -> DataFrame:
+    """Per arm sum x x^T (flattened, d x d), sum r x and the number of rows, from a log
+    (arm, x, r): (arm, a, b, n); A is a + I.
 
-    Partial sums per partition (mapInPandas, one row per (arm, i)), then a
-    ``groupBy(arm, i)`` sums the partial rows element-wise; the number of partial
-    rows is partitions x arms x d, independent of the log size."""
-    schema = ST.StructType([ST.StructField("arm", ST.LongType()), ST.StructField("i", ST.IntegerType()),
-                            ST.StructField("row", ST.ArrayType(ST.DoubleType())),
-                            ST.StructField("b", ST.DoubleType()), ST.StructField("n", ST.LongType())])
-    parts = log.select(F.col("arm").cast("long"), "x", F.col("r").cast("double")).mapInPandas(_outer_partials(d), schema)
+    Every partition gives one row per arm; whole arrays are summed ``fan_in`` at a time in a
+    tree keyed by (arm, node), so a task holds ``fan_in`` matrices, and the rows shuffled are
+    partitions x arms, whatever d is."""
     from remedy.session import cut_lineage
-    parts = cut_lineage(parts)  # A, b and n all read the partial sums: compute them once
-    ex = parts.select("arm", "i", "b", "n", F.posexplode("row").alias("j", "v"))
-    a = ex.groupBy("arm", "i", "j").agg(F.sum("v").alias("s"))
-    a = a.select("arm", "i", "j", (F.col("s") + F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0)).alias("a"))
-    b = parts.groupBy("arm", "i").agg(F.sum("b").alias("b"))
-    n = parts.filter(F.col("i") == 0).groupBy("arm").agg(F.sum("n").alias("n"))
-    return a, b, n
+
+    parts = log.select(F.col("arm").cast("long"), "x", F.col("r").cast("double"))
+    level = cut_lineage(parts.mapInArrow(_outer_partials(d), LINUCB_STATE))
+    top = level.agg(F.max("node")).first()[0] or 0
+    while True:
+        level = level.withColumn("node", F.floor(F.col("node") / fan_in)).groupBy("arm", "node").applyInArrow(_sum_states, LINUCB_STATE)
+        top //= fan_in
+        if not top:
+            return cut_lineage(level).drop("node")
+        level = cut_lineage(level)
 
 
 def thompson_fit(log: DataFrame, arms: DataFrame) -> DataFrame:
@@ -150,20 +162,18 @@ def _hash_uniform(q: np.ndarray, arm: np.ndarray, salt: int) -> np.ndarray:
 
 
 def _gamma_draws(q: np.ndarray, arm: np.ndarray, shape: np.ndarray, salt: int) -> np.ndarray:
-    """Gamma(shape >= 1) draws by squeezing cubed normals; a try is accepted with a
-    probability above 0.95, so sixteen tries leave nothing over in practice."""
+    """Gamma(shape >= 1) draws by squeezing cubed normals, tried until accepted (a try is with
+    a probability above 0.95)."""
     d = shape - 1 / 3
     c, out = 1 / np.sqrt(9 * d), d.copy()
-    left = np.ones(len(d), dtype=bool)
-    for t in range(16):
+    left, t = np.ones(len(d), dtype=bool), 0
+    while left.any():
         u1, u2, u3 = (_hash_uniform(q, arm, salt + 3 * t + j) for j in range(3))
         z = np.sqrt(-2 * np.log(u1)) * np.cos(2 * np.pi * u2)
         v = (1 + c * z) ** 3
         ok = left & (v > 0)
         ok[ok] = np.log(u3[ok]) < 0.5 * z[ok] ** 2 + d[ok] * (1 - v[ok] + np.log(v[ok]))
-        out[ok], left = d[ok] * v[ok], left & ~ok
-        if not left.any():
-            break
+        out[ok], left, t = d[ok] * v[ok], left & ~ok, t + 1
     return out
 
 
@@ -246,20 +256,14 @@ def masked_argmax(scores: DataFrame, key: str = "q", allowed: Column | None = No
 
 # ---- LinUCB scoring (matrices per arm are small: arms x d x d) ------------------------
 
-def linucb_state(a: DataFrame, b: DataFrame, d: int):
-    """Collect A and b (arms x d x d doubles: bounded by the model, not the data),
-    invert once per arm."""
-    A, B = {}, {}
-    for arm, g in a.toPandas().groupby("arm"):  # Arrow columns, no row objects
-        A[int(arm)] = np.zeros((d, d))
-        A[int(arm)][g["i"], g["j"]] = g["a"]
-    for arm, g in b.toPandas().groupby("arm"):
-        B[int(arm)] = np.zeros(d)
-        B[int(arm)][g["i"]] = g["b"]
+def linucb_state(fit: DataFrame, d: int):
+    """The arrays of every arm (at most 11 rows, bounded by the model, not the data), A
+    inverted once per arm."""
     state = {}
-    for arm, m in A.items():
-        inv = np.linalg.inv(m)
-        state[arm] = (inv, inv @ B.get(arm, np.zeros(d)))
+    for r in fit.toArrow().to_batches():
+        for arm, a, b in zip(r.column("arm").to_pylist(), r.column("a"), r.column("b")):
+            inv = np.linalg.inv(np.asarray(a.values).reshape(d, d) + np.eye(d))
+            state[arm] = (inv, inv @ np.asarray(b.values))
     return state
 
 
@@ -323,15 +327,14 @@ def _compose_maps(d: int):
     return run
 
 
-def epsgreedy_fit(log: DataFrame, d: int, lr: float = SGD_LR, block_rows: int = 4096,
-                  fan_in: int = 64, arms: DataFrame | None = None) -> DataFrame:
-    """Per-arm SGD weights ``w += lr (r - w.x) x`` over the log in ``step`` order.
+def epsgreedy_maps(log: DataFrame, d: int, lr: float = SGD_LR, block_rows: int = 4096, fan_in: int = 64) -> DataFrame:
+    """The affine map w -> M w + c that the rows of a log (arm, step, x, r) make per arm, in
+    step order: (arm, first, m, c).
 
-    Every update is affine in w, so the ordered log is cut into blocks of
-    ``block_rows``; each block's composite map (M, c) is computed in parallel, then
-    maps are composed in order, ``fan_in`` at a time, until one per arm remains;
-    w = c of the final map (w0 = 0). Group sizes stay bounded at every level, and each
-    level is materialised before its size is read. With ``arms`` every arm has a row."""
+    Every update is affine in w, so the ordered log is cut into blocks of ``block_rows``; each
+    block's composite map is computed in parallel, then maps are composed in order, ``fan_in``
+    at a time, until one per arm remains. Group sizes stay bounded at every level, and each
+    level is materialised before its size is read."""
     from remedy.session import cut_lineage
 
     schema = ("arm long, block long, first long, m array<double>, c array<double>")
@@ -343,31 +346,42 @@ def epsgreedy_fit(log: DataFrame, d: int, lr: float = SGD_LR, block_rows: int =
     while True:
         n = maps.groupBy("arm").count().agg(F.max("count")).collect()[0][0]
         if n is None or n <= 1:
-            break
+            return maps.drop("block")
         maps = cut_lineage(maps.withColumn("block", (F.col("block") / F.lit(fan_in)).cast("long"))
                                .groupBy("arm", "block").applyInPandas(_compose_maps(d), schema))
-    fitted = maps.select("arm", F.col("c").alias("w"))
+
+
+def epsgreedy_fit(log: DataFrame, d: int, lr: float = SGD_LR, block_rows: int = 4096,
+                  fan_in: int = 64, arms: DataFrame | None = None) -> DataFrame:
+    """Per-arm SGD weights ``w += lr (r - w.x) x`` over the log in ``step`` order, from the
+    maps of its blocks: w = c (w0 = 0). With ``arms`` every arm has a row."""
+    fitted = epsgreedy_maps(log, d, lr, block_rows, fan_in).select("arm", F.col("c").alias("w"))
     if arms is None:
         return fitted
     zero = F.array_repeat(F.lit(0.0), d)  # an arm without rows keeps its starting weights
     return arms.select(F.col("arm").cast("long")).join(fitted, "arm", "left").select("arm", F.coalesce("w", zero).alias("w"))
 
 
+def advance(state: DataFrame, maps: DataFrame, d: int) -> DataFrame:
+    """State (arm, pulls, w) after the maps (arm, n, m, c) of a batch: w -> M w + c. An arm
+    without state starts at 0; one without a map stays."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            w = []
+            for wi, m, c in zip(b["w"], b["m"], b["c"]):
+                v = np.zeros(d) if wi is None else np.asarray(wi)
+                w.append(v if m is None else np.asarray(m).reshape(d, d) @ v + np.asarray(c))
+            yield pd.DataFrame({"arm": b["arm"], "pulls": b["pulls"], "w": w})
+
+    j = state.join(maps, "arm", "full").withColumn("pulls", F.coalesce("pulls", F.lit(0)) + F.coalesce("n", F.lit(0)))
+    return j.select("arm", "pulls", "w", "m", "c").mapInPandas(run, "arm long, pulls long, w array<double>")
+
+
 # ---- KernelUCB (closed form of the rank-one inverse) -----------------------------------
 
 def arm_moments(log: DataFrame, d: int) -> DataFrame:
-    """Per-arm b = sum r x (d) and G = sum x x^T (d x d) as arrays, from the
-    partial-sum fit (groups are bounded by d, never by the log size)."""
-    a, b, _ = linucb_fit(log, d)
-    g = a.select("arm", "i", "j", (F.col("a") - F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0)).alias("g"))
-    rows = (g.groupBy("arm", "i")
-             .agg(F.array_sort(F.collect_list(F.struct("j", "g"))).alias("_r"))
-             .select("arm", "i", F.transform("_r", lambda t: t["g"]).alias("gi"))
-             .join(b, ["arm", "i"]))
-    return (rows.groupBy("arm")
-                .agg(F.array_sort(F.collect_list(F.struct("i", "b", "gi"))).alias("_r"))
-                .select("arm", F.transform("_r", lambda t: t["b"]).alias("b"),
-                        F.transform("_r", lambda t: t["gi"]).alias("G")))
+    """Per-arm b = sum r x (d) and G = sum x x^T (d x d, flattened) as arrays."""
+    return linucb_fit(log, d).select("arm", "b", F.col("a").alias("G"))
 
 
 def kernelucb_linear(ctx: DataFrame, log: DataFrame, arms: DataFrame, alpha: float = 1.0,
@@ -382,7 +396,7 @@ def kernelucb_linear(ctx: DataFrame, log: DataFrame, arms: DataFrame, alpha: flo
     broadcast; contexts are scored in Arrow batches with NumPy (mapInPandas)."""
     d = log.select(F.size("x")).first()[0] if dim is None else dim
     spark = ctx.sparkSession
-    mom = {int(r["arm"]): (np.asarray(r["b"], dtype=np.float64), np.asarray(r["G"], dtype=np.float64))
+    mom = {int(r["arm"]): (np.asarray(r["b"], dtype=np.float64), np.asarray(r["G"], dtype=np.float64).reshape(d, d))
            for r in arm_moments(log, d).collect()}
     arm_ids = sorted(int(r["arm"]) for r in arms.select("arm").collect())
     bst = spark.sparkContext.broadcast((arm_ids, mom))

@@ -46,10 +46,10 @@ def src_pages(spark, sf):
 
 
 def src_slices(spark, sf):
-    """A3: the first 2 files of a directory of page files of 100 consecutive ids each."""
+    """A3: the first 2 files of a directory of page files of 50 consecutive ids each."""
     root = _scratch(spark, "slices")
     p = X.wiki_pages(spark, sf).select(F.col("page_id").alias("id"), "text", "lines",
-                                       F.format_string("%012d", F.floor(F.col("page_id").cast("long") / 100)).alias("part"))
+                                       F.format_string("%012d", F.floor(F.col("page_id").cast("long") / 50)).alias("part"))
     p.repartition("part").write.partitionBy("part").json(root)
     return FS.read_slices(spark, root, 2).select("id", "text", "lines")
 

@@ -228,4 +228,4 @@ SQL["src_claims"] = f"""WITH {CLAIMS},
     FROM (SELECT * FROM found UNION ALL SELECT * FROM bare UNION ALL SELECT * FROM miss)"""
 SQL["index_tables"] = f"WITH {BM25} SELECT doc_id, pos, term, tf, dl::INT AS dl FROM post"
 SQL["src_slices"] = f"""WITH {PAGES} SELECT page_id AS id, text, lines FROM wpages
-    WHERE page_id::BIGINT // 100 IN (SELECT DISTINCT doc_id // 100 AS part FROM documents ORDER BY part LIMIT 2)"""
+    WHERE page_id::BIGINT // 50 IN (SELECT DISTINCT doc_id // 50 AS part FROM documents ORDER BY part LIMIT 2)"""

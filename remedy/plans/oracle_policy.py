@@ -137,3 +137,12 @@ SQL["epsgreedy_fit"] = _EPS + """ SELECT arm, 18 AS dims, round(sqrt(list_sum(li
     list_transform(w, lambda z: round(z, 8)) AS w FROM eps"""
 
 SQL["answer_consistency_short"] = "WITH " + KFACTS.replace("< 1e-1 THEN 'CONFLICT'", "< 5e-1 THEN 'CONFLICT'") + " SELECT answer_id, consistency FROM ka"
+
+SQL["stream_epsgreedy"] = _EPS + """ SELECT e.arm, p.pulls, list_transform(e.w, lambda z: round(z, 8)) AS w
+    FROM eps e JOIN (SELECT arm, count(*) AS pulls FROM lg18 GROUP BY arm) p USING (arm)"""
+SQL["epsgreedy_choice"] = _EPS + f""",
+    sc AS (SELECT c.q, e.arm, {dot('c.x', 'e.w')} AS s FROM ctx18 c, eps e),
+    best AS (SELECT q, arm FROM sc QUALIFY row_number() OVER (PARTITION BY q ORDER BY s DESC, arm) = 1),
+    u AS (SELECT q, arm, ('0x' || substr(md5('42:eps|' || q::VARCHAR), 1, 8))::BIGINT / 4294967296e0 AS u1,
+            ('0x' || substr(md5('42:eps-arm|' || q::VARCHAR), 1, 8))::BIGINT / 4294967296e0 AS u2 FROM best)
+    SELECT q, CASE WHEN u1 < 1.e-01 THEN floor(u2 * 11)::BIGINT ELSE arm END AS arm, u1 < 1.e-01 AS explored FROM u"""

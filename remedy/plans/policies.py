@@ -59,16 +59,17 @@ def context_vector(spark, sf):
 
 
 def linucb_fit(spark, sf):
-    a, b, _ = PO.linucb_fit(log(spark, sf, True), FULL_DIM)
+    fit = PO.linucb_fit(log(spark, sf, True), FULL_DIM)
     # 9 places: budget features are multiples of 2e-7, so 6-place ties are common.
-    return (a.select("arm", "i", "j", rnd("a", 9).alias("value"))
-             .unionByName(b.select("arm", "i", F.lit(-1).alias("j"), rnd("b", 9).alias("value"))))
+    cell = fit.select("arm", F.posexplode("a").alias("p", "v")).select(
+        "arm", F.floor(F.col("p") / FULL_DIM).cast("int").alias("i"), (F.col("p") % FULL_DIM).alias("j"), "v")
+    a = cell.select("arm", "i", "j", rnd(F.col("v") + (F.col("i") == F.col("j")).cast("double"), 9).alias("value"))
+    b = fit.select("arm", F.posexplode("b").alias("i", "v")).select("arm", "i", F.lit(-1).alias("j"), rnd("v", 9).alias("value"))
+    return a.unionByName(b)
 
 
 def linucb_score(spark, sf):
-    lg = log(spark, sf, True)
-    a, b, _ = PO.linucb_fit(lg, FULL_DIM)
-    state = PO.linucb_state(a, b, FULL_DIM)
+    state = PO.linucb_state(PO.linucb_fit(log(spark, sf, True), FULL_DIM), FULL_DIM)
     sc = PO.linucb_score(contexts(spark, sf, True), state, X.N_ARMS, FULL_DIM, PO.LINUCB_ALPHA)
     return PO.masked_argmax(sc, "q")
 

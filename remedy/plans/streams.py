@@ -35,7 +35,6 @@ def stream_bm25_topk(spark, sf):
 
 
 def stream_epsgreedy(spark, sf):
-    """H1 stateful: epsilon-greedy weights advanced per micro-batch (rows-only)."""
-    ev = S.read_table_stream(spark, sf, "events", S.EVENTS_SCHEMA)
-    out = S.run_to_table(spark, S.epsgreedy_stream(ev), "epsgreedy", mode="update", key=("arm",))
-    return out.select("arm", "pulls", "w")
+    """H1: epsilon-greedy weights advanced per micro-batch by the maps of its blocks."""
+    out = S.run_epsgreedy(spark, S.read_table_stream(spark, sf, "events", S.EVENTS_SCHEMA))
+    return out.select("arm", "pulls", F.transform("w", lambda v: rnd(v, 8)).alias("w"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from remedy.operators import retrieve as R
 from remedy.operators import reward as RW
 from remedy.plans.diagnosis import chosen_outcomes, diagnose_rows, failed_with_choice
-from remedy.session import scratch_path
+from remedy.session import cut_lineage, scratch_path
 
 EVENTS_SCHEMA = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 DOCS_SCHEMA = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
@@ -52,30 +52,33 @@ def outcome_stream_with_context(events: DataFrame) -> DataFrame:
     return post.select(F.col("q").alias("step"), "arm", "x", F.col("reward.total_reward").alias("r"))
 
 
-def epsgreedy_stream(events: DataFrame, d: int = 18, lr: float = 0.01) -> DataFrame:
-    """H1 (order-dependent learner): epsilon-greedy SGD weights per arm as
-    arbitrary streaming state (``applyInPandasWithState`` keyed by arm). Each
-    micro-batch applies its outcomes in step order to the arm's stored weights; a
-    group holds one arm's rows of one micro-batch (bounded by the trigger size)."""
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    def update(key, pdfs, state):
-        w = np.asarray(state.get[0], dtype=np.float64) if state.exists else np.zeros(d)
-        n = int(state.get[1]) if state.exists else 0
-        rows = pd.concat(list(pdfs)).sort_values("step")
-        for x, r in zip(rows["x"], rows["r"]):
-            x = np.asarray(x, dtype=np.float64)
-            w = w + lr * (r - w @ x) * x
-            n += 1
-        state.update((w.tolist(), n))
-        yield pd.DataFrame({"arm": [int(key[0])], "pulls": [n], "w": [w.tolist()]})
-
-    o = outcome_stream_with_context(events)
-    return o.groupBy("arm").applyInPandasWithState(
-        update, "arm long, pulls long, w array<double>", "w array<double>, n long", "update",
-        GroupStateTimeout.NoTimeout)
+def epsgreedy_batch(events: DataFrame, out: str, epoch: int, d: int = 18, lr: float = 0.01, block_rows: int = 4096) -> None:
+    """H1 (order-dependent learner), one micro-batch: blocks of its outcomes become maps of the
+    weights in parallel under (arm, block) and are composed to one map per arm; the state of
+    the batch before takes that map. Written to the batch's own folder, which a retry
+    overwrites; events arrive in the order of their ids."""
+    from remedy.operators import policy as PO
+
+    spark = events.sparkSession
+    o = cut_lineage(outcome_stream_with_context(events))
+    maps = PO.epsgreedy_maps(o, d, lr, block_rows).join(o.groupBy("arm").agg(F.count(F.lit(1)).alias("n")), "arm")
+    if epoch:
+        state = spark.read.parquet(f"{out}/batch={epoch - 1}")
+    else:
+        state = spark.createDataFrame([], "arm long, pulls long, w array<double>")
+    _write_batch(PO.advance(state, maps.select("arm", "n", "m", "c"), d), out, epoch)
+
+
+def run_epsgreedy(spark: SparkSession, events: DataFrame, path: str | None = None, block_rows: int = 4096) -> DataFrame:
+    """Learn from a stream of events; the weights (arm, pulls, w) after all batches so far. A
+    second run on the same ``path`` resumes from the last batch."""
+    out = path or scratch_path(spark, f"stream-epsgreedy-{uuid.uuid4().hex[:12]}")
+    q = (events.writeStream.foreachBatch(lambda b, e: epsgreedy_batch(b, out, e, block_rows=block_rows))
+               .option("checkpointLocation", out.rstrip("/") + "-checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    all_ = spark.read.option("basePath", out).parquet(f"{out}/batch=*")
+    last = all_.agg(F.max("batch")).first()[0]
+    return all_.filter(F.col("batch") == last).drop("batch")
 
 
 def policy_stream(events: DataFrame) -> DataFrame:

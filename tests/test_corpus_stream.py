@@ -46,21 +46,35 @@ def test_stream_equals_batch_diagnosis(spark):
     assert s == b and len(s) == 1000
 
 
-def test_stream_epsgreedy_equals_batch_fold(spark):
-    """One micro-batch: the stateful stream equals the batch (parallel affine) fold."""
+def test_stream_epsgreedy_equals_batch_fold(spark, tmp_path):
+    """Two micro-batches, each cut into blocks, and a second run: the weights equal the batch
+    fold over all events, and nothing is learned twice."""
     import numpy as np
 
     from remedy.operators import policy as PO
     from remedy.plans.policies import DIAG_DIM, log
-    from remedy.plans.streams import stream_epsgreedy
-
-    s = {r.arm: (r.pulls, np.array(r.w)) for r in stream_epsgreedy(spark, SF_SMALL).collect()}
+    from remedy.streaming import jobs as S
+
+    folder, ev = str(tmp_path / "in"), spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    ev.filter("event_id < 400").coalesce(1).write.parquet(folder + "/a")
+    ev.filter("event_id >= 400").coalesce(1).write.parquet(folder + "/b")
+    import glob
+    import os
+    import shutil
+    (tmp_path / "ev").mkdir()
+    for k, part in enumerate(("a", "b")):
+        shutil.copy(glob.glob(f"{folder}/{part}/part-*.parquet")[0], tmp_path / "ev" / f"events-{k}.parquet")
+        os.utime(tmp_path / "ev" / f"events-{k}.parquet", (1_000_000 + k, 1_000_000 + k))
+    run = lambda: S.run_epsgreedy(spark, S.read_table_stream(
+        spark, str(tmp_path / "ev"), "events", S.EVENTS_SCHEMA), str(tmp_path / "out"), block_rows=64).collect()
+    s = {r.arm: (r.pulls, np.array(r.w)) for r in run()}
     lg = log(spark, SF_SMALL, False)
     b = {r.arm: np.array(r.w) for r in PO.epsgreedy_fit(lg, DIAG_DIM).collect()}
     n = {r.arm: r["count"] for r in lg.groupBy("arm").count().collect()}
     assert set(s) == set(b)
     for a in b:
         assert s[a][0] == n[a] and np.allclose(s[a][1], b[a])
+    assert {r.arm: r.pulls for r in run()} == n
 
 
 def test_ranks_hold_without_exchange_reuse(spark):

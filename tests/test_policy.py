@@ -19,22 +19,32 @@ def _log(spark, n=300, d=5, seed=1):
 
 def test_linucb_fit_symmetric_and_exact(spark):
     lg, x, arm, r = _log(spark)
-    a, b, n = PO.linucb_fit(lg, 5)
-    A = {}
-    for row in a.collect():
-        A.setdefault(row.arm, np.zeros((5, 5)))[row.i, row.j] = row.a
-    for k in range(4):
-        xs = x[arm == k]
-        want = np.eye(5) + xs.T @ xs
-        assert np.allclose(A[k], want) and np.allclose(A[k], A[k].T)
-    B = {(row.arm, row.i): row.b for row in b.collect()}
-    assert B[(2, 3)] == pytest.approx((r[arm == 2] * x[arm == 2][:, 3]).sum())
+    for fan_in in (2, 8):
+        fit = {f.arm: f for f in PO.linucb_fit(lg.repartition(7), 5, fan_in).collect()}
+        assert sorted(fit) == [0, 1, 2, 3]
+        for k in range(4):
+            xs = x[arm == k]
+            assert np.allclose(np.array(fit[k].a).reshape(5, 5), xs.T @ xs) and fit[k].n == len(xs)
+            assert np.allclose(fit[k].b, xs.T @ r[arm == k])
+
+
+def test_linucb_score_at_full_width(spark):
+    """d = 786: the scores of the summed arrays equal those of the whole log in NumPy."""
+    lg, x, arm, r = _log(spark, n=60, d=786, seed=4)
+    state = PO.linucb_state(PO.linucb_fit(lg.filter("arm = 2"), 786), 786)
+    cx = np.random.default_rng(6).normal(size=(3, 786))
+    ctx = spark.createDataFrame([(i, cx[i].tolist(), False) for i in range(3)], "q long, x array<double>, retriever_only boolean")
+    got = {(s.q, s.arm): s.score for s in PO.linucb_score(ctx, state, 3, 786, 2.0).collect()}
+    xs = x[arm == 2]
+    inv = np.linalg.inv(np.eye(786) + xs.T @ xs)
+    for i in range(3):
+        assert got[(i, 2)] == pytest.approx(inv @ (xs.T @ r[arm == 2]) @ cx[i] + 2.0 * np.sqrt(cx[i] @ inv @ cx[i]))
+        assert got[(i, 0)] == pytest.approx(2.0 * np.sqrt(cx[i] @ cx[i]))
 
 
 def test_linucb_score_matches_numpy(spark):
     lg, x, arm, r = _log(spark)
-    a, b, _ = PO.linucb_fit(lg, 5)
-    state = PO.linucb_state(a, b, 5)
+    state = PO.linucb_state(PO.linucb_fit(lg, 5), 5)
     rng = np.random.default_rng(5)
     cx = rng.normal(size=(6, 5))
     ctx = spark.createDataFrame([(i, cx[i].tolist(), i % 2 == 0) for i in range(6)],

@@ -58,9 +58,9 @@ def event_folder(tmp_path):
     return str(folder)
 
 
-@pytest.mark.parametrize("mode, key", [("append", ()), ("complete", ()), ("update", ("arm",))])
+@pytest.mark.parametrize("mode, key", [("append", ()), ("complete", ())])
 def test_second_run_on_the_same_path_adds_nothing(spark, event_folder, tmp_path, mode, key):
-    build = {"append": S.diagnose_stream, "complete": S.policy_stream, "update": S.epsgreedy_stream}[mode]
+    build = {"append": S.diagnose_stream, "complete": S.policy_stream}[mode]
 
     def run():
         ev = S.read_table_stream(spark, event_folder, "events", S.EVENTS_SCHEMA)
