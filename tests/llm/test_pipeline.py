@@ -73,4 +73,4 @@ def test_empty_documents(spark, docs_of):
 def test_registered(spark):
     import __spark_entry__ as E
     assert sorted(k for k in E.queries() if k.startswith("op") and k[2].isdigit()) == sorted(QUERIES)
-    assert len(QUERIES) == 10 and E.queries()["pipeline"]
+    assert len(QUERIES) == 13 and E.queries()["pipeline"]
