@@ -52,3 +52,29 @@ def test_stream_reads_a_table_that_is_a_folder(spark, tmp_path):
     index = S.run_reindex(spark, docs)
     assert {r.doc_id for r in index.postings.collect()} == set(range(8))
     assert index.stats.first().n_chunks == 8
+
+
+def test_term_counts_are_row_local(spark):
+    rows = [(1, 0, "red red blue Green green red"), (2, 0, "the of and"), (3, 1, "one")]
+    c = R.term_counts(spark.createDataFrame(rows, "doc_id long, pos int, text string"), ["doc_id", "pos"])
+    assert "Exchange" not in c._jdf.queryExecution().executedPlan().toString()
+    got = {r.doc_id: (r.dl, {(t.term, t.tf) for t in r.terms}) for r in c.collect()}
+    assert got == {1: (6, {("red", 3), ("blue", 1), ("green", 2)}), 2: (0, set()), 3: (1, {("one", 1)})}
+
+
+def test_tiles_rank_like_blocks(spark, tmp_path, monkeypatch):
+    from remedy.operators import lexical as L
+
+    rng = np.random.default_rng(3)
+    words = [f"w{i}x" for i in range(60)]
+    docs = [("a" if i % 3 else "b", i, " ".join(rng.choice(words, 40))) for i in range(90)]
+    docs += [("b", 1, docs[1][2])]  # a passage held by two deltas
+    L.add_deltas(str(tmp_path), spark.createDataFrame(docs, "delta string, doc_id long, text string"), {"a": (0, None), "b": (0, None)})
+    index = L.open_index(spark, str(tmp_path))
+    qs = spark.createDataFrame([(q, " ".join(rng.choice(words, 6))) for q in range(40)], "q_id long, question string")
+    key = lambda df: {(r.q_id, r["rank"], r.delta, r.doc_id, r.pos, r.score, round(r.hit, 6)) for r in df.collect()}
+    want = key(L.topk(index, qs, 4))
+    monkeypatch.setattr(L, "MANY_QUERIES", 0)
+    monkeypatch.setattr(L, "BATCH_QUERIES", 16)
+    monkeypatch.setattr(L, "TILE_BLOCKS", 1)
+    assert key(L.topk(index, qs, 4)) == want
