@@ -42,3 +42,37 @@ def test_terms_in_many_chunks_are_scored_in_tiles(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(L, "MANY_MATCHES", 1000)
     monkeypatch.setattr(L, "block_scores", lambda *a: 1 / 0)
     assert key(L.topk(index, qs, 3)) == want
+
+
+def test_short_golds_of_every_size(spark):
+    from remedy.operators import retrieve as R
+
+    texts = {1: "a b", 2: "ab", 3: "xaby", 4: "日本語 ab", 5: "", 6: "𝒳 is wide 𝒳y", 7: "b\x00a"}
+    golds = {10: "a", 11: "ab", 12: "aby", 13: "日本", 14: "𝒳y", 15: "is wide", 16: "", 17: "zz", 18: "\x00a", 19: "a"}
+    got = R.gold_containment(spark.createDataFrame(list(texts.items()), "doc_id long, text string"),
+                             spark.createDataFrame(list(golds.items()), "q_id long, question string"))
+    assert sorted((r.q_id, r.doc_id) for r in got.collect()) == sorted((g, d) for g, x in golds.items() for d, t in texts.items() if x in t)
+    # one scan counts the runs of all sizes, in arrays
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "regexp_extract_all" not in plan
+
+
+def test_a_cosine_is_computed_once_a_pair(spark):
+    """answer_relevancy joins vectors to distinct pairs of rows; the answers carry ids only."""
+    from given import SF_SMALL
+    from remedy.plans import diagnosis as D
+
+    found = D.answer_relevancy(spark, SF_SMALL)._jdf.queryExecution()
+    assert "Aggregate [qrow" in found.optimizedPlan().toString()
+    assert "BroadcastHashJoin" not in found.executedPlan().toString()
+
+
+def test_counts_search_the_documents_once(spark, monkeypatch):
+    from given import SF_SMALL
+    from remedy.operators import retrieve as R
+    from remedy.plans import corpus as CQ
+
+    calls, plain = [], R.gold_containment
+    monkeypatch.setattr(R, "gold_containment", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    assert len(CQ.corpus_counts(spark, SF_SMALL).collect()) == 7
+    assert len(calls) == 1
