@@ -76,3 +76,46 @@ def test_counts_search_the_documents_once(spark, monkeypatch):
     monkeypatch.setattr(R, "gold_containment", lambda *a, **k: calls.append(1) or plain(*a, **k))
     assert len(CQ.corpus_counts(spark, SF_SMALL).collect()) == 7
     assert len(calls) == 1
+
+
+def test_pieces_are_matched_once_and_only_in_chosen_texts(spark):
+    """Chunks of a few documents: the pieces of the others are not looked for, and the rows
+    of a document do not carry all its pieces."""
+    from remedy.operators import retrieve as R
+
+    docs = spark.createDataFrame([(i, f"w{i} " * (300 * i)) for i in range(4)] + [(9, None), (10, " \n")], "doc_id long, text string").repartition(2)
+    ids = spark.createDataFrame([(1,), (2,), (9,)], "doc_id long").repartition(2)
+    got = R.chunk_windows(docs.join(ids, "doc_id", "left_semi"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    assert plan.index("regexp_extract_all") < plan.index("Join LeftSemi")  # above the join
+    assert "posexplode(transform(" in plan
+    rows = sorted(map(tuple, got.collect()))
+    want = [(i, p, " ".join([f"w{i}"] * min(128, 300 * i - 112 * p))) for i in (1, 2) for p in range((300 * i - 17) // 112 + 1)]
+    assert rows == want
+
+
+def test_texts_without_a_candidate_are_not_shuffled(spark):
+    """Long golds: the texts are searched where they are read; those that no gold may be in
+    are left out before the lookup by id. Ids may repeat or be null, as before."""
+    from remedy.operators import retrieve as R
+
+    texts = [(1, "one two three four"), (1, "one two three four"), (2, "two three"), (3, "zero one two three"), (None, "one two three"), (4, None)]
+    golds = [(10, "one two three"), (11, "two three four"), (12, "no such words")]
+    got = R.gold_containment(spark.createDataFrame(texts, "doc_id long, text string").repartition(3),
+                             spark.createDataFrame(golds, "q_id long, question string"))
+    # both rows of document 1 are candidates and both are looked up
+    assert sorted(map(tuple, got.collect())) == [(10, 1)] * 4 + [(10, 3)] + [(11, 1)] * 4
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftSemi" in plan and "RepartitionByExpression" not in plan
+
+
+def test_only_one_column_of_postings_is_read_to_count_them(spark, tmp_path, monkeypatch):
+    from pyspark.sql import GroupedData
+
+    plans, plain = [], GroupedData.agg
+    monkeypatch.setattr(GroupedData, "agg", lambda self, *e: plans.append(plain(self, *e)) or plans[-1])
+    L.add_deltas(str(tmp_path), spark.createDataFrame([("d", 1, "ab cd ab"), ("d", 2, "cd")], "delta string, doc_id long, text string"), {"d": (0, None)})
+    read = [p for p in (x._jdf.queryExecution().executedPlan().toString() for x in plans) if "chunks:array" in p]
+    assert read and all("chunks:array<struct<tf:bigint>>" in p for p in read)
+    assert {(r.term, r.df) for r in L.open_index(spark, str(tmp_path)).terms.collect()} == {("ab", 1), ("cd", 2)}
