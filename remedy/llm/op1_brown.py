@@ -6,8 +6,9 @@
    bigram counts: each word in turn moves to the class that raises the class-bigram
    likelihood most, until none moves (a table of fixed size, on the driver).
 4. Every other word makes one exchange step against those classes: blocks send the
-   classes around each occurrence to the word's part, which picks the best class and
-   sends class and count back to the blocks that use the word.
+   classes around each occurrence (a table of them for a word with many) to the word's
+   part, which picks the best class and sends class and count back to the blocks that use
+   the word. Parts are sized by the bytes they receive.
 5. Blocks become class sequences; class bigrams of all training tokens are added up, and
    a last pass scores every document.
 
@@ -27,6 +28,7 @@ long one is a block of its own; other columns are not carried.
 
 from __future__ import annotations
 
+import itertools
 import secrets
 from array import array
 from collections import defaultdict
@@ -44,14 +46,16 @@ from remedy.sources.tables import table
 CLASSES = 64
 SEED_WORDS = 1000
 SWEEPS = 12
-BLOCK_BYTES = 16 << 20
-PART_WORDS = 1 << 20  # words of all blocks that meet in one task
+BLOCK_BYTES = 8 << 20
+PART_BYTES = 16 << 20  # of all blocks' words and contexts that meet in one task
 BACKOFF = 5.0
 BASE = 0.1
-SLICE = 1 << 14  # words whose context counts are held at a time
+SLICE, SLICE_TOKENS = 1 << 12, 1 << 18  # words, and occurrences, whose context counts are made at a time
 UNK, END = CLASSES, CLASSES + 1  # classes of the unseen symbol and of the end
 K = CLASSES + 2
-_BLOCK = "block long, doc_id array<long>, held array<boolean>, n array<int>, ids binary, hashes binary, counts binary"
+MANY = 4 * K  # occurrences in a block beyond which a table of 2K counts is shorter than the contexts
+_BLOCK = "block long, doc_id array<long>, held array<boolean>, n array<int>, ids binary, hashes binary, counts binary, " \
+         "sends long"
 
 
 def _bin(values: np.ndarray) -> pa.Array:
@@ -65,8 +69,8 @@ def _np(scalar: pa.Scalar, kind) -> np.ndarray:
 def encode(docs: DataFrame) -> DataFrame:
     """(doc_id, text, held_out) -> one row per block of documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc, held, n, ids, size, known = [], [], [], array("i"), 0, defaultdict()
-        known.default_factory = known.__len__
+        # a method of the dict itself as its factory would be a cycle: every block's words would stay in memory
+        doc, held, n, ids, size, known = [], [], [], array("i"), 0, defaultdict(itertools.count().__next__)
 
         def block() -> pa.RecordBatch:
             train = np.repeat(~np.array(held, dtype=bool), n)
@@ -74,11 +78,12 @@ def encode(docs: DataFrame) -> DataFrame:
             digest = xxhash.xxh3_64_intdigest
             hashes = np.array([digest(w) for w in known], dtype=np.uint64)
             counts = np.bincount(codes[train], minlength=len(known)).astype(np.int32)
+            sends = 12 * len(known) + 2 * int(np.minimum(counts, MANY).sum())  # bytes to all parts at most
             return pa.RecordBatch.from_arrays([
                 pa.array([secrets.randbits(62)]), pa.array([doc], pa.list_(pa.int64())),
                 pa.array([held], pa.list_(pa.bool_())), pa.array([n], pa.list_(pa.int32())),
-                _bin(codes), _bin(hashes), _bin(counts)],
-                names=["block", "doc_id", "held", "n", "ids", "hashes", "counts"])
+                _bin(codes), _bin(hashes), _bin(counts), pa.array([sends])],
+                names=["block", "doc_id", "held", "n", "ids", "hashes", "counts", "sends"])
 
         for b in batches:
             for i in range(b.num_rows):
@@ -91,8 +96,7 @@ def encode(docs: DataFrame) -> DataFrame:
                 size += len(t.as_buffer()) if t.is_valid else 0
                 if size >= BLOCK_BYTES or len(doc) >= 200_000:
                     yield block()
-                    doc, held, n, ids, size, known = [], [], [], array("i"), 0, defaultdict()
-                    known.default_factory = known.__len__
+                    doc, held, n, ids, size, known = [], [], [], array("i"), 0, defaultdict(itertools.count().__next__)
         if doc:
             yield block()
 
@@ -238,13 +242,16 @@ def exchange(bigrams: np.ndarray, freq: np.ndarray, classes: int = CLASSES, swee
     return cls[:words], g
 
 
-def place_words(blocks: DataFrame, parts: int, seeds: np.ndarray, seed_class: np.ndarray, g: np.ndarray) -> DataFrame:
-    """(block, part, counts, classes) of the block's words in part order; and per part a
-    row without block whose counts are the tokens and whose classes the words per class."""
+def _around(owner: np.ndarray, around: np.ndarray, words: int) -> np.ndarray:
+    """Per word, how often each class stands before, then after it."""
+    return np.hstack([np.bincount(owner * K + around[:, j], minlength=words * K).reshape(words, K) for j in (0, 1)])
+
+
+def word_contexts(blocks: DataFrame, parts: int, seeds: np.ndarray, seed_class: np.ndarray) -> DataFrame:
+    """(part, block, h, c, around, tables): the block's words of the part with their counts; for
+    words that are no seeds, in this order, the classes before and after each occurrence, or
+    where there are over MANY, a table of 2K counts."""
     code = np.append(seed_class, CLASSES).astype(np.uint8)  # CLASSES: some other word, CLASSES + 1: end
-    log = np.log(g + 0.5)
-    fit = np.vstack([log[:, :CLASSES], log[:CLASSES].T])  # gain by class before, by class after
-    share = 2 * np.log(g.sum(axis=1)[:CLASSES] + 0.5)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -254,6 +261,8 @@ def place_words(blocks: DataFrame, parts: int, seeds: np.ndarray, seed_class: np
                 order, at = _part_order(hashes, parts)
                 rank = np.empty(len(order), dtype=np.int64)
                 rank[order] = np.arange(len(order))
+                hashes, counts = hashes[order], counts[order]
+                many = (place[order] == len(seeds)) & (counts > MANY)
                 ids, n = _train_tokens(b, i)
                 x, ends = _with_ends(code[place][ids], n, CLASSES + 1)
                 around = np.stack([np.append(np.uint8(CLASSES + 1), x[:-1]), np.append(x[1:], np.uint8(CLASSES + 1))], axis=1)
@@ -262,36 +271,63 @@ def place_words(blocks: DataFrame, parts: int, seeds: np.ndarray, seed_class: np
                 where = rank[ids[rare]]
                 by_word = np.argsort(where, kind="stable")
                 around, where = around[rare][by_word], where[by_word]
-                cut = np.searchsorted(where, at)
+                often = many[where]
+                tables = _around((np.cumsum(many) - 1)[where[often]], around[often], int(many.sum())).astype(np.int32)
+                around = around[~often]
+                cut, row = np.searchsorted(where[~often], at), np.append(0, np.cumsum(many))[at]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.arange(parts)), pa.array([b.column("block")[i].as_py()] * parts),
-                    pa.array([hashes[order[at[p]:at[p + 1]]].tobytes() for p in range(parts)], pa.binary()),
-                    pa.array([counts[order[at[p]:at[p + 1]]].tobytes() for p in range(parts)], pa.binary()),
+                    pa.array([hashes[at[p]:at[p + 1]].tobytes() for p in range(parts)], pa.binary()),
+                    pa.array([counts[at[p]:at[p + 1]].tobytes() for p in range(parts)], pa.binary()),
                     pa.array([around[cut[p]:cut[p + 1]].tobytes() for p in range(parts)], pa.binary()),
-                ], names=["part", "block", "h", "c", "around"])
+                    pa.array([tables[row[p]:row[p + 1]].tobytes() for p in range(parts)], pa.binary()),
+                ], names=["part", "block", "h", "c", "around", "tables"])
+
+    return blocks.select("block", "held", "n", "ids", "hashes", "counts").mapInArrow(
+        send, "part long, block long, h binary, c binary, around binary, tables binary")
+
+
+def place_words(blocks: DataFrame, parts: int, seeds: np.ndarray, seed_class: np.ndarray, g: np.ndarray) -> DataFrame:
+    """(block, part, counts, classes) of the block's words in part order; and per part a
+    row without block whose counts are the tokens and whose classes the words per class."""
+    log = np.log(g + 0.5)
+    fit = np.vstack([log[:, :CLASSES], log[:CLASSES].T])  # gain by class before, by class after
+    share = 2 * np.log(g.sum(axis=1)[:CLASSES] + 0.5)
 
     def choose(key: tuple, t: pa.Table) -> pa.Table:
-        hs = [_np(x, np.uint64) for x in t.column("h")]
-        cs = [_np(x, np.int32) for x in t.column("c")]
-        words, inv = np.unique(np.concatenate(hs), return_inverse=True)
-        c = np.concatenate(cs)
+        sizes = [len(x.as_buffer()) // 8 for x in t.column("h")]
+        words, inv = np.unique(np.concatenate([_np(x, np.uint64) for x in t.column("h")]), return_inverse=True)
+        c = np.concatenate([_np(x, np.int32) for x in t.column("c")])
         tot = np.bincount(inv, weights=c, minlength=len(words)).astype(np.int64)
         place = _places(words, seeds)
         rare = place == len(seeds)
         around = np.concatenate([_np(x, np.uint8).reshape(-1, 2) for x in t.column("around")])
-        owner = np.repeat(inv, np.where(rare[inv], c, 0))
-        by_word = np.argsort(owner, kind="stable")
-        owner, around = owner[by_word], around[by_word]
+        tables = np.concatenate([_np(x, np.int32).reshape(-1, 2 * K) for x in t.column("tables")])
+        many = rare[inv] & (c > MANY)  # of a block's word
+        few = np.where(rare[inv] & ~many, c, 0).astype(np.int64)
+        start, row = np.cumsum(few) - few, np.cumsum(many) - 1
+        by_word = np.argsort(inv, kind="stable")
+        owner = inv[by_word]
+        upto = np.cumsum(np.bincount(inv, weights=np.where(many, MANY, few), minlength=len(words)))
         cls = np.append(seed_class, 0)[place]
-        for lo in range(0, len(words), SLICE):
-            hi = min(lo + SLICE, len(words))
+        lo = 0
+        while lo < len(words):
+            full = np.searchsorted(upto, (upto[lo - 1] if lo else 0) + SLICE_TOKENS, side="right")
+            hi = min(lo + SLICE, len(words), max(lo + 1, int(full)))
             a, z = np.searchsorted(owner, [lo, hi])
-            o, s = owner[a:z] - lo, around[a:z].astype(np.int64)
-            seen = np.hstack([np.bincount(o * K + s[:, j], minlength=(hi - lo) * K).reshape(-1, K) for j in (0, 1)])
+            own = by_word[a:z]
+            n = few[own]
+            s = around[np.repeat(start[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            seen = _around(np.repeat(owner[a:z] - lo, n), s, hi - lo)
+            own, o = own[many[own]], owner[a:z][many[own]] - lo
+            if len(o):
+                first = np.flatnonzero(np.append(True, o[1:] != o[:-1]))
+                seen[o[first]] += np.add.reduceat(tables[row[own]], first, axis=0, dtype=np.int64)
             best = (seen @ fit - seen[:, :K].sum(axis=1)[:, None] * share).argmax(axis=1)
             cls[lo:hi] = np.where(rare[lo:hi], best, cls[lo:hi])
+            lo = hi
         cls = np.where(tot > 0, cls, UNK)
-        sizes, at = [len(h) for h in hs], 0
+        at = 0
         out_c, out_k = [], []
         for n in sizes:
             out_c.append(tot[inv[at:at + n]].tobytes())
@@ -303,9 +339,8 @@ def place_words(blocks: DataFrame, parts: int, seeds: np.ndarray, seed_class: np
                          "part": pa.array([key[0].as_py()] * (len(sizes) + 1), pa.int64()),
                          "counts": pa.array(out_c, pa.binary()), "classes": pa.array(out_k, pa.binary())})
 
-    sent = blocks.select("block", "held", "n", "ids", "hashes", "counts").mapInArrow(
-        send, "part long, block long, h binary, c binary, around binary")
-    return sent.groupBy("part").applyInArrow(choose, "block long, part long, counts binary, classes binary")
+    return word_contexts(blocks, parts, seeds, seed_class).groupBy("part").applyInArrow(
+        choose, "block long, part long, counts binary, classes binary")
 
 
 _CODED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, emission double, " \
@@ -378,12 +413,12 @@ def brown_scores(docs: DataFrame, classes_of: int = SEED_WORDS) -> DataFrame:
     """docs (doc_id, text, held_out) -> doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score. Learns from the rows that are not held out."""
     blocks = written(encode(docs), "brown-blocks")
-    size = blocks.agg(F.sum(F.octet_length("hashes") / 8).alias("w"),
-                      F.sum(F.size(F.filter("held", lambda h: ~h))).alias("ends")).first()
-    parts, ends = max(1, int((size["w"] or 0) // PART_WORDS) + 1), int(size["ends"] or 0)
+    size = blocks.agg(F.sum("sends").alias("sends"), F.sum(F.size(F.filter("held", lambda h: ~h))).alias("ends")).first()
+    parts, ends = (size["sends"] or 0) // PART_BYTES + 1, int(size["ends"] or 0)
     counted = written(count_words(blocks, parts, classes_of), "brown-counts")
     s = counted.agg(*[F.sum(c).alias(c) for c in ("n", "v", "n1", "n2")]).first()
-    top = counted.select(F.explode("top").alias("t")).select("t.h", "t.c").orderBy(F.desc("c"), "h").limit(classes_of).collect()
+    top = counted.select(F.explode("top").alias("t")).select("t.h", "t.c").orderBy(
+        F.desc("c"), F.col("h") < 0, "h").limit(classes_of).collect()  # equal counts: unsigned, as within a part
     seeds = np.array([r["h"] for r in top], dtype=np.int64).view(np.uint64)
     by_hash = np.argsort(seeds)
     seeds, freq = seeds[by_hash], np.array([r["c"] for r in top], dtype=np.int64)[by_hash]

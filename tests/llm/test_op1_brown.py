@@ -1,8 +1,10 @@
+import gc
 import math
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from remedy.llm import op1_brown as o
@@ -94,3 +96,51 @@ def test_very_long_text_and_extra_column(spark):
     long = " ".join(f"w{i % 997}" for i in range(60_000))
     got = rows_of(spark, [(1, long), (2, "w1 w2")])
     assert {r.n_tokens for r in got} == {60_001, 3}
+
+
+class Taken:
+    """Takes the function of a mapInArrow instead of running it."""
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_words_of_a_block_are_let_go_with_it(spark, monkeypatch):
+    monkeypatch.setattr(o, "BLOCK_BYTES", 1000)
+    docs = pa.record_batch({"doc_id": [1] * 40, "text": pa.array([f"w{i} ".encode() * 400 for i in range(40)]),
+                            "held_out": [False] * 40})
+    numbered = lambda: sum(isinstance(x, defaultdict) and isinstance(next(iter(x), None), bytes)
+                           for x in gc.get_objects())
+    gc.collect()
+    gc.disable()  # a worker makes too few containers to collect its garbage often
+    try:
+        blocks = list(o.encode(Taken())(iter([docs])))
+        assert len(blocks) == 40 and numbered() <= 1
+    finally:
+        gc.enable()
+
+
+def test_parts_are_bounded_and_change_no_score(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    few = [f"f{i}" for i in range(200)]  # frequent, but no seeds
+    docs = [(i, " ".join(rng.choice(few, 400)) + f" x{rng.integers(90)} x{rng.integers(90)}") for i in range(300)] + [(None, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(2).select(
+        "doc_id", "text", (F.coalesce("doc_id", F.lit(0)) % 10 == 0).alias("held_out"))
+    rows = lambda: sorted((r.doc_id or -1, r.n_known, round(r.base_score, 6), round(r.score, 6))
+                          for r in o.brown_scores(df, classes_of=20).collect())
+    want = rows()
+    for name, value in {"BLOCK_BYTES": 200_000, "PART_BYTES": 20_000, "SLICE": 7, "SLICE_TOKENS": 900, "MANY": 40}.items():
+        monkeypatch.setattr(o, name, value)
+    assert rows() == want
+    monkeypatch.setattr(o, "BLOCK_BYTES", 1 << 24)
+    monkeypatch.setattr(o, "MANY", 4 * o.K)
+    blocks = o.encode(df.coalesce(1)).cache()
+    parts = blocks.agg(F.sum("sends")).first()[0] // o.PART_BYTES + 1
+    sent = o.word_contexts(blocks, parts, np.array([], np.uint64), np.array([], np.int64)).groupBy("part").agg(
+        *[F.sum(F.octet_length(c)).alias(c) for c in ("h", "c", "around", "tables")]).collect()
+    assert parts > 1 and max(r.h + r.c + r.around + r.tables for r in sent) <= 3 * o.PART_BYTES
+    assert 0 < sum(r.around + r.tables for r in sent) < 1.5 * 400 * 270  # 2 bytes an occurrence without tables
