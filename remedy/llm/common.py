@@ -14,11 +14,12 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, wide: bool = False) -> DataFrame:
     """``df`` written once to the cluster's shared checkpoint folder and read back: cuts
-    lineage, survives lost executors and is computed only once."""
+    lineage, survives lost executors and is computed only once. ``wide``: rows of megabytes,
+    each a Parquet page (else 100 rows or more are one, compressed and read at once)."""
     path = scratch_path(df.sparkSession, f"llm-{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.options(**({"parquet.page.size.row.check.min": "1"} if wide else {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -412,7 +412,7 @@ def transitions(grams: np.ndarray) -> np.ndarray:
 def brown_scores(docs: DataFrame, classes_of: int = SEED_WORDS) -> DataFrame:
     """docs (doc_id, text, held_out) -> doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score. Learns from the rows that are not held out."""
-    blocks = written(encode(docs), "brown-blocks")
+    blocks = written(encode(docs), "brown-blocks", wide=True)
     size = blocks.agg(F.sum("sends").alias("sends"), F.sum(F.size(F.filter("held", lambda h: ~h))).alias("ends")).first()
     parts, ends = (size["sends"] or 0) // PART_BYTES + 1, int(size["ends"] or 0)
     counted = written(count_words(blocks, parts, classes_of), "brown-counts")
