@@ -77,3 +77,17 @@ def test_tiles_of_whole_blocks_rank_like_all_pairs(monkeypatch):
     parts = list(L._tiles(iter(t.to_batches(7)), 2))
     assert len(parts) > 3 and sum(x.num_rows for x in parts) == t.num_rows
     assert sum(len(set(x.column("block").to_pylist())) for x in parts) == 9
+
+
+def test_only_retrieved_texts_are_shuffled(spark):
+    """nli_pairs, eval_projection: the ranks are sent to the texts, not the texts to the ranks."""
+    from given import SF_SMALL
+    from remedy.plans import corpus as CQ
+    from remedy.plans import fixtures as X
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = CQ._retrieved(spark, SF_SMALL, X.questions(spark, SF_SMALL))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
