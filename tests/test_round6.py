@@ -91,3 +91,42 @@ def test_only_retrieved_texts_are_shuffled(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
+def test_streamed_ranks_make_no_row_a_pair(spark, tmp_path, monkeypatch):
+    """The k best of plain postings equal those of all scores, also of a chunk that two batches
+    hold and of passages and questions without an id; postings are added up in tasks of a few."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    words = [f"w{i}x" for i in range(40)]
+    text = lambda n: " ".join(rng.choice(words, n))
+    chunks = spark.createDataFrame([(i, p, text(12)) for i in range(60) for p in range(2)] + [(None, 0, text(9)), (None, 0, "w1x w2x"), (3, 0, text(5)), (70, 0, "the")],
+                                   "doc_id long, pos int, text string")
+    one, two = R.bm25_index(chunks), R.bm25_index(chunks.filter("doc_id < 9 or doc_id is null"), keep=False)
+    counted = {(r.doc_id, r.pos, r.term): (r.tf, r.dl) for r in one.postings.collect()}
+    assert counted[None, 0, "w1x"][1] == 9 and one.postings.count() == len(counted) and one.stats.first().n_chunks == 122
+    index = R.BM25Index(one.postings.unionByName(two.postings), one.df.unionByName(two.df).groupBy("term").agg(F.sum("df").alias("df")), one.stats)
+    qs = spark.createDataFrame([(q, text(6)) for q in range(30)] + [(99, "unheard"), (None, "w1x")], "q_id long, question string")
+    qt = R.query_terms(qs)
+    key = lambda df: {(r.q_id, r.doc_id, r.pos, r.score, r["rank"]) for r in df.collect()}
+    want = key(R.top_k(R.bm25_scores(index, qt), 4))
+    monkeypatch.setattr(L, "PART_ROWS", 300)
+    monkeypatch.setattr(L, "BATCH_QUERIES", 12)
+    found = R.bm25_scores(index, qt, k=4)
+    assert key(R.top_k(found, 4)) == want and len(want) == 124
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "HashAggregate(keys=[doc_id" not in plan
+
+
+def test_small_files_share_a_micro_batch(spark, tmp_path):
+    import glob
+
+    from remedy.streaming import jobs as S
+
+    rows = [(i, f"word{i} passage tokens", "en", "web", 10) for i in range(8)]
+    spark.createDataFrame(rows, S.DOCS_SCHEMA).repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = S.read_table_stream(spark, str(tmp_path), "documents", S.DOCS_SCHEMA, bytes_per_trigger=1 << 20)
+    index = S.run_reindex(spark, docs, str(tmp_path / "index"))
+    assert {r.doc_id for r in index.postings.collect()} == set(range(8)) and index.stats.first().n_chunks == 8
+    assert len(glob.glob(str(tmp_path / "index" / "postings" / "batch=*"))) == 1
